@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination
+from . import decontamination, secrets, similarity
 from .kit import table
 
 
@@ -12,5 +12,13 @@ def op8_decontamination(spark, sf_dir):
     return decontamination.digest(decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {"op8_decontamination": op8_decontamination}
+def op1_secrets(spark, sf_dir):
+    return secrets.digest(secrets.spans(table(spark, sf_dir, "documents")))
+
+
+def op4_ngram_jaccard(spark, sf_dir):
+    return similarity.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op4_ngram_jaccard": op4_ngram_jaccard, "op8_decontamination": op8_decontamination, "op1_secrets": op1_secrets}
 ORACLES: dict[str, str] = {}
