@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, secrets, similarity
+from . import decontamination, quality, secrets, similarity
 from .kit import table
 
 
@@ -20,5 +20,9 @@ def op4_ngram_jaccard(spark, sf_dir):
     return similarity.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_ngram_jaccard": op4_ngram_jaccard, "op8_decontamination": op8_decontamination, "op1_secrets": op1_secrets}
+def op3_quality(spark, sf_dir):
+    return quality.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op3_quality": op3_quality, "op4_ngram_jaccard": op4_ngram_jaccard, "op8_decontamination": op8_decontamination, "op1_secrets": op1_secrets}
 ORACLES: dict[str, str] = {}
