@@ -68,7 +68,7 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
     buf, off = utf8(batch.column(column))
     i, n = 0, len(off) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
+        j = min(i + 32768, max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1))
         yield batch.slice(i, j - i), buf[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
 
