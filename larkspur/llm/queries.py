@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, quality, secrets, similarity, warc
+from . import decontamination, jpeg, language, packing, pseudolikelihood, quality, secrets, similarity, warc
 from .kit import table
 
 
@@ -32,7 +32,19 @@ def op9_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op9_warc": op9_warc, "op2_packing": op2_packing, "op3_quality": op3_quality, "op4_ngram_jaccard": op4_ngram_jaccard, "op8_decontamination": op8_decontamination, "op1_secrets": op1_secrets}
+def op5_jpeg(spark, sf_dir):
+    return jpeg.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op6_language(spark, sf_dir):
+    return language.predictions(table(spark, sf_dir, "documents"))
+
+
+def op10_pseudolikelihood(spark, sf_dir):
+    return pseudolikelihood.scored(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op6_language": op6_language, "op10_pseudolikelihood": op10_pseudolikelihood, "op5_jpeg": op5_jpeg, "op9_warc": op9_warc, "op2_packing": op2_packing, "op3_quality": op3_quality, "op4_ngram_jaccard": op4_ngram_jaccard, "op8_decontamination": op8_decontamination, "op1_secrets": op1_secrets}
 ORACLES: dict[str, str] = {
     "op9_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
