@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from . import decontamination, jpeg, language, packing, pseudolikelihood, quality, secrets, similarity, warc
+from . import decontamination, html, jpeg, language, packing, pseudolikelihood, quality, secrets, similarity, warc
 from .kit import table
 
 
@@ -44,7 +42,11 @@ def op10_pseudolikelihood(spark, sf_dir):
     return pseudolikelihood.scored(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_language": op6_language, "op10_pseudolikelihood": op10_pseudolikelihood, "op5_jpeg": op5_jpeg, "op9_warc": op9_warc, "op2_packing": op2_packing, "op3_quality": op3_quality, "op4_ngram_jaccard": op4_ngram_jaccard, "op8_decontamination": op8_decontamination, "op1_secrets": op1_secrets}
+def op7_html(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op7_html": op7_html, "op6_language": op6_language, "op10_pseudolikelihood": op10_pseudolikelihood, "op5_jpeg": op5_jpeg, "op9_warc": op9_warc, "op2_packing": op2_packing, "op3_quality": op3_quality, "op4_ngram_jaccard": op4_ngram_jaccard, "op8_decontamination": op8_decontamination, "op1_secrets": op1_secrets}
 ORACLES: dict[str, str] = {
     "op9_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
