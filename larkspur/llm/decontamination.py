@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import Words, map_pieces, written
+from .kit import Words, map_pieces, without, written
 
 WINDOW = 10
 BLOCK = np.uint64(0x9FB21C651E98DF25)
@@ -170,3 +170,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """The columns of op8: counts and a digest of the items whose windows occur."""
     return found.select(key, "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort("items")).cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents in which no window of the benchmark occurs, with all their columns. A
+    row whose id is null stays."""
+    hit = contamination(docs, benchmark, key, text).where("n_hit > 0")
+    return without(docs, hit.select(key), key)

@@ -194,3 +194,19 @@ def map_pieces(df: DataFrame, text: str, keep: list[str], fields: str, make: Cal
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+MOST_BROADCAST = 64 << 20
+
+
+def small_side(df: DataFrame, row_bytes: int, limit: int = MOST_BROADCAST) -> DataFrame:
+    """A written table, marked for broadcast only where its measured size allows it."""
+    df = written(df, "side")
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not among ``ids`` (one column); null keys stay. Texts are not
+    shuffled while the ids to drop fit a broadcast."""
+    gone = small_side(ids.toDF("_gone").where("_gone IS NOT NULL").distinct(), 32)
+    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import IS_WORD, Words, bucket, map_pieces, per_text, written
+from .kit import IS_WORD, Words, bucket, map_pieces, per_text, without, written
 
 SAMPLE = 6000  # bound of the positives fitted on; unlabelled rows are twice as many
 KEEP = 0.7
@@ -216,7 +216,7 @@ def predictions(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose score reaches 0.7, with all their columns. Rows whose id is null
-    are scored like others but cannot be joined back; they stay."""
-    good = scores(docs, labels, key, text, held_out=bucket(key, FOLDS) == HELD_OUT).where(F.col("score") < KEEP).select(F.col(key).alias("_bad"))
-    return docs.join(good, docs[key] == good["_bad"], "left_anti")
+    """The documents whose score reaches 0.7, with all their columns. A row whose id is null
+    stays: its score cannot be joined back. Of rows with equal ids none stays if one is poor."""
+    poor = scores(docs, labels, key, text, held_out=bucket(key, FOLDS) == HELD_OUT).where(F.col("score") < KEEP)
+    return without(docs, poor.select(key), key)

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import map_pieces, written
+from .kit import map_pieces, small_side, written
 
 KINDS = ("assign", "access", "hex")
 MAX_LABELS = 400  # bound of the labelled sample, for each kind
@@ -251,6 +251,7 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str
     Ids must be unique, as after deduplication.
     """
     hits = spans(docs, key, text).select(F.col(key).alias("_key"), F.concat("base", "added").alias("_spans")).where(F.size("_spans") > 0)
+    hits = small_side(hits, 512)
     names = docs.columns
     out = docs.join(hits, docs[key] == hits["_key"], "left")
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .kit import CHUNK_BYTES, Words, map_pieces, mix, per_text, pieces, shingles, written
+from .kit import CHUNK_BYTES, Words, map_pieces, mix, per_text, pieces, shingles, small_side, without, written
 
 THRESHOLD = 0.8
 K = 5
@@ -36,7 +36,6 @@ BANDS, ROWS = 30, 5
 STEP = 30  # MinHash values compared between two prunings
 TOLERANCE = 1e-6
 BLOCK = 256  # classes in a block
-MOST_BROADCAST = 64 << 20
 
 _A = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _B = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
@@ -203,9 +202,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     labelled = written(labelled.union(labelled.select(F.col("root").alias("rep"), "root").distinct()), "candidates")
     sizes = labelled.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = labelled.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    placed = written(placed, "placed")
-    small = placed.count() * 32 <= MOST_BROADCAST  # the size of what would be broadcast
-    one = docs.join(F.broadcast(placed) if small else placed, docs["doc"] == placed["rep"])
+    placed = small_side(placed, 32)
+    one = docs.join(placed, docs["doc"] == placed["rep"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = one.select("root", "doc", "block", "text", other.alias("other")).select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc", "block", "text")
     dealt = dealt.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "doc")
@@ -219,8 +217,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each near-duplicate group: the one with the least id. A row whose id
-    is null stays; of rows with equal ids one stays."""
-    kept = near_duplicates(docs, key, text).where(F.col(key) == F.col("class_id")).select(F.col(key).alias("_kept")).distinct()
-    named = docs.where(F.col(key).isNotNull()).join(kept, F.col(key) == F.col("_kept"), "left_semi").dropDuplicates([key])
-    return named.unionByName(docs.where(F.col(key).isNull()))
+    """One document of each near-duplicate group, the one with the least id, with all its
+    columns. A row whose id is null stays. Of rows with equal ids one stays."""
+    extra = near_duplicates(docs, key, text).where(F.col(key) != F.col("class_id"))
+    kept = without(docs, extra.select(key), key)
+    again = small_side(docs.groupBy(key).count().where(f"`count` > 1 AND `{key}` IS NOT NULL").select(F.col(key).alias("_again")), 32)
+    if again.isEmpty():
+        return kept
+    one = kept.join(again, kept[key] == again["_again"], "left_semi").dropDuplicates([key])
+    return without(kept, again, key).unionByName(one)
