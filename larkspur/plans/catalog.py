@@ -1,17 +1,539 @@
-"""Registry of the library's queries and of the SQL that must give the same rows."""
+"""Queries over the supplied tables, one or more for each operator, each with the SQL that
+must give the same rows. Keys start with the ids of the operators they show."""
 
 from __future__ import annotations
 
-FLAGSHIP = "d0_sessions"
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
+from ..functions import messages as M
+from ..functions import text as T
+from ..operators import benchmarks, corpus, quality, selection, simulation, training
+from ..operators.model import Echo
+from .config import Limits, ablation
+from .sessions import FLAWS_SQL, nested, table, with_flaws
 
-def _sessions(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").count().withColumnRenamed("count", "n_turns")
+FLAGSHIP = "a2_qc_summary"
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+LEAST_TURNS, LEAST_TOKENS = 2, 100  # the supplied sessions are short
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries():
-    return {"d0_sessions": _sessions}
+    return QUERIES
 
 
 def oracle_sql():
-    return {"d0_sessions": "SELECT conv_id, count(*) AS n_turns FROM conversations GROUP BY conv_id"}
+    return ORACLES
+
+
+# ---- checks and tiers -------------------------------------------------------------------
+
+CHECKED_SQL = f"""{FLAWS_SQL},
+o AS (SELECT *, row_number() OVER w - 1 AS i, lag(role) OVER w AS prev FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+s AS (SELECT conv_id, count(*) FILTER (role = 'user') AS nt, bool_or(role = 'user') AND bool_or(role = 'assistant') AS both_roles,
+ min(i) FILTER (i > 0 AND role = prev) AS again, min(i) FILTER (trim(text) = '') AS blank, sum(len(regexp_extract_all(text, '\\S+'))) AS tok FROM o GROUP BY conv_id),
+checked AS (SELECT conv_id, nt AS num_turns, concat_ws('; ',
+ CASE WHEN nt < {LEAST_TURNS} THEN 'num_turns=' || nt || ' < {LEAST_TURNS}' END,
+ CASE WHEN NOT both_roles THEN 'missing user or assistant role' END,
+ CASE WHEN again IS NOT NULL THEN 'consecutive same-role turns at index ' || again END,
+ CASE WHEN blank IS NOT NULL THEN 'empty content at turn ' || blank END,
+ CASE WHEN tok < {LEAST_TOKENS} THEN 'total_tokens=' || tok || ' < {LEAST_TOKENS}' END,
+ CASE WHEN tok > 16000 THEN 'total_tokens=' || tok || ' > 16000' END) AS notes FROM s)"""
+
+
+def _checked(spark, sf_dir):
+    s = nested(with_flaws(table(spark, sf_dir, "conversations")))
+    return s.withColumn("notes", quality.structure_notes(F.col("conversation"), F.col("num_turns"), LEAST_TURNS, least=LEAST_TOKENS))
+
+
+@query(f"WITH {CHECKED_SQL} SELECT conv_id, num_turns, notes, notes = '' AS passed FROM checked")
+def p16_structure_check(spark, sf_dir):
+    return _checked(spark, sf_dir).select("conv_id", F.col("num_turns").cast("bigint").alias("num_turns"), F.array_join("notes", "; ").alias("notes"), (F.size("notes") == 0).alias("passed"))
+
+
+TIERED_SQL = f"""{CHECKED_SQL}, v AS (SELECT doc_id, max(CASE WHEN toxic = 1 THEN 2 WHEN quality = 1 THEN 5 ELSE 3 END) AS d5, max(CASE WHEN toxic = 1 THEN 'contradicts' WHEN doc_id % 5 = 0 THEN 'unclear' ELSE 'no_contradiction' END) AS d6 FROM labels GROUP BY doc_id),
+j AS (SELECT conv_id, notes = '' AS ok, CASE WHEN notes = '' THEN d5 END AS d5, CASE WHEN notes = '' THEN d6 END AS d6 FROM checked LEFT JOIN v ON conv_id = doc_id),
+tiered AS (SELECT *, CASE WHEN NOT ok THEN 'C' WHEN d5 >= 4 AND d6 = 'no_contradiction' THEN 'A' WHEN d6 = 'contradicts' OR d5 <= 2 THEN 'C' WHEN d5 = 3 OR d6 = 'unclear' THEN 'B' ELSE 'C' END AS tier,
+ CASE WHEN NOT ok THEN ['D2'] ELSE list_filter([CASE WHEN coalesce(d5, 0) < 4 THEN 'D5' END, CASE WHEN coalesce(d6, '') <> 'no_contradiction' THEN 'D6' END], lambda x: x IS NOT NULL) END AS failed_dims FROM j)"""
+
+
+def _tiered(spark, sf_dir):
+    """Structure checks and, for what passes, verdicts taken from the labels."""
+    checked = _checked(spark, sf_dir).withColumn("ok", F.size("notes") == 0).select("conv_id", "ok")
+    toxic = F.col("toxic") == 1
+    verdicts = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("conv_id")).agg(
+        F.max(F.when(toxic, 2).when(F.col("quality") == 1, 5).otherwise(3)).alias("d5"),
+        F.max(F.when(toxic, "contradicts").when(F.col("doc_id") % 5 == 0, "unclear").otherwise("no_contradiction")).alias("d6"),
+    )
+    j = checked.join(verdicts, "conv_id", "left").withColumns({c: F.when(F.col("ok"), F.col(c)) for c in ("d5", "d6")})
+    failed = quality.failed_dimensions(d2=~F.col("ok"), d5=F.col("ok") & (F.coalesce("d5", F.lit(0)) < 4), d6=F.col("ok") & (F.coalesce("d6", F.lit("")) != "no_contradiction"))
+    return j.withColumns({"tier": quality.tier(F.col("ok"), F.col("d5"), F.col("d6")), "failed_dims": failed})
+
+
+@query(f"WITH {TIERED_SQL} SELECT conv_id, ok, d5, d6, tier, array_to_string(failed_dims, ',') AS failed FROM tiered")
+def p19_p20_tiering(spark, sf_dir):
+    return _tiered(spark, sf_dir).select("conv_id", "ok", "d5", "d6", "tier", F.array_join("failed_dims", ",").alias("failed"))
+
+
+@query(f"""WITH {TIERED_SQL} SELECT measure, value, count(*) AS n FROM (
+SELECT 'total' AS measure, '' AS value FROM tiered UNION ALL SELECT 'tier', tier FROM tiered UNION ALL SELECT 'd5', coalesce(d5::VARCHAR, 'None') FROM tiered
+UNION ALL SELECT 'd6', coalesce(d6, 'null') FROM tiered UNION ALL SELECT 'failed', unnest(failed_dims) FROM tiered) GROUP BY ALL""")
+def a2_qc_summary(spark, sf_dir):
+    return quality.summary(_tiered(spark, sf_dir))
+
+
+@query(f"WITH {TIERED_SQL} SELECT count(*) AS total, (count(*) FILTER (tier = 'A') / count(*))::DOUBLE AS pass_rate FROM tiered")
+def a2_pass_rate(spark, sf_dir):
+    return quality.pass_rate(_tiered(spark, sf_dir))
+
+
+@query("""WITH e AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), c AS (SELECT conv_id, count(*) FILTER (role = 'user') AS nt FROM conversations GROUP BY 1)
+SELECT conv_id, nt AS num_turns, coalesce(n, 0) AS length, CASE WHEN conv_id % 3 = 0 THEN 'no_state' ELSE 'full' END AS ablation,
+conv_id % 3 = 0 OR coalesce(n, 0) >= greatest(1, nt + 100 - 1) AS passed FROM c LEFT JOIN e ON conv_id = user_id""")
+def p17_trajectory_check(spark, sf_dir):
+    s = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("num_turns"))
+    lengths = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("conv_id")).agg(F.count("*").alias("length"))
+    s = s.join(lengths, "conv_id", "left").withColumns({"length": F.coalesce("length", F.lit(0)), "ablation": F.when(F.col("conv_id") % 3 == 0, "no_state").otherwise("full")})
+    found = quality.trajectory_notes(F.col("ablation"), F.col("length"), F.col("num_turns") + 100)
+    return s.select("conv_id", "num_turns", F.col("length").cast("bigint").alias("length"), "ablation", (F.size(found) == 0).alias("passed"))
+
+
+@query("""WITH s AS (SELECT conv_id, conv_id * 17 AS pid, CASE WHEN conv_id % 4 = 0 THEN 'other' ELSE 'x' END AS kind FROM conversations GROUP BY conv_id)
+SELECT conv_id, CASE WHEN c_custkey IS NULL THEN 'persona ''' || pid || ''' not resolvable in profile store' WHEN kind = 'other' THEN 'profile_summary does not match persona stored summary' ELSE '' END AS notes
+FROM s LEFT JOIN customer ON c_custkey = pid""")
+def j2_p18_binding(spark, sf_dir):
+    personas = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("persona_id"), F.lit("").alias("refined_summary"), F.col("c_name").alias("summary"))
+    s = table(spark, sf_dir, "conversations").select("conv_id").distinct().withColumn("persona_id", (F.col("conv_id") * 17).cast("string"))
+    s = quality.bind(s, personas).withColumn("profile_summary", F.when(F.col("conv_id") % 4 == 0, "other").otherwise(F.concat(F.lit("  "), F.col("expected"), F.lit(" \n"))))
+    return s.select("conv_id", F.array_join(quality.binding_notes(F.col("persona_id"), F.col("found"), F.col("expected"), F.col("profile_summary")), "; ").alias("notes"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'missing key conversation; missing key ablation' WHEN 1 THEN '' WHEN 2 THEN 'num_turns is no integer' ELSE 'conversation is no list' END AS notes FROM events""")
+def p15_schema_check(spark, sf_dir):
+    k = F.col("event_id") % 4
+    body = F.when(k == 0, '{"persona_id":"p","prompt_id":"q","num_turns":4,"termination":"x"}').when(k == 1, '{"persona_id":"p","prompt_id":"q","conversation":[],"num_turns":true,"termination":null,"ablation":"full"}')
+    body = body.when(k == 2, '{"persona_id":"p","prompt_id":"q","conversation":[1],"num_turns":"4","termination":"x","ablation":"full"}').otherwise('{"persona_id":"p","prompt_id":"q","conversation":"[]","num_turns":4,"termination":"x","ablation":"full"}')
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(quality.schema_notes(body), "; ").alias("notes"))
+
+
+@query("""SELECT doc_id, CASE WHEN quality = 1 AND doc_id % 6 BETWEEN 1 AND 5 THEN (doc_id % 6)::INTEGER END AS score,
+CASE WHEN toxic = 1 THEN 'contradicts' WHEN doc_id % 2 = 0 THEN 'unclear' END AS label, CASE WHEN toxic = 1 OR doc_id % 2 = 0 THEN (doc_id % 9)::INTEGER END AS offending_turn FROM labels""")
+def f38_judge_verdict(spark, sf_dir):
+    score = F.when(F.col("quality") == 1, (F.col("doc_id") % 6).cast("string")).otherwise('"5"')
+    label = F.when(F.col("toxic") == 1, "contradicts").when(F.col("doc_id") % 2 == 0, "unclear").otherwise("maybe")
+    reply = F.concat(F.lit('{"score": '), score, F.lit(', "label": "'), label, F.lit('", "offending_turn": '), (F.col("doc_id") % 9).cast("string"), F.lit("}"))
+    return table(spark, sf_dir, "labels").select("doc_id", quality.verdict(F.parse_json(reply)).alias("v")).select("doc_id", "v.*")
+
+
+# ---- selection and joins ----------------------------------------------------------------
+
+
+@query("SELECT c.conv_id, cu.c_name, c.text FROM conversations c JOIN customer cu ON cu.c_custkey = c.conv_id * 17 WHERE c.turn = 0")
+def j1_p1_inner_lookup(spark, sf_dir):
+    seeds = table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", "text", (F.col("conv_id") * 17).alias("c_custkey"))
+    return seeds.join(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey").select("conv_id", "c_name", "text")
+
+
+@query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND coalesce(d.lang, '') = CASE WHEN l.quality = 1 THEN 'en' ELSE '' END)")
+def j3_u1_resume_anti(spark, sf_dir):
+    done = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "en").alias("lang"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "doc_id", "lang", "source")
+    out = selection.without_results(docs, done.withColumn("id", F.col("doc_id").cast("string")), ["id", "lang"], ["id", "lang"])
+    return out.select("doc_id", "source")
+
+
+@query("SELECT doc_id, n_chars FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1 AND l.toxic = 0)")
+def j4_tier_semi(spark, sf_dir):
+    tiers = table(spark, sf_dir, "labels").select("doc_id", F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "A").otherwise("C").alias("tier"))
+    return selection.of_tier(table(spark, sf_dir, "documents"), tiers, "A", ("doc_id",), ("doc_id",)).select("doc_id", "n_chars")
+
+
+@query("SELECT page_id, translate(url, '/\\', '__') AS name FROM pages p WHERE page_id % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM pages q WHERE q.page_id % 3 = 0 AND translate(q.url, '/\\', '__') = translate(p.url, '/\\', '__'))")
+def j5_p4_without_outputs(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    out = selection.without_outputs(pages.where("page_id % 3 <> 0"), pages.where("page_id % 3 = 0"), "url", raw_key=False)
+    return out.select("page_id", T.safe_id(F.col("url")).alias("name"))
+
+
+@query("""SELECT status, count(*) AS n FROM (SELECT CASE WHEN CASE WHEN turn % 3 = 0 THEN '' ELSE text END = '' THEN 'empty' WHEN conv_id % 2 = 0 THEN 'exists' ELSE 'todo' END AS status FROM conversations) GROUP BY 1""")
+def p2_p3_a3_status_counts(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").withColumn("opening", selection.opening(F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("text")), F.lit(None).cast("string")))
+    return selection.counts_by_status(selection.with_status(c, "opening", F.col("conv_id") % 2 == 0))
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) <= 3")
+def w1_a1_o2_top_n_per_key(spark, sf_dir):
+    return selection.top_n_per_key(table(spark, sf_dir, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], 3).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("""WITH s AS (SELECT item_id, string_split(text, ' ')[1:5] AS w FROM benchmark), x AS (SELECT item_id, unnest(w) AS id, unnest(range(len(w)))::INTEGER AS pos FROM s)
+SELECT item_id, pos, CASE WHEN pos % 2 = 0 THEN 'lifelong_' || id || '_' || item_id ELSE 'lifelong_' || item_id || '_scenario_' || pos END AS scenario_id FROM x WHERE pos < 4""")
+def j6_f26_scenario_ids(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.slice(F.split("text", " "), 1, 5).alias("words"))
+    x = selection.scenarios_of(b, "words", 4)
+    given = F.when(F.col("pos") % 2 == 0, F.concat("scenario", F.lit("_{persona_id}"))).otherwise("")
+    return x.select("item_id", "pos", selection.scenario_ids(F.col("item_id").cast("string"), F.col("pos"), given, "lifelong").alias("scenario_id"))
+
+
+@query("SELECT url FROM pages ORDER BY string_split(url, '/'), url LIMIT 50")
+def o3_path_order(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("url").orderBy(F.split("url", "/"), "url").limit(50)
+
+
+# ---- messages ---------------------------------------------------------------------------
+
+
+@query("SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || text, chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id")
+def f10_transcript(spark, sf_dir):
+    return nested(table(spark, sf_dir, "conversations")).select("conv_id", M.transcript(F.col("conversation")).alias("transcript"))
+
+
+@query("SELECT conv_id, string_agg(text, '|' ORDER BY turn) AS head FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 3) GROUP BY conv_id")
+def p6_head(spark, sf_dir):
+    s = nested(table(spark, sf_dir, "conversations"))
+    return s.select("conv_id", F.array_join(M.head(F.col("conversation"), 3)["content"], "|").alias("head"))
+
+
+@query("SELECT conv_id, string_agg(text, '|' ORDER BY turn) AS tail, last(text ORDER BY turn) AS last FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4) GROUP BY conv_id")
+def p7_p8_tail(spark, sf_dir):
+    s = nested(table(spark, sf_dir, "conversations"))
+    return s.select("conv_id", F.array_join(M.tail(F.col("conversation"), 4)["content"], "|").alias("tail"), M.last_field(F.col("conversation"), "content").alias("last"))
+
+
+@query("""WITH r AS (SELECT *, coalesce(sum((role = 'assistant')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations)
+SELECT conv_id, count(*) AS n, string_agg(role, ',' ORDER BY turn) AS roles FROM r WHERE before < 2 GROUP BY conv_id HAVING count(*) FILTER (role = 'assistant') > 0""")
+def p11_p12_w7_truncate(spark, sf_dir):
+    s = training.prepared(nested(table(spark, sf_dir, "conversations")), 2, "conversation")
+    return s.select("conv_id", F.size("conversation").cast("bigint").alias("n"), F.array_join(F.col("conversation")["role"], ",").alias("roles"))
+
+
+@query("SELECT a::INTEGER AS assistant_turns, count(*) AS n FROM (SELECT conv_id, count(*) FILTER (role = 'assistant') AS a FROM conversations GROUP BY 1) GROUP BY 1")
+def a4_a6_o8_turn_histogram(spark, sf_dir):
+    return training.turn_histogram(nested(table(spark, sf_dir, "conversations")), "conversation")
+
+
+@query(f"""WITH {FLAWS_SQL}, x AS (SELECT conv_id, turn, CASE WHEN conv_id % 13 = 0 AND turn = 0 THEN 'tool' ELSE role END AS role, text FROM m)
+SELECT conv_id, CASE WHEN bool_or(role NOT IN ('system', 'user', 'assistant')) THEN 'unknown role' WHEN bool_or(trim(text) = '') THEN 'blank content' END AS flaw FROM x GROUP BY conv_id""")
+def p10_record_flaws(spark, sf_dir):
+    c = with_flaws(table(spark, sf_dir, "conversations"))
+    role = F.when((F.col("conv_id") % 13 == 0) & (F.col("turn") == 0), "tool").otherwise(F.col("role"))
+    return nested(c, role=role).select("conv_id", M.flaw(F.col("conversation")).alias("flaw"))
+
+
+@query("""WITH v AS (SELECT conv_id, string_agg(role || ':' || text, chr(10) ORDER BY turn) AS body, count(*) AS n FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id)
+SELECT conv_id, 'Help.' || chr(10) || '<persona>' || chr(10) || c_name || chr(10) || '</persona>' AS system_prompt, body, n + 1 AS n_messages, CASE WHEN conv_id % 2 = 0 THEN 'seed' END AS source FROM v JOIN customer ON c_custkey = conv_id * 17""")
+def p5_p22_p23_f13_student_view(spark, sf_dir):
+    s = nested(table(spark, sf_dir, "conversations")).withColumn("c_custkey", F.col("conv_id") * 17)
+    s = s.join(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("profile_summary")), "c_custkey")
+    s = s.select("*", F.col("conv_id").cast("string").alias("persona_id"), F.lit("p").alias("prompt_id"), F.lit(None).cast("string").alias("scenario_category"), F.lit("x").alias("termination"), F.lit("full").alias("ablation"), F.when(F.col("conv_id") % 2 == 0, "seed").otherwise("").alias("source"), F.lit("").alias("behavioral_metadata"))
+    r = training.student_view(s, "Help.")
+    body = F.array_join(F.transform(F.slice("messages", F.lit(2), F.size("messages")), lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n")
+    return r.select(F.col("metadata.persona_id").cast("bigint").alias("conv_id"), F.get("messages", F.lit(0))["content"].alias("system_prompt"), body.alias("body"), F.size("messages").cast("bigint").alias("n_messages"), F.col("metadata.source").alias("source"))
+
+
+# ---- corpus -----------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
+def w2_u3_dedupe_keep_first(spark, sf_dir):
+    return corpus.keep_first(table(spark, sf_dir, "documents").select("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("key")), "key", "doc_id").select("doc_id", "source")
+
+
+@query("SELECT * FROM (SELECT min(doc_id) OVER (PARTITION BY text) AS first, doc_id AS duplicate FROM documents) WHERE first <> duplicate")
+def a8_duplicate_pairs(spark, sf_dir):
+    return corpus.duplicate_pairs(table(spark, sf_dir, "documents").withColumn("key", F.md5(F.col("text").cast("binary"))), "key", "doc_id")
+
+
+@query("SELECT count(DISTINCT text) = count(*) AS is_distinct FROM documents")
+def a10_distinct_invariant(spark, sf_dir):
+    return corpus.is_distinct(table(spark, sf_dir, "documents"), F.md5(F.col("text").cast("binary")))
+
+
+@query("""WITH o AS (SELECT lang, source, lag(lang) OVER w AS pl, lag(source) OVER w AS ps FROM documents WINDOW w AS (ORDER BY sha256(doc_id::VARCHAR), doc_id))
+SELECT count(*) FILTER (lang = pl) AS lang, count(*) FILTER (source = ps) AS source FROM o""")
+def a9_w6_j8_adjacent_matches(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("lang", "source", "doc_id", F.sha2(F.col("doc_id").cast("string").cast("binary"), 256).alias("place"))
+    return corpus.adjacent_matches(d, ["place", "doc_id"], ["lang", "source"])
+
+
+@query("""SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY sha256('7|' || doc_id), doc_id)::INTEGER AS round FROM documents""")
+def o5_o6_interleaved(spark, sf_dir):
+    return corpus.interleaved(table(spark, sf_dir, "documents"), "source", "doc_id", 7).select("doc_id", "round")
+
+
+@query("SELECT lang, count(*) AS n, 100.0::DOUBLE * count(*) / sum(count(*)) OVER () AS percent FROM documents GROUP BY lang")
+def a14_w8_share_of_total(spark, sf_dir):
+    return corpus.shares(table(spark, sf_dir, "documents"), "lang").select("lang", "n", "percent")
+
+
+@query("SELECT item_id AS id, text, NULL::BIGINT AS turn, 'qa' AS source FROM benchmark UNION ALL SELECT conv_id, text, turn, NULL FROM conversations")
+def u2_mixture_union(spark, sf_dir):
+    qa = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text", F.lit("qa").alias("source"))
+    return training.mixture(qa, table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), "text", "turn"))
+
+
+@query("SELECT conv_id, '[' || string_agg(json_object('content', text, 'role', role)::VARCHAR, ',' ORDER BY turn) || ']' AS json FROM conversations GROUP BY conv_id")
+def f39_canonical_json(spark, sf_dir):
+    return nested(table(spark, sf_dir, "conversations")).select("conv_id", corpus.canonical("conversation").alias("json"))
+
+
+# ---- windows over trajectories ----------------------------------------------------------
+
+
+@query("""SELECT event_id, coalesce(string_agg(event_type, ', ') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), 'N/A') AS previous FROM events""")
+def w4_previous_behaviors(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-8, -1)
+    return table(spark, sf_dir, "events").select("event_id", T.or_default(F.array_join(F.collect_list("event_type").over(w), ", "), "N/A").alias("previous"))
+
+
+@query("""SELECT event_id, last_value(CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS state FROM events""")
+def w5_carry_state(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    said = F.when(F.col("event_id") % 3 == 0, "").otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", F.last(F.nullif(said, F.lit("")), True).over(w).alias("state"))
+
+
+@query("""WITH b AS (SELECT event_type, min(event_id) AS k FROM events GROUP BY 1), r AS (SELECT event_type AS id, CASE WHEN event_type IN ('click', 'view') THEN 'Information Seeking' ELSE 'Own ' || (k % 2) END AS mode FROM b),
+c AS (SELECT *, CASE WHEN mode = 'Information Seeking' THEN 2 ELSE 99 END AS rank FROM r)
+SELECT id, (row_number() OVER w - 1)::INTEGER AS idx, CASE WHEN mode IS DISTINCT FROM lag(mode) OVER w THEN mode END AS heading FROM c WINDOW w AS (ORDER BY rank, mode, id)""")
+def w9_o4_j12_catalog(spark, sf_dir):
+    b = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("behavior_id")).agg(F.min("event_id").alias("k"))
+    mode = F.when(F.col("behavior_id").isin("click", "view"), "Information Seeking").otherwise(F.concat(F.lit("Own "), (F.col("k") % 2).cast("string")))
+    c = simulation.catalog(b.withColumns({"tuna_mode": mode, "tuna_strategy": F.lit("s")}))
+    return c.select(F.col("behavior_id").alias("id"), "idx", "heading")
+
+
+@query("""WITH t AS (SELECT DISTINCT event_type AS id, dense_rank() OVER (ORDER BY event_type) - 1 AS k FROM events)
+SELECT event_id, t.id AS chosen FROM events e LEFT JOIN t ON CASE WHEN e.event_id % 4 < 3 THEN e.event_id % 7 END = t.k""")
+def p21_j13_chosen_behavior(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    kinds = e.select(F.col("event_type").alias("chosen")).distinct().withColumn("idx", F.row_number().over(Window.orderBy("chosen")) - 1)
+    raw = F.when(F.col("event_id") % 4 < 3, (F.col("event_id") % 7).cast("string")).otherwise("-1")
+    x = e.select("event_id", simulation.valid_index(raw, F.lit(99)).alias("idx"))
+    return x.join(F.broadcast(kinds), "idx", "left").select("event_id", "chosen")  # a row for each kind of event
+
+
+# ---- text -------------------------------------------------------------------------------
+
+INTENT_SQL = "CASE WHEN contains(p, '?') AND (contains(p, 'recommend') OR contains(p, 'suggest') OR contains(p, 'best') OR contains(p, 'should i')) THEN 'get_recommendation' WHEN contains(p, '?') AND (contains(p, 'how to') OR contains(p, 'how do') OR contains(p, 'fix') OR contains(p, 'solve') OR contains(p, 'help me')) THEN 'solve_problem' WHEN contains(p, '?') THEN 'seek_info' WHEN contains(p, 'feel') OR contains(p, 'stressed') OR contains(p, 'worried') OR contains(p, 'frustrated') OR contains(p, 'upset') THEN 'vent' ELSE 'explore_topic' END"
+WORDED_SQL = "CASE conv_id % 5 WHEN 0 THEN text || ' Which is BEST?' WHEN 1 THEN 'How do I ' || text || '?' WHEN 2 THEN text || '?' WHEN 3 THEN 'I feel ' || text ELSE text END"
+
+
+@query(f"SELECT conv_id, turn, {INTENT_SQL} AS intent FROM (SELECT conv_id, turn, lower({WORDED_SQL}) AS p FROM conversations)")
+def f7_intent(spark, sf_dir):
+    t, k = F.col("text"), F.col("conv_id") % 5
+    worded = F.when(k == 0, F.concat(t, F.lit(" Which is BEST?"))).when(k == 1, F.concat(F.lit("How do I "), t, F.lit("?"))).when(k == 2, F.concat(t, F.lit("?"))).when(k == 3, F.concat(F.lit("I feel "), t)).otherwise(t)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.intent(worded).alias("intent"))
+
+
+@query("""SELECT conv_id, turn, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS message, conv_id % 4 IN (0, 2) AS wants_to_end FROM conversations""")
+def f1_f5_end_signal(spark, sf_dir):
+    t, k = F.col("text"), F.col("conv_id") % 4
+    raw = F.when(k == 0, F.concat(F.lit(" <|End Conversation|> "), t)).when(k == 1, F.concat(F.lit("<|Continue Conversation|>"), t)).when(k == 2, F.concat(F.lit("\n<|End Conversation|> \n"), t)).otherwise(F.concat(F.lit(" "), t, F.lit("\t")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.end_signal(raw).alias("s")).select("conv_id", "turn", "s.*")
+
+
+@query("SELECT page_id, trim(regexp_replace('<think>' || url || '</think> <other>' || page_id || '</other><message>', '</?(think|user_state|message|report|state)>', '', 'g')) AS stripped FROM pages")
+def f2_strip_tags(spark, sf_dir):
+    x = F.concat(F.lit("<think>"), F.col("url"), F.lit("</think> <other>"), F.col("page_id").cast("string"), F.lit("</other><message>"))
+    return table(spark, sf_dir, "pages").select("page_id", T.strip_tags(x).alias("stripped"))
+
+
+@query("""SELECT item_id, text AS think, CASE item_id % 3 WHEN 2 THEN '' ELSE text END AS user_state, CASE item_id % 3 WHEN 2 THEN '' ELSE text END AS message, item_id % 3 = 1 AS wants_to_end FROM benchmark""")
+def f6_user_turn(spark, sf_dir):
+    t, k = F.col("text"), F.col("item_id") % 3
+    think = F.concat(F.lit("<think>"), t, F.lit("</think>"))
+    closed = F.concat(think, F.lit("<user_state>\n"), t, F.lit("</user_state><message>"), t, F.lit("</message>"))
+    opened = F.concat(think, F.lit("<user_state>"), t, F.lit(" <message><|End Conversation|>"), t)
+    raw = F.when(k == 0, closed).when(k == 1, opened).otherwise(F.concat(think, F.lit("# User State Report short")))
+    return table(spark, sf_dir, "benchmark").select("item_id", T.user_turn(raw).alias("u")).select("item_id", "u.*")
+
+
+@query("SELECT conv_id, turn, text || ' tail' AS clean FROM conversations")
+def f28_think_strip(spark, sf_dir):
+    x = F.concat(F.lit("<think>a\nb</think>\n"), F.col("text"), F.lit("</think> tail "))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.strip_think(x).alias("clean"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 < 3 THEN (props::JSON->>'k')::BIGINT END AS k FROM events")
+def f3_f4_json_ladder(spark, sf_dir):
+    p, k = F.col("props"), F.col("event_id") % 4
+    raw = F.when(k == 0, p).when(k == 1, F.concat(F.lit("Here:\n```json\n"), p, F.lit("\n```\nDone {x}."))).when(k == 2, F.concat(F.lit("so "), p, F.lit(" it is"))).otherwise("no object")
+    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(T.json_object(raw), "$.k", "bigint").alias("k"))
+
+
+@query("SELECT conv_id, turn, 'Goal: ' || text || ' of ' || conv_id || ' {other}' AS prompt FROM conversations")
+def f8_f9_render(spark, sf_dir):
+    out = T.render("Goal: {a} {other}", {"a": F.lit("{text} of {id}"), "text": F.col("text"), "id": F.col("conv_id").cast("string")})
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", out.alias("prompt"))
+
+
+@query("""WITH o AS (SELECT conv_id, [text, text || ' b', text || ' c', text || ' d'] AS o FROM conversations WHERE turn = 0),
+x AS (SELECT conv_id, unnest(o) AS v, unnest(range(4)) AS i FROM o), y AS (SELECT conv_id, v, i, row_number() OVER (PARTITION BY conv_id ORDER BY sha256(conv_id || '|' || i)) AS r FROM x)
+SELECT conv_id, string_agg(chr((64 + r)::INTEGER) || '. ' || v, chr(10) ORDER BY r) AS options, max(CASE WHEN i = 0 THEN chr((64 + r)::INTEGER) END) AS letter,
+('0x' || substr(sha256(conv_id || '|s|personamem_mcq'), 1, 16))::UBIGINT::DECIMAL(20, 0)::VARCHAR AS seed FROM y GROUP BY conv_id""")
+def f14_f15_f16_f17_options(spark, sf_dir):
+    from ..operators.qa import hash_order
+
+    t, key = F.col("text"), F.col("conv_id").cast("string")
+    s = table(spark, sf_dir, "conversations").where("turn = 0").withColumn("o", hash_order(F.array(t, *[F.concat(t, F.lit(f" {x}")) for x in "bcd"]), key))
+    return s.select("conv_id", M.lettered(F.col("o")).alias("options"), M.letter_of(F.col("o"), t).alias("letter"), T.seed(key, F.lit("s"), "personamem_mcq").cast("string").alias("seed"))
+
+
+@query("""WITH p AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reply, role FROM conversations),
+t AS (SELECT *, list_distinct(list_transform(list_filter(string_split_regex(trim(text), '\\s+'), lambda w: len(w) >= 4), lambda w: trim(lower(w), '.,!?;:"''')))  AS tok FROM p WHERE role = 'user' AND reply IS NOT NULL)
+SELECT conv_id, turn, len(list_filter(tok, lambda w: w <> '' AND contains(lower(reply), w))) >= 2 AS acknowledged FROM t""")
+def f19_a15_u4_acknowledges(spark, sf_dir):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    p = table(spark, sf_dir, "conversations").withColumn("reply", F.lead("text").over(w)).where("role = 'user' AND reply IS NOT NULL")
+    return p.select("conv_id", "turn", T.acknowledges(F.col("text"), F.col("reply"), F.lit("")).alias("acknowledged"))
+
+
+@query("""WITH p AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN ' ' ELSE text END AS i, role AS o FROM conversations), g AS (SELECT conv_id, count(*) AS n, string_agg(CASE WHEN trim(i) <> '' THEN '- input: ' || i || ' | output: ' || o END, chr(10) ORDER BY turn) AS lines FROM p GROUP BY conv_id)
+SELECT conv_id, CASE WHEN n >= 2 THEN lines END AS lines FROM g""")
+def f20_lamp_lines(spark, sf_dir):
+    text = F.when(F.col("turn") % 5 == 4, " ").otherwise(F.col("text"))
+    s = nested(table(spark, sf_dir, "conversations"), text=text)
+    return s.select("conv_id", M.lamp_lines(F.transform("conversation", lambda m: F.struct(m["content"].alias("input"), m["role"].alias("output")))).alias("lines"))
+
+
+@query("""WITH a AS (SELECT conv_id, count(*) FILTER (role = 'assistant') AS n FROM conversations GROUP BY 1)
+SELECT conv_id, CASE WHEN conv_id % 9 = 0 THEN 'full' WHEN n <= 1 THEN CASE WHEN conv_id % 2 = 0 THEN 'standard' ELSE 'minimal' END WHEN n <= 4 AND conv_id % 2 <> 0 THEN 'standard' ELSE 'full' END AS stage FROM a""")
+def f22_a5_disclosure_stage(spark, sf_dir):
+    a = nested(table(spark, sf_dir, "conversations")).withColumn("n", M.count_role(F.col("conversation"), "assistant"))
+    forced = F.when(F.col("conv_id") % 9 == 0, "full").when(F.col("conv_id") % 9 == 1, "bad")
+    return a.select("conv_id", simulation.disclosure_stage(forced, F.col("n"), F.when(F.col("conv_id") % 2 == 0, "Very High").otherwise("low")).alias("stage"))
+
+
+@query("SELECT item_id, string_split_regex(text, '\\s+')[1] AS first, string_split_regex(text, '\\s+')[2] AS second FROM benchmark")
+def f23_bullets(spark, sf_dir):
+    w = F.split("text", r"\s+")
+    template = F.concat(F.lit("**Authenticity rules:**\n- "), F.get(w, F.lit(0)), F.lit(" \nskip\n  - "), F.get(w, F.lit(1)), F.lit("\n\n**Other:**\n- no"))
+    b = simulation.bullets(template, "Authenticity rules")
+    return table(spark, sf_dir, "benchmark").select("item_id", F.get(b, F.lit(0)).alias("first"), F.get(b, F.lit(1)).alias("second"))
+
+
+@query("SELECT conv_id, sum(len(regexp_extract_all(text, '\\S+')))::BIGINT AS tokens FROM conversations GROUP BY 1")
+def a7_f27_token_sum(spark, sf_dir):
+    total = F.aggregate("conversation", F.lit(0), lambda a, m: a + T.n_tokens(m["content"]))
+    return nested(table(spark, sf_dir, "conversations")).select("conv_id", total.cast("bigint").alias("tokens"))
+
+
+# ---- benchmarks -------------------------------------------------------------------------
+
+
+@query("SELECT item_id, CASE item_id % 4 WHEN 3 THEN NULL ELSE substr('ABC', (item_id % 4)::INTEGER + 1, 1) END AS choice FROM benchmark")
+def f29_choice_parse(spark, sf_dir):
+    k = F.col("item_id") % 4
+    raw = F.when(k == 0, F.concat("text", F.lit("<CHOICE x='1'> A or B</choice>"))).when(k == 1, "<choice>B</choice><choice>C</choice>").when(k == 2, "C").otherwise("<choice><b>D</b></choice>")
+    return table(spark, sf_dir, "benchmark").select("item_id", benchmarks.choice_of(raw).alias("choice"))
+
+
+@query("SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'Yes' ELSE text END AS answer, text AS preference FROM benchmark")
+def f30_f37_answer_parse(spark, sf_dir):
+    t = F.col("text")
+    raw = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("<preference> "), t, F.lit("</preference><answer> <b>Yes</b>\n</answer>"))).otherwise(F.concat(F.lit("<preference>"), t, F.lit("</preference><Answer>"), t))
+    return table(spark, sf_dir, "benchmark").select("item_id", T.element(raw, "answer").alias("answer"), T.element(raw, "preference").alias("preference"))
+
+
+@query("""SELECT item_id, condition, 'S' || item_id || ' ' || CASE WHEN condition = 'true_belief' THEN text ELSE text || '!' END AS story,
+CASE WHEN condition = 'true_belief' THEN 'yes' ELSE 'no' END AS true_answer FROM benchmark, (VALUES ('true_belief'), ('false_belief')) v(condition)""")
+def f31_s11_condition_expand(spark, sf_dir):
+    t = F.col("text")
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("idx"), F.concat(F.lit("S"), F.col("item_id").cast("string")).alias("_c0"), t.alias("_c1"), F.concat(t, F.lit("!")).alias("_c2"), F.lit("q").alias("_c5"), F.lit("yes").alias("_c8"), F.lit("no").alias("_c11"))
+    return benchmarks.belief_items(rows).select(F.col("idx").alias("item_id"), "condition", "story", "true_answer")
+
+
+SCORE_SQL = "CASE WHEN contains(lower(p), k) THEN true WHEN contains(lower(p), CASE k WHEN 'a)' THEN 'b)' ELSE 'a)' END) THEN false ELSE contains(lower(p), substr(lower(t), 1, 20)) END"
+SCORED_SQL = f"s AS (SELECT item_id, {SCORE_SQL} AS correct FROM (SELECT item_id, text AS t, CASE item_id % 4 WHEN 0 THEN 'It is A) or b)' WHEN 1 THEN 'b)' WHEN 2 THEN 'So: ' || text ELSE 'none' END AS p, CASE WHEN item_id % 3 = 0 THEN 'b)' ELSE 'a)' END AS k FROM benchmark))"
+
+
+def _scored(spark, sf_dir):
+    k = F.col("item_id") % 4
+    b = table(spark, sf_dir, "benchmark").withColumns({"predicted": F.when(k == 0, "It is A) or b)").when(k == 1, "b)").when(k == 2, F.concat(F.lit("So: "), "text")).otherwise("none"), "answer_key": F.when(F.col("item_id") % 3 == 0, "b)").otherwise("a)"), "true_answer": F.col("text")})
+    return benchmarks.scored(b).select("item_id", "correct")
+
+
+@query(f"WITH {SCORED_SQL} SELECT * FROM s")
+def f32_answer_score(spark, sf_dir):
+    return _scored(spark, sf_dir)
+
+
+@query(f"WITH {SCORED_SQL} SELECT count(*) AS total, (sum(correct::INT) / greatest(count(*), 1))::DOUBLE AS accuracy FROM s")
+def a11_accuracy(spark, sf_dir):
+    return benchmarks.accuracy(_scored(spark, sf_dir))
+
+
+@query(f"WITH {SCORED_SQL} SELECT count(*) AS total, (count(*) FILTER (correct AND item_id % 2 = 0) / greatest(count(*), 1))::DOUBLE AS paired_accuracy FROM s")
+def a12_j7_paired_accuracy(spark, sf_dir):
+    a = _scored(spark, sf_dir)
+    return benchmarks.paired_accuracy(a, a.select("item_id", (F.col("item_id") % 2 == 0).alias("correct")), "item_id")
+
+
+VERDICT_SQL = """v AS (SELECT doc_id, lang, CASE WHEN doc_id % 2 = 0 THEN 'Yes.' ELSE 'No' END AS acknow, CASE WHEN doc_id % 3 = 0 THEN 'yes' ELSE 'no' END AS violate, CASE WHEN doc_id % 5 = 0 THEN 'YES' ELSE 'no' END AS hallucinate, CASE WHEN doc_id % 7 = 0 THEN 'no' ELSE 'yes' END AS helpful FROM documents),
+f AS (SELECT lang, contains(lower(acknow), 'yes') AS a, contains(lower(acknow), 'yes') AND contains(lower(hallucinate), 'yes') AS h, contains(lower(violate), 'yes') AS b, contains(lower(helpful), 'no') AS u FROM v),
+g AS (SELECT *, a AND NOT h AND b AND NOT u AS e1, a AND h AND b AND NOT u AS e2, NOT a AND b AND NOT u AS e3 FROM f)"""
+
+
+@query(f"""WITH {VERDICT_SQL} SELECT lang, count(*) AS total, count(*) FILTER (a) AS acknowledgement, count(*) FILTER (h) AS hallucination, count(*) FILTER (b) AS violation, count(*) FILTER (u) AS error_unhelpful,
+count(*) FILTER (e1) AS error_inconsistent, count(*) FILTER (e2) AS hallucination_of_preference_violation, count(*) FILTER (e3) AS preference_unaware_violation,
+count(*) FILTER (NOT (e1 OR e2 OR e3 OR u)) AS preference_adherence, (count(*) FILTER (NOT (e1 OR e2 OR e3 OR u)) / count(*))::DOUBLE AS preference_adherence_accuracy FROM g GROUP BY lang""")
+def a13_error_taxonomy(spark, sf_dir):
+    k = F.col("doc_id")
+    v = table(spark, sf_dir, "documents").select("doc_id", "lang", F.when(k % 2 == 0, "Yes.").otherwise("No").alias("acknow"), F.when(k % 3 == 0, "yes").otherwise("no").alias("violate"), F.when(k % 5 == 0, "YES").otherwise("no").alias("hallucinate"), F.when(k % 7 == 0, "no").otherwise("yes").alias("helpful"))
+    return benchmarks.error_taxonomy(v, "lang")
+
+
+@query("""SELECT item_id AS idx, metric, count(*) AS n FROM benchmark, (VALUES ('acknow'), ('violate'), ('helpful')) v(metric) WHERE item_id % 4 <> 0 GROUP BY ALL
+UNION ALL SELECT item_id, 'hallucinate', count(*) FROM benchmark WHERE item_id % 4 <> 0 GROUP BY ALL""")
+def j9_j10_x13_judge_tasks(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("idx"), F.lit("q").alias("question"), F.lit("p").alias("preference"), F.when(F.col("item_id") % 4 != 0, F.col("text")).alias("response_to_q"))
+    first = benchmarks.judge_tasks(items)
+    answers = benchmarks.judge_answers(first.withColumn("reply", F.lit("<answer>Yes</answer><preference>p</preference>")))
+    second = benchmarks.restated_tasks(items.where("response_to_q IS NOT NULL"), answers)
+    return first.unionByName(second).groupBy("idx", "metric").agg(F.count("*").alias("n"))
+
+
+# ---- stages without SQL -----------------------------------------------------------------
+
+
+@query()
+def t1_rollout(spark, sf_dir):
+    """Rollouts from the first user messages, with a deterministic stand-in for a model."""
+    seeds = table(spark, sf_dir, "conversations").where("role = 'user' AND turn <= 1").select(F.col("conv_id").cast("string").alias("persona_id"), F.concat_ws("_", "conv_id", "turn").alias("prompt_id"), F.lit("A person.").alias("summary"), F.col("text").alias("initial_prompt"), T.intent(F.col("text")).alias("intent"))
+    out = simulation.rollouts(seeds, Echo, ablation("full"), Limits(max_turns=5, min_turns=2))
+    return out.select("persona_id", "prompt_id", "num_turns", "termination", F.size("conversation").alias("messages"))
+
+
+@query()
+def t5_weighted_pick(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_type").distinct()
+    return simulation.weighted_pick(e, ["user_id"], "event_type", F.lit(1.0), F.col("user_id").cast("string"))
+
+
+@query()
+def f17_exact_shuffle(spark, sf_dir):
+    from ..operators.qa import exact_order
+
+    s = table(spark, sf_dir, "benchmark").select("item_id", F.slice(F.split("text", " "), 1, 4).alias("options"), T.seed(F.col("item_id").cast("string"), F.lit("s"), "personamem_mcq").alias("seed"))
+    return exact_order(s, "options", "seed").select("item_id", F.array_join("shuffled", "|").alias("shuffled"))
+
+
+@query()
+def o6_exact_reorder(spark, sf_dir):
+    """Exact declustering inside shards of a thousand consecutive ids."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.floor(F.col("doc_id") / 1000).alias("shard"))
+    return corpus.reordered(d, "shard", "doc_id", ["lang", "source"], 42)
