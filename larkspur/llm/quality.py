@@ -132,7 +132,8 @@ class Network:
         back = slope[:, None] * self.p[2] * (1 - h**2)
         return [z.T @ back, back.sum(0), h.T @ slope, np.array([slope.sum()])]
 
-    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, batch: int = 1024, rate: float = 0.01) -> Network:
+    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, least_steps: int = 1800, batch: int = 256, rate: float = 0.01) -> Network:
+        """At least 30 epochs, and as many steps as a small sample needs too."""
         both = np.concatenate([positive, unlabelled])
         self.mean, self.scale = both.mean(0), both.std(0) + 1e-3
         zp, zu = self.prepared(positive), self.prepared(unlabelled)
@@ -140,6 +141,7 @@ class Network:
         v = [np.zeros_like(x) for x in self.p]
         step = 0
         n_batches = max(1, -(-len(zu) // batch))
+        epochs = max(30, -(-least_steps // n_batches))
         for epoch in range(epochs):
             order = self.rng.permutation(len(zu))
             order_p = self.rng.permutation(len(zp))
@@ -196,7 +198,7 @@ def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     if good < n:
         prior = good / n
     else:
-        first = Network().fit(positive[::2], unlabelled[::2], 0.5, epochs=20)
+        first = Network().fit(positive[::2], unlabelled[::2], 0.5)
         prior = best_bin_prior(first.score(positive[1::2]), first.score(unlabelled[1::2]))
     model = Network().fit(positive, unlabelled, prior)
 

@@ -1,0 +1,60 @@
+import hashlib
+import random
+import re
+
+from larkspur.llm import secrets
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def plain(text):
+    out = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(out))
+
+
+def test_base_spans_are_those_of_the_patterns(spark, odd, odd_rows):
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.base_sha256) for r in secrets.digest(secrets.spans(odd)).collect())
+    want = sorted((d[0] is None, d[0] or 0, hashlib.sha256(plain(d[1] or "").encode()).hexdigest()) for d in odd_rows)
+    assert got == want
+
+
+def test_base_spans_on_documents(documents, spark):
+    got = {r.doc_id: r for r in secrets.digest(secrets.spans(documents)).collect()}
+    for d in documents.collect():
+        base = plain(d.text)
+        assert got[d.doc_id].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert set(base.split(",")) <= set(got[d.doc_id].spans.split(",")) or not base
+
+
+def test_empty_table(none):
+    assert secrets.digest(secrets.spans(none)).count() == 0
+
+
+def test_method_finds_the_format_without_a_keyword(spark):
+    rng = random.Random(1)
+    key = lambda n=32: "".join(rng.choice("ABCDEFGHJKMNPQRSTUVWXYZ0123456789") for _ in range(n))
+    rows = [(i, f'plain words here api_key = "{key()}" and more plain words') for i in range(80)]
+    bare = key()
+    rows += [(100, f"left alone {bare} in a text"), (101, "supercalifragilistic1 words-with-some-dashes-2 in prose"), (102, "section-3-of-the-long-document-title")]
+    got = {r.doc_id: r for r in secrets.spans(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()}
+    assert [(s.kind, s.value) for s in got[100].added] == [("assign", bare)]
+    assert got[101].added == [] and got[102].added == []
+
+
+def test_automaton_merges_states_and_prefers_its_format():
+    rng = random.Random(2)
+    values = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(300)]
+    a = secrets.infer(values)
+    assert len(a.go) < 60  # the tree has thousands of states
+    fresh = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    assert a.score(fresh) > a.score("ThisIsNotTheFormatAtAll_really_not_so_no")
+
+
+def test_redaction_masks_values_and_keeps_columns(spark, odd):
+    rows = spark.createDataFrame([(1, 'x token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" y', "en", 3), (2, "clean", None, 5), (3, None, "fr", None)], "doc_id BIGINT, text STRING, lang STRING, n_chars BIGINT")
+    out = {r.doc_id: r for r in secrets.redact(rows).collect()}
+    assert out[1].text == 'x token = "[secret]" y' and out[1].n_chars == len(out[1].text)
+    assert (out[2].text, out[2].n_chars, out[3].text) == ("clean", 5, None)
+    assert secrets.redact(rows).columns == rows.columns
