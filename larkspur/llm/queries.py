@@ -6,28 +6,20 @@ from . import decontamination, html, jpeg, language, packing, pseudolikelihood,
 from .kit import table
 
 
-def op8_decontamination(spark, sf_dir):
-    return decontamination.digest(decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
-
-
 def op1_secrets(spark, sf_dir):
     return secrets.digest(secrets.spans(table(spark, sf_dir, "documents")))
 
 
-def op4_ngram_jaccard(spark, sf_dir):
-    return similarity.near_duplicates(table(spark, sf_dir, "documents"))
+def op2_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op3_quality(spark, sf_dir):
     return quality.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def op2_packing(spark, sf_dir):
-    return packing.pack(table(spark, sf_dir, "documents"))
-
-
-def op9_warc(spark, sf_dir):
-    return warc.round_trip(table(spark, sf_dir, "pages"))
+def op4_ngram_jaccard(spark, sf_dir):
+    return similarity.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op5_jpeg(spark, sf_dir):
@@ -38,16 +30,51 @@ def op6_language(spark, sf_dir):
     return language.predictions(table(spark, sf_dir, "documents"))
 
 
+def op7_html(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_decontamination(spark, sf_dir):
+    return decontamination.digest(decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op9_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_pseudolikelihood(spark, sf_dir):
     return pseudolikelihood.scored(table(spark, sf_dir, "documents"))
 
 
-def op7_html(spark, sf_dir):
-    return html.extract(table(spark, sf_dir, "pages"))
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_packing, op3_quality, op4_ngram_jaccard, op5_jpeg, op6_language, op7_html, op8_decontamination, op9_warc, op10_pseudolikelihood)}
 
+# Words, as the operators take them: A-Z lowered; runs of digits, letters and all beyond ASCII.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
-QUERIES = {"op7_html": op7_html, "op6_language": op6_language, "op10_pseudolikelihood": op10_pseudolikelihood, "op5_jpeg": op5_jpeg, "op9_warc": op9_warc, "op2_packing": op2_packing, "op3_quality": op3_quality, "op4_ngram_jaccard": op4_ngram_jaccard, "op8_decontamination": op8_decontamination, "op1_secrets": op1_secrets}
 ORACLES: dict[str, str] = {
+    "op4_ngram_jaccard": f"""
+WITH RECURSIVE c AS (SELECT coalesce(text, '') AS text, min(doc_id) AS rep FROM documents GROUP BY 1),
+w AS (SELECT rep, {_WORDS} AS w FROM c),
+s AS (SELECT DISTINCT rep, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS g FROM (SELECT rep, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT rep, count(*) AS n FROM s GROUP BY rep),
+p AS (SELECT a.rep AS x, b.rep AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.rep < b.rep GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.rep = x JOIN n b ON b.rep = y WHERE k >= 0.8 * (a.n + b.n - k) - 1e-9),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+g AS (SELECT x, least(x, min(y)) AS lead FROM r GROUP BY x),
+t AS (SELECT x, count(*) AS n_links FROM e GROUP BY x)
+SELECT doc_id, coalesce(g.lead, rep) AS class_id, rep AS text_class, coalesce(n_links, 0) AS n_links
+FROM documents d JOIN c ON coalesce(d.text, '') = c.text LEFT JOIN g ON g.x = rep LEFT JOIN t ON t.x = rep""",
+    "op8_decontamination": f"""
+WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+p AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS g FROM (SELECT item_id, w, least(10, len(w)) AS m, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+x AS (SELECT r, m, i, array_to_string(w[i:i + m - 1], ' ') AS g FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM p) WHERE len(w) >= m)),
+h AS (SELECT r, i, m, item_id FROM x JOIN p USING (m, g)),
+k AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + m)) AS j FROM h) GROUP BY r),
+t AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM h GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN k USING (r) LEFT JOIN t USING (r)""",
     "op9_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
 d AS (SELECT page_id, n AS payload_bytes, sha256(h) AS payload_digest, min(page_id) OVER (PARTITION BY sha256(h)) AS lead FROM p)
