@@ -3,13 +3,16 @@ must give the same rows. Keys start with the ids of the operators they show."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import messages as M
 from ..functions import text as T
-from ..operators import benchmarks, corpus, quality, selection, simulation, training
-from ..operators.model import Echo
+from ..operators import benchmarks, corpus, qa, quality, selection, simulation, training
+from ..operators.model import Echo, ask, usage
+from ..sources import readers, sinks
 from .config import Limits, ablation
 from .sessions import FLAWS_SQL, nested, table, with_flaws
 
@@ -386,10 +389,8 @@ x AS (SELECT conv_id, unnest(o) AS v, unnest(range(4)) AS i FROM o), y AS (SELEC
 SELECT conv_id, string_agg(chr((64 + r)::INTEGER) || '. ' || v, chr(10) ORDER BY r) AS options, max(CASE WHEN i = 0 THEN chr((64 + r)::INTEGER) END) AS letter,
 ('0x' || substr(sha256(conv_id || '|s|personamem_mcq'), 1, 16))::UBIGINT::DECIMAL(20, 0)::VARCHAR AS seed FROM y GROUP BY conv_id""")
 def f14_f15_f16_f17_options(spark, sf_dir):
-    from ..operators.qa import hash_order
-
     t, key = F.col("text"), F.col("conv_id").cast("string")
-    s = table(spark, sf_dir, "conversations").where("turn = 0").withColumn("o", hash_order(F.array(t, *[F.concat(t, F.lit(f" {x}")) for x in "bcd"]), key))
+    s = table(spark, sf_dir, "conversations").where("turn = 0").withColumn("o", qa.hash_order(F.array(t, *[F.concat(t, F.lit(f" {x}")) for x in "bcd"]), key))
     return s.select("conv_id", M.lettered(F.col("o")).alias("options"), M.letter_of(F.col("o"), t).alias("letter"), T.seed(key, F.lit("s"), "personamem_mcq").cast("string").alias("seed"))
 
 
@@ -526,10 +527,8 @@ def t5_weighted_pick(spark, sf_dir):
 
 @query()
 def f17_exact_shuffle(spark, sf_dir):
-    from ..operators.qa import exact_order
-
     s = table(spark, sf_dir, "benchmark").select("item_id", F.slice(F.split("text", " "), 1, 4).alias("options"), T.seed(F.col("item_id").cast("string"), F.lit("s"), "personamem_mcq").alias("seed"))
-    return exact_order(s, "options", "seed").select("item_id", F.array_join("shuffled", "|").alias("shuffled"))
+    return qa.exact_order(s, "options", "seed").select("item_id", F.array_join("shuffled", "|").alias("shuffled"))
 
 
 @query()
@@ -537,3 +536,72 @@ def o6_exact_reorder(spark, sf_dir):
     """Exact declustering inside shards of a thousand consecutive ids."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.floor(F.col("doc_id") / 1000).alias("shard"))
     return corpus.reordered(d, "shard", "doc_id", ["lang", "source"], 42)
+
+
+# ---- files, calls and records -----------------------------------------------------------
+
+
+def _shared(spark, name: str) -> str:
+    """A fresh folder that executors and the driver share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/larkspur-shared"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def s1_k1_jsonl_round_trip(spark, sf_dir):
+    """Messages appended as JSON lines beside lines that do not parse, and read back."""
+    path = _shared(spark, "lines")
+    rows = table(spark, sf_dir, "conversations")
+    sinks.append_jsonl(rows, path)
+    rows.where("turn = 0").select(F.concat(F.lit("broken "), "text").alias("value")).write.mode("append").text(path)
+    return readers.jsonl(spark, path, "conv_id BIGINT, turn BIGINT, role STRING, text STRING").select("conv_id", "turn", "role", "text")
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1")
+def s2_s4_last_wins(spark, sf_dir):
+    return readers.last_wins(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey")
+
+
+@query("SELECT event_id, (props::JSON->>'k')::BIGINT AS k, NULL::BIGINT AS none FROM events")
+def p9_path_getter(spark, sf_dir):
+    v = F.try_parse_json("props")
+    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"), F.try_variant_get(v, "$.k.x", "bigint").alias("none"))
+
+
+@query("SELECT event_type AS call_type, count(*) AS calls, sum(len(props)) AS tokens, count(*) FILTER (value > 50) AS failed FROM events GROUP BY 1")
+def a18_call_usage(spark, sf_dir):
+    calls = table(spark, sf_dir, "events").select(F.col("event_type").alias("call_type"), "props", F.when(F.col("value") > 50, "error").alias("error"))
+    return usage(calls, F.length("props"))
+
+
+@query()
+def x1_x4_model_calls(spark, sf_dir):
+    """A call for each benchmark item, from a thread pool in each task."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.array(M.message("user", F.col("text"))).alias("messages"))
+    return ask(rows, Echo, call_type="assistant").select("item_id", "reply", "error", "attempts")
+
+
+@query("""WITH f AS (SELECT conv_id, first(text ORDER BY turn) AS t, count(*) AS n, string_agg('- input: ' || role || ' | output: ' || trim(text), chr(10) ORDER BY turn) AS lines FROM conversations GROUP BY conv_id)
+SELECT conv_id, 'prefeval_gen' AS style, 5 AS n_messages, 'q' || conv_id AS question, trim(t) AS answer FROM f
+UNION ALL SELECT conv_id, 'lamp_cls', 3, 'Here are some past items belonging to this user:' || chr(10) || lines || chr(10) || chr(10) || 'New input: q' || conv_id || chr(10) || 'Produce the output.', trim(t) FROM f WHERE n >= 2""")
+def j11_f18_f21_x6_examples(spark, sf_dir):
+    """Examples of two styles from replies made of the sessions' own texts."""
+    s = nested(table(spark, sf_dir, "conversations"))
+    s = s.select("*", F.col("conv_id").cast("string").alias("persona_id"), F.lit("s").alias("scenario_id"), F.lit("").alias("profile_summary"), F.lit("full").alias("ablation"), F.expr("CAST(array() AS ARRAY<STRUCT<user_state: STRING>>)").alias("user_state_trajectory"))
+    text, asked = F.get("conversation", F.lit(0))["content"], F.concat(F.lit("q"), F.col("persona_id"))
+    preference = F.to_json(F.struct(F.lit("likes it").alias("preference"), asked.alias("user_query"), text.alias("response"), text.alias("acknowledgement_quote")))
+    items = F.transform("conversation", lambda m: F.struct(m["role"].alias("input"), m["content"].alias("output")))
+    lamp = F.to_json(F.struct(F.lit("f").alias("task_family"), items.alias("profile_items"), asked.alias("query"), text.alias("target")))
+    valid = qa.replies(qa.tasks(s, (qa.PREFERENCE, qa.LAMP)).withColumn("reply", F.when(F.col("qa_style") == qa.LAMP, lamp).otherwise(preference)))
+    both = qa.records(qa.acknowledged(valid), qa.PREFERENCE).unionByName(qa.records(qa.from_items(valid), qa.LAMP))
+    last = lambda i: F.element_at("messages", i)["content"]
+    return both.select(F.col("metadata.persona_id").cast("bigint").alias("conv_id"), F.col("qa_style").alias("style"), F.size("messages").alias("n_messages"), last(-2).alias("question"), last(-1).alias("answer"))
+
+
+@query("""WITH m AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE role <> 'system')
+SELECT conv_id, string_agg(role || '=' || text, '|' ORDER BY turn) AS filler FROM m WHERE i <= 2 GROUP BY conv_id HAVING count(*) = 2""")
+def f35_f36_filler_turns(spark, sf_dir):
+    s = nested(table(spark, sf_dir, "conversations").where("role <> 'system'")).where(F.size("conversation") >= 2)
+    talk = benchmarks.question_messages(F.lit("p"), F.lit("r"), benchmarks.filler(F.col("conversation"), 1), F.lit("q"))
+    between = F.slice(talk, F.lit(3), F.size(talk) - 3)
+    return s.select("conv_id", F.array_join(F.transform(between, lambda m: F.concat(m["role"], F.lit("="), m["content"])), "|").alias("filler"))
