@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .kit import map_pieces, written
+from .kit import in_batches, map_pieces, written
 
 ROW = 192  # payload bytes in a row of blocks
 MOST_ROWS = 8191  # of 8 pixels: an image's height has 16 bits
@@ -357,7 +357,7 @@ def features(media: DataFrame, key: str = "doc_id", column: str = "media") -> Da
                 yield pa.RecordBatch.from_arrays([part.column(key), part.column("n_bytes"), *[pa.array(v, arrow.field(k).type) for k, v in made.items()]], schema=arrow)
                 at = to
 
-    return rows.mapInArrow(run, schema)
+    return in_batches(rows, run, schema)
 
 
 def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -7,6 +7,7 @@ single bytes, so words are found on raw bytes without decoding.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -160,9 +161,17 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
     df.write.option("compression", "zstd").parquet(path)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Shared tables go when the application ends, on whatever file system they are."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path).getParent()
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def bucket(column: str, modulus: int):
     """crc32 of the id written as text, modulo ``modulus``: the fold rule of the queries."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
@@ -174,6 +183,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 
+def release() -> None:
+    """Give freed memory back to the system when a task ends: the worker process lives on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass
+
+
+BATCH_ROWS = "1000"  # of documents: a few megabytes in an Arrow batch
+
+
+def in_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow for rows that hold texts: batches of few rows, memory released at the end."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # not set by the user
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+    def released(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(released, schema)
+
+
 def map_pieces(df: DataFrame, text: str, keep: list[str], fields: str, make: Callable, limit: int = CHUNK_BYTES) -> DataFrame:
     """Run a kernel over every text, a few hundred kilobytes at a time.
 
@@ -193,7 +229,7 @@ def map_pieces(df: DataFrame, text: str, keep: list[str], fields: str, make: Cal
                 columns += [pa.array(made[c], arrow.field(c).type) for c in names]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return in_batches(df, run, schema)
 
 
 MOST_BROADCAST = 64 << 20

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import map_pieces, small_side, written
+from .kit import in_batches, map_pieces, small_side, written
 
 KINDS = ("assign", "access", "hex")
 MAX_LABELS = 400  # bound of the labelled sample, for each kind
@@ -267,7 +267,7 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str
                 columns[i] = pa.array([old if s is None or t is None else len(t) for old, t, s in zip(columns[i].to_pylist(), new, found)], columns[i].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return out.select(*names, "_spans").mapInArrow(mask, docs.schema)
+    return in_batches(out.select(*names, "_spans"), mask, docs.schema)
 
 
 def cut(text: str, found: list[dict]) -> str:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .kit import CHUNK_BYTES, Words, map_pieces, mix, per_text, pieces, shingles, small_side, without, written
+from .kit import CHUNK_BYTES, Words, in_batches, map_pieces, mix, per_text, pieces, shingles, small_side, without, written
 
 THRESHOLD = 0.8
 K = 5
@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = one.select("root", "doc", "block", "text", other.alias("other")).select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc", "block", "text")
     dealt = dealt.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "doc")
-    links = written(dealt.mapInArrow(_joined(threshold, tolerance), "doc BIGINT, links BIGINT, lead BIGINT"), "links")
+    links = written(in_batches(dealt, _joined(threshold, tolerance), "doc BIGINT, links BIGINT, lead BIGINT"), "links")
 
     counts = links.groupBy("doc").agg(F.sum("links").alias("n_links")).withColumnRenamed("doc", "rep")
     groups = components(links.where("doc <> lead").select(F.col("doc").alias("u"), F.col("lead").alias("v")))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import shared_dir
+from .kit import in_batches, remove_at_exit, shared_dir, written
 
 SEGMENT = 16 << 10
 CHUNK = 8 << 10
@@ -122,7 +122,7 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()).cast(pa.string())], names=["value"])
 
-    out.mapInArrow(run, "value STRING").write.option("lineSep", "\n").option("maxRecordsPerFile", 50_000).option("compression", "gzip").text(path)
+    in_batches(out, run, "value STRING").write.option("lineSep", "\n").option("maxRecordsPerFile", 50_000).option("compression", "gzip").text(path)
 
 
 def parsed(stream) -> list[tuple[dict[str, str], bytes]]:
@@ -201,10 +201,9 @@ def round_trip(pages: DataFrame, key: str = "page_id") -> DataFrame:
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/archives"
     write_archives(pages, path, key)
+    remove_at_exit(spark, path)
     kind = pages.schema[key].dataType
     read = read_archives(spark, path).select("page", "record_type", "refers_to", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.when(F.col("whole") & F.col("payload").isNotNull(), F.sha2("payload", 256)).alias("payload_digest"))
-    from .kit import written
-
     read = written(read, "records")
     responses = read.where("record_type = 'response'").select("page", "payload_bytes", "payload_digest")
     # A response that others refer to has the least id of its payload; one row for an id is enough.
