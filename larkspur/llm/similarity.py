@@ -15,7 +15,8 @@ words, but not none, has one shingle of all its words). Steps:
 5. Links are counted for each class and their components give the near-duplicate groups.
 
 Null texts are empty texts; texts without words have no links, equal ones share a class.
-Rows with a null key are left out; rows of equal key and text are one document's repeats.
+Rows with a null key are left out; rows of equal key are one document's repeats, and where
+their texts differ the first of them by order stands for it in links.
 """
 
 from __future__ import annotations
@@ -162,7 +163,8 @@ def _joined(threshold: float, tolerance: float):
                 cut = np.flatnonzero(np.any([np.diff(col[c]) != 0 for c in ("root", "low", "high")], axis=0)) + 1
                 edges = [0, *cut, len(sig)]
                 for a, b in zip(edges, edges[1:]):
-                    out += group(col["doc"][a:b], col["block"][a:b], col["low"][a], col["high"][a], sig[a:b], sets[a:b])
+                    at = a + np.unique(col["doc"][a:b], return_index=True)[1]  # repeated rows once
+                    out += group(col["doc"][at], col["block"][at], col["low"][a], col["high"][a], sig[at], [sets[i] for i in at])
             docs, links, lead = zip(*out) if out else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(links, pa.int64()), pa.array(lead, pa.int64())], names=names)
 
@@ -191,7 +193,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     docs = docs.select(F.col(key).cast("bigint").alias("doc"), F.coalesce(text, F.lit("")).alias("text")).where("doc IS NOT NULL")
     hashed = docs.withColumn("same", F.unhex(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32)))
     found = written(map_pieces(hashed, "text", ["doc", "same"], "bands ARRAY<BIGINT>", _bands), "bands")
-    leads = found.groupBy("same").agg(F.min("doc").alias("rep"))
+    # Written first: a join of two scans lets the adaptive skew join split a hot text's rows.
+    leads = written(found.groupBy("same").agg(F.min("doc").alias("rep")), "leads")
     members = written(found.select("doc", "same").join(leads, "same").select("doc", "rep"), "members")
 
     banded = found.join(members.where("doc = rep").select("doc").distinct(), "doc").select("doc", F.explode("bands").alias("band"))
@@ -206,10 +209,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     one = docs.join(placed, docs["doc"] == placed["rep"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = one.select("root", "doc", "block", "text", other.alias("other")).select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc", "block", "text")
-    dealt = dealt.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "doc")
+    dealt = dealt.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "doc", "text")
     links = written(in_batches(dealt, _joined(threshold, tolerance), "doc BIGINT, links BIGINT, lead BIGINT"), "links")
 
-    counts = links.groupBy("doc").agg(F.sum("links").alias("n_links")).withColumnRenamed("doc", "rep")
+    counts = written(links.groupBy(F.col("doc").alias("rep")).agg(F.sum("links").alias("n_links")), "counts")
     groups = components(links.where("doc <> lead").select(F.col("doc").alias("u"), F.col("lead").alias("v")))
     groups = groups.select(F.col("u").alias("rep"), F.col("v").alias("group"))
     out = members.join(counts, "rep", "left").join(groups, "rep", "left")

@@ -80,6 +80,15 @@ def test_exact_copies_are_one_class_and_one_stays(spark):
     assert sorted(r.doc_id for r in similarity.keep_one(df).collect()) == [0, 900]
 
 
+def test_repeated_rows_do_not_link_to_themselves(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (1, text), (2, text + " more"), (2, text + " more"), (3, "x y z")]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    out = sorted((r.doc_id, r.class_id, r.n_links) for r in similarity.near_duplicates(df).collect())
+    assert out == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (2, 1, 1), (3, 3, 0)]
+    assert sorted(r.doc_id for r in similarity.keep_one(df).collect()) == [1, 3]
+
+
 def test_of_equal_ids_one_stays(odd):
     kept = [r.doc_id for r in similarity.keep_one(odd).collect()]
     assert sorted(k for k in kept if k is not None) == [0, 3, 5, 6, 7, 8, 9, 10] and kept.count(None) == 1
