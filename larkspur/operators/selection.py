@@ -76,11 +76,12 @@ def scenarios_of(personas: DataFrame, scenarios: str, cap: int | None = None) ->
     return personas.select("*", F.posexplode(items).alias("pos", "scenario")).drop(scenarios)
 
 
-def scenario_ids(persona: Column, pos: Column, scenario_id: Column, prefix: str) -> Column:
+def scenario_ids(persona: Column, pos: Column, scenario_id: Column, prefix: Column | str) -> Column:
     """A scenario's id: a default by position, the persona filled in, the prefix in front."""
     base = or_default(scenario_id, F.concat(persona, F.lit("_scenario_"), pos.cast("string")))
     filled = F.replace(base, F.lit("{persona_id}"), persona)
-    return F.when(filled.startswith(f"{prefix}_"), filled).otherwise(F.concat(F.lit(f"{prefix}_"), filled))
+    front = F.concat(prefix if isinstance(prefix, Column) else F.lit(prefix), F.lit("_"))
+    return F.when(filled.startswith(front), filled).otherwise(F.concat(front, filled))
 
 
 def by_path(df: DataFrame, path: str, n: int | None = None) -> DataFrame:

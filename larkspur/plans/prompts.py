@@ -74,3 +74,6 @@ ADHERENCE = {
     "hallucinate": "Does the restated preference differ from the real one? Answer in <answer>.\nPreference: {preference}\nRestated: {assistant_restatement}",
     "helpful": "Does the response help? Answer in <answer>.\nQuestion: {question}\nResponse: {end_generation}",
 }
+
+SCENARIOS = """Write {family} scenarios in which this person would turn to an assistant, as a JSON array of objects with scenario_id, category, initial_prompt and context_note.
+Profile: {summary}"""

@@ -92,6 +92,30 @@ def test_judges_see_passing_sessions_only(spark):
     assert {r.prompt_id: r.tier for r in rows} == {"q": "A", "bad": "C", "worse": "C"}
 
 
+def test_model_judge(spark):
+    class Judge:
+        def chat(self, messages, call_type="", **more):
+            if "other" in messages[0]["content"]:
+                raise ValueError("down")
+            return '{"score": 5, "reason": "fits"}' if call_type == "consistency" else 'so {"label": "unclear", "offending_turn": 1}'
+
+    judge = quality.model_judge(Judge, retry=model.Retry(tries=1))
+    rows = {r.prompt_id: r for r in scored(spark, session(), session(prompt="x", text="other " * 60), session(prompt="bad", turns=1), judge=judge).collect()}
+    assert (rows["q"].d5, rows["q"].d6, rows["q"].d6_offending_turn, rows["q"].tier, rows["q"].failed_dims) == (5, "unclear", 1, "B", ["D6"])
+    assert (rows["x"].d5, rows["x"].d6, rows["x"].tier) == (None, None, "C")
+    assert rows["bad"].tier == "C" and rows["bad"].failed_dims == ["D2"]
+
+
+def test_scenarios_from_replies(spark):
+    people = spark.createDataFrame([("p", "S"), ("r", None)], "persona_id STRING, summary STRING")
+    calls = simulation.scenario_calls(people, "affective")
+    assert calls.count() == 2
+    text = 'Here: [{"scenario_id": "{persona_id}_a", "initial_prompt": "hi"}, {"category": "c"}, {"scenario_id": "affective_z"}] done'
+    got = simulation.built_scenarios(calls.withColumn("reply", F.when(F.col("persona_id") == "p", text).otherwise("nothing"))).orderBy("pos").collect()
+    assert [r.scenario_id for r in got] == ["affective_p_a", "affective_p_scenario_1", "affective_z"]
+    assert got[0].initial_prompt == "hi" and {r.persona_id for r in got} == {"p"}
+
+
 def test_verdicts(spark):
     def v(text):
         return tuple(spark.createDataFrame([(text,)], "t STRING").select(quality.verdict(F.try_parse_json("t")).alias("v")).first().v)
