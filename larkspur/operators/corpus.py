@@ -16,10 +16,15 @@ def keep_first(df: DataFrame, key: Column | str, order: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(at)).where("_n = 1").drop("_n")
 
 
-def duplicate_pairs(df: DataFrame, key: Column | str, order: str, limit: int | None = None) -> DataFrame:
-    """(first, duplicate) positions; the first ``limit`` of them where a report wants few."""
-    first = F.min(order).over(Window.partitionBy(key))
-    out = df.select(first.alias("first"), F.col(order).alias("duplicate")).where("first <> duplicate")
+def duplicate_pairs(df: DataFrame, key: str, order: str, limit: int | None = None) -> DataFrame:
+    """(first, duplicate) positions; the first ``limit`` of them where a report wants few.
+
+    Keys are aggregated before they are shuffled, and only repeated ones are joined back, so a
+    key with very many copies is a join that can be split and no window of its own.
+    """
+    rows = df.select(F.col(key).alias("key"), F.col(order).alias("duplicate"))
+    first = rows.groupBy(F.col("key").alias("k")).agg(F.min("duplicate").alias("first"), F.count("*").alias("n")).where("n > 1")
+    out = rows.join(first, rows["key"].eqNullSafe(first["k"])).where("first <> duplicate").select("first", "duplicate")
     return out.orderBy("duplicate").limit(limit) if limit else out
 
 
