@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import in_batches, remove_at_exit, shared_dir, written
+from .kit import in_batches, remove_at_exit, shared_dir, small_side, written
 
 SEGMENT = 16 << 10
 CHUNK = 8 << 10
@@ -209,6 +209,7 @@ def round_trip(pages: DataFrame, key: str = "page_id") -> DataFrame:
     # A response that others refer to has the least id of its payload; one row for an id is enough.
     origin = responses.join(read.where("refers_to IS NOT NULL").select(F.col("refers_to").alias("page")).distinct(), "page", "left_semi").groupBy("page", "payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
     origin = origin.groupBy("page").agg(F.max(F.struct("payload_bytes", "payload_digest")).alias("o")).select(F.col("page").alias("refers_to"), "o")
+    origin = small_side(origin, 160)  # many revisits may refer to one page
     revisits = read.where("record_type = 'revisit'").select("page", "refers_to").join(origin, "refers_to", "left").select("page", "refers_to", "o.payload_bytes", "o.payload_digest", F.lit("revisit").alias("record_type"))
     out = responses.select("page", F.lit(None).cast("string").alias("refers_to"), "payload_bytes", "payload_digest", F.lit("response").alias("record_type")).unionByName(revisits)
     return out.select(F.col("page").cast(kind).alias(key), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
