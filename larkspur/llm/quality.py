@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import IS_WORD, Words, bucket, map_pieces, per_text, without, written
+from .kit import IS_WORD, Words, bucket, hash_sample, map_pieces, per_text, without, written
 
 SAMPLE = 6000  # bound of the positives fitted on; unlabelled rows are twice as many
 KEEP = 0.7
@@ -186,7 +186,7 @@ def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     marks = labels.select(key, F.col(label).alias("label")).where(F.col("label").isNotNull() & F.col(key).isNotNull() & ~held_out).groupBy(key).agg(F.max("label").alias("label"))
 
     def matrix(rows: DataFrame, n: int) -> np.ndarray:
-        got = rows.orderBy(F.xxhash64(key), key).limit(n).select("features").toArrow().column(0).combine_chunks()
+        got = hash_sample(rows, key, n).select("features").toArrow().column(0).combine_chunks()
         return got.flatten().to_numpy().reshape(-1, N_FEATURES).astype(float)
 
     known = table.join(marks, key)
