@@ -42,7 +42,7 @@ LEAST_PAGES = 3  # distinct pages that a host needs for a template of its own
 LEAST_SHARE = 0.01  # of the pages on which a template token occurs
 MOST_BROADCAST = 64 << 20
 EVERYWHERE = "*"
-DEPTH = 24  # elements below are read as part of the one at this depth
+DEPTH = 24  # steps that a path spells out; those below are a hash, with article, main and mark
 
 # Elements by what they are.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -76,6 +76,17 @@ def marked(tag: str, attributes: str) -> bool:
     return False
 
 
+def below(path: str, depth: int, tag: str, mark: bool) -> str:
+    """The path of an element at a depth. Beyond DEPTH the steps are hashed, so that paths stay
+    short; the first article, main and marked step of them are still spelled out."""
+    step = f"/{tag}{MARK if mark else ''}"
+    if depth <= DEPTH:
+        return path + step
+    above, _, deep = path.partition("/~")
+    told = step if mark and MARK not in path or tag in ("article", "main") and not in_article(path) else ""
+    return f"{above}/~{xxhash.xxh64_hexdigest(path + step)}{deep[16:]}{told}"
+
+
 def blocks(page: str) -> tuple[list[tuple[str, str]], Counter]:
     """(path, text) of each block of a page in order, and how often each path opens."""
     stack: list[tuple[str, str]] = [("", "")]  # (tag, path)
@@ -145,9 +156,7 @@ def blocks(page: str) -> tuple[list[tuple[str, str]], Counter]:
                 if stack[i][0] in same.split():
                     del stack[i:]
                     break
-        path = stack[-1][1]
-        if len(stack) <= DEPTH:
-            path = f"{path}/{tag}{MARK if marked(tag, attributes) else ''}"
+        path = below(stack[-1][1], len(stack), tag, marked(tag, attributes))
         opened[path] += 1
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)

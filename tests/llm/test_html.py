@@ -79,3 +79,13 @@ def test_odd_pages(spark):
     got = [(r.page_id, r.text[:4], r.n_chars) for r in html.extract(spark.createDataFrame(rows, schema)).collect()]
     assert sorted(got, key=str) == sorted([(1, "", 0), (1, "", 0), (None, "x", 1), (2, "word", 249_999), (3, "", 0)], key=str)
     assert html.extract(spark.createDataFrame([], schema)).count() == 0
+
+
+@pytest.mark.parametrize("depth", [20, 22, 23, 24, 25, 60])
+def test_depth_changes_no_decision(depth):
+    deep = "<div>" * depth
+    assert text_of(deep + "<p>a</p><nav><p>menu</p></nav><p>b <span class=ad>buy</span></p>") == "a\nb"
+    assert text_of("<p>outside</p>" + deep + "<article><p>a</p><aside>x</aside></article>") == "a"
+    assert text_of(deep + "<nav>open menu<article><p>still read</p></article>") == "still read"
+    path = html.blocks(deep * 40 + "<p>a</p>")[0][0][0]
+    assert len(path) < 24 * 4 + 40
