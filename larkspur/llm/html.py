@@ -1,20 +1,18 @@
 """Main text of web pages by equivalence-class template deduction.
 
 A page's tokens are the element paths it opens (inline elements left out; containers that
-announce boilerplate by tag, role or class carry a mark). For each host:
+announce boilerplate by tag, role or class carry a mark) and its unmarked blocks of text, each
+with its path. For each host, apart for pages with and without an article or main element:
 
-1. A token's occurrence vector over the host's distinct pages is summarised by an order-free
+1. A token's occurrence vector over the distinct pages is summarised by an order-free
    fingerprint, a XOR of hashes of (page, count), so vectors need never be gathered: one
-   grouped aggregation gives each token's vector class, support and text statistics.
-2. Tokens of equal fingerprints form a class. A class with enough support is valid when the
-   token that encloses it belongs to a class of at least its support, so that valid classes
-   nest; together they are the host's template. Hosts with few pages use the template of
-   all pages together.
-3. Text directly under a template token is a slot. A slot is content unless it lies in
-   a marked container, or holds the same text on every page outside an article, or lies
-   outside the article or main element of a template that has one.
-4. Pages are parsed again and the blocks of their content slots are joined. Paths that are
-   not in the template, being rare, are decided by the same rules without the statistics.
+   grouped aggregation gives each token's vector class and support.
+2. Tokens of enough support are the template. A host with few pages of a kind uses the
+   template of all pages of that kind together.
+3. A block of text is fixed when it is in the template and on every page that has the element
+   around it; inside an article it must be on every page.
+4. Pages are parsed again. Blocks in marked containers, outside the article of a page that has
+   one, and fixed ones go. An article of which nothing would stay keeps its fixed blocks.
 
 Templates are broadcast while their measured size is small, else joined by host, where the
 adaptive skew join splits hosts with very many pages.
@@ -89,8 +87,14 @@ def below(path: str, depth: int, tag: str, mark: bool) -> str:
 
 def blocks(page: str) -> tuple[list[tuple[str, str]], Counter]:
     """(path, text) of each block of a page in order, and how often each path opens."""
+    return tree(page)[:2]
+
+
+def tree(page: str) -> tuple[list[tuple[str, str]], Counter, dict[str, str]]:
+    """The same, and the path around each path."""
     stack: list[tuple[str, str]] = [("", "")]  # (tag, path)
     opened: Counter = Counter()
+    inside: dict[str, str] = {}
     out: list[tuple[str, str]] = []
     text: list[str] = []
 
@@ -158,6 +162,7 @@ def blocks(page: str) -> tuple[list[tuple[str, str]], Counter]:
                     break
         path = below(stack[-1][1], len(stack), tag, marked(tag, attributes))
         opened[path] += 1
+        inside[path] = stack[-1][1]
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else n
@@ -165,7 +170,7 @@ def blocks(page: str) -> tuple[list[tuple[str, str]], Counter]:
         if not attributes.endswith("/"):
             stack.append((tag, path))
     flush()
-    return out, opened
+    return out, opened, inside
 
 
 def in_article(path: str) -> bool:
@@ -177,70 +182,76 @@ def by_rule(path: str, article: bool) -> bool:
     return MARK not in path and (in_article(path) or not article)
 
 
-TOKENS = "host STRING, page STRING, path STRING, n BIGINT, text BIGINT, chars BIGINT"
+TOKENS = "host STRING, page STRING, article BOOLEAN, path STRING, above STRING, text BIGINT, n BIGINT"
 
 
 def _tokens(batches):
-    """A row for each path of a page: how often it opens, and the hash and length of its text."""
+    """A row for each path of a page (text is null) and for each block that the rules keep."""
     names = [x.split()[0] for x in TOKENS.split(", ")]
-    types = [pa.string()] * 3 + [pa.int64()] * 3
+    types = [pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.int64()]
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             rows = []
             for r in batch.slice(at, 256).to_pylist():
-                found, opened = blocks(r["html"] or "")
-                texts: dict[str, list[str]] = {}
-                for path, text in found:
-                    texts.setdefault(path, []).append(text)
-                for path in opened.keys() | texts.keys():
-                    own = texts.get(path, [])
-                    rows.append((r["host"], r["page"], path, opened.get(path, 0), hash_text("\n".join(own)), sum(map(len, own))))
+                found, opened, inside = tree(r["html"] or "")
+                article = has_article(opened)
+                for path, n in opened.items():
+                    rows.append((r["host"], r["page"], article, path, inside[path], None, n))
+                for (path, text), n in Counter(x for x in found if by_rule(x[0], article)).items():
+                    rows.append((r["host"], r["page"], article, path, path, hash_block(path, text), n))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], names=names)
 
 
-def hash_text(text: str) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(text)).view(np.int64))
+def hash_block(path: str, text: str) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(f"{path}\n{text}")).view(np.int64))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, path, class, support, pages, content) of each host's template and of EVERYWHERE,
-    from rows (host, page, html), where page is a hash of the content."""
+    """(host, article, fixed) of each host that has a template, and of EVERYWHERE, from rows
+    (host, page, html), where page is a hash of the content: the hashes of the fixed blocks of
+    pages with or without an article."""
     tokens = written(in_batches(pages, _tokens, TOKENS), "tokens")
-    both = tokens.select(F.explode(F.array("host", F.lit(EVERYWHERE))).alias("host"), "page", "path", "n", "text", "chars")
+    both = tokens.withColumn("host", F.explode(F.array("host", F.lit(EVERYWHERE))))
     # Equal pages once; then the vector's fingerprint. Both aggregate before they shuffle.
-    once = both.groupBy("host", "path", "page").agg(F.max("n").alias("n"), F.max("text").alias("text"), F.max("chars").alias("chars"))
-    stats = once.groupBy("host", "path").agg(
-        F.bit_xor(F.xxhash64("page", "n")).alias("class"),
-        F.count("*").alias("support"),
-        F.min("text").alias("low"),
-        F.max("text").alias("high"),
-        F.sum("chars").alias("chars"),
-    )
+    once = both.groupBy("host", "article", "path", "above", "text", "page").agg(F.max("n").alias("n"))
+    stats = once.groupBy("host", "article", "path", "above", "text").agg(F.bit_xor(F.xxhash64("page", "n")).alias("class"), F.count("*").alias("support"))
     stats = written(stats, "stats")
+    kind = ["host", "article"]
     # The element that encloses all others occurs on every page that has one.
-    pages_of = stats.groupBy("host").agg(F.max("support").alias("pages"), F.max((F.col("path").contains("/article") | F.col("path").contains("/main")) & ~F.col("path").contains(MARK)).alias("article"))
-    frequent = stats.join(pages_of, "host").where((F.col("pages") >= LEAST_PAGES) & (F.col("support") >= F.greatest(F.lit(LEAST_PAGES), F.col("pages") * LEAST_SHARE)))
-    parent = frequent.select("host", F.col("path").alias("above"), F.col("support").alias("support_above"))
-    frequent = frequent.withColumn("above", F.regexp_replace("path", "/[^/]*$", ""))
-    nested = frequent.join(parent, ["host", "above"], "left").where((F.col("above") == "") | (F.col("support_above") >= F.col("support")))
-    article = F.col("path").contains("/article") | F.col("path").contains("/main")
-    fixed = (F.col("low") == F.col("high")) & (F.col("chars") > 0)
-    content = ~F.col("path").contains(MARK) & F.when(F.col("article"), article).otherwise(~fixed)
-    return nested.select("host", "path", "class", "support", "pages", content.alias("content"), "article")
-
-
-def _extract(batches):
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            texts = []
-            for r in batch.slice(at, 256).select(["html", "slots", "article"]).to_pylist():
-                slots = dict(r["slots"] or ())
-                found, opened = blocks(r["html"] or "")
-                article = any(in_article(p) and MARK not in p for p in opened)
-                keep = [t for p, t in found if (slots[p] if p in slots and article == r["article"] else by_rule(p, article))]
-                texts.append("\n".join(keep))
-            part = batch.slice(at, 256)
-            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["key", "url", "text", "n_chars"])
+    pages_of = written(stats.groupBy(kind).agg(F.max("support").alias("pages")).where(F.col("pages") >= LEAST_PAGES), "pages")
+    frequent = written(stats.join(pages_of, kind).where(F.col("support") >= F.greatest(F.lit(LEAST_PAGES), F.col("pages") * LEAST_SHARE)), "frequent")
+    around = frequent.where("text IS NULL").select(*kind, F.col("path").alias("above"), F.col("class").alias("class_above"), F.col("support").alias("support_above"))
+    placed = written(frequent.join(around, [*kind, "above"], "left"), "placed")
+    filled = F.when(F.col("article"), F.col("pages")).otherwise(F.coalesce("support_above", "pages"))
+    fixed = placed.where(F.col("text").isNotNull() & (F.col("support") == filled)).groupBy(kind).agg(F.collect_list("text").alias("fixed"))
+    return pages_of.join(fixed, kind, "left").select(*kind, F.coalesce("fixed", F.array().cast("array<bigint>")).alias("fixed"))
+
+
+def has_article(opened) -> bool:
+    return any(in_article(p) and MARK not in p for p in opened)
+
+
+def kept(page: str, fixed: dict[bool, frozenset | set]) -> str:
+    """The text of a page; ``fixed``: hashes of fixed blocks of pages with, without an article."""
+    found, opened = blocks(page)
+    article = has_article(opened)
+    allowed = [x for x in found if by_rule(x[0], article)]
+    varied = [x for x in allowed if hash_block(*x) not in fixed[article]] if fixed[article] else allowed
+    return "\n".join(t for _, t in (varied if varied or not article else allowed))
+
+
+def _extract(general: dict[bool, list]):
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = []
+                for r in part.select(["html", "fixed_in", "fixed_out"]).to_pylist():
+                    own = {True: r["fixed_in"], False: r["fixed_out"]}
+                    texts.append(kept(r["html"] or "", {k: set(general[k] if v is None else v) for k, v in own.items()}))
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["key", "url", "text", "n_chars"])
+
+    return run
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -248,17 +259,12 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), host.alias("host"), F.col(html).alias("html"))
     found = written(templates(rows.select("host", F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("page"), "html")), "templates")
-    slots = found.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", "content"))).alias("slots"), F.first("article").alias("article"))
-    slots = written(slots, "slots")
-    size = slots.where(F.col("host") != EVERYWHERE).agg(F.coalesce(F.sum(F.octet_length(F.to_json("slots")).cast("bigint")), F.lit(0))).first()[0]
-    general = slots.where(F.col("host") == EVERYWHERE).select(F.col("slots").alias("general"), F.col("article").alias("general_article"))
-    own = slots.where(F.col("host") != EVERYWHERE)
+    own = found.where(F.col("host") != EVERYWHERE).groupBy("host").agg(F.first(F.when(F.col("article"), F.col("fixed")), True).alias("fixed_in"), F.first(F.when(~F.col("article"), F.col("fixed")), True).alias("fixed_out"))
+    own = written(own, "own")
+    size = own.agg(F.coalesce(F.sum(F.lit(64) + F.octet_length("host") + 8 * (F.coalesce(F.size("fixed_in"), F.lit(0)) + F.coalesce(F.size("fixed_out"), F.lit(0)))), F.lit(0))).first()[0]
     placed = rows.join(F.broadcast(own) if size <= MOST_BROADCAST else own, "host", "left")
-    # One row at most: the paths that at least LEAST_SHARE of all pages have.
-    common = general.first()
-    if common is not None:
-        shared = F.create_map(*[F.lit(x) for kv in common.general.items() for x in kv])
-        placed = placed.withColumn("article", F.when(F.col("slots").isNull(), F.lit(common.general_article)).otherwise(F.col("article"))).withColumn("slots", F.coalesce("slots", shared))
+    # Two rows at most: the fixed blocks that at least LEAST_SHARE of all pages have.
+    general = {True: [], False: []} | {r.article: r.fixed for r in found.where(F.col("host") == EVERYWHERE).collect()}
     schema = pages.select(F.col(key).alias("key"), F.col(url).alias("url")).schema.add("text", "string").add("n_chars", "long")
-    out = in_batches(placed.select("key", "url", "html", "slots", "article"), _extract, schema)
+    out = in_batches(placed.select("key", "url", "html", "fixed_in", "fixed_out"), _extract(general), schema)
     return out.select(F.col("key").alias(key), F.col("url").alias(url), "text", "n_chars")

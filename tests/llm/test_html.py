@@ -81,6 +81,11 @@ def test_odd_pages(spark):
     assert html.extract(spark.createDataFrame([], schema)).count() == 0
 
 
+def extracted(spark, pages):
+    rows = [(i, url, page) for i, (url, page) in enumerate(pages)]
+    return [r.text for r in html.extract(spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING")).orderBy("page_id").collect()]
+
+
 @pytest.mark.parametrize("depth", [20, 22, 23, 24, 25, 60])
 def test_depth_changes_no_decision(depth):
     deep = "<div>" * depth
@@ -89,3 +94,9 @@ def test_depth_changes_no_decision(depth):
     assert text_of(deep + "<nav>open menu<article><p>still read</p></article>") == "still read"
     path = html.blocks(deep * 40 + "<p>a</p>")[0][0][0]
     assert len(path) < 24 * 4 + 40
+
+
+def test_a_page_with_an_article_leaves_the_template_of_the_others(spark):
+    page = "<div><b>Shop name</b></div><section><p>story {i}</p></section><ul><li>Home<li>About</ul>"
+    pages = [(f"http://a.example/{i}", page.format(i=i)) for i in range(6)] + [("http://a.example/x", "<article><p>read me</p></article><p>out</p>")]
+    assert extracted(spark, pages) == [f"story {i}" for i in range(6)] + ["read me"]
