@@ -7,10 +7,12 @@ with its path. For each host, apart for pages with and without an article or mai
 1. A token's occurrence vector over the distinct pages is summarised by an order-free
    fingerprint, a XOR of hashes of (page, count), so vectors need never be gathered: one
    grouped aggregation gives each token's vector class and support.
-2. Tokens of enough support are the template. A host with few pages of a kind uses the
-   template of all pages of that kind together.
-3. A block of text is fixed when it is in the template and on every page that has the element
-   around it; inside an article it must be on every page.
+2. Tokens of equal fingerprints form a class. A class is valid when it has enough support and
+   LEAST_TOKENS tokens and nests: at most one class of more support encloses its tokens. Valid
+   classes are the template. A host with few pages of a kind uses the template of all pages of
+   that kind together.
+3. A block of text is fixed when its class is valid and it is on every page that has the
+   element around it; inside an article it must be on every page.
 4. Pages are parsed again. Blocks in marked containers, outside the article of a page that has
    one, and fixed ones go. An article of which nothing would stay keeps its fixed blocks.
 
@@ -40,6 +42,7 @@ LEAST_PAGES = 3  # distinct pages that a host needs for a template of its own
 LEAST_SHARE = 0.01  # of the pages on which a template token occurs
 MOST_BROADCAST = 64 << 20
 EVERYWHERE = "*"
+LEAST_TOKENS = 2  # of a valid class
 DEPTH = 24  # steps that a path spells out; those below are a hash, with article, main and mark
 
 # Elements by what they are.
@@ -222,8 +225,11 @@ def templates(pages: DataFrame) -> DataFrame:
     frequent = written(stats.join(pages_of, kind).where(F.col("support") >= F.greatest(F.lit(LEAST_PAGES), F.col("pages") * LEAST_SHARE)), "frequent")
     around = frequent.where("text IS NULL").select(*kind, F.col("path").alias("above"), F.col("class").alias("class_above"), F.col("support").alias("support_above"))
     placed = written(frequent.join(around, [*kind, "above"], "left"), "placed")
+    outer = F.when(F.col("support_above") > F.col("support"), F.col("class_above"))
+    classes = placed.groupBy(*kind, "class").agg(F.count("*").alias("tokens"), F.min(outer).alias("first"), F.max(outer).alias("last"))
+    valid = classes.where((F.col("tokens") >= LEAST_TOKENS) & (F.col("first").isNull() | (F.col("first") == F.col("last")))).select(*kind, "class")
     filled = F.when(F.col("article"), F.col("pages")).otherwise(F.coalesce("support_above", "pages"))
-    fixed = placed.where(F.col("text").isNotNull() & (F.col("support") == filled)).groupBy(kind).agg(F.collect_list("text").alias("fixed"))
+    fixed = placed.where(F.col("text").isNotNull() & (F.col("support") == filled)).join(valid, [*kind, "class"]).groupBy(kind).agg(F.collect_list("text").alias("fixed"))
     return pages_of.join(fixed, kind, "left").select(*kind, F.coalesce("fixed", F.array().cast("array<bigint>")).alias("fixed"))
 
 

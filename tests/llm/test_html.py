@@ -100,3 +100,27 @@ def test_a_page_with_an_article_leaves_the_template_of_the_others(spark):
     page = "<div><b>Shop name</b></div><section><p>story {i}</p></section><ul><li>Home<li>About</ul>"
     pages = [(f"http://a.example/{i}", page.format(i=i)) for i in range(6)] + [("http://a.example/x", "<article><p>read me</p></article><p>out</p>")]
     assert extracted(spark, pages) == [f"story {i}" for i in range(6)] + ["read me"]
+
+
+def test_classes_decide_by_block(spark):
+    """A path that holds fixed and varied blocks; the fixed ones share the vector of the page's
+    root. A line on every article page is template, one of a class on its own is not."""
+    pages = [(f"http://a.example/{i}", f"<div>Shop name</div><div>story {i}</div><div>All rights kept</div>") for i in range(6)]
+    pages += [(f"http://b.example/{i}", f"<article><p>Share this</p><p>story {i}</p></article>") for i in range(6)]
+    pages += [(f"http://c.example/{i}", f"<article><p>the same article</p></article><p>{i}</p>") for i in range(4)]
+    got = extracted(spark, pages)
+    assert got[:12] == [f"story {i}" for i in range(6)] * 2
+    assert got[12:] == ["the same article"] * 4
+
+
+def test_a_class_in_two_enclosing_classes_is_no_template(spark):
+    """Its tokens meet by chance: both lines are on the same pages, in boxes of different classes."""
+    one = "<div><p>line one</p></div>"
+    two = "<ul><li>line two</ul>"
+    pages = []
+    for i in range(20):
+        box = one if i < 5 else "<div></div>" if i < 12 else ""
+        lists = two if i < 5 else "<ul></ul>" if i < 5 or i >= 12 and i < 18 else ""
+        pages.append((f"http://a.example/{i}", f"<section>story {i}</section>{box}{lists}"))
+    got = extracted(spark, pages)
+    assert got[0] == "story 0\nline one\nline two" and got[19] == "story 19"
