@@ -6,7 +6,8 @@
 4. secrets: credentials are masked in the texts, and n_chars follows.
 5. packing: what is left is packed into sequences of at most 2048 tokens.
 
-Each stage takes all that its predecessor kept, as a written table. SQL cannot express a
+Each stage takes all that its predecessor kept, as a written table, and numbers its rows, so
+that every row is decided by itself, also where ids are null or repeated. SQL cannot express a
 trained classifier, inferred automata or a tokenizer, so ORACLE_SQL is None and the tests
 hold the stages against brute-force versions.
 """

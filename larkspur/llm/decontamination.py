@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import Words, map_pieces, without, written
+from .kit import NUMBER, Words, map_pieces, numbered, without, written
 
 WINDOW = 10
 BLOCK = np.uint64(0x9FB21C651E98DF25)
@@ -145,9 +145,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     total = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     passes = max(1, -(-total // pass_bytes))
     fields = "n_words BIGINT, n_hit BIGINT, spans ARRAY<STRUCT<start: BIGINT, end: BIGINT>>, items ARRAY<STRING>"
-    numbered = passes > 1
+    many = passes > 1
     keep = [key]
-    if numbered:  # repeated rows need a number of their own to merge the passes of each
+    if many:  # repeated rows need a number of their own to merge the passes of each
         docs, keep = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered"), ["_row", key]
     found = None
     for i in range(passes):
@@ -155,7 +155,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
         shared = spark.sparkContext.broadcast(compile_patterns([(r.item, r.text) for r in rows], window))
         part = map_pieces(docs, text, keep, fields, lambda shared=shared: kernel(shared.value))
         found = part if found is None else found.unionByName(part)
-    if not numbered:
+    if not many:
         return found
     hit = F.array_sort(F.array_distinct(F.flatten("runs")))
     merged = found.groupBy("_row").agg(
@@ -173,7 +173,8 @@ def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents in which no window of the benchmark occurs, with all their columns. A
-    row whose id is null stays."""
-    hit = contamination(docs, benchmark, key, text).where("n_hit > 0")
-    return without(docs, hit.select(key), key)
+    """The documents in which no window of the benchmark occurs, with all their columns.
+    Each row goes by its own text, whatever its id."""
+    docs = numbered(docs)
+    hit = contamination(docs, benchmark, NUMBER, text).where("n_hit > 0")
+    return without(docs, hit.select(NUMBER), NUMBER).drop(NUMBER)

@@ -248,6 +248,15 @@ def without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
 
 
+NUMBER = "_number"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows, each with a ``NUMBER`` of its own, in a written table: decisions can be joined
+    back whether ids are null, repeated or unique."""
+    return written(docs.withColumn(NUMBER, F.monotonically_increasing_id()), "numbered")
+
+
 def hash_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     """The n rows whose keys have the least hashes (null keys left out; fewer if there are).
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import IS_WORD, Words, bucket, hash_sample, map_pieces, per_text, without, written
+from .kit import IS_WORD, Words, bucket, NUMBER, hash_sample, map_pieces, numbered, per_text, without, written
 
 SAMPLE = 6000  # bound of the positives fitted on; unlabelled rows are twice as many
 KEEP = 0.7
@@ -177,12 +177,14 @@ def _featurize():
     return lambda batch, buf, off: {"features": list(features(buf, off))}
 
 
-def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, held_out=None) -> DataFrame:
+def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, held_out=None, row: str | None = None) -> DataFrame:
     """Per document its quality ``score``. ``held_out`` is a condition on the id: labels and
-    texts of such rows are never learned from."""
+    texts of such rows are never learned from. With ``row``, that column names the rows of the
+    result instead of the id."""
+    own = row or key
     spark = docs.sparkSession
     held_out = F.lit(False) if held_out is None else held_out
-    table = written(map_pieces(docs.select(key, F.col(text).alias("text")), "text", [key], "features ARRAY<FLOAT>", _featurize), "features")
+    table = written(map_pieces(docs.select(*dict.fromkeys([key, own]), F.col(text).alias("text")), "text", list(dict.fromkeys([key, own])), "features ARRAY<FLOAT>", _featurize), "features")
     marks = labels.select(key, F.col(label).alias("label")).where(F.col("label").isNotNull() & F.col(key).isNotNull() & ~held_out).groupBy(key).agg(F.max("label").alias("label"))
 
     def matrix(rows: DataFrame, n: int) -> np.ndarray:
@@ -193,7 +195,7 @@ def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     positive = matrix(known.where("label = 1"), sample)
     unlabelled = matrix(table.where(~held_out), 2 * sample)
     if not len(positive) or not len(unlabelled):
-        return table.select(key, F.lit(0.5).alias("score"))
+        return table.select(own, F.lit(0.5).alias("score"))
     n, good = marks.agg(F.count("*"), F.coalesce(F.sum((F.col("label") == 1).cast("int")), F.lit(0))).first()
     if good < n:
         prior = good / n
@@ -205,9 +207,9 @@ def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     def run(batches):
         for batch in batches:
             x = batch.column("features").flatten().to_numpy().reshape(-1, N_FEATURES)
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(model.score(x), pa.float64())], names=[key, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(own), pa.array(model.score(x), pa.float64())], names=[own, "score"])
 
-    return table.mapInArrow(run, table.select(key, F.lit(0.0).alias("score")).schema)
+    return table.mapInArrow(run, table.select(own, F.lit(0.0).alias("score")).schema)
 
 
 def predictions(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -218,7 +220,8 @@ def predictions(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose score reaches 0.7, with all their columns. A row whose id is null
-    stays: its score cannot be joined back. Of rows with equal ids none stays if one is poor."""
-    poor = scores(docs, labels, key, text, held_out=bucket(key, FOLDS) == HELD_OUT).where(F.col("score") < KEEP)
-    return without(docs, poor.select(key), key)
+    """The documents whose score reaches 0.7, with all their columns. Each row goes by its own
+    score, whatever its id."""
+    docs = numbered(docs)
+    poor = scores(docs, labels, key, text, held_out=bucket(key, FOLDS) == HELD_OUT, row=NUMBER).where(F.col("score") < KEEP)
+    return without(docs, poor.select(NUMBER), NUMBER).drop(NUMBER)

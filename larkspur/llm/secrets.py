@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import in_batches, map_pieces, small_side, written
+from .kit import NUMBER, in_batches, map_pieces, numbered, small_side, written
 
 KINDS = ("assign", "access", "hex")
 MAX_LABELS = 400  # bound of the labelled sample, for each kind
@@ -247,13 +247,13 @@ MASK = "[secret]"
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """The documents with every secret's characters replaced by a mask, all columns kept.
-
-    Ids must be unique, as after deduplication.
-    """
-    hits = spans(docs, key, text).select(F.col(key).alias("_key"), F.concat("base", "added").alias("_spans")).where(F.size("_spans") > 0)
-    hits = small_side(hits, 512)
+    Each row goes by its own text, whatever its id."""
     names = docs.columns
-    out = docs.join(hits, docs[key] == hits["_key"], "left")
+    schema = docs.schema
+    docs = numbered(docs)
+    hits = spans(docs, NUMBER, text).select(F.col(NUMBER).alias("_key"), F.concat("base", "added").alias("_spans")).where(F.size("_spans") > 0)
+    hits = small_side(hits, 512)
+    out = docs.join(hits, docs[NUMBER] == hits["_key"], "left")
 
     def mask(batches):
         import pyarrow as pa
@@ -267,7 +267,7 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str
                 columns[i] = pa.array([old if s is None or t is None else len(t) for old, t, s in zip(columns[i].to_pylist(), new, found)], columns[i].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return in_batches(out.select(*names, "_spans"), mask, docs.schema)
+    return in_batches(out.select(*names, "_spans"), mask, schema)
 
 
 def cut(text: str, found: list[dict]) -> str:

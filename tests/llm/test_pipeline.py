@@ -44,3 +44,35 @@ def test_sql_of_the_operators(spark, data):
         place = {d[0]: i for i, d in enumerate(result.description)}
         want = sorted((tuple(r[place[k]] for k in columns) for r in result.fetchall()), key=str)
         assert sorted((tuple(r) for r in df.select(*columns).collect()), key=str) == want, name
+
+
+def test_rows_without_an_id_or_with_a_repeated_one_go_by_their_own_text(spark):
+    """Each stage on null and repeated ids: what it decides for a text holds for that row only."""
+    from larkspur.llm import decontamination, secrets, similarity
+
+    item = " ".join(f"q{i}" for i in range(12))
+    secret = 'x token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" y'
+    texts = ["clean words of one row", "other clean words, not of that row", item, secret]
+    rows = [(k, t) for k in (None, 7) for t in texts] + [(None, texts[0]), (3, item)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(3)
+    bench = spark.createDataFrame([(1, item)], "item_id BIGINT, text STRING")
+    seen = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    assert seen(decontamination.keep_clean(docs, bench)) == sorted([r for r in rows if r[1] != item], key=str)
+    assert seen(similarity.keep_one(docs)) == sorted([(7, t) for t in texts if t != item] + [(3, item)], key=str)
+    masked = 'x token = "[secret]" y'
+    assert seen(secrets.redact(docs)) == sorted([(k, masked if t == secret else t) for k, t in rows], key=str)
+
+
+def test_quality_decides_each_row(spark, data):
+    from larkspur.llm import quality
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    by = {r.doc_id: r.score for r in quality.scores(docs, labels, held_out=quality.bucket("doc_id", 5) == 0).collect()}
+    text = {r.doc_id: r.text for r in docs.collect()}
+    worst, best = min(by, key=by.get), max(by, key=by.get)
+    assert by[worst] < quality.KEEP <= by[best]
+    more = [(None, text[worst]), (None, text[best]), (10**12, text[worst]), (10**12, text[best])]
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id BIGINT, text STRING"))
+    kept = [(r.doc_id, r.text) for r in quality.keep_good(both, labels).where("doc_id IS NULL OR doc_id = 1000000000000").collect()]
+    assert sorted(kept, key=str) == sorted([(None, text[best]), (10**12, text[best])], key=str)
