@@ -7,9 +7,10 @@ masked); the sum of the conditional log-probabilities is the document's score.
    share hash buckets; one symbol stands for what lies beyond a text's ends.
 2. The network (shared embeddings, one hidden layer, a two-level softmax) is trained in
    numpy: a start on at most ``START`` texts on the driver, then one round over all texts, in
-   which every partition trains from that start and the partitions' weights, weighted by
-   words, are averaged. Weights are summed in a stream after a shuffle by block, so no task
-   holds more than a few blocks, and the driver gets one network.
+   which every partition trains from that start on every place of its texts and the
+   partitions' weights, weighted by words, are averaged. Weights are summed in a stream after
+   a shuffle by block, so no task holds more than a few blocks, and the driver gets one
+   network.
 3. With the average, embedding times input weights is one table for each window place, and
    all texts are scored in one pass.
 
@@ -34,7 +35,6 @@ KNOWN = VOCABULARY - BUCKETS - 1
 EDGE = VOCABULARY - 1
 EMBED, HIDDEN = 24, 32
 START = 600  # texts on which the driver trains the first network
-STRIDE = 4  # in the round over all texts, every fourth place of a text is a target
 MINIBATCH = 2048
 BLOCK = 4096
 HELD_WORDS = 1 << 20
@@ -206,6 +206,13 @@ def steps(network: Network, words: Words, sym: np.ndarray, at: np.ndarray) -> No
         network.train(contexts(sym, words, part), sym[part])
 
 
+def train_on(network: Network, words: Words, known: np.ndarray, number: np.ndarray, rng: np.random.Generator) -> int:
+    """Train on every place of the texts, in random order; the number of places."""
+    n = len(words.hash)
+    steps(network, words, symbols(words, known, number), rng.permutation(n))
+    return n
+
+
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
     """(hashes, symbols, weights), as described above."""
     known, number = vocabulary(docs, text)
@@ -216,8 +223,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[np.nd
     for epoch in range(2):
         for batch in texts.to_batches():
             for _, buf, off in pieces(batch, "text"):
-                words = Words(buf, off)
-                steps(network, words, symbols(words, known, number), rng.permutation(len(words.hash)))
+                train_on(network, Words(buf, off), known, number, rng)
     shared = docs.sparkSession.sparkContext.broadcast((known, number, flat(network.w)))
 
     def local(batches):
@@ -226,10 +232,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[np.nd
         for batch in batches:
             for _, buf, off in pieces(batch, text):
                 words = Words(buf, off)
-                n = len(words.hash)
-                at = np.flatnonzero((np.arange(n) - words.first[:-1][words.text] + words.count[words.text]) % STRIDE == 0) if n else np.zeros(0, np.int64)
-                steps(network, words, symbols(words, known, number), np.random.default_rng(n).permutation(at))
-                trained += len(at)
+                trained += train_on(network, words, known, number, np.random.default_rng(len(words.hash)))
         if trained:
             values = flat(network.w)
             blocks = [values[i : i + BLOCK] for i in range(0, len(values), BLOCK)]

@@ -53,3 +53,20 @@ def test_weights_pack_and_unpack():
     w = P.Network().w
     again = P.shaped(P.flat(w))
     assert all((again[k] == w[k]).all() for k in w)
+
+
+def test_every_place_is_a_target():
+    import pyarrow as pa
+
+    from larkspur.llm.kit import Words, utf8
+
+    none = np.zeros(0, np.uint64)
+    for texts in (["one"], ["one", "two words", "and now five more words", ""]):
+        network = P.Network()
+        before = network.w["o"].copy()
+        words = Words(*utf8(pa.array(texts)))
+        seen = P.symbols(words, none, none.astype(np.int64))
+        n = P.train_on(network, words, none, none.astype(np.int64), np.random.default_rng(0))
+        assert n == sum(len(t.split()) for t in texts)
+        raised = network.w["o"][seen % P.CLASSES, seen // P.CLASSES] - before[seen % P.CLASSES, seen // P.CLASSES]
+        assert (raised > 0).all()
