@@ -1,18 +1,23 @@
 """Secret scans with automata inferred from the credentials themselves.
 
-Three patterns give the labelled credentials (the base spans). For each kind a prefix tree
-of its values, over character classes, is built and its statistically compatible states are
-merged (Hoeffding bounds on the outgoing and stopping frequencies, red-blue order), which
-gives a probabilistic automaton of the format. Another automaton is inferred from runs that
-look like ordinary words. Every candidate run of a text is then scored by its log-likelihood
-under each format against the background; runs as likely as the labelled ones become spans
-of that kind, beside the base spans, which always stay.
-
-Texts are read once: a pass writes base spans and candidate runs, and the automata are
-fitted on at most ``max_labels`` distinct values of each kind, taken by hash order.
-
-Null or empty texts have no spans. Repeated rows each get their row. Where no credential of a
-kind is present, no span of that kind is added. Offsets are code points, ends exclusive.
+Three patterns give the labelled credentials (the base spans). Two passes over all texts:
+
+1. Labelled values and, from every other run of the credential alphabet, the counts of the
+   background: a chain over (place in the run, character class before, class), summed over the
+   whole corpus.
+2. For each kind a prefix tree of at most ``max_labels`` distinct whole values (by hash), over
+   character classes, is merged level by level: states of one level become one where no
+   frequency of what follows differs by more than Hoeffding's bound. Place and length survive,
+   so an automaton knows where its values end; levels that fewer than ``LEAST`` values reach
+   share one looping state.
+3. Every run of ``LEAST_RUN`` characters or more outside the base spans is a candidate. It
+   becomes a span of a kind when its mean log-likelihood is that of 99 of 100 labelled values at
+   least, and the kind's posterior against the background, with prior odds of labelled values to
+   candidates in this corpus, reaches ``POSTERIOR``. Likelihoods only fall along a run, so runs
+   are left as soon as they cannot reach it.
+
+Null or empty texts have no spans. Repeated rows each get their row. Of a kind with fewer than
+``LEAST_LABELS`` labelled values no span is added. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -21,13 +26,19 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import NUMBER, in_batches, map_pieces, numbered, small_side, written
+from .kit import hash_sample, in_batches, map_pieces, pieces, written
 
 KINDS = ("assign", "access", "hex")
-MAX_LABELS = 400  # bound of the labelled sample, for each kind
+MAX_LABELS = 2000  # bound of the labelled sample, for each kind
+LEAST_LABELS = 5
+LEAST = 10  # values that a level of an automaton needs for states of its own
+LEAST_RUN = 6
+POSTERIOR = 0.9
+ALPHA = 0.05
 
 # The patterns of labelled credentials.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -35,17 +46,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-WORDLIKE = re.compile(r"[A-Za-z]{5,}")
-_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
-
 # Character classes: digit, a-f, other lower, A-F, other upper, and each sign by itself.
 SIGNS = "+/_.=-"
 N_CLASSES = 5 + len(SIGNS)
+STOP = N_CLASSES
 CLASS = np.full(256, -1, np.int8)
 CLASS[48:58], CLASS[97:103], CLASS[103:123], CLASS[65:71], CLASS[71:91] = 0, 1, 2, 3, 4
 for _i, _c in enumerate(SIGNS):
     CLASS[ord(_c)] = 5 + _i
+LEVELS = 12  # places of a run that the background tells apart
+SHAPE = (LEVELS, N_CLASSES + 1, N_CLASSES + 1)  # place, class before (the last: none), class or stop
+SMOOTH = 0.05
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, str]]:
@@ -61,172 +72,249 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def candidate_runs(text: str, taken: list[tuple[str, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Runs that hold both letters and digits and touch no base span."""
-    out = []
-    for m in CANDIDATE.finditer(text):
-        run = m[0]
-        if _DIGIT.search(run) and _LETTER.search(run) and not any(a < m.end() and m.start() < b for _, a, b, _ in taken):
-            out.append((m.start(), m.end(), run))
-    return out
-
-
-def classes(value: str) -> np.ndarray:
-    return CLASS[np.frombuffer(value.encode("latin-1", "replace"), np.uint8)]
+def candidates(buf: np.ndarray, off: np.ndarray, base: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(classes of all bytes, starts, ends) of the candidate runs of texts: what base spans
+    cover is cut out, signs at a run's ends are left out but for ``=`` behind it."""
+    cls = CLASS[buf]
+    if any(base):
+        lead = np.flatnonzero((buf & 0xC0) != 0x80)  # byte of each code point
+        first = np.searchsorted(lead, off)
+        lead = np.append(lead, len(buf))
+        for t in (t for t, found in enumerate(base) if found):
+            for _, a, b, _ in base[t]:
+                cls[lead[first[t] + a] : lead[first[t] + b]] = -1
+    m = cls >= 0
+    before = np.concatenate([[False], m])
+    before[off] = False
+    after = np.append(m, False)
+    after[off] = False
+    start, end = np.flatnonzero(m & ~before[:-1]), np.flatnonzero(m & ~after[1:]) + 1
+    long = end - start >= LEAST_RUN
+    start, end = start[long], end[long]
+    if len(start):
+        opens = np.append(np.flatnonzero(m & (cls < 5)), len(buf))
+        closes = np.append(-1, np.flatnonzero(m & ((cls < 5) | (cls == CLASS[ord("=")]))))
+        start = opens[np.searchsorted(opens, start)]
+        end = closes[np.searchsorted(closes, end) - 1] + 1
+        long = end - start >= LEAST_RUN
+        start, end = start[long], end[long]
+    return cls, start, end
+
+
+def _cells(cls: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Background cells of runs, one for each character and one for the stop; first of each run."""
+    size = end - start + 1
+    first = np.cumsum(size) - size
+    place = np.arange(size.sum()) - np.repeat(first, size)
+    at = np.repeat(start, size) + place
+    stop = place == np.repeat(size - 1, size)
+    now = np.where(stop, STOP, cls[np.minimum(at, len(cls) - 1)]).astype(np.int64)
+    before = np.where(place == 0, N_CLASSES, cls[at - 1]).astype(np.int64)
+    return (np.minimum(place, LEVELS - 1) * SHAPE[1] + before) * SHAPE[2] + now, first
+
+
+class Background:
+    """Log-likelihood of runs under the chain counted over all candidates."""
+
+    def __init__(self, counts: np.ndarray):
+        c = counts.reshape(SHAPE) + SMOOTH
+        self.log_p = np.log(c / c.sum(2, keepdims=True)).ravel()
+
+    def totals(self, cls: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if not len(start):
+            return np.zeros(0)
+        cells, first = _cells(cls, start, end)
+        return np.add.reduceat(self.log_p[cells], first)
 
 
 class Automaton:
-    """A deterministic probabilistic automaton over character classes."""
-
-    def __init__(self, go: np.ndarray, count: np.ndarray, stop: np.ndarray):
-        total = count.sum(1) + stop
-        self.go = go
-        self.log_p = np.log((count + 0.05) / (total + 0.05 * (N_CLASSES + 1))[:, None])
-        self.log_stop = np.log((stop + 0.05) / (total + 0.05 * (N_CLASSES + 1)))
+    """A deterministic probabilistic automaton over character classes; state 0 is the start,
+    the last state takes what no labelled value did and is never left."""
+
+    def __init__(self, go: np.ndarray, count: np.ndarray):
+        n = len(count)
+        self.go = np.full((n + 1, N_CLASSES), n, np.int32)
+        self.go[:n] = np.where(go < 0, n, go)
+        self.log_p = np.full((n + 1, N_CLASSES + 1), math.log(1e-3))
+        self.log_p[:n] = np.log((count + SMOOTH) / (count.sum(1) + SMOOTH * (N_CLASSES + 1))[:, None])
+        self.loops = (self.go == np.arange(n + 1)[:, None]).all(1)
+
+    def totals(self, cls: np.ndarray, start: np.ndarray, end: np.ndarray, need: np.ndarray | None = None) -> np.ndarray:
+        """Log-likelihood of each run, the stop included; runs that fall below ``need`` are
+        left where they do."""
+        out, state = np.zeros(len(start)), np.zeros(len(start), np.int64)
+        live, step = np.arange(len(start)), 0
+        while len(live):
+            at = start[live] + step
+            done = at >= end[live]
+            out[live[done]] += self.log_p[state[live[done]], STOP]
+            for i in live[~done & self.loops[state[live]]]:  # one state up to the end
+                out[i] += np.bincount(cls[start[i] + step : end[i]], minlength=N_CLASSES) @ self.log_p[state[i], :STOP] + self.log_p[state[i], STOP]
+                done[live == i] = True
+            live = live[~done]
+            c = cls[start[live] + step]
+            out[live] += self.log_p[state[live], c]
+            state[live] = self.go[state[live], c]
+            if need is not None:
+                live = live[out[live] >= need[live]]
+            step += 1
+        return out
 
     def score(self, value: str) -> float:
         """Mean log-likelihood of a symbol, the stop included."""
-        state, out = 0, 0.0
-        for n, c in enumerate(classes(value)):
-            if state < 0 or c < 0:
-                return (out + (len(value) - n) * math.log(1e-3)) / (len(value) + 1)
-            out += self.log_p[state, c]
-            state = self.go[state, c]
-        return (out + (self.log_stop[state] if state >= 0 else math.log(1e-3))) / (len(value) + 1)
-
-
-def infer(values: list[str], alpha: float = 0.05) -> Automaton:
-    """Merge compatible states of the values' prefix tree, in red-blue order."""
-    go, count, stop = [[-1] * N_CLASSES], [[0] * N_CLASSES], [0]
-    for value in values:
-        s = 0
-        for c in classes(value):
-            count[s][c] += 1
-            if go[s][c] < 0:
-                go[s][c] = len(go)
-                go.append([-1] * N_CLASSES)
-                count.append([0] * N_CLASSES)
-                stop.append(0)
-            s = go[s][c]
-        stop[s] += 1
+        return float(means(self, [value])[0])
+
+
+def _laid(values: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = np.frombuffer("".join(values).encode("latin-1", "replace"), np.uint8)
+    end = np.cumsum([len(v) for v in values])
+    return CLASS[raw], end - [len(v) for v in values], end
+
+
+def means(automaton: Automaton, values: list[str]) -> np.ndarray:
+    cls, start, end = _laid(values)
+    return automaton.totals(cls, start, end) / (end - start + 1)
+
+
+def infer(values: list[str], alpha: float = ALPHA) -> Automaton:
+    """Merge compatible states of the values' prefix tree, level by level.
+
+    A state is the set of values that pass it; it is never spelled out as a tree.
+    """
+    cls, start, end = _laid(values)
     bound = math.sqrt(0.5 * math.log(2 / alpha))
 
-    def differ(f1: int, n1: int, f2: int, n2: int) -> bool:
-        return n1 > 0 and n2 > 0 and abs(f1 / n1 - f2 / n2) > bound * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
+    def follow(members: np.ndarray, level: int) -> np.ndarray:
+        at = start[members] + level
+        return np.where(at < end[members], cls[np.minimum(at, len(cls) - 1)], STOP)
 
-    def compatible(a: int, b: int) -> bool:
-        todo = [(a, b)]
+    def compatible(a: np.ndarray, b: np.ndarray, level: int) -> bool:
+        todo = [(a, b, level)]
         while todo:
-            a, b = todo.pop()
-            n1, n2 = sum(count[a]) + stop[a], sum(count[b]) + stop[b]
-            if differ(stop[a], n1, stop[b], n2) or any(differ(count[a][c], n1, count[b][c], n2) for c in range(N_CLASSES)):
+            a, b, level = todo.pop()
+            allowed = bound * (len(a) ** -0.5 + len(b) ** -0.5)
+            if allowed >= 1:
+                continue
+            x, y = follow(a, level), follow(b, level)
+            if (np.abs(np.bincount(x, minlength=STOP + 1) / len(a) - np.bincount(y, minlength=STOP + 1) / len(b)) > allowed).any():
                 return False
-            todo += [(go[a][c], go[b][c]) for c in range(N_CLASSES) if go[a][c] >= 0 and go[b][c] >= 0 and go[a][c] != a]
+            todo += [(a[x == c], b[y == c], level + 1) for c in np.intersect1d(x, y) if c != STOP]
         return True
 
-    def fold(a: int, b: int) -> None:
-        """Add the tree below b to what is below a."""
-        todo = [(a, b)]
-        while todo:
-            a, b = todo.pop()
-            stop[a] += stop[b]
-            for c in range(N_CLASSES):
-                count[a][c] += count[b][c]
-                if go[b][c] >= 0:
-                    if go[a][c] < 0:
-                        go[a][c] = go[b][c]
-                    else:
-                        todo.append((go[a][c], go[b][c]))
-
-    red = [0]
-    while True:
-        blue = [(r, c) for r in red for c in range(N_CLASSES) if go[r][c] >= 0 and go[r][c] not in red]
-        if not blue:
+    go, count = [], []
+    level, states = 0, [np.arange(len(values))]
+    while states:
+        first = len(go)
+        seen = [follow(m, level) for m in states]
+        count += [np.bincount(x, minlength=STOP + 1) for x in seen]
+        go += [np.full(N_CLASSES, -1) for _ in states]
+        groups = [(m[x == c], first + i, c) for i, (m, x) in enumerate(zip(states, seen)) for c in np.unique(x) if c != STOP]
+        level += 1
+        if sum(len(g) for g, _, _ in groups) < LEAST:
+            if groups:  # what few values reach: one state that loops
+                tail = len(go)
+                rest = np.concatenate([g for g, _, _ in groups])
+                count.append(sum(np.bincount(cls[start[i] + level : end[i]], minlength=STOP + 1) for i in rest) + np.bincount([STOP], minlength=STOP + 1) * len(rest))
+                go.append(np.full(N_CLASSES, tail))
+                for _, state, c in groups:
+                    go[state][c] = tail
             break
-        r, c = max(blue, key=lambda x: count[x[0]][x[1]])  # the best known state first
-        b = go[r][c]
-        for target in red:
-            if compatible(target, b):
-                go[r][c] = target
-                fold(target, b)
-                break
-        else:
-            red.append(b)
-    index = {s: i for i, s in enumerate(red)}
-    return Automaton(np.array([[index.get(t, -1) for t in go[s]] for s in red]), np.array([count[s] for s in red], float), np.array([stop[s] for s in red], float))
+        merged: list[np.ndarray] = []
+        for members, state, c in sorted(groups, key=lambda g: -len(g[0])):
+            k = next((k for k, m in enumerate(merged) if compatible(m, members, level)), None)
+            if k is None:
+                k = len(merged)
+                merged.append(members)
+            else:
+                merged[k] = np.concatenate([merged[k], members])
+            go[state][c] = len(go) + k
+        states = merged
+    return Automaton(np.array(go), np.array(count, float))
 
 
 class Formats:
-    """Automata of all kinds and of the background, with the thresholds they imply."""
+    """Automata of all kinds and the background, with the thresholds that the corpus implies."""
 
-    def __init__(self, labelled: dict[str, list[str]], words: list[str]):
+    def __init__(self, labelled: dict[str, list[str]], known: dict[str, int], counts: np.ndarray):
+        self.background = Background(counts)
+        runs = counts.reshape(SHAPE)[0].sum()
         self.kinds = {}
-        self.background = infer(words) if words else None
         for kind in KINDS:
-            if len(values := labelled.get(kind, [])) >= 5:
+            if len(values := labelled.get(kind, [])) >= LEAST_LABELS:
                 automaton = infer(values)
-                own = sorted(automaton.score(v) for v in values)
-                self.kinds[kind] = (automaton, own[len(own) // 100])  # as likely as 99 of 100 labelled ones
+                own = np.sort(means(automaton, values))
+                odds = math.log(max(1.0, runs / known[kind])) + math.log(POSTERIOR / (1 - POSTERIOR))
+                self.kinds[kind] = (automaton, own[len(own) // 100] - 1e-9, odds)
 
-    def classify(self, run: str) -> tuple[str, float] | None:
-        """The kind whose format explains a run, with its log-odds for each symbol."""
-        found = [(a.score(run), kind) for kind, (a, least) in self.kinds.items() if a.score(run) >= least]
-        if not found:
-            return None
-        likelihood, kind = max(found)
-        odds = likelihood - (self.background.score(run) if self.background else -10.0)
-        return (kind, odds) if odds > 0.5 else None
+    def classify(self, cls: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, str]]:
+        """(run, kind) of the runs that a kind's format explains, the likeliest kind of each."""
+        background = self.background.totals(cls, start, end)
+        best, out = np.full(len(start), -np.inf), {}
+        for kind, (automaton, least, odds) in self.kinds.items():
+            total = automaton.totals(cls, start, end, np.maximum(background + odds, least * (end - start + 1)))
+            for i in np.flatnonzero((total - background >= odds) & (total >= least * (end - start + 1)) & (total > best)):
+                best[i], out[int(i)] = total[i], kind
+        return sorted(out.items())
 
 
 SPAN = "STRUCT<kind: STRING, start: BIGINT, end: BIGINT, value: STRING>"
 
 
-def _scan():
-    def kernel(batch, buf, off):
-        base, runs, words = [], [], []
-        for text in batch.column("text").to_pylist():
-            text = text or ""
-            found = base_spans(text)
-            base.append([dict(zip(("kind", "start", "end", "value"), x)) for x in found])
-            runs.append([{"kind": "", "start": a, "end": b, "value": v} for a, b, v in candidate_runs(text, found)])
-            m = WORDLIKE.search(text, len(text) // 2)
-            words.append(m[0][:64] if m else None)
-        return {"base": base, "runs": runs, "word": words}
+def scan(texts: list[str | None], buf: np.ndarray, off: np.ndarray, formats: Formats) -> tuple[list, list]:
+    """Base and added spans (kind, start, end, value) of each text."""
+    base = [base_spans(t) if t else [] for t in texts]
+    added: list[list] = [[] for _ in texts]
+    if formats.kinds:
+        cls, start, end = candidates(buf, off, base)
+        for i, kind in formats.classify(cls, start, end):
+            t = int(np.searchsorted(off, start[i], "right")) - 1
+            before = int(((buf[off[t] : start[i]] & 0xC0) != 0x80).sum())
+            value = buf[start[i] : end[i]].tobytes().decode("ascii")
+            added[t].append((kind, before, before + len(value), value))
+    return base, added
 
-    return kernel
 
+def fit(docs: DataFrame, text: str = "text", max_labels: int = MAX_LABELS) -> Formats:
+    """One pass over all texts: labelled values and the background's counts."""
 
-def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", max_labels: int = MAX_LABELS) -> DataFrame:
-    """Per document: ``base`` spans and ``added`` spans (kind, start, end, value), by start."""
-    spark = docs.sparkSession
-    found = written(map_pieces(docs.select(key, F.col(text).alias("text")), "text", [key], f"base ARRAY<{SPAN}>, runs ARRAY<{SPAN}>, word STRING", _scan), "spans")
+    def run(batches):
+        total = np.zeros(math.prod(SHAPE), np.int64)
+        for batch in batches:
+            for part, buf, off in pieces(batch, text):
+                base = [base_spans(t) if t else [] for t in part.column(text).to_pylist()]
+                cls, start, end = candidates(buf, off, base)
+                if len(start):
+                    total += np.bincount(_cells(cls, start, end)[0], minlength=len(total))
+                found = [(s[0], s[3]) for spans in base for s in spans]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found]), pa.array([v for _, v in found]), pa.nulls(len(found), pa.int32()), pa.array([1] * len(found), pa.int64())], names=names)
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(cell), pa.string()), pa.nulls(len(cell), pa.string()), pa.array(cell, pa.int32()), pa.array(total[cell], pa.int64())], names=names)
+
+    names = ["kind", "value", "cell", "n"]
+    seen = written(in_batches(docs.select(text), run, "kind STRING, value STRING, cell INT, n BIGINT"), "labelled")
+    counts = np.zeros(math.prod(SHAPE))
+    for r in seen.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # cells of a fixed table
+        counts[r.cell] = r.n
+    known = {r.kind: r.n for r in seen.where("kind IS NOT NULL").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    labelled = {kind: [r.value for r in hash_sample(seen.where(F.col("kind") == kind).select("value").distinct(), "value", max_labels).collect()] for kind in known}
+    return Formats(labelled, known, counts)
 
-    def sample(values: DataFrame) -> list:
-        return values.distinct().orderBy(F.xxhash64("value"), "value").limit(max_labels).collect()
 
-    # One explode of the small span table; each kind's sample is a bounded top-k.
-    each = found.select(F.explode("base").alias("s")).select("s.kind", "s.value")
-    labelled = {kind: [r.value for r in sample(each.where(F.col("kind") == kind).select(F.substring("value", 1, 256).alias("value")))] for kind in KINDS}
-    words = [r.value for r in sample(found.where("word IS NOT NULL").select(F.col("word").alias("value")))]
-    shared = spark.sparkContext.broadcast(Formats(labelled, words))
+def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", max_labels: int = MAX_LABELS) -> DataFrame:
+    """Per document: ``base`` spans and ``added`` spans (kind, start, end, value), by start."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, text, max_labels))
 
-    schema = found.select(key, "base").schema.add("added", found.schema["base"].dataType)
+    def make():
+        formats = shared.value
 
-    def score(batches):
-        import pyarrow as pa
+        def kernel(batch, buf, off):
+            both = scan(batch.column("text").to_pylist(), buf, off, formats)
+            return {name: [[dict(zip(("kind", "start", "end", "value"), s)) for s in found] for found in x] for name, x in zip(("base", "added"), both)}
 
-        formats = shared.value
-        for batch in batches:
-            added = []
-            for runs in batch.column("runs").to_pylist():
-                got = []
-                for x in runs or []:
-                    if hit := formats.classify(x["value"]):
-                        got.append(x | {"kind": hit[0]})
-                added.append(got)
-            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("base"), pa.array(added, batch.column("base").type)], names=[key, "base", "added"])
+        return kernel
 
-    return found.select(key, "base", "runs").mapInArrow(score, schema)
+    return map_pieces(docs.select(key, F.col(text).alias("text")), "text", [key], f"base ARRAY<{SPAN}>, added ARRAY<{SPAN}>", make)
 
 
 def joined(spans_column) -> F.Column:
@@ -245,37 +333,33 @@ def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
 MASK = "[secret]"
 
 
-def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
-    """The documents with every secret's characters replaced by a mask, all columns kept.
-    Each row goes by its own text, whatever its id."""
+def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
+    """The documents with every secret's characters replaced by a mask, all columns kept. Texts
+    are masked in the pass that reads them, so each row goes by its own text, whatever its id."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, text))
     names = docs.columns
-    schema = docs.schema
-    docs = numbered(docs)
-    hits = spans(docs, NUMBER, text).select(F.col(NUMBER).alias("_key"), F.concat("base", "added").alias("_spans")).where(F.size("_spans") > 0)
-    hits = small_side(hits, 512)
-    out = docs.join(hits, docs[NUMBER] == hits["_key"], "left")
 
     def mask(batches):
-        import pyarrow as pa
-
+        formats = shared.value
         for batch in batches:
-            texts, found = batch.column(text).to_pylist(), batch.column("_spans").to_pylist()
-            new = [cut(t, s) if s else t for t, s in zip(texts, found)]
-            columns = [pa.array(new, batch.schema.field(text).type) if c == text else batch.column(c) for c in names]
-            if length in names:
-                i = names.index(length)
-                columns[i] = pa.array([old if s is None or t is None else len(t) for old, t, s in zip(columns[i].to_pylist(), new, found)], columns[i].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            for part, buf, off in pieces(batch, text):
+                texts = part.column(text).to_pylist()
+                found = [a + b for a, b in zip(*scan(texts, buf, off, formats))]
+                new = [cut(t, s) if s else t for t, s in zip(texts, found)]
+                columns = {c: part.column(c) for c in names} | {text: pa.array(new, part.schema.field(text).type)}
+                if length in names:
+                    columns[length] = pa.array([len(t) if s else n for n, t, s in zip(part.column(length).to_pylist(), new, found)], part.schema.field(length).type)
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
 
-    return in_batches(out.select(*names, "_spans"), mask, schema)
+    return in_batches(docs, mask, docs.schema)
 
 
-def cut(text: str, found: list[dict]) -> str:
+def cut(text: str, found: list[tuple]) -> str:
     """Mask the union of the spans; of an assignment only its value is masked."""
     out, at = [], 0
-    for s in sorted(found, key=lambda s: (s["start"], s["end"])):
-        start = max(at, s["end"] - len(s["value"]))
-        if s["end"] > at:
-            out += [text[at:start], MASK if start == s["end"] - len(s["value"]) or not out else ""]
-            at = s["end"]
+    for _, begin, end, value in sorted(found, key=lambda s: s[1:3]):
+        start = max(at, end - len(value))
+        if end > at:
+            out += [text[at:start], MASK if start == end - len(value) or not out else ""]
+            at = end
     return "".join(out) + text[at:]
