@@ -1,8 +1,7 @@
 """Main text of web pages by equivalence-class template deduction.
 
-A page's tokens are the element paths it opens (inline elements left out; containers that
-announce boilerplate by tag, role or class carry a mark) and its unmarked blocks of text, each
-with its path. For each host, apart for pages with and without an article or main element:
+A page's tokens are the element paths it opens (inline elements left out; elements that are
+boilerplate by tag or role carry a mark) and its unmarked blocks of text, each with its path. For each host, apart for pages with and without an article or main element:
 
 1. A token's occurrence vector over the distinct pages is summarised by an order-free
    fingerprint, a XOR of hashes of (page, count), so vectors need never be gathered: one
@@ -15,6 +14,8 @@ with its path. For each host, apart for pages with and without an article or mai
    element around it; inside an article it must be on every page.
 4. Pages are parsed again. Blocks in marked containers, outside the article of a page that has
    one, and fixed ones go. An article of which nothing would stay keeps its fixed blocks.
+   Class names and ids decide nothing but ties: where some of what is left lies in containers
+   named as adverts, comments and the like, and some does not, the former goes.
 
 Templates are broadcast while their measured size is small, else joined by host, where the
 adaptive skew join splits hosts with very many pages.
@@ -51,40 +52,47 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 RAW = frozenset("script style textarea title xmp noscript template iframe noframes".split())
 BOILERPLATE = frozenset("nav header footer aside form script style noscript template iframe svg button select textarea dialog menu head title object canvas audio video map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-HINTS = frozenset("ad ads adv advert adverts advertisement sponsor sponsored promo banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent notice notices popup modal newsletter subscribe share sharing social comment comments reply replies disqus respond related recommended widget pagination pager".split())
+HINTS = frozenset("ad ads adv advert adverts advertisement sponsor sponsored promo banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent notice notices popup modal newsletter subscribe share sharing social comment comments reply replies disqus respond related recommended pagination pager".split())
+FILLERS = frozenset("area bar block body bottom box button buttons card container content form group inline inner item items left link links list main outer page post posts reader readers right row section site slot thread top unit wrap wrapper widget".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-MARK = "!"
+MARK, HINT = "!", "?"
 
 
-def marked(tag: str, attributes: str) -> bool:
-    """Whether an element announces boilerplate."""
+def mark_of(tag: str, attributes: str) -> str:
+    """MARK where an element's tag, role or hiding says that it is no main text, HINT where
+    only a name of it does: one that is made of nothing but hints and fillers."""
     if tag in ("html", "body", "main"):
-        return False
+        return ""
     if tag in BOILERPLATE or HIDDEN.search(attributes):
-        return True
+        return MARK
+    out = ""
     for m in ATTRIBUTE.finditer(attributes):
         value = (m[2] or m[3] or m[4] or "").lower()
         if m[1].lower() == "role":
             if value in ROLES:
-                return True
-        elif not HINTS.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+                return MARK
+        elif tag not in HEADINGS:
+            for name in value.split():
+                parts = set(re.split(r"[^a-z]+", name)) - {""}
+                if parts & HINTS and parts <= HINTS | FILLERS:
+                    out = HINT
+    return out
 
 
-def below(path: str, depth: int, tag: str, mark: bool) -> str:
+def below(path: str, depth: int, tag: str, mark: str) -> str:
     """The path of an element at a depth. Beyond DEPTH the steps are hashed, so that paths stay
     short; the first article, main and marked step of them are still spelled out."""
-    step = f"/{tag}{MARK if mark else ''}"
+    step = f"/{tag}{mark}"
     if depth <= DEPTH:
         return path + step
     above, _, deep = path.partition("/~")
-    told = step if mark and MARK not in path or tag in ("article", "main") and not in_article(path) else ""
+    told = step if mark and mark not in path or tag in ("article", "main") and not in_article(path) else ""
     return f"{above}/~{xxhash.xxh64_hexdigest(path + step)}{deep[16:]}{told}"
 
 
@@ -133,7 +141,7 @@ def tree(page: str) -> tuple[list[tuple[str, str]], Counter, dict[str, str]]:
                     continue
             elif tag in VOID or attributes.endswith("/"):
                 continue
-            elif not marked(tag, attributes):
+            elif not mark_of(tag, attributes):
                 if held:
                     stack.append((tag, stack[-1][1]))
                 continue
@@ -146,9 +154,9 @@ def tree(page: str) -> tuple[list[tuple[str, str]], Counter, dict[str, str]]:
         flush()
         if tag in VOID:
             continue
-        if tag in ("article", "main") and MARK in stack[-1][1]:
+        if tag in ("article", "main") and set(MARK + HINT) & set(stack[-1][1]):
             # An article does not lie in a menu or an advert: something was left open.
-            depth = next((i for i, (_, p) in enumerate(stack) if MARK in p and not re.search(r"/(?:article|main|section)" + MARK, p)), 0)
+            depth = next((i for i, (_, p) in enumerate(stack) if set(MARK + HINT) & set(p) and not re.search(r"/(?:article|main|section)[!?]", p)), 0)
             if depth:
                 del stack[depth:]
         if tag in CLOSES_P:
@@ -163,7 +171,7 @@ def tree(page: str) -> tuple[list[tuple[str, str]], Counter, dict[str, str]]:
                 if stack[i][0] in same.split():
                     del stack[i:]
                     break
-        path = below(stack[-1][1], len(stack), tag, marked(tag, attributes))
+        path = below(stack[-1][1], len(stack), tag, mark_of(tag, attributes))
         opened[path] += 1
         inside[path] = stack[-1][1]
         if tag in RAW:
@@ -181,7 +189,7 @@ def in_article(path: str) -> bool:
 
 
 def by_rule(path: str, article: bool) -> bool:
-    """Whether a slot is content, without statistics; ``article``: the template has one."""
+    """Whether a slot may be content, without statistics; ``article``: the page has one."""
     return MARK not in path and (in_article(path) or not article)
 
 
@@ -234,7 +242,8 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 def has_article(opened) -> bool:
-    return any(in_article(p) and MARK not in p for p in opened)
+    """Whether a page has an article or main element that nothing marks or hints at."""
+    return any(in_article(p) and MARK not in p and HINT not in p for p in opened)
 
 
 def kept(page: str, fixed: dict[bool, frozenset | set]) -> str:
@@ -243,7 +252,9 @@ def kept(page: str, fixed: dict[bool, frozenset | set]) -> str:
     article = has_article(opened)
     allowed = [x for x in found if by_rule(x[0], article)]
     varied = [x for x in allowed if hash_block(*x) not in fixed[article]] if fixed[article] else allowed
-    return "\n".join(t for _, t in (varied if varied or not article else allowed))
+    left = varied if varied or not article else allowed
+    # Hints break ties: what they name goes where other text is left.
+    return "\n".join(t for _, t in [x for x in left if HINT not in x[0]] or left)
 
 
 def _extract(general: dict[bool, list]):
