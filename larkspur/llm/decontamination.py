@@ -3,11 +3,13 @@
 Every run of ``window`` consecutive words of a benchmark item is a pattern (an item of fewer
 words, but not none, is one pattern). A block is two words. The shift table says, for the
 block that ends a position, how far no pattern can end; zero leads to the bucket of patterns
-with that suffix, whose window hash and then whose bytes are compared. The cursors of many
-texts move in step, so each move is one numpy operation.
+with that suffix, whose window hash and then whose bytes are compared, for every pattern of an
+equal hash. The cursors of many texts move in step, so each move is one numpy operation.
 
-Documents never move: the compiled patterns are broadcast, in passes of at most
-``pass_bytes`` of benchmark text, and only hit documents are merged over passes.
+Patterns are places in the benchmark's own text, not strings of their own: a pass holds the
+text and about 30 bytes for each of its words. Documents never move: passes of at most
+``pass_bytes`` of benchmark text are broadcast, and only documents that several passes hit are
+merged. ``keep_clean`` filters in the pass that reads the texts.
 
 Null or empty texts have no words; null items and items without a word give no pattern; a
 benchmark row with a null id is ignored. Repeated benchmark rows count once. Repeated
@@ -22,30 +24,55 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import NUMBER, Words, map_pieces, numbered, without, written
+from .kit import CHUNK_BYTES, Words, keep_rows, map_pieces, written
 
 WINDOW = 10
 BLOCK = np.uint64(0x9FB21C651E98DF25)
 SEGMENT = 64
+SLICE = 1 << 18  # patterns hashed at a time
+
+
+class Bench:
+    """Words of the benchmark's texts, taken some texts at a time: the fields of Words that
+    matchers use."""
+
+    def __init__(self, texts: list[bytes]):
+        size = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+        parts, i = [], 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(size, size[i] + CHUNK_BYTES, "right")) - 1)
+            words = Words(np.frombuffer(b"".join(texts[i:j]), np.uint8), size[i : j + 1] - size[i])
+            parts.append((words.low, words.hash, words.start + size[i], words.end + size[i], words.text + i, words.count))
+            i = j
+        self.low, self.hash, self.start, self.end, self.text, self.count = (np.concatenate(x) for x in zip(*parts))
+        self.first = np.concatenate([[0], np.cumsum(self.count)])
 
 
 class Matcher:
-    """Wu-Manber tables for patterns of one length, in words."""
-
-    def __init__(self, patterns: list[tuple[bytes, list[str]]], hashes: np.ndarray):
-        self.m = hashes.shape[1]
-        self.width = min(2, self.m)
-        order = np.argsort(full := self.window_hash(hashes), kind="stable")
-        self.full = full[order]
-        self.patterns = [patterns[i] for i in order]
-        hashes = hashes[order]
-        bits = max(12, int(4 * hashes.size).bit_length())
+    """Wu-Manber tables for patterns of one length, in words, that start at given words."""
+
+    def __init__(self, words: Bench, starts: np.ndarray, item: np.ndarray, names: list[str], m: int):
+        self.m, self.width, self.names = m, min(2, m), names
+        windows = np.lib.stride_tricks.sliding_window_view(words.hash, m)
+        full = np.concatenate([self.window_hash(windows[starts[i : i + SLICE]]) for i in range(0, len(starts), SLICE)])
+        order = np.argsort(full, kind="stable")
+        self.full, self.starts, self.item = full[order], starts[order].astype(np.int32), item[order].astype(np.int32)
+        self.text, self.begin, self.end = words.low, words.start.astype(np.int32), words.end.astype(np.int32)
+        bits = max(12, int(4 * len(starts)).bit_length())
         self.down = np.uint64(64 - bits)
-        self.shift = np.full(1 << bits, self.m - self.width + 1, np.int64)
-        for j in range(self.m - self.width + 1):
-            slot = self.block(hashes, j + self.width - 1) >> self.down
-            np.minimum.at(self.shift, slot, self.m - self.width - j)
-        self.suffixes = np.unique(self.block(hashes, self.m - 1))
+        self.shift = np.full(1 << bits, m - self.width + 1, np.int8 if m < 127 else np.int64)
+        blocks = []
+        for i in range(0, len(starts), SLICE):
+            part = windows[starts[i : i + SLICE]]
+            for j in range(m - self.width + 1):
+                np.minimum.at(self.shift, self.block(part, j + self.width - 1) >> self.down, self.shift.dtype.type(m - self.width - j))
+            blocks.append(np.unique(self.block(part, m - 1)))
+        self.suffixes = np.unique(np.concatenate(blocks))
+
+    def spelled(self, k: int) -> bytes:
+        """Words of a pattern, with single blanks."""
+        s = self.starts[k]
+        return b" ".join(self.text[self.begin[j] : self.end[j]].tobytes() for j in range(s, s + self.m))
 
     @staticmethod
     def window_hash(h: np.ndarray) -> np.ndarray:
@@ -86,30 +113,28 @@ class Matcher:
         ends = ends[np.isin(block[ends], self.suffixes)]  # the suffix buckets
         starts = np.sort(ends) - self.m + 1
         full = self.window_hash(h[starts[:, None] + np.arange(self.m)])
-        i = np.minimum(np.searchsorted(self.full, full), len(self.full) - 1)
+        low, high = np.searchsorted(self.full, full), np.searchsorted(self.full, full, "right")
         out = []
-        for s, k in zip(starts[self.full[i] == full], i[self.full[i] == full]):
-            pattern, items = self.patterns[k]
-            if b" ".join(words.word(j) for j in range(s, s + self.m)) == pattern:
-                out.append((int(s), items))
+        for s, a, b in zip(starts[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist()):
+            found = b" ".join(words.word(j) for j in range(s, s + self.m))
+            if items := {self.names[self.item[k]] for k in range(a, b) if self.spelled(k) == found}:
+                out.append((s, items))
         return out
 
 
 def compile_patterns(items: list[tuple[str, str]], window: int = WINDOW) -> list[Matcher]:
     """Matchers, one for each pattern length, of (item id, text) rows."""
-    words = None
-    groups: dict[int, dict[bytes, tuple[np.ndarray, set]]] = defaultdict(dict)
-    for item, text in items:
-        if item is None or not text:
-            continue
-        raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-        words = Words(raw, np.array([0, len(raw)]))
-        n = len(words.hash)
-        m = min(window, n)
-        spelled = [words.word(i) for i in range(n)]
-        for i in range(n - m + 1 if n else 0):
-            groups[m].setdefault(b" ".join(spelled[i : i + m]), (words.hash[i : i + m], set()))[1].add(item)
-    return [Matcher([(p, sorted(ids)) for p, (_, ids) in g.items()], np.array([h for h, _ in g.values()])) for _, g in sorted(groups.items())]
+    items = [(item, text) for item, text in dict.fromkeys(items) if item is not None and text]
+    if not items:
+        return []
+    words = Bench([text.encode("utf-8", "replace") for _, text in items])
+    of = np.minimum(window, words.count)
+    out = []
+    for m in np.unique(of[of > 0]).tolist():
+        place = np.arange(len(words.hash))
+        starts = np.flatnonzero((of[words.text] == m) & (place + m <= words.first[1:][words.text]))
+        out.append(Matcher(words, starts, words.text[starts], [item for item, _ in items], m))
+    return out
 
 
 def kernel(matchers: list[Matcher]):
@@ -137,34 +162,40 @@ def kernel(matchers: list[Matcher]):
     return run
 
 
+def passes(benchmark: DataFrame, text: str = "text", item: str = "item_id", window: int = WINDOW, pass_bytes: int = 32 << 20):
+    """Broadcast matchers of each pass over the benchmark."""
+    spark = benchmark.sparkSession
+    bench = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where(F.col("item").isNotNull())
+    total = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(1, -(-total // pass_bytes))
+    for i in range(n):
+        rows = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i).distinct().collect()  # about pass_bytes
+        yield spark.sparkContext.broadcast(compile_patterns([(r.item, r.text) for r in rows], window))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW, pass_bytes: int = 32 << 20) -> DataFrame:
     """Per document: n_words, n_hit, hit word ``spans`` and the ids (as text) of ``items``."""
-    spark = docs.sparkSession
     docs = docs.select(key, text)
-    bench = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where(F.col("item").isNotNull())
-    total = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    passes = max(1, -(-total // pass_bytes))
     fields = "n_words BIGINT, n_hit BIGINT, spans ARRAY<STRUCT<start: BIGINT, end: BIGINT>>, items ARRAY<STRING>"
-    many = passes > 1
-    keep = [key]
-    if many:  # repeated rows need a number of their own to merge the passes of each
-        docs, keep = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered"), ["_row", key]
-    found = None
-    for i in range(passes):
-        rows = bench.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == i).distinct().collect()  # about pass_bytes
-        shared = spark.sparkContext.broadcast(compile_patterns([(r.item, r.text) for r in rows], window))
-        part = map_pieces(docs, text, keep, fields, lambda shared=shared: kernel(shared.value))
-        found = part if found is None else found.unionByName(part)
-    if not many:
-        return found
-    hit = F.array_sort(F.array_distinct(F.flatten("runs")))
-    merged = found.groupBy("_row").agg(
-        F.first(key).alias(key),
-        F.max("n_words").alias("n_words"),
-        F.flatten(F.collect_list(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1)))).alias("runs"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    return merged.select(key, "n_words", F.size(hit).cast("bigint").alias("n_hit"), F.transform(hit, lambda w: F.struct(w.alias("start"), (w + 1).alias("end"))).alias("spans"), "items")
+    made = list(passes(benchmark, text, item, window, pass_bytes))
+    if len(made) == 1:
+        return map_pieces(docs, text, [key], fields, lambda: kernel(made[0].value))
+    # Repeated rows need a number of their own to merge the passes of each.
+    docs = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = [map_pieces(docs, text, ["_row", key], fields, lambda shared=shared: kernel(shared.value)) for shared in made]
+    first, rest = found[0], found[1].where("n_hit > 0")
+    for more in found[2:]:
+        rest = rest.unionByName(more.where("n_hit > 0"))
+    rest = rest.groupBy("_row").agg(F.flatten(F.collect_list("spans")).alias("s"), F.flatten(F.collect_list("items")).alias("i"))
+    both = first.join(written(rest, "passes"), "_row", "left")
+    whole = F.array_sort(F.concat("spans", F.coalesce("s", F.array().cast(first.schema["spans"].dataType))))
+    # Overlapping and neighbouring spans become one, as within a pass.
+    last = lambda a: F.element_at(a, -1)
+    joined = F.aggregate(whole, F.array().cast(first.schema["spans"].dataType), lambda a, x: F.when((F.size(a) > 0) & (last(a)["end"] >= x["start"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["start"].alias("start"), F.greatest(last(a)["end"], x["end"]).alias("end"))))).otherwise(F.concat(a, F.array(x))))
+    both = both.withColumn("spans", F.when(F.col("s").isNull(), F.col("spans")).otherwise(joined))
+    hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"])
+    items = F.array_sort(F.array_distinct(F.concat("items", F.coalesce("i", F.array().cast("array<string>")))))
+    return both.select(key, "n_words", hit.alias("n_hit"), "spans", items.alias("items"))
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -172,9 +203,14 @@ def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return found.select(key, "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort("items")).cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents in which no window of the benchmark occurs, with all their columns.
-    Each row goes by its own text, whatever its id."""
-    docs = numbered(docs)
-    hit = contamination(docs, benchmark, NUMBER, text).where("n_hit > 0")
-    return without(docs, hit.select(NUMBER), NUMBER).drop(NUMBER)
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The documents in which no window of the benchmark occurs, with all their columns. Rows
+    are dropped in the passes that read them, so each goes by its own text, whatever its id."""
+    for shared in passes(benchmark, text):
+
+        def make(shared=shared):
+            run = kernel(shared.value)
+            return lambda batch, buf, off: run(batch, buf, off)["n_hit"] == 0
+
+        docs = keep_rows(docs, text, make)
+    return docs

@@ -144,10 +144,13 @@ def documents(docs: DataFrame, key: str = "doc_id", text: str = "text", *more: s
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which every executor and the driver see.
 
-    Where the setting is absent (tests on one machine) a folder in /tmp is set and used.
+    Where the setting is absent a folder in /tmp is set and used on one machine; on a cluster
+    that is an error, as executors would write to disks of their own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file:///tmp/larkspur-shared"
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -192,15 +195,16 @@ def release() -> None:
         pass
 
 
-BATCH_ROWS = "1000"  # of documents: a few megabytes in an Arrow batch
+def small_batches(spark: SparkSession) -> SparkSession:
+    """For applications, not operators: Arrow batches of documents hold a few megabytes, unless
+    the user has set their size."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return spark
 
 
 def in_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """mapInArrow for rows that hold texts: batches of few rows, memory released at the end."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # not set by the user
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-
+    """mapInArrow for rows that hold texts: memory is released when a task ends."""
     def released(batches):
         try:
             yield from run(batches)
@@ -235,16 +239,19 @@ def map_pieces(df: DataFrame, text: str, keep: list[str], fields: str, make: Cal
 MOST_BROADCAST = 64 << 20
 
 
-def small_side(df: DataFrame, row_bytes: int, limit: int = MOST_BROADCAST) -> DataFrame:
-    """A written table, marked for broadcast only where its measured size allows it."""
+def small_side(df: DataFrame, limit: int = MOST_BROADCAST) -> DataFrame:
+    """A written table, marked for broadcast only where its measured size allows it: its rows,
+    each with the lengths of its strings and 16 bytes for every other field."""
     df = written(df, "side")
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    width = [F.coalesce(F.octet_length(f.name), F.lit(0)) + 8 if f.dataType.simpleString() in ("string", "binary") else F.lit(16) for f in df.schema]
+    size = df.agg(F.coalesce(F.sum(sum(width, F.lit(24))), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= limit else df
 
 
 def without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not among ``ids`` (one column); null keys stay. Texts are not
     shuffled while the ids to drop fit a broadcast."""
-    gone = small_side(ids.toDF("_gone").where("_gone IS NOT NULL").distinct(), 32)
+    gone = small_side(ids.toDF("_gone").where("_gone IS NOT NULL").distinct())
     return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
 
 
@@ -257,15 +264,35 @@ def numbered(docs: DataFrame) -> DataFrame:
     return written(docs.withColumn(NUMBER, F.monotonically_increasing_id()), "numbered")
 
 
+def hash_share(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """A share of the rows by hash of their keys that holds n of them almost surely."""
+    scale = 1 << 40
+    rows = rows.where(F.col(key).isNotNull())
+    share = min(scale, int(scale * (n + 8 * n**0.5 + 50) / max(1, rows.count())) + 1)
+    return rows.where(F.pmod(F.xxhash64(key), F.lit(scale)) < share)
+
+
+def first_by_hash(rows: DataFrame, key: str, n: int) -> DataFrame:
+    return rows.orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 40)), key).limit(n)
+
+
 def hash_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     """The n rows whose keys have the least hashes (null keys left out; fewer if there are).
 
-    A share of the hashes that holds n rows almost surely is filtered first, so that not every
-    partition sends n rows of its own to the one task that merges them.
+    A share of the hashes is filtered first, so that not every partition sends n rows of its
+    own to the one task that merges them.
     """
-    scale = 1 << 40
-    rows = rows.where(F.col(key).isNotNull())
-    total = rows.count()
-    place = F.pmod(F.xxhash64(key), F.lit(scale))
-    share = min(scale, int(scale * (n + 8 * n**0.5 + 50) / max(1, total)) + 1)
-    return rows.where(place < share).orderBy(place, key).limit(n)
+    return first_by_hash(hash_share(rows, key, n), key, n)
+
+
+def keep_rows(docs: DataFrame, text: str, make: Callable) -> DataFrame:
+    """The rows that a kernel keeps, with all columns, in the pass that reads them.
+    ``make()`` is called once in each task and returns ``kernel(batch, buf, off) -> mask``."""
+
+    def run(batches):
+        kernel = make()
+        for batch in batches:
+            for part, buf, off in pieces(batch, text):
+                yield part.filter(pa.array(kernel(part, buf, off)))
+
+    return in_batches(docs, run, docs.schema)

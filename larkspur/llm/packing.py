@@ -15,8 +15,14 @@ By default the target proportions are those of the corpus, so all queues end tog
 Every window is full. The last, partial one becomes sequences of powers of two in length,
 which need no padding.
 
-Null texts are empty: their only id is the end mark. A null source is a queue of its own.
-Repeated rows are packed each. Beyond ``MOST_QUEUES`` sources, sources share queues by hash.
+A source with at least ``1 / LARGE`` of all tokens, or a weight of its own, has its own queue.
+All others share one queue, in which each advances in proportion: its documents are ordered
+by how much of their source lies before their middle. So windows hold every source's target
+proportion, to a token for large sources and to a document for small ones, whatever the number
+of sources; only documents of small sources are shuffled, once.
+
+Null texts are empty: their only id is the end mark. A null source counts as the empty name.
+Repeated rows are packed each.
 """
 
 from __future__ import annotations
@@ -27,17 +33,16 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import default_path, default_ranks, encoder
-from .kit import in_batches, pieces, written
+from .kit import in_batches, pieces, small_side, written
 
 WINDOW = 2048
 END = 1
 RUN = 512
-MOST_QUEUES = 1024
-MOST_BROADCAST = 64 << 20
+LARGE = 512  # a source has its own queue from this share of all tokens on
 SCALE = 96  # bits of the clock
 
 
@@ -150,15 +155,10 @@ class Schedule:
 
 
 def tokenized(docs: DataFrame, key: str, text: str, source: str, path: str, ranks: str | None) -> DataFrame:
-    """The token table: key, queue, part, before (the queue's tokens before it in the part),
+    """The token table: key, source, part, before (the source's tokens before it in the part),
     n and ids (little-endian, of the width that the vocabulary needs)."""
-    sources = docs.select(F.coalesce(source, F.lit("")).alias("s")).distinct()
-    many = sources.limit(MOST_QUEUES + 1).count() > MOST_QUEUES
-    queue = F.coalesce(source, F.lit(""))
-    if many:
-        queue = F.pmod(F.xxhash64(queue), F.lit(MOST_QUEUES)).cast("string")
-    rows = docs.select(F.col(key).alias("key"), queue.alias("queue"), F.col(text).alias("text"))
-    schema = rows.select("key", "queue").schema.add("part", "long").add("before", "long").add("n", "long").add("ids", "binary")
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(source, F.lit("")).alias("source"), F.col(text).alias("text"))
+    schema = rows.select("key", "source").schema.add("part", "long").add("before", "long").add("n", "long").add("ids", "binary")
 
     def run(batches):
         bpe = encoder(path, ranks)
@@ -169,47 +169,79 @@ def tokenized(docs: DataFrame, key: str, text: str, source: str, path: str, rank
             for piece, buf, off in pieces(batch, "text"):
                 ids = [np.append(x, end) for x in bpe.encode(buf, off)]
                 start = []
-                for q, x in zip(piece.column("queue").to_pylist(), ids):
+                for q, x in zip(piece.column("source").to_pylist(), ids):
                     start.append(before.get(q, 0))
                     before[q] = start[-1] + len(x)
-                columns = [piece.column("key"), piece.column("queue"), pa.array([part] * len(ids), pa.int64()), pa.array(start, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
+                columns = [piece.column("key"), piece.column("source"), pa.array([part] * len(ids), pa.int64()), pa.array(start, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return written(in_batches(rows, run, schema), "tokens")
 
 
+def bases(rows: DataFrame, by: str) -> DataFrame:
+    """(by, part, base): tokens of each group before each part, from rows with n."""
+    ahead = Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = written(rows.groupBy("part", by).agg(F.sum("n").alias("sum")), "parts")
+    return parts.select("part", by, F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("base"))
+
+
+def interleaved(small: DataFrame, totals: DataFrame) -> DataFrame:
+    """Rows of small sources as one queue, each source advancing in proportion: ordered by the
+    share of their source before their middle, which a range partitioning spreads over tasks."""
+    placed = small.join(small_side(totals), "source")
+    placed = placed.join(small_side(bases(small, "source")), ["source", "part"])
+    done = (F.col("base") + F.col("before") + F.col("n") / 2) / F.col("sum")
+    ordered = placed.select("key", "source", "n", "ids", done.alias("done"), F.xxhash64("source").alias("tie"), (F.col("base") + F.col("before")).alias("x"))
+    ordered = ordered.repartitionByRange("done", "tie", "x").sortWithinPartitions("done", "tie", "x", "source")
+    kept = ordered.select("key", "source", "n", "ids")
+    schema = kept.select("key", "source").schema.add("part", "long").add("before", "long").add("n", "long").add("ids", "binary")
+
+    def run(batches):
+        part, before = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            ends = before + np.cumsum(n)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("source"), pa.array([part] * len(n), pa.int64()), pa.array(ends - n, pa.int64()), batch.column("n"), batch.column("ids")], names=schema.names)
+            before = int(ends[-1]) if len(ends) else before
+
+    return written(in_batches(kept, run, schema), "small")
+
+
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: dict[str, float] | None = None, window: int = WINDOW, path: str | None = None, ranks: str | None = None) -> DataFrame:
-    """Pieces: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue.
+    """Pieces: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue (the source).
 
     ``weights`` are the target proportions of the sources; those left out get 1 % of the mean.
     """
     if path is None:
         path, ranks = default_path(), default_ranks()
     tokens = tokenized(docs, key, text, source, path, ranks)
-    parts = tokens.groupBy("part", "queue").agg(F.sum("n").alias("n"))
-    parts = written(parts, "parts")
-    totals = {r.queue: r.n for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).orderBy("queue").collect()}  # MOST_QUEUES rows at most
-    queues = list(totals)
+    totals = written(tokens.groupBy("source").agg(F.sum("n").alias("sum")), "totals")
+    total = totals.agg(F.coalesce(F.sum("sum"), F.lit(0))).first()[0]
+    large = F.col("sum") * LARGE >= total
+    if weights:
+        large = large | F.col("source").isin(*weights)
+    own = {r.source: r.sum for r in totals.where(large).orderBy("source").collect()}  # LARGE and the weighted ones at most
+    n_small, rest = totals.where(~large).agg(F.count("*"), F.coalesce(F.sum("sum"), F.lit(0))).first()
+    number = F.create_map(*[F.lit(x) for q, i in zip(own, range(len(own))) for x in (q, i)]) if own else F.create_map().cast("map<string, int>")
+    numbered = tokens.withColumn("queue", number[F.col("source")])
+    queued = numbered.where("queue IS NOT NULL")
+    if n_small:
+        small = interleaved(numbered.where("queue IS NULL").drop("queue"), totals.where(~large))
+        queued = queued.unionByName(small.withColumn("queue", F.lit(len(own))))
+    counts = [*own.values(), *([rest] if n_small else [])]
+    wanted = None
     if weights:
         least = sum(weights.values()) / len(weights) / 100
-        wanted = [max(1, round(weights.get(q, least) / sum(weights.values()) * (1 << 40))) for q in queues]
-    else:
-        wanted = None
-    from pyspark.sql import Window
-
-    ahead = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = parts.select("part", "queue", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
-    small = parts.count() * 64 <= MOST_BROADCAST
-    placed = tokens.join(F.broadcast(base) if small else base, ["part", "queue"]).select("key", "queue", (F.col("base") + F.col("before")).alias("x"), "n", "ids")
-    schema = placed.select(F.col("key").alias(key), *[F.lit(0).cast("bigint").alias(c) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")], F.col("queue")).schema
-    numbers = {q: i for i, q in enumerate(queues)}
-    counts = [totals[q] for q in queues]
+        shares = [weights.get(q, least) for q in own] + ([least * n_small] if n_small else [])
+        wanted = [max(1, round(x / sum(weights.values()) * (1 << 40))) for x in shares]
+    placed = queued.join(small_side(bases(queued, "queue")), ["part", "queue"]).select("key", "source", "queue", (F.col("base") + F.col("before")).alias("x"), "n", "ids")
+    schema = placed.select(F.col("key").alias(key), *[F.lit(0).cast("bigint").alias(c) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")], F.col("source").alias("queue")).schema
     wide = "<u4"
     width = 2 if encoder(path, ranks).dtype.itemsize == 2 else 4
 
     def run(batches):
         schedule = Schedule(counts, wanted, window)
-        near = dict.fromkeys(queues, 0)
+        near = [0] * len(counts)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -217,14 +249,14 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
             made, owner, crc = [], [], []
             for i, (q, x, n) in enumerate(zip(col["queue"], col["x"], col["n"])):
                 ids = memoryview(np.frombuffer(batch.column("ids")[i].as_buffer(), f"<u{width}").astype(wide)).cast("B")
-                got, near[q] = schedule.cuts(numbers[q], x, n, near[q])
+                got, near[q] = schedule.cuts(q, x, n, near[q])
                 made.append(got)
                 owner.append(len(got))
                 a = (4 * got[:, 0]).tolist()
                 crc += [zlib.crc32(ids[u:v]) for u, v in zip(a, a[1:] + [4 * n])]
             table = np.concatenate(made)
             at = pa.array(np.repeat(np.arange(len(owner)), owner))
-            columns = [batch.column("key").take(at), table[:, 0], table[:, 1], crc, batch.column("n").take(at), table[:, 2], table[:, 3], batch.column("queue").take(at)]
+            columns = [batch.column("key").take(at), table[:, 0], table[:, 1], crc, batch.column("n").take(at), table[:, 2], table[:, 3], batch.column("source").take(at)]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], names=schema.names)
 
     return in_batches(placed, run, schema)

@@ -3,13 +3,13 @@
 Trusted positives (label 1) and unlabelled web text train a small network by minimising the
 non-negative unbiased risk  pi * E_p[l(g)] + max(0, E_u[l(-g)] - pi * E_p[l(-g)])  with the
 logistic loss: where the second term turns negative its gradient is reversed instead. The
-class prior pi is the share of label 1 among the labelled training rows; where only
-positives are labelled it is the least ratio of unlabelled to positive texts above a score
-(best-bin estimate of a first network).
+class prior pi is estimated from positives and unlabelled text alone, as the least ratio of
+their shares above a score (best-bin estimate, cross-fitted by a first network); labels other
+than 1 are never used.
 
-Texts are read once: a pass computes style features of every whole text and writes them; the
-network is fitted on at most ``sample`` positives and twice as many unlabelled rows, taken in
-hash order of the id, and then scores the feature table.
+The network is fitted on style features of at most ``sample`` positives and twice as many
+unlabelled texts, taken by hash of the id; all whole texts are then read and scored in one
+pass, which writes no table.
 
 Null and empty texts have all-zero features and get that score. Repeated rows each get their
 row. Without a positive label every score is the prior's default, 0.5. Labels of null ids or
@@ -18,12 +18,13 @@ null values are ignored; of several labels of an id the largest counts.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import IS_WORD, Words, bucket, NUMBER, hash_sample, map_pieces, numbered, per_text, without, written
+from .kit import IS_WORD, Words, bucket, first_by_hash, hash_share, keep_rows, map_pieces, per_text
 
 SAMPLE = 6000  # bound of the positives fitted on; unlabelled rows are twice as many
 KEEP = 0.7
@@ -132,8 +133,8 @@ class Network:
         back = slope[:, None] * self.p[2] * (1 - h**2)
         return [z.T @ back, back.sum(0), h.T @ slope, np.array([slope.sum()])]
 
-    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, least_steps: int = 1800, batch: int = 256, rate: float = 0.01) -> Network:
-        """At least 30 epochs, and as many steps as a small sample needs too."""
+    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, least_steps: int = 1800, least_epochs: int = 30, batch: int = 256, rate: float = 0.01) -> Network:
+        """Some epochs at least, and as many steps as a small sample needs too."""
         both = np.concatenate([positive, unlabelled])
         self.mean, self.scale = both.mean(0), both.std(0) + 1e-3
         zp, zu = self.prepared(positive), self.prepared(unlabelled)
@@ -141,7 +142,7 @@ class Network:
         v = [np.zeros_like(x) for x in self.p]
         step = 0
         n_batches = max(1, -(-len(zu) // batch))
-        epochs = max(30, -(-least_steps // n_batches))
+        epochs = max(least_epochs, -(-least_steps // n_batches))
         for epoch in range(epochs):
             order = self.rng.permutation(len(zu))
             order_p = self.rng.permutation(len(zp))
@@ -166,62 +167,86 @@ class Network:
         return self
 
 
-def best_bin_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Least ratio of the shares of unlabelled and of positive scores above a threshold."""
+def best_bin_prior(positive: np.ndarray, unlabelled: np.ndarray, wide: float = 0.1) -> float:
+    """Ratio of the shares of unlabelled and of positive scores above the threshold at which
+    its upper confidence bound (of probability 1 - ``wide``) is least."""
     cuts = np.quantile(positive, np.linspace(0.0, 0.9, 91))
-    ratio = [np.mean(unlabelled >= c) / max(np.mean(positive >= c), 1e-9) for c in cuts]
-    return float(np.clip(min(ratio), 0.02, 0.98))
+    p, u = (np.maximum([np.mean(x >= c) for c in cuts], 1e-9) for x in (positive, unlabelled))
+    error = math.sqrt(math.log(4 / wide) / 2) * (len(positive) ** -0.5 + len(unlabelled) ** -0.5)
+    best = np.argmin((u + error) / p)
+    return float(np.clip(u[best] / p[best], 0.02, 0.98))
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, parts: int = 2, rounds: int = 2) -> float:
+    """Best-bin estimate from scores of texts by networks that were not fitted on them; a second
+    round fits those networks with the first round's estimate."""
+    prior, parts = 0.5, max(1, min(parts, len(positive), len(unlabelled)))
+    for _ in range(rounds):
+        p, u = np.zeros(len(positive)), np.zeros(len(unlabelled))
+        for i in range(parts):
+            in_p, in_u = np.arange(len(p)) % parts == i, np.arange(len(u)) % parts == i
+            net = Network().fit(positive[~in_p] if parts > 1 else positive, unlabelled[~in_u] if parts > 1 else unlabelled, prior, 600, 10)
+            p[in_p], u[in_u] = net.score(positive[in_p]), net.score(unlabelled[in_u])
+        prior = best_bin_prior(p, u)
+    return prior
 
 
 def _featurize():
     return lambda batch, buf, off: {"features": list(features(buf, off))}
 
 
-def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, held_out=None, row: str | None = None) -> DataFrame:
-    """Per document its quality ``score``. ``held_out`` is a condition on the id: labels and
-    texts of such rows are never learned from. With ``row``, that column names the rows of the
-    result instead of the id."""
-    own = row or key
-    spark = docs.sparkSession
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, held_out=None) -> Network | None:
+    """The network, or None where there is no positive label to learn from."""
     held_out = F.lit(False) if held_out is None else held_out
-    table = written(map_pieces(docs.select(*dict.fromkeys([key, own]), F.col(text).alias("text")), "text", list(dict.fromkeys([key, own])), "features ARRAY<FLOAT>", _featurize), "features")
-    marks = labels.select(key, F.col(label).alias("label")).where(F.col("label").isNotNull() & F.col(key).isNotNull() & ~held_out).groupBy(key).agg(F.max("label").alias("label"))
+    open_ = docs.where(~held_out).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    good = labels.where(F.col(key).isNotNull() & ~held_out).groupBy(F.col(key).alias("key")).agg(F.max(label).alias("label")).where("label = 1").select("key")
 
     def matrix(rows: DataFrame, n: int) -> np.ndarray:
-        got = hash_sample(rows, key, n).select("features").toArrow().column(0).combine_chunks()
+        near = map_pieces(hash_share(rows, "key", n), "text", ["key"], "features ARRAY<FLOAT>", _featurize)
+        got = first_by_hash(near, "key", n).select("features").toArrow().column(0).combine_chunks()
         return got.flatten().to_numpy().reshape(-1, N_FEATURES).astype(float)
 
-    known = table.join(marks, key)
-    positive = matrix(known.where("label = 1"), sample)
-    unlabelled = matrix(table.where(~held_out), 2 * sample)
+    positive = matrix(open_.join(good, "key"), sample)
+    unlabelled = matrix(open_, 2 * sample)
     if not len(positive) or not len(unlabelled):
-        return table.select(own, F.lit(0.5).alias("score"))
-    n, good = marks.agg(F.count("*"), F.coalesce(F.sum((F.col("label") == 1).cast("int")), F.lit(0))).first()
-    if good < n:
-        prior = good / n
-    else:
-        first = Network().fit(positive[::2], unlabelled[::2], 0.5)
-        prior = best_bin_prior(first.score(positive[1::2]), first.score(unlabelled[1::2]))
-    model = Network().fit(positive, unlabelled, prior)
+        return None
+    return Network().fit(positive, unlabelled, estimated_prior(positive, unlabelled))
+
 
-    def run(batches):
-        for batch in batches:
-            x = batch.column("features").flatten().to_numpy().reshape(-1, N_FEATURES)
-            yield pa.RecordBatch.from_arrays([batch.column(own), pa.array(model.score(x), pa.float64())], names=[own, "score"])
+def scored(model: Network | None, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    return model.score(features(buf, off)) if model else np.full(len(off) - 1, 0.5)
+
+
+def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, held_out=None) -> DataFrame:
+    """Per document its quality ``score``. ``held_out`` is a condition on the id: labels and
+    texts of such rows are never learned from."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, key, text, label, sample, held_out))
 
-    return table.mapInArrow(run, table.select(own, F.lit(0.0).alias("score")).schema)
+    def make():
+        model = shared.value
+        return lambda batch, buf, off: {"score": scored(model, buf, off)}
+
+    return map_pieces(docs.select(key, F.col(text).alias("text")), "text", [key], "score DOUBLE", make)
+
+
+def held(key: str):
+    """Whether a row is of the held-out fold; rows without an id are not."""
+    return F.coalesce(bucket(key, FOLDS) == HELD_OUT, F.lit(False))
 
 
 def predictions(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
     """The columns of op3: the fold of each row, its score and the decision at 0.7."""
-    held = bucket(key, FOLDS) == HELD_OUT
-    out = scores(docs, labels, key, held_out=held)
-    return out.select(key, held.alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
+    out = scores(docs, labels, key, held_out=held(key))
+    return out.select(key, held(key).alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose score reaches 0.7, with all their columns. Each row goes by its own
-    score, whatever its id."""
-    docs = numbered(docs)
-    poor = scores(docs, labels, key, text, held_out=bucket(key, FOLDS) == HELD_OUT, row=NUMBER).where(F.col("score") < KEEP)
-    return without(docs, poor.select(NUMBER), NUMBER).drop(NUMBER)
+    """The documents whose score reaches 0.7, with all their columns. Rows are dropped in the
+    pass that scores them, so each goes by its own score, whatever its id."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, key, text, held_out=held(key)))
+
+    def make():
+        model = shared.value
+        return lambda batch, buf, off: scored(model, buf, off) >= KEEP
+
+    return keep_rows(docs, text, make)

@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 from . import decontamination, html, jpeg, language, packing, pseudolikelihood, quality, secrets, similarity, warc
-from .kit import table
+from .kit import small_batches
+from .kit import table as stored
+
+
+def table(spark, sf_dir, name):
+    return stored(small_batches(spark), sf_dir, name)
 
 
 def op1_secrets(spark, sf_dir):

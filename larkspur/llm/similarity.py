@@ -3,20 +3,24 @@
 Similarity is the Jaccard coefficient of the sets of five consecutive words (a text of fewer
 words, but not none, has one shingle of all its words). Steps:
 
-1. Equal texts form a class; its smallest id stands for it.
+1. Equal texts form a class, which gets a number.
 2. MinHash signatures are cut into bands; a pair at the threshold misses all bands with a
-   probability below 1e-5. Each bucket gives star edges to its smallest member only, and
-   their components hold every candidate pair.
+   probability below 1e-5. The classes of a bucket are compared by sketches (the low bytes of
+   their MinHash values), some values at a time: a pair is dropped when the posterior
+   probability (uniform prior) that it reaches the threshold falls below ``tolerance``. Classes
+   that are joined already are not compared again, and only edges that join them are made, so
+   a bucket of near copies costs one comparison each. Texts that merely share a template
+   (below a similarity of about 0.6) part here: the components of what is left hold every
+   candidate pair, and do not grow by chance.
 3. Each component's texts are dealt out in blocks (pairs of blocks where it is large), so no
    task holds more than two blocks of a group and no row is made for a pair.
-4. Within a block the pairs' MinHash values are compared a few at a time; a pair is dropped
-   when the posterior probability (uniform prior) that it reaches the threshold falls below
-   ``tolerance``. The rest are verified exactly on their shingle sets.
+4. Within a block the pairs' full MinHash values are compared in the same way, and what is
+   left is verified exactly on shingle sets.
 5. Links are counted for each class and their components give the near-duplicate groups.
 
 Null texts are empty texts; texts without words have no links, equal ones share a class.
-Rows with a null key are left out; rows of equal key are one document's repeats, and where
-their texts differ the first of them by order stands for it in links.
+Every row goes by its own text, whatever its id: ids may be null or repeated. A group's id is
+the least of its rows; it is null where none of them has one.
 """
 
 from __future__ import annotations
@@ -37,6 +41,7 @@ BANDS, ROWS = 30, 5
 STEP = 30  # MinHash values compared between two prunings
 TOLERANCE = 1e-6
 BLOCK = 256  # classes in a block
+SKETCHES = 2048  # classes of a bucket in a block
 
 _A = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _B = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
@@ -74,11 +79,38 @@ def _bands():
         for j in range(ROWS):
             keys = mix(keys + sig[:, j::ROWS]) + np.arange(BANDS, dtype=np.uint64)
         keys = mix(keys).view(np.int64)
-        return {"bands": [k if n else [] for k, n in zip(keys, np.diff(first))]}
+        low = sig.astype(np.uint8)
+        n = np.diff(first)
+        return {"bands": [k if x else [] for k, x in zip(keys, n)], "sketch": [low[i].tobytes() if x else b"" for i, x in enumerate(n.tolist())]}
 
     return kernel
 
 
+def joined_by_sketch(sketch: np.ndarray, sides: tuple[np.ndarray, np.ndarray] | None, need: dict[int, int]) -> list[tuple[int, int]]:
+    """Edges (i, j) that join the rows whose sketches may reach the threshold, as all pairs
+    that may (of one row on either side where ``sides`` are given) would. A row that a group
+    takes in is compared with those outside the group only."""
+    n = len(sketch)
+    other = np.zeros(n, np.int8)
+    if sides is not None:
+        other[sides[1]] = 1
+    outside, edges = np.arange(n), []
+    while len(outside):
+        front, outside = [int(outside[0])], outside[1:]
+        while front and len(outside):
+            i = front.pop()
+            near = outside if sides is None else outside[other[outside] != other[i]]
+            same = np.zeros(len(near), np.int64)
+            for m in sorted(need):
+                same += (sketch[near, m - STEP : m] == sketch[i, m - STEP : m]).sum(1)
+                alive = same >= need[m]
+                near, same = near[alive], same[alive]
+            edges += [(i, int(j)) for j in near]
+            front += near.tolist()
+            outside = outside[~np.isin(outside, near)]
+    return edges
+
+
 def verify(sig, sets, left, right, need, threshold):
     """Pairs (left[i], right[i]) that reach the threshold."""
     left, right = np.asarray(left), np.asarray(right)
@@ -115,6 +147,60 @@ def verify(sig, sets, left, right, need, threshold):
     return left[ok], right[ok]
 
 
+def whole_groups(batches, names: tuple[str, ...], least: int = 512):
+    """Lists of slices of sorted batches that hold whole groups, a few hundred rows at a time."""
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in names])
+        at = 0
+        for cut in [*(np.flatnonzero(np.any(np.diff(keys) != 0, axis=0)) + 1), batch.num_rows]:
+            new = held and tuple(held[-1].column(c)[-1].as_py() for c in names) != tuple(int(k) for k in keys[:, at])
+            if new and size >= least:
+                yield held
+                held, size = [], 0
+            held.append(batch.slice(at, cut - at))
+            size += cut - at
+            at = cut
+    if held:
+        yield held
+
+
+def _sketched(threshold: float, tolerance: float):
+    """Kernel over rows sorted by (band, low, high): edges of classes that may be near."""
+    need = least_matches(threshold + (1 - threshold) / 256, tolerance)  # low bytes agree by chance too
+    names = ("band", "low", "high")
+
+    def run(batches):
+        for held in whole_groups(batches, names, 4096):
+            table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            col = {c: table.column(c).to_numpy() for c in (*names, "doc", "block")}
+            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+            edges = [0, *(np.flatnonzero(np.any([np.diff(col[c]) != 0 for c in names], axis=0)) + 1), table.num_rows]
+            out = []
+            for a, b in zip(edges, edges[1:]):
+                low, high = col["low"][a], col["high"][a]
+                block = col["block"][a:b]
+                sides = None if low == high else (np.flatnonzero(block == low), np.flatnonzero(block == high))
+                out += [(int(col["doc"][a + i]), int(col["doc"][a + j])) for i, j in joined_by_sketch(sketch[a:b], sides, need)]
+            u, v = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def dealt(rows: DataFrame, group: str, sizes: DataFrame, block: int) -> DataFrame:
+    """Rows (group, doc, ...) with (low, high, block): each in every pair of blocks of its group
+    that its own block is part of."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    rows = rows.join(sizes.select(group, blocks.alias("blocks")), group).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.withColumn("other", other)
+    rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "blocks")
+    return rows
+
+
 def _joined(threshold: float, tolerance: float):
     """Kernel over rows sorted by (root, low, high): link counts and star edges of links."""
     need = least_matches(threshold, tolerance)
@@ -168,20 +254,7 @@ def _joined(threshold: float, tolerance: float):
             docs, links, lead = zip(*out) if out else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(links, pa.int64()), pa.array(lead, pa.int64())], names=names)
 
-        size = 0
-        for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("root", "low", "high")])
-            at = 0
-            cuts = [*(np.flatnonzero(np.any(np.diff(keys) != 0, axis=0)) + 1), batch.num_rows]
-            for cut in cuts:  # whole groups, a few hundred rows at a time
-                new = held and tuple(held[-1].column(c)[-1].as_py() for c in ("root", "low", "high")) != tuple(int(k) for k in keys[:, at])
-                if new and size >= 512:
-                    yield flush(held)
-                    held, size = [], 0
-                held.append(batch.slice(at, cut - at))
-                size += cut - at
-                at = cut
-        if held:
+        for held in whole_groups(batches, ("root", "low", "high")):
             yield flush(held)
 
     return run
@@ -190,33 +263,40 @@ def _joined(threshold: float, tolerance: float):
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """Per document: ``class_id`` (least id of its near-duplicate group), ``text_class``
     (least id with an equal text) and ``n_links`` (other text classes at the threshold)."""
-    docs = docs.select(F.col(key).cast("bigint").alias("doc"), F.coalesce(text, F.lit("")).alias("text")).where("doc IS NOT NULL")
-    hashed = docs.withColumn("same", F.unhex(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32)))
-    found = written(map_pieces(hashed, "text", ["doc", "same"], "bands ARRAY<BIGINT>", _bands), "bands")
-    # Written first: a join of two scans lets the adaptive skew join split a hot text's rows.
-    leads = written(found.groupBy("same").agg(F.min("doc").alias("rep")), "leads")
-    members = written(found.select("doc", "same").join(leads, "same").select("doc", "rep"), "members")
-
-    banded = found.join(members.where("doc = rep").select("doc").distinct(), "doc").select("doc", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("doc").alias("v"), F.count("*").alias("n")).where("n > 1").select("band", "v")
-    stars = banded.join(buckets, "band").where("doc <> v").select(F.col("doc").alias("u"), "v")
-    candidates = components(stars)
-    labelled = candidates.select(F.col("u").alias("rep"), F.col("v").alias("root"))
-    labelled = written(labelled.union(labelled.select(F.col("root").alias("rep"), "root").distinct()), "candidates")
-    sizes = labelled.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = labelled.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    placed = small_side(placed, 32)
-    one = docs.join(placed, docs["doc"] == placed["rep"])
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = one.select("root", "doc", "block", "text", other.alias("other")).select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc", "block", "text")
-    dealt = dealt.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "doc", "text")
-    links = written(in_batches(dealt, _joined(threshold, tolerance), "doc BIGINT, links BIGINT, lead BIGINT"), "links")
-
-    counts = written(links.groupBy(F.col("doc").alias("rep")).agg(F.sum("links").alias("n_links")), "counts")
+    same = F.unhex(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32))
+    hashed = docs.select(F.col(key).alias("id"), F.coalesce(text, F.lit("")).alias("text")).withColumn("same", same)
+    found = written(map_pieces(hashed, "text", ["id", "same"], "bands ARRAY<BIGINT>, sketch BINARY", _bands), "bands")
+    # A class is one row with a number of its own; numbers are written, so they stay.
+    leads = found.groupBy("same").agg(F.min("id").alias("rep"), F.max(F.struct("bands", "sketch")).alias("s"))
+    leads = written(leads.select("same", "rep", "s.*").withColumn("doc", F.monotonically_increasing_id()), "leads")
+
+    banded = leads.select("doc", F.explode("bands").alias("band"))
+    buckets = written(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    paired = dealt(banded, "band", buckets, SKETCHES).join(leads.select("doc", "sketch"), "doc")
+    paired = paired.select("band", "low", "high", "doc", "block", "sketch").repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "doc")
+    edges = in_batches(paired, _sketched(threshold, tolerance), "u BIGINT, v BIGINT")
+    candidates = components(edges)
+    labelled = candidates.select(F.col("u").alias("doc"), F.col("v").alias("root"))
+    labelled = written(labelled.union(labelled.select(F.col("root").alias("doc"), "root").distinct()), "candidates")
+    placed = dealt(labelled, "root", labelled.groupBy("root").agg(F.count("*").alias("n")), BLOCK)
+    # One text of each class: repeats are dropped before texts are copied to blocks.
+    wanted = small_side(leads.join(labelled.select("doc").distinct(), "doc").select("same", "rep", "doc"))
+    texts = hashed.join(wanted, (hashed["same"] == wanted["same"]) & hashed["id"].eqNullSafe(wanted["rep"])).groupBy("doc").agg(F.first("text").alias("text"))
+    texts = written(texts, "texts")
+    rows = texts.join(small_side(placed), "doc").select("root", "low", "high", "doc", "block", "text")
+    rows = rows.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "doc")
+    links = written(in_batches(rows, _joined(threshold, tolerance), "doc BIGINT, links BIGINT, lead BIGINT"), "links")
+
+    counts = written(links.groupBy("doc").agg(F.sum("links").alias("n_links")), "counts")
     groups = components(links.where("doc <> lead").select(F.col("doc").alias("u"), F.col("lead").alias("v")))
-    groups = groups.select(F.col("u").alias("rep"), F.col("v").alias("group"))
-    out = members.join(counts, "rep", "left").join(groups, "rep", "left")
-    return out.select(F.col("doc").alias(key), F.coalesce("group", "rep").alias("class_id"), F.col("rep").alias("text_class"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    linked = leads.select("same", "rep", "doc").join(groups.select(F.col("u").alias("doc"), F.col("v").alias("group")), "doc", "left").join(counts, "doc", "left")
+    linked = linked.withColumn("group", F.coalesce("group", "doc"))
+    # Groups of one class name themselves; those of more take the least id of all.
+    least = written(linked.where("n_links IS NOT NULL").groupBy("group").agg(F.min("rep").alias("least")), "least")
+    linked = linked.join(small_side(least), "group", "left")
+    linked = written(linked.select("same", "rep", F.coalesce("least", "rep").alias("class"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")), "classes")
+    out = found.select("id", "same").join(linked, "same")
+    return out.select(F.col("id").alias(key), F.col("class").alias("class_id"), F.col("rep").alias("text_class"), "n_links")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -228,6 +308,6 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     found = written(found.join(docs.select(NUMBER, F.col(key).alias("id")), NUMBER), "classes")
     first = F.struct(F.col("id").isNull().alias("no_id"), "id", NUMBER)
     groups = found.groupBy("class_id").agg(F.min(first).alias("first"), F.count("*").alias("n")).where("n > 1")
-    groups = small_side(groups.select("class_id", F.col(f"first.{NUMBER}").alias("lead")), 32)
+    groups = small_side(groups.select("class_id", F.col(f"first.{NUMBER}").alias("lead")))
     extra = found.join(groups, "class_id").where(F.col(NUMBER) != F.col("lead"))
     return without(docs, extra.select(NUMBER), NUMBER).drop(NUMBER)

@@ -12,13 +12,16 @@ joined, held against the total length of the last one, and then decoded.
 
 A null html is an empty payload; a null url leaves its field out; rows with a null id are
 written with an empty id and come back as null. Rows of equal id and payload are each a
-response. Line breaks in an url are percent-encoded.
+response. Line breaks in an url are percent-encoded, as are those in an id, blanks at its ends
+and percent signs, which reading an id undoes. A record of broken framing comes back with
+``whole`` false and no payload.
 """
 
 from __future__ import annotations
 
 import gzip
 import io
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +32,7 @@ from .kit import in_batches, remove_at_exit, shared_dir, small_side, written
 SEGMENT = 16 << 10
 CHUNK = 8 << 10
 LEAST = 100
-MOST_BROADCAST = 64 << 20
+RECORDS = 5000  # in an archive: a reader holds one archive at a time
 DATE = "2024-01-01T00:00:00Z"  # fixed, so that equal tables give equal archives
 HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 BATCH_BYTES = 4 << 20
@@ -72,20 +75,35 @@ def unframed(message: bytes) -> bytes:
         at += size + 2
 
 
+def _told(x) -> str:
+    """An id as a header's value; ``unquote`` undoes it."""
+    x = str(x)
+    inner = x.strip()
+    return "".join(quote(c, safe="") if c in "%\r\n\t" or not (c.isprintable() or c == " ") else c for c in inner) if x == inner else quote(x, safe="")
+
+
+def payload_of(message: bytes) -> bytes | None:
+    """The payload of a message, or None where its framing is broken."""
+    try:
+        return unframed(message)
+    except ValueError:
+        return None
+
+
 def _record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + f"Content-Length: {len(block)}\r\n\r\n"
     return head.encode() + block + b"\r\n\r"  # the writer adds the last line feed
 
 
 def records(row: int, page, url, html, digest: str, refers_to, segment: int) -> list[bytes]:
-    page = "" if page is None else str(page)
+    page = "" if page is None else _told(page)
     name = f"<urn:larkspur:{row}>"
     common = [("WARC-Date", DATE), ("X-Page-ID", page)]
     if url is not None:
         common.append(("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")))
     common.append(("WARC-Payload-Digest", f"sha256:{digest}"))
     if refers_to is not None:
-        return [_record([("WARC-Type", "revisit"), ("WARC-Record-ID", name), *common, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page", str(refers_to))], b"HTTP/1.1 200 OK\r\n\r\n")]
+        return [_record([("WARC-Type", "revisit"), ("WARC-Record-ID", name), *common, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page", _told(refers_to))], b"HTTP/1.1 200 OK\r\n\r\n")]
     parts = _cuts(framed((html or "").encode()), segment)
     if len(parts) == 1:
         return [_record([("WARC-Type", "response"), ("WARC-Record-ID", name), *common], parts[0])]
@@ -104,9 +122,8 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     rows = pages.select(F.col(key).alias("page"), F.col(url).alias("url"), F.col(html).alias("html"), F.sha2(payload, 256).alias("digest"))
     narrow = pages.select(F.col(key).alias("page"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n")).where(F.col("n") >= least)
     first = narrow.groupBy("digest").agg(F.min("page").alias("lead"), F.count("*").alias("copies")).where("copies > 1").select("digest", "lead")
-    known = first.count() * 96 <= MOST_BROADCAST
     # Only payloads that occur again are named here, so this side is small or is not sent.
-    out = rows.join(F.broadcast(first) if known else first, "digest", "left")
+    out = rows.join(small_side(first), "digest", "left")
     out = out.withColumn("refers", F.when(F.col("page") > F.col("lead"), F.col("lead"))).drop("lead").withColumn("row", F.monotonically_increasing_id())
 
     def run(batches):
@@ -122,7 +139,7 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()).cast(pa.string())], names=["value"])
 
-    in_batches(out, run, "value STRING").write.option("lineSep", "\n").option("maxRecordsPerFile", 50_000).option("compression", "gzip").text(path)
+    in_batches(out, run, "value STRING").write.option("lineSep", "\n").option("maxRecordsPerFile", RECORDS).option("compression", "gzip").text(path)
 
 
 def parsed(stream) -> list[tuple[dict[str, str], bytes]]:
@@ -143,12 +160,12 @@ def parsed(stream) -> list[tuple[dict[str, str], bytes]]:
         yield fields, block
 
 
-SCHEMA = "record_id STRING, page STRING, url STRING, record_type STRING, refers_to STRING, digest STRING, segment BIGINT, total BIGINT, block BINARY, payload BINARY"
+SCHEMA = "record_id STRING, page STRING, url STRING, record_type STRING, refers_to STRING, digest STRING, segment BIGINT, total BIGINT, block BINARY, payload BINARY, whole BOOLEAN"
 
 
 def _parse(batches):
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    types = {"segment": pa.int64(), "total": pa.int64(), "block": pa.binary(), "payload": pa.binary()}
+    types = {"segment": pa.int64(), "total": pa.int64(), "block": pa.binary(), "payload": pa.binary(), "whole": pa.bool_()}
 
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types.get(c, pa.string())) for i, c in enumerate(names)], names=names)
@@ -161,8 +178,10 @@ def _parse(batches):
             for f, block in parsed(stream):
                 segment = f.get("warc-segment-number")
                 origin = f.get("warc-segment-origin-id", f["warc-record-id"])
-                whole = unframed(block) if f["warc-type"] == "response" and segment is None else None
-                rows.append((origin, f.get("x-page-id") or None, f.get("warc-target-uri"), f["warc-type"], f.get("x-refers-to-page"), (f.get("warc-payload-digest") or "").removeprefix("sha256:") or None, int(segment) if segment else None, int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None, block if segment else None, whole))
+                alone = f["warc-type"] == "response" and segment is None
+                payload = payload_of(block) if alone else None
+                told = [unquote(f[k]) if f.get(k) else None for k in ("x-page-id", "x-refers-to-page")]
+                rows.append((origin, told[0], f.get("warc-target-uri"), f["warc-type"], told[1], (f.get("warc-payload-digest") or "").removeprefix("sha256:") or None, int(segment) if segment else None, int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None, block if segment else None, payload, not alone or payload is not None))
                 size += len(block)
                 if size > BATCH_BYTES:
                     yield batch_of(rows)
@@ -177,18 +196,19 @@ def read_archives(spark, path: str) -> DataFrame:
     false where segments are missing or do not reach the stated total length."""
     read = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse, SCHEMA)
     columns = ["record_id", "page", "url", "record_type", "refers_to", "digest", "payload"]
-    alone = read.where("segment IS NULL").select(*columns, F.lit(True).alias("whole"))
+    alone = read.where("segment IS NULL").select(*columns, "whole")
     first = lambda c: F.max(c).alias(c)  # noqa: E731  only the first segment has it
     parts = F.array_sort(F.collect_list(F.struct("segment", "block")))
     joined = read.where("segment IS NOT NULL").groupBy("record_id").agg(first("page"), first("url"), first("digest"), F.max("total").alias("total"), F.max("segment").alias("last"), parts.alias("parts"))
-    message = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["block"]))
-    joined = joined.select("record_id", "page", "url", "digest", "total", (F.col("last") == F.size("parts")).alias("complete"), message.alias("message"))
-    joined = joined.withColumn("whole", F.col("complete") & (F.octet_length("message") == F.coalesce("total", F.lit(-1))))
+    length = F.aggregate("parts", F.lit(0).cast("bigint"), lambda a, p: a + F.octet_length(p["block"]))
+    complete = (F.col("last") == F.size("parts")) & (length == F.coalesce("total", F.lit(-1)))
+    joined = joined.select("record_id", "page", "url", "digest", complete.alias("whole"), F.transform("parts", lambda p: p["block"]).alias("blocks"))
 
     def decode(batches):
         for batch in batches:
-            payload = [unframed(m) if ok else None for m, ok in zip(batch.column("message").to_pylist(), batch.column("whole").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("record_id"), batch.column("page"), batch.column("url"), batch.column("digest"), pa.array(payload, pa.binary()), batch.column("whole")], names=["record_id", "page", "url", "digest", "payload", "whole"])
+            payload = [payload_of(b"".join(x)) if ok else None for x, ok in zip(batch.column("blocks").to_pylist(), batch.column("whole").to_pylist())]
+            whole = pa.array([p is not None for p in payload], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("record_id", "page", "url", "digest")), pa.array(payload, pa.binary()), whole], names=["record_id", "page", "url", "digest", "payload", "whole"])
 
     again = joined.mapInArrow(decode, "record_id STRING, page STRING, url STRING, digest STRING, payload BINARY, whole BOOLEAN")
     again = again.select("record_id", "page", "url", F.lit("response").alias("record_type"), F.lit(None).cast("string").alias("refers_to"), "digest", "payload", "whole")
@@ -209,7 +229,7 @@ def round_trip(pages: DataFrame, key: str = "page_id") -> DataFrame:
     # A response that others refer to has the least id of its payload; one row for an id is enough.
     origin = responses.join(read.where("refers_to IS NOT NULL").select(F.col("refers_to").alias("page")).distinct(), "page", "left_semi").groupBy("page", "payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
     origin = origin.groupBy("page").agg(F.max(F.struct("payload_bytes", "payload_digest")).alias("o")).select(F.col("page").alias("refers_to"), "o")
-    origin = small_side(origin, 160)  # many revisits may refer to one page
-    revisits = read.where("record_type = 'revisit'").select("page", "refers_to").join(origin, "refers_to", "left").select("page", "refers_to", "o.payload_bytes", "o.payload_digest", F.lit("revisit").alias("record_type"))
+    origin = small_side(origin.select("refers_to", "o.*"))  # many revisits may refer to one page
+    revisits = read.where("record_type = 'revisit'").select("page", "refers_to").join(origin, "refers_to", "left").select("page", "refers_to", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"))
     out = responses.select("page", F.lit(None).cast("string").alias("refers_to"), "payload_bytes", "payload_digest", F.lit("response").alias("record_type")).unionByName(revisits)
     return out.select(F.col("page").cast(kind).alias(key), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))

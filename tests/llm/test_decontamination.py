@@ -2,6 +2,7 @@ import hashlib
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
 from larkspur.llm import decontamination as D
@@ -79,3 +80,29 @@ def test_stage_drops_hit_documents_only(spark, odd_rows, bench):
     assert kept.columns == docs.columns
     ids = {r.doc_id for r in kept.collect()}
     assert {0, 1, 2, 3, 4, 5, 8, 9, 52, None} <= ids and not ids & {50, 51, 53, 54, 6, 7}
+
+
+def test_patterns_of_one_hash_are_all_compared(spark, odd_rows, bench, monkeypatch):
+    monkeypatch.setattr(D.Matcher, "window_hash", staticmethod(lambda h: h[:, 0] & D.np.uint64(3)))
+    docs = documents_with_hits(spark, odd_rows).where("doc_id <> 5").collect()
+    matchers = D.compile_patterns([(str(r.item_id) if r.item_id is not None else None, r.text) for r in bench.collect()])
+    from larkspur.llm.kit import utf8
+
+    found = D.kernel(matchers)(None, *utf8(pa.array([r.text for r in docs])))
+    want = {(k, n, h) for k, n, h, *_ in brute([(r.doc_id, r.text) for r in docs], [tuple(r) for r in bench.collect()])}
+    assert {(r.doc_id, int(n), int(h)) for r, n, h in zip(docs, found["n_words"], found["n_hit"])} == want
+
+
+def test_memory_of_a_pass():
+    """A pass holds its text and some 30 bytes a word beside the words' hashes."""
+    import random
+    import tracemalloc
+
+    rng = random.Random(1)
+    items = [(str(i), " ".join(f"w{rng.randrange(10**5)}" for _ in range(400))) for i in range(500)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    matchers = D.compile_patterns(items)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert matchers and held < 16 * size

@@ -97,8 +97,50 @@ def test_encoder_gives_the_tokenizers_ids(text):
         assert got == e.whole([text, "b", text])
 
 
-def test_more_sources_than_queues(spark, monkeypatch):
-    monkeypatch.setattr(packing, "MOST_QUEUES", 4)
-    df = spark.createDataFrame([(i, f"text number {i}", f"s{i}") for i in range(50)], "doc_id BIGINT, text STRING, source STRING")
-    rows = packing.pack(df).collect()
-    assert len({r.queue for r in rows}) <= 4 and len({r.doc_id for r in rows}) == 50
+def many_sources(spark, n_small):
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(["word"] * int(rng.integers(20, 60))), "large" if i % 2 else f"s{i % (2 * n_small)}") for i in range(6000)]
+    return rows, spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING").repartition(5)
+
+
+def test_more_sources_than_own_queues(spark):
+    """1,200 small sources share a queue: each advances in proportion, none is lost, and the large
+    one has its share of every window."""
+    rows, df = many_sources(spark, 1200)
+    out = packing.pack(df).collect()
+    check(out, {r[0]: r[1] for r in rows})
+    total, by = defaultdict(int), defaultdict(lambda: defaultdict(int))
+    for r in out:
+        total[r.queue] += r.length
+        by[r.sequence_id][r.queue] += r.length
+    assert len(total) == 1201
+    everything, last = sum(total.values()), max(by)
+    for k, w in by.items():
+        if sum(w.values()) == 2048:
+            assert abs(w["large"] - 2048 * total["large"] / everything) <= 2
+    # By half of the windows half of the small sources' documents are through.
+    middle = sum(w[q] for k, w in by.items() if k < last / 2 for q in w if q != "large")
+    assert abs(middle - (everything - total["large"]) / 2) < 0.02 * everything
+    for q in list(total)[:50]:
+        if q != "large":
+            before = sum(w[q] for k, w in by.items() if k < last / 2)
+            assert abs(before - total[q] / 2) <= 70
+
+
+def test_weights_of_small_sources_hold_by_name(spark):
+    rows, df = many_sources(spark, 700)
+    out = packing.pack(df, weights={"large": 0.5, "s0": 0.25, "s2": 0.25}).collect()
+    check(out, {r[0]: r[1] for r in rows})
+    first = defaultdict(int)
+    for r in out:
+        if r.sequence_id == 0:
+            first[r.queue] += r.length
+    small = 698 / 300  # each source without a weight has a hundredth of the mean weight
+    assert abs(first["large"] - 2048 * 0.5 / (1 + small)) < 15
+    assert all(abs(first[q] - 2048 * 0.25 / (1 + small)) < 15 for q in ("s0", "s2"))
+
+
+def test_one_document_each_of_many_sources(spark):
+    rows = [(i, f"text number {i}", f"s{i}") for i in range(900)] + [(1000, None, None), (1001, "", None)]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING")
+    check(packing.pack(df).collect(), {r[0]: r[1] or "" for r in rows})

@@ -76,3 +76,63 @@ def test_quality_decides_each_row(spark, data):
     both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id BIGINT, text STRING"))
     kept = [(r.doc_id, r.text) for r in quality.keep_good(both, labels).where("doc_id IS NULL OR doc_id = 1000000000000").collect()]
     assert sorted(kept, key=str) == sorted([(None, text[best]), (10**12, text[best])], key=str)
+
+
+def test_stages_against_brute_force(spark, odd, odd_rows, labels, monkeypatch):
+    """Each stage of the pipeline on null, repeated, empty and long rows with clashing columns:
+    what it keeps, by plain Python."""
+    import random
+    from test_decontamination import brute as hits
+    from test_packing import check
+    from test_secrets import plain
+    from test_similarity import brute as classes
+
+    from larkspur.llm import decontamination, quality, secrets, similarity
+
+    rng = random.Random(11)
+    extra = [(None, odd_rows[0][1], "en", "a", 1, None, "y"), (0, "x token: abcdefgh12 y", None, None, None, None, None), (20, " ".join(f"q{i}" for i in range(12)), "en", "a", 1, None, None)]
+    docs = odd.unionByName(spark.createDataFrame(extra, odd.schema)).repartition(3)
+    rows = [tuple(r) for r in docs.collect()]
+    seen = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+
+    got = seen(quality.keep_good(docs, labels))
+    score = {}
+    for r in docs.join(quality.scores(docs.select("doc_id", "text"), labels, held_out=quality.held("doc_id")).withColumnRenamed("score", "s").distinct(), "doc_id").collect():
+        score.setdefault((r.doc_id, r.text), set()).add(r.s >= quality.KEEP)
+    unsure = {k for k, v in score.items() if len(v) > 1}  # of a repeated id with several texts
+    for r in rows:
+        if r[0] is not None and (r[0], r[1]) not in unsure:
+            assert (r in got) == (score[r[0], r[1]] == {True})
+
+    numbers = [(i, r[1]) for i, r in enumerate(rows)]
+    group = {i: c[0] for i, c in classes(numbers).items()}
+    kept = seen(similarity.keep_one(docs))
+    members = {}
+    for i, g in group.items():
+        members.setdefault(g, []).append(i)
+    assert len(kept) == len(members)
+    for own in members.values():
+        ids = [rows[i][0] for i in own if rows[i][0] is not None]
+        assert any(rows[i] in kept and rows[i][0] == (min(ids) if ids else None) for i in own)
+
+    item = [(1, " ".join(f"q{i}" for i in range(12)))]
+    clean = seen(decontamination.keep_clean(docs, spark.createDataFrame(item, "item_id BIGINT, text STRING")))
+    hit = {i for i, *_, bad in hits(numbers, item) if bad}
+    assert clean == sorted((r for i, r in enumerate(rows) if i not in hit), key=str) and hit
+
+    for r, m in zip(sorted(rows, key=lambda r: (str(r[0]), str(r[2:]))), sorted((tuple(r) for r in secrets.redact(docs).collect()), key=lambda r: (str(r[0]), str(r[2:])))):
+        if r[1] and plain(r[1]):
+            assert secrets.MASK in m[1] and not plain(m[1].replace(secrets.MASK, ""))
+    same = [r for r in rows if not (r[1] and plain(r[1]))]
+    masked = seen(secrets.redact(docs))
+    assert all(r in masked for r in same) and len(masked) == len(rows)
+
+    keyed = spark.createDataFrame([(i, r[1], r[3]) for i, r in enumerate(rows)], "doc_id BIGINT, text STRING, source STRING")
+    check(packing.pack(keyed).collect(), {i: r[1] or "" for i, r in enumerate(rows)})
+
+
+def test_stages_on_an_empty_table(spark, none, data):
+    docs = none
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, data)
+        assert docs.count() == 0

@@ -53,3 +53,49 @@ def test_prior_from_best_bin():
 
 def test_stage_keeps_columns(odd, labels):
     assert quality.keep_good(odd, labels).columns == odd.columns
+
+
+def plain_features(text):
+    """The features of one text, by plain Python."""
+    import math
+    import re
+
+    raw = text.encode()
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    found = list(re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered))
+    words, low = [text[m.start() : m.end()] for m in found], [m[0] for m in found]
+    size, n = max(1, len(raw)), max(1, len(words))
+    length = [len(w.encode()) for w in words]
+    triples = {tuple(low[max(0, i - 2) : i + 1]) for i in range(len(low))}
+    count = lambda test: sum(map(test, raw))
+    out = [math.log1p(len(words)), math.log1p(size), count(lambda c: 65 <= c <= 90) / size, count(lambda c: 48 <= c <= 57) / size, count(lambda c: c >= 128) / size, count(lambda c: c == 10) / n, count(lambda c: c == 32) / size]
+    out += [count(lambda c: c > 32 and c < 128 and not chr(c).isalnum()) / size, sum(length) / n, math.sqrt(sum(x * x for x in length) / n), sum(a == b for a, b in zip(low, low[1:])) / n, len(set(low)) / n, len(triples) / n]
+    out += [sum("A" <= w[0] <= "Z" for w in words) / n, sum(x <= 2 for x in length) / n, 1.0]
+    out += [min(2, text.count(c) / n) for c in quality.SIGNS]
+    out += [min(2, sum(a == b == c for a, b in zip(text, text[1:])) / n) for c in quality.SIGNS]
+    return out
+
+
+def test_scores_against_a_plain_loop(spark, documents, data):
+    """The query against features and network worked out text by text."""
+    import math
+
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    model = quality.fit(documents, labels, held_out=quality.held("doc_id"))
+    got = {r.doc_id: r for r in quality.predictions(documents, labels).collect()}
+    for d in documents.limit(80).collect():
+        x = plain_features(d.text) if d.text else [0.0] * quality.N_FEATURES
+        z = [max(-6, min(6, (a - m) / s)) for a, m, s in zip(x, model.mean, model.scale)]
+        hidden = [math.tanh(sum(a * w for a, w in zip(z, column)) + b) for column, b in zip(model.p[0].T, model.p[1])]
+        score = 1 / (1 + math.exp(-(sum(h * w for h, w in zip(hidden, model.p[2])) + model.p[3][0])))
+        assert abs(got[d.doc_id].score - score) < 1e-3
+
+
+def test_labels_other_than_one_are_not_used(spark, documents, data):
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    a, b = ({r.doc_id: r.score for r in quality.predictions(documents, x).collect()} for x in (labels, labels.where("quality = 1")))
+    assert a == b
+
+
+def test_rows_without_an_id_are_of_no_fold(odd, labels):
+    assert [r.held_out for r in quality.predictions(odd, labels).collect() if r.doc_id is None] == [False]

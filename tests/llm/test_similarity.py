@@ -50,7 +50,60 @@ def test_against_all_pairs_on_documents(documents):
 
 
 def test_odd_rows(odd, odd_rows):
-    assert got(odd) == brute([(d[0], d[1]) for d in odd_rows if d[0] is not None])
+    assert got(odd) == brute([(d[0], d[1]) for d in odd_rows if d[0] is not None]) | {None: (None, None, 0)}
+
+
+def test_rows_without_an_id_have_classes_too(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    only = " ".join(f"v{i}" for i in range(40))
+    rows = [(None, text), (5, text + " more"), (5, "x y z"), (None, only), (None, only), (None, only + " more"), (7, "lone")]
+    out = sorted((r.doc_id, r.class_id, r.text_class, r.n_links) for r in similarity.near_duplicates(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect() if r.doc_id)
+    assert out == [(5, 5, 5, 0), (5, 5, 5, 1), (7, 7, 7, 0)]
+    rest = sorted(((r.class_id, r.text_class, r.n_links) for r in similarity.near_duplicates(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect() if r.doc_id is None), key=str)
+    assert rest == [(5, None, 1), (None, None, 1), (None, None, 1), (None, None, 1)]
+
+
+def test_texts_of_one_template_do_not_percolate(spark, monkeypatch):
+    """Pairs of like texts share buckets but are far below the threshold: what is dealt out for
+    exact comparison is the near copies alone."""
+    rng = random.Random(7)
+    shared = [f"t{rng.randrange(10**6)}" for _ in range(62)]  # a similarity of 0.47
+    rows = [(i, " ".join(shared + [f"u{rng.randrange(10**6)}" for _ in range(33)])) for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(40)]
+    seen = []
+    whole = similarity.components
+    monkeypatch.setattr(similarity, "components", lambda e: seen.append(e.count()) or whole(e))
+    monkeypatch.setattr(similarity, "SKETCHES", 32)
+    assert got(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")) == brute(rows)
+    assert seen[0] < 2000  # edges over all buckets; 300 texts of one component would have 57,000 pairs
+
+
+def test_edges_join_what_all_pairs_would():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, (12, 150), dtype=np.uint8)
+    sketch = np.repeat(base, 9, 0)
+    noise = rng.random(sketch.shape) < 0.14
+    sketch[noise] = rng.integers(0, 256, noise.sum())
+    need = similarity.least_matches(0.8, similarity.TOLERANCE)
+    for sides in (None, (np.arange(50), np.arange(50, len(sketch)))):
+        parent = list(range(len(sketch)))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for i in range(len(sketch)):
+            for j in range(i):
+                if sides is not None and (i < 50) == (j < 50):
+                    continue
+                if all((sketch[i, :n] == sketch[j, :n]).sum() >= m for n, m in need.items()):
+                    parent[find(i)] = find(j)
+        want = {frozenset(k for k in range(len(sketch)) if find(k) == r) for r in {find(k) for k in range(len(sketch))}}
+        parent = list(range(len(sketch)))
+        for i, j in similarity.joined_by_sketch(sketch, sides, need):
+            parent[find(i)] = find(j)
+        assert {frozenset(k for k in range(len(sketch)) if find(k) == r) for r in {find(k) for k in range(len(sketch))}} == want
 
 
 def test_empty_table(none):

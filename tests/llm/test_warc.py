@@ -77,3 +77,18 @@ def test_chunked_framing(payload):
 def test_broken_framing_is_refused(bad):
     with pytest.raises(ValueError):
         warc.unframed(bad)
+
+
+def test_ids_of_any_text_come_back(spark):
+    ids = ["a\r\nWARC-Type: revisit", " both ends ", "50%", "é日", "plain", "tab\there", "%0A", "\u2028"]
+    html = "same text of all pages " * 10
+    df = spark.createDataFrame([(i, "u", html if i != "plain" else "other") for i in ids], "page_id STRING, url STRING, html STRING")
+    assert got(df) == brute([(i, html if i != "plain" else "other") for i in ids])
+
+
+def test_a_broken_record_is_marked_and_the_others_are_read(spark, tmp_path):
+    good = warc.records(1, 7, "u", "fine", "d", None, 16 << 10)[0]
+    bad = good.replace(b"4\r\nfine", b"9\r\nfine").replace(b"urn:larkspur:1", b"urn:larkspur:2").replace(b"X-Page-ID: 7", b"X-Page-ID: 8")
+    (tmp_path / "a.warc").write_bytes(bad + b"\n" + good + b"\n")
+    read = {r.page: (r.whole, r.payload and bytes(r.payload)) for r in warc.read_archives(spark, f"file://{tmp_path}").collect()}
+    assert read == {"7": (True, b"fine"), "8": (False, None)}
