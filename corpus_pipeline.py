@@ -6,10 +6,12 @@
 4. secrets: credentials are masked in the texts, and n_chars follows.
 5. packing: what is left is packed into sequences of at most 2048 tokens.
 
-Each stage takes all that its predecessor kept, as a written table, and numbers its rows, so
-that every row is decided by itself, also where ids are null or repeated. SQL cannot express a
-trained classifier, inferred automata or a tokenizer, so ORACLE_SQL is None and the tests
-hold the stages against brute-force versions.
+Each stage takes all that its predecessor kept, as a written table, and decides every row by
+itself, also where ids are null or repeated: rows are dropped or masked in the pass that reads
+their texts, and near duplicates by a number of each row. SQL cannot express a trained
+classifier, inferred automata or a tokenizer, so ORACLE_SQL is None; the tests hold near
+duplicates, decontamination, masking and packing against brute-force versions and the
+classifier's stage against its scores.
 """
 
 from __future__ import annotations
@@ -17,7 +19,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm import decontamination, packing, quality, secrets, similarity
-from larkspur.llm.kit import table, written
+from larkspur.llm.kit import small_batches, written
+from larkspur.llm.kit import table as stored
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return stored(small_batches(spark), sf_dir, name)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,6 +32,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return similarity.keep_one(docs)
 
 
@@ -33,10 +41,12 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return secrets.redact(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack(docs)
 
 
