@@ -63,10 +63,15 @@ def letter_of(options: Column, value: Column) -> Column:
 
 
 def flaw(messages: Column) -> Column:
-    """What makes a chat record invalid, first flaw first; null for a valid one."""
-    bad_role = F.exists(messages, lambda m: m.isNull() | ~F.coalesce(m["role"].isin("system", "user", "assistant"), F.lit(False)))
-    blank = F.exists(messages, lambda m: F.coalesce(strip(m["content"]), F.lit("")) == "")
-    return F.when(messages.isNull() | (F.size(messages) == 0), "no messages").when(bad_role, "unknown role").when(blank, "blank content")
+    """What makes a chat record invalid: the first bad message's flaw, its role before its
+    content; null for a valid record."""
+
+    def of(m: Column) -> Column:
+        known = F.coalesce(m["role"].isin("system", "user", "assistant"), F.lit(False))
+        return F.when(~known, "unknown role").when(F.coalesce(strip(m["content"]), F.lit("")) == "", "blank content")
+
+    found = F.filter(F.transform(messages, of), lambda x: x.isNotNull())
+    return F.when(messages.isNull() | (F.size(messages) == 0), "no messages").otherwise(F.get(found, F.lit(0)))
 
 
 def lamp_lines(items: Column) -> Column:

@@ -32,6 +32,12 @@ def is_distinct(df: DataFrame, key: Column | str) -> DataFrame:
     return df.agg((F.count_distinct(key) == F.count("*")).alias("is_distinct"))
 
 
+def canonical_json(raw: str | Column, path: str = "$") -> Column:
+    """A part of a JSON text with sorted keys and no blanks, all its fields kept; null where the
+    text has no such part. Equal for equal values."""
+    return F.to_json(F.try_variant_get(F.try_parse_json(raw), path, "variant"))
+
+
 def canonical(messages: str | Column) -> Column:
     """Messages as JSON with sorted keys and no blanks: equal for equal messages."""
     items = F.transform(messages, lambda m: F.struct(m["content"].alias("content"), m["role"].alias("role")))

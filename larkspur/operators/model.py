@@ -73,21 +73,6 @@ class Replay:
         return queue.popleft()
 
 
-class Echo:
-    """A deterministic stand-in for a model: the reply depends on the request alone."""
-
-    def chat(self, messages, temperature=0.7, max_tokens=1024, json_mode=False, call_type=""):
-        from hashlib import sha256
-
-        digest = sha256(json.dumps([call_type, messages], sort_keys=True).encode()).hexdigest()
-        if call_type == "behavior_controller":
-            return json.dumps({"selected_behavior_index": int(digest[:4], 16) % 4})
-        if call_type == "user":
-            end = "<|End Conversation|>" if int(digest[4], 16) < 4 else ""
-            return f"<user_state># User State Report {digest[:12]}</user_state><message>{end}next question {digest[:8]}</message>"
-        return f"answer {digest[:10]}"
-
-
 def ask(rows: DataFrame, make_client: Callable[[], ModelClient], prompt: str = "messages", call_type: str = "", temperature: float = 0.7, max_tokens: int = 1024, retry: Retry = GENERATION, threads: int = 8, on_error: str = "store") -> DataFrame:
     """A model call for each row, from a thread pool in each task: adds reply, error, attempts
     and elapsed_s. ``prompt`` is an array of messages. Rows keep their other columns, so the

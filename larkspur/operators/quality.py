@@ -15,7 +15,7 @@ from .model import ask
 # Bounds of a sound session.
 LEAST_TURNS, LEAST_TOKENS, MOST_TOKENS = 4, 200, 16000
 STATE_ABLATIONS = ("full", "no_behavior")
-REQUIRED_KEYS = ("persona_id", "prompt_id", "conversation", "num_turns", "termination", "ablation")
+REQUIRED_KEYS = ("persona_id", "prompt_id", "conversation", "num_turns", "ablation", "profile_summary")
 LABELS = ("no_contradiction", "contradicts", "unclear")
 DIMENSIONS = ("D1", "D2", "D3", "D4", "D5", "D6")
 

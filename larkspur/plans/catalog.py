@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import messages as M
 from ..functions import text as T
 from ..operators import benchmarks, corpus, qa, quality, selection, simulation, training
-from ..operators.model import Echo, ask, usage
+from ..operators.model import usage
 from ..sources import readers, sinks
 from .config import Limits, ablation
 from .sessions import FLAWS_SQL, nested, table, with_flaws
@@ -124,11 +124,23 @@ def j2_p18_binding(spark, sf_dir):
     return s.select("conv_id", F.array_join(quality.binding_notes(F.col("persona_id"), F.col("found"), F.col("expected"), F.col("profile_summary")), "; ").alias("notes"))
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'missing key conversation; missing key ablation' WHEN 1 THEN '' WHEN 2 THEN 'num_turns is no integer' ELSE 'conversation is no list' END AS notes FROM events""")
+_RECORDS = [
+    '{"persona_id":"p","prompt_id":"q","num_turns":4,"termination":"x"}',
+    '{"persona_id":"p","prompt_id":"q","conversation":[],"num_turns":true,"ablation":"full","profile_summary":null}',
+    '{"persona_id":"p","prompt_id":"q","conversation":[1],"num_turns":"4","ablation":"full","profile_summary":"s"}',
+    '{"persona_id":"p","prompt_id":"q","conversation":"[]","num_turns":4,"termination":"x","ablation":"full","profile_summary":"s"}',
+    '{"conversation":{},"num_turns":1.5}',
+]
+_REQUIRED_SQL = "['persona_id', 'prompt_id', 'conversation', 'num_turns', 'ablation', 'profile_summary']"
+
+
+@query(f"""WITH b AS (SELECT event_id, (CASE event_id % 5 {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_RECORDS))} END)::JSON AS j FROM events),
+k AS (SELECT event_id, j, json_keys(j) AS held FROM b)
+SELECT event_id, concat_ws('; ', nullif(array_to_string(['missing key ' || x for x in {_REQUIRED_SQL} if NOT list_contains(held, x)], '; '), ''),
+ CASE WHEN list_contains(held, 'conversation') AND json_type(j, '$.conversation') <> 'ARRAY' THEN 'conversation is no list' END,
+ CASE WHEN list_contains(held, 'num_turns') AND json_type(j, '$.num_turns') NOT IN ('UBIGINT', 'BIGINT', 'BOOLEAN') THEN 'num_turns is no integer' END) AS notes FROM k""")
 def p15_schema_check(spark, sf_dir):
-    k = F.col("event_id") % 4
-    body = F.when(k == 0, '{"persona_id":"p","prompt_id":"q","num_turns":4,"termination":"x"}').when(k == 1, '{"persona_id":"p","prompt_id":"q","conversation":[],"num_turns":true,"termination":null,"ablation":"full"}')
-    body = body.when(k == 2, '{"persona_id":"p","prompt_id":"q","conversation":[1],"num_turns":"4","termination":"x","ablation":"full"}').otherwise('{"persona_id":"p","prompt_id":"q","conversation":"[]","num_turns":4,"termination":"x","ablation":"full"}')
+    body = F.get(F.array(*[F.lit(x) for x in _RECORDS]), (F.col("event_id") % len(_RECORDS)).cast("int"))
     return table(spark, sf_dir, "events").select("event_id", F.array_join(quality.schema_notes(body), "; ").alias("notes"))
 
 
@@ -511,14 +523,6 @@ def j9_j10_x13_judge_tasks(spark, sf_dir):
 # ---- stages without SQL -----------------------------------------------------------------
 
 
-@query()
-def t1_rollout(spark, sf_dir):
-    """Rollouts from the first user messages, with a deterministic stand-in for a model."""
-    seeds = table(spark, sf_dir, "conversations").where("role = 'user' AND turn <= 1").select(F.col("conv_id").cast("string").alias("persona_id"), F.concat_ws("_", "conv_id", "turn").alias("prompt_id"), F.lit("A person.").alias("summary"), F.col("text").alias("initial_prompt"), T.intent(F.col("text")).alias("intent"))
-    out = simulation.rollouts(seeds, Echo, ablation("full"), Limits(max_turns=5, min_turns=2))
-    return out.select("persona_id", "prompt_id", "num_turns", "termination", F.size("conversation").alias("messages"))
-
-
 @query()
 def t5_weighted_pick(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_type").distinct()
@@ -574,22 +578,15 @@ def a18_call_usage(spark, sf_dir):
     return usage(calls, F.length("props"))
 
 
-@query()
-def x1_x4_model_calls(spark, sf_dir):
-    """A call for each benchmark item, from a thread pool in each task."""
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.array(M.message("user", F.col("text"))).alias("messages"))
-    return ask(rows, Echo, call_type="assistant").select("item_id", "reply", "error", "attempts")
-
-
 @query("""WITH f AS (SELECT conv_id, first(text ORDER BY turn) AS t, count(*) AS n, string_agg('- input: ' || role || ' | output: ' || trim(text), chr(10) ORDER BY turn) AS lines FROM conversations GROUP BY conv_id)
 SELECT conv_id, 'prefeval_gen' AS style, 5 AS n_messages, 'q' || conv_id AS question, trim(t) AS answer FROM f
-UNION ALL SELECT conv_id, 'lamp_cls', 3, 'Here are some past items belonging to this user:' || chr(10) || lines || chr(10) || chr(10) || 'New input: q' || conv_id || chr(10) || 'Produce the output.', trim(t) FROM f WHERE n >= 2""")
+UNION ALL SELECT conv_id, 'lamp_cls', 3, 'Items of this person so far:' || chr(10) || lines || chr(10) || chr(10) || 'New input: q' || conv_id || chr(10) || 'Produce the output.', trim(t) FROM f WHERE n >= 2""")
 def j11_f18_f21_x6_examples(spark, sf_dir):
     """Examples of two styles from replies made of the sessions' own texts."""
     s = nested(table(spark, sf_dir, "conversations"))
     s = s.select("*", F.col("conv_id").cast("string").alias("persona_id"), F.lit("s").alias("scenario_id"), F.lit("").alias("profile_summary"), F.lit("full").alias("ablation"), F.expr("CAST(array() AS ARRAY<STRUCT<user_state: STRING>>)").alias("user_state_trajectory"))
     text, asked = F.get("conversation", F.lit(0))["content"], F.concat(F.lit("q"), F.col("persona_id"))
-    preference = F.to_json(F.struct(F.lit("likes it").alias("preference"), asked.alias("user_query"), text.alias("response"), text.alias("acknowledgement_quote")))
+    preference = F.to_json(F.struct(F.lit("likes it").alias("preference"), asked.alias("question"), text.alias("assistant_response"), text.alias("acknowledge_quote")))
     items = F.transform("conversation", lambda m: F.struct(m["role"].alias("input"), m["content"].alias("output")))
     lamp = F.to_json(F.struct(F.lit("f").alias("task_family"), items.alias("profile_items"), asked.alias("query"), text.alias("target")))
     valid = qa.replies(qa.tasks(s, (qa.PREFERENCE, qa.LAMP)).withColumn("reply", F.when(F.col("qa_style") == qa.LAMP, lamp).otherwise(preference)))

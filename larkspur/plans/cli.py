@@ -13,7 +13,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.messages import MESSAGES
+from ..functions.messages import MESSAGES, flaw
 from ..operators import benchmarks, corpus, quality, selection, training
 from ..sources import readers, sinks
 
@@ -34,11 +34,18 @@ def check_quality(spark, a) -> None:
 
 
 def deduplicate(spark, a) -> None:
+    """Drop records equal in all fields of their messages, or in all fields; a flawed record is
+    an error. The rest is reordered so that records of a group lie apart."""
     rows = readers.strict_jsonl(spark, a.input).select("line_no", "value", F.from_json("value", f"messages {MESSAGES}").alias("r"))
-    keyed = rows.withColumn("key", corpus.canonical(F.col("r.messages")))
+    bad = rows.select("line_no", flaw(F.col("r.messages")).alias("flaw")).where("flaw IS NOT NULL").orderBy("line_no").limit(5).collect()
+    if bad:
+        raise ValueError("; ".join(f"line {r.line_no}: {r.flaw}" for r in bad))
+    keyed = rows.withColumn("key", corpus.canonical_json("value", "$" if a.dedupe_key == "full-record" else "$.messages"))
     kept = corpus.keep_first(keyed, "key", "line_no")
-    order = corpus.interleaved(kept, "key", "line_no", a.seed)
-    sinks.write_ordered_jsonl(order.withColumn("position", F.col("place")), a.out, "position", "value", a.overwrite)
+    fields = [x.strip() for x in (a.decluster_fields or "").split(",") if x.strip()]
+    group = F.concat_ws("|", *[F.coalesce(corpus.canonical_json("value", f"$.{x}"), F.lit("null")) for x in fields]) if fields else F.lit("")
+    order = corpus.interleaved(kept.withColumn("group", group), "group", "line_no", a.seed)
+    sinks.write_ordered_jsonl(order.withColumn("position", F.concat(F.lpad(F.col("round").cast("string"), 19, "0"), F.col("place"))), a.out, "position", "value", a.overwrite)
     n, left = rows.count(), kept.count()
     pairs = [r.asDict() for r in corpus.duplicate_pairs(keyed, "key", "line_no", 20).collect()]
     sinks.write_json_atomic({"rows": n, "kept": left, "duplicates": n - left, "first_pairs": pairs}, a.report, True)
@@ -60,7 +67,7 @@ def adherence(spark, a) -> None:
 
 COMMANDS = {
     "check-quality": (check_quality, {"--sessions": {}, "--personas": {}, "--out": {}, "--sample": {"type": int}, "--resume": {"action": "store_true"}}),
-    "deduplicate": (deduplicate, {"--input": {}, "--out": {}, "--report": {"default": "report.json"}, "--seed": {"type": int, "default": 42}, "--overwrite": {"action": "store_true"}}),
+    "deduplicate": (deduplicate, {"--input": {}, "--out": {}, "--report": {"default": "report.json"}, "--seed": {"type": int, "default": 42}, "--dedupe-key": {"choices": ["messages", "full-record"], "default": "messages"}, "--decluster-fields": {}, "--overwrite": {"action": "store_true"}}),
     "training-rows": (training_rows, {"--input": {}, "--out": {}, "--first-n": {"type": int}}),
     "adherence": (adherence, {"--judged": {}}),
 }

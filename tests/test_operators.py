@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from larkspur.functions import messages as M
 from larkspur.functions.messages import MESSAGES
 from larkspur.operators import benchmarks, corpus, model, qa, quality, selection, simulation, training
 from larkspur.plans.config import Limits, ablation
@@ -17,7 +18,7 @@ PERSONAS = "persona_id STRING, summary STRING, refined_summary STRING"
 
 def session(pid="p", roles=("user", "assistant") * 4, text=TEXT, turns=4, states=3, kind="full", summary="S", raw=None, prompt="q"):
     talk = [(r, text) for r in roles]
-    raw = raw or json.dumps({"persona_id": pid, "prompt_id": prompt, "conversation": [], "num_turns": turns, "termination": "x", "ablation": kind})
+    raw = raw or json.dumps({"persona_id": pid, "prompt_id": prompt, "conversation": [], "num_turns": turns, "ablation": kind, "profile_summary": "s"})
     return (pid, prompt, talk, [(i, "s") for i in range(states)], turns, "x", kind, summary, raw)
 
 
@@ -39,7 +40,7 @@ def test_sound_session_is_tier_a(spark):
     "change, failed, note",
     [
         ({"raw": '{"persona_id": "p"}'}, "D1", "missing key prompt_id"),
-        ({"raw": '{"persona_id":"p","prompt_id":"q","conversation":[],"num_turns":"4","termination":"x","ablation":"full"}'}, "D1", "num_turns is no integer"),
+        ({"raw": '{"persona_id":"p","prompt_id":"q","conversation":[],"num_turns":"4","ablation":"full","profile_summary":"s"}'}, "D1", "num_turns is no integer"),
         ({"turns": 3, "states": 9}, "D2", "num_turns=3 < 4"),
         ({"roles": ("user", "user", "assistant", "user")}, "D2", "consecutive same-role turns at index 1"),
         ({"text": "   "}, "D2", "empty content at turn 0"),
@@ -295,60 +296,6 @@ def test_pauses_double_up_to_a_ceiling():
     assert [model.GENERATION.pause(i) for i in (1, 2)] == [2, 4]
 
 
-def rollout(script, name="full", turns=3, least=2, catalog=(), blocks=None):
-    client = model.Replay(script)
-    seed = {"persona_id": "p", "prompt_id": "q", "summary": "S", "initial_prompt": "hi", "intent": "vent"}
-    return simulation.Rollout(client, ablation(name), Limits(max_turns=turns, min_turns=least), list(catalog), blocks or {}).run(seed), client
-
-
-def reply(message, state="s"):
-    return f"<user_state>{state}</user_state><message>{message}</message>"
-
-
-def test_rollout_runs_to_the_limit():
-    out, client = rollout({"assistant": ["a1", "a2", "a3"], "user": [reply("u2", "s1"), reply("u3", "s2")]})
-    assert [m["role"] for m in out["conversation"]] == ["user", "assistant"] * 3
-    assert (out["termination"], out["num_turns"]) == ("max_turns", 3)
-    assert [t["user_state"] for t in out["user_state_trajectory"]] == ["s1", "s2"]
-
-
-def test_rollout_ends_when_the_user_ends():
-    out, _ = rollout({"assistant": ["a1", "a2"], "user": [reply("<|End Conversation|>bye")]}, turns=5)
-    assert out["termination"] == "user_ended" and out["conversation"][-1]["content"] == "bye"
-
-
-def test_early_end_without_a_message_repeats_the_assistant():
-    out, _ = rollout({"assistant": ["a1", "a2"], "user": [reply("<|End Conversation|>")]}, turns=2, least=3)
-    assert [m["role"] for m in out["conversation"]] == ["user", "assistant", "assistant"]
-
-
-def test_rollout_ends_on_an_empty_message_and_on_lost_states():
-    out, _ = rollout({"assistant": ["a1"], "user": [reply("")]})
-    assert out["termination"] == "empty_message"
-    out, client = rollout({"assistant": ["a1"], "user": ["nothing"] * 5})
-    assert out["termination"] == "user_state_extraction_failed"
-    assert [t for kind, _, t in client.calls if kind == "user"] == [0.7, 0.8, 0.9, 1.0, 1.1]
-
-
-BEHAVIORS = [{"behavior_id": "b0", "name": "Zero", "cognitive_delegation_level": "low"}, {"behavior_id": "b1", "name": "One", "cognitive_delegation_level": "high"}]
-
-
-@pytest.mark.parametrize("decision, source, chosen", [('{"selected_behavior_index": 1}', "llm", "b1"), ('{"selected_behavior_index": "0"}', "llm", "b0"), ('{"selected_behavior_index": 7}', "llm", None), ("no json", "fallback", None)])
-def test_controller(decision, source, chosen):
-    out, _ = rollout({"assistant": ["a1", "a2"], "user": [reply("u")], "behavior_controller": [decision]}, turns=2, catalog=BEHAVIORS, blocks={("b1", "standard"): "BLOCK"})
-    (b,) = out["behavior_trajectory"]
-    assert b["controller_source"] == source and b["behavior_id"] in ("b0", "b1")
-    if chosen:
-        assert b["behavior_id"] == chosen and b["guidance_block"] == ("BLOCK" if chosen == "b1" else "")
-
-
-def test_profile_only_keeps_no_state():
-    out, client = rollout({"assistant": ["a1", "a2"], "user": ["plain text"], "behavior_controller": ['{"selected_behavior_index": 1}']}, "oracle_profile_only", turns=2, catalog=BEHAVIORS, blocks={("b1", "standard"): "BLOCK"})
-    assert out["conversation"][2]["content"] == "plain text"
-    assert all(t["user_state"] == "" for t in out["user_state_trajectory"])
-    assert any("BLOCK" in m[0]["content"] for kind, m, _ in client.calls if kind == "user")
-
-
 def test_unknown_ablation():
     with pytest.raises(ValueError):
         ablation("none")
@@ -385,7 +332,7 @@ def test_weighted_pick_follows_weights(spark):
 
 REPLIES = {
     qa.MCQ: {"user_query": "What? ", "correct": "c", "stereotypical": "s", "random": "r", "generic": "g"},
-    qa.PREFERENCE: {"preference": "likes green tea", "user_query": "Drink?", "response": "Some green tea", "acknowledgement_quote": "green TEA"},
+    qa.PREFERENCE: {"preference": "likes green tea", "question": "Drink?", "assistant_response": "Some green tea", "acknowledge_quote": "green TEA"},
     qa.LAMP: {"task_family": "f", "profile_items": [{"input": "i", "output": "o"}, {"input": "j", "output": ""}], "query": "n", "target": "t"},
 }
 
@@ -428,7 +375,7 @@ def test_incomplete_replies_give_nothing(spark):
     valid = qa.replies(answered(spark, bad))
     assert [r.qa_style for r in valid.collect()] == [qa.LAMP]
     assert qa.from_items(valid).count() == 0
-    other = qa.replies(answered(spark, {qa.PREFERENCE: REPLIES[qa.PREFERENCE] | {"response": "Coffee", "acknowledgement_quote": "x"}}))
+    other = qa.replies(answered(spark, {qa.PREFERENCE: REPLIES[qa.PREFERENCE] | {"assistant_response": "Coffee", "acknowledge_quote": "x"}}))
     assert other.count() == 1 and qa.acknowledged(other).count() == 0
 
 
@@ -436,3 +383,9 @@ def test_reasoning_fallbacks(spark):
     df = spark.createDataFrame([(None,), (" ",), ("so Final Answer: B",), ("Final Answer: A, no",)], "t STRING")
     got = [r.a for r in df.select(qa.with_reasoning(F.col("t"), F.lit("Final Answer: B")).alias("a")).collect()]
     assert got == ["Final Answer: B", "Final Answer: B", "so Final Answer: B", "Final Answer: A, no\n\nFinal Answer: B"]
+
+
+def test_first_bad_message_names_the_flaw(spark):
+    rows = [([("user", " "), ("other", "x")], "blank content"), ([("other", " "), ("user", "")], "unknown role"), ([("user", "a"), (None, "b")], "unknown role"), ([("user", "a")], None), ([], "no messages"), (None, "no messages")]
+    df = spark.createDataFrame(rows, f"m {MESSAGES}, want STRING")
+    assert [r.got for r in df.select(M.flaw(F.col("m")).alias("got")).collect()] == [w for _, w in rows]

@@ -172,3 +172,21 @@ def test_stream_scores_each_session_once(spark, tmp_path):
     run()
     run()
     assert sorted((r.persona_id, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", 1), ("b", 0)]
+
+
+def test_deduplicate_command_keeps_fields_and_refuses_flaws(spark, tmp_path):
+    """Other fields of a message count; full records, groups that lie apart, and flawed lines."""
+    record = lambda text, **more: json.dumps({"messages": [{"role": "user", "content": text} | more], "metadata": {"source": text[0]}})
+    lines = [record("a1"), record("a1", name="x"), record("a2"), record("a3"), record("b1"), record("b2"), record("b3"), record("a1")]
+    p = tmp_path / "in.jsonl"
+    p.write_text("\n".join(lines) + "\n")
+    cli.main(["deduplicate", "--input", str(p), "--out", str(tmp_path / "out"), "--report", str(tmp_path / "r.json"), "--decluster-fields", "metadata.source"])
+    report = json.loads((tmp_path / "r.json").read_text())
+    assert (report["rows"], report["kept"], report["duplicates"]) == (8, 7, 1)
+    got = [json.loads(x) for f in sorted((tmp_path / "out").glob("part-*")) for x in f.read_text().splitlines()]
+    assert sorted(r["messages"][0]["content"] for r in got) == ["a1", "a1", "a2", "a3", "b1", "b2", "b3"]
+    groups = [r["metadata"]["source"] for r in got]
+    assert all(set(groups[i : i + 2]) == {"a", "b"} for i in (0, 2, 4))  # every round holds each group once
+    p.write_text(lines[0] + "\n" + json.dumps({"messages": [{"role": "tool", "content": "x"}]}) + "\n")
+    with pytest.raises(ValueError, match="line 2: unknown role"):
+        cli.main(["deduplicate", "--input", str(p), "--out", str(tmp_path / "out2"), "--report", str(tmp_path / "r2.json")])
