@@ -53,14 +53,6 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("raw", CASES)
-def test_user_turn_columns_agree_with_the_loop(spark, raw):
-    from larkspur.operators.simulation import read_reply
-
-    r = one(spark, T.user_turn(F.col("x")), x=raw)
-    assert r.asDict() == read_reply(raw)
-
-
 def test_user_turn_parts(spark):
     r = one(spark, T.user_turn(F.col("x")), x=CASES[0])
     assert (r.think, r.user_state, r.message, r.wants_to_end) == ("t", "s", "m", False)
