@@ -146,11 +146,11 @@ def element(x: Column, tag: str) -> Column:
 def acknowledges(preference: Column, response: Column, quote: Column) -> Column:
     """Whether a response takes up a preference: it holds the quote, or two of the distinct
     tokens of four characters and more (before their punctuation goes)."""
-    low = F.lower(response)
     words = F.filter(F.split(strip(preference), rf"{WHITE}+"), lambda t: F.length(t) >= 4)
     tokens = F.array_distinct(F.transform(words, lambda t: F.btrim(F.lower(t), F.lit(".,!?;:\"'"))))
-    hits = F.size(F.filter(tokens, lambda t: (t != "") & F.contains(low, t)))
-    quoted = (F.coalesce(quote, F.lit("")) != "") & F.contains(low, F.lower(quote))
+    # The response is lowered once: as an array's item it has a name inside the function.
+    hits = F.get(F.transform(F.array(F.lower(response)), lambda low: F.size(F.filter(tokens, lambda t: (t != "") & F.contains(low, t)))), F.lit(0))
+    quoted = (F.coalesce(quote, F.lit("")) != "") & F.contains(F.lower(response), F.lower(quote))
     given = (F.coalesce(preference, F.lit("")) != "") & (F.coalesce(response, F.lit("")) != "")
     return F.coalesce(given & (quoted | (hits >= 2)), F.lit(False))
 

@@ -136,6 +136,21 @@ def error_taxonomy(verdicts: DataFrame, *groups: str) -> DataFrame:
     )
 
 
+# Names of the benchmarks. Each has the report of its scored or judged rows.
+REPORTS = {
+    "bigtom": lambda rows, *groups: accuracy(rows, "correct", *groups),
+    "personamem": lambda rows, *groups: accuracy(rows, "correct", *groups),
+    "prefeval": error_taxonomy,
+}
+
+
+def report(name: str, rows: DataFrame, *groups: str) -> DataFrame:
+    """The report of a benchmark, in total or by groups."""
+    if name not in REPORTS:
+        raise ValueError(f"unknown benchmark {name!r}; there are {', '.join(REPORTS)}")
+    return REPORTS[name](rows, *groups)
+
+
 def choice_of(reply: Column) -> Column:
     """A reply's letter; a reply without the element is read as its content."""
     return F.coalesce(choice(reply), choice(F.concat(F.lit("<choice>"), reply, F.lit("</choice>"))))

@@ -65,10 +65,20 @@ def adjacent_matches(df: DataFrame, order: str | list, fields: list[str]) -> Dat
 
 def interleaved(df: DataFrame, group: str, key: str, seed: int = 0) -> DataFrame:
     """Position in an order that keeps a group's rows apart: every group's first row in
-    seeded hash order, then every second row, and so on."""
+    seeded hash order, then every second row, and so on.
+
+    A group of any size is cut by the first digits of its places, which keep their order: rows
+    are numbered within a cut, and the counts of the group's cuts before it are added.
+    """
     place = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")), 256)
-    at = Window.partitionBy(group).orderBy(place, key)
-    return df.withColumn("round", F.row_number().over(at)).withColumn("place", place)
+    rows = df.withColumn("place", place).withColumn("_cut", F.substring("place", 1, 3))  # 4,096 cuts
+    cuts = rows.groupBy(F.col(group).alias("_group"), F.col("_cut").alias("_c")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_group").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = cuts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    within = Window.partitionBy(group, "_cut").orderBy("place", key)
+    rows = rows.withColumn("_i", F.row_number().over(within))
+    rows = rows.join(cuts, rows[group].eqNullSafe(cuts["_group"]) & (F.col("_cut") == F.col("_c")))
+    return rows.withColumn("round", F.col("_before") + F.col("_i")).drop("_cut", "_group", "_c", "_before", "_i")
 
 
 def shuffled(keys: list, seed: int) -> list:

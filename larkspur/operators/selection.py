@@ -90,5 +90,10 @@ def by_path(df: DataFrame, path: str, n: int | None = None) -> DataFrame:
     return out.limit(n) if n else out
 
 
+def first_items(items: DataFrame, place: str, n: int | None = None) -> DataFrame:
+    """The items at the first n places (counted from 0); all for None or 0."""
+    return items.where(F.col(place) < n) if n else items
+
+
 def counts_by_status(df: DataFrame) -> DataFrame:
     return df.groupBy("status").agg(F.count("*").alias("n"))

@@ -286,7 +286,7 @@ def a9_w6_j8_adjacent_matches(spark, sf_dir):
 
 @query("""SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY sha256('7|' || doc_id), doc_id)::INTEGER AS round FROM documents""")
 def o5_o6_interleaved(spark, sf_dir):
-    return corpus.interleaved(table(spark, sf_dir, "documents"), "source", "doc_id", 7).select("doc_id", "round")
+    return corpus.interleaved(table(spark, sf_dir, "documents"), "source", "doc_id", 7).select("doc_id", F.col("round").cast("int").alias("round"))
 
 
 @query("SELECT lang, count(*) AS n, 100.0::DOUBLE * count(*) / sum(count(*)) OVER () AS percent FROM documents GROUP BY lang")
@@ -338,7 +338,7 @@ def p21_j13_chosen_behavior(spark, sf_dir):
     kinds = e.select(F.col("event_type").alias("chosen")).distinct().withColumn("idx", F.row_number().over(Window.orderBy("chosen")) - 1)
     raw = F.when(F.col("event_id") % 4 < 3, (F.col("event_id") % 7).cast("string")).otherwise("-1")
     x = e.select("event_id", simulation.valid_index(raw, F.lit(99)).alias("idx"))
-    return x.join(F.broadcast(kinds), "idx", "left").select("event_id", "chosen")  # a row for each kind of event
+    return x.join(selection.lookup(kinds), "idx", "left").select("event_id", "chosen")
 
 
 # ---- text -------------------------------------------------------------------------------
@@ -520,13 +520,15 @@ def j9_j10_x13_judge_tasks(spark, sf_dir):
     return first.unionByName(second).groupBy("idx", "metric").agg(F.count("*").alias("n"))
 
 
-# ---- stages without SQL -----------------------------------------------------------------
-
-
-@query()
+@query("""WITH e AS (SELECT DISTINCT user_id, event_type FROM events), u AS (SELECT *, (('0x' || substr(md5(user_id || '|' || event_type), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496 AS u FROM e)
+SELECT user_id, arg_min(event_type, -ln(u) / CASE WHEN event_type = 'click' THEN 3 ELSE 1 END) AS event_type FROM u GROUP BY user_id""")
 def t5_weighted_pick(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_type").distinct()
-    return simulation.weighted_pick(e, ["user_id"], "event_type", F.lit(1.0), F.col("user_id").cast("string"))
+    weight = F.when(F.col("event_type") == "click", 3.0).otherwise(1.0)
+    return simulation.weighted_pick(e, ["user_id"], "event_type", weight, F.col("user_id").cast("string"))
+
+
+# ---- stages without SQL -----------------------------------------------------------------
 
 
 @query()
@@ -547,8 +549,13 @@ def o6_exact_reorder(spark, sf_dir):
 
 def _shared(spark, name: str) -> str:
     """A fresh folder that executors and the driver share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/larkspur-shared"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    path = f"{(base or 'file:///tmp/larkspur-shared').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 @query("SELECT conv_id, turn, role, text FROM conversations")
@@ -602,3 +609,148 @@ def f35_f36_filler_turns(spark, sf_dir):
     talk = benchmarks.question_messages(F.lit("p"), F.lit("r"), benchmarks.filler(F.col("conversation"), 1), F.lit("q"))
     between = F.slice(talk, F.lit(3), F.size(talk) - 3)
     return s.select("conv_id", F.array_join(F.transform(between, lambda m: F.concat(m["role"], F.lit("="), m["content"])), "|").alias("filler"))
+
+
+# ---- files that a sink writes and a reader reads back ------------------------------------
+
+
+@query("SELECT c_custkey::VARCHAR AS persona_id, c_name AS summary, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS refined_summary FROM customer WHERE c_custkey % 3 <> 2")
+def s2_personas(spark, sf_dir):
+    """The id stands in either field, or in none, and then the row goes."""
+    k, kind = F.col("c_custkey").cast("string"), F.col("c_custkey") % 3
+    refined = F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise("")
+    rows = table(spark, sf_dir, "customer").select(F.when(kind == 0, k).alias("persona_id"), F.when(kind == 1, k).alias("id"), F.col("c_name").alias("summary"), F.struct(refined.alias("refined_summary")).alias("metadata"))
+    path = _shared(spark, "personas")
+    sinks.append_jsonl(rows, path)
+    return readers.personas(spark, path).select("persona_id", "summary", "refined_summary")
+
+
+@query("SELECT trim(n_name) AS behavior_id, n_nationkey / 2 AS weight FROM nation WHERE n_nationkey % 5 <> 0")
+def s6_behaviors(spark, sf_dir):
+    template = F.when(F.col("n_nationkey") % 5 == 0, "  ").otherwise("t")
+    rows = table(spark, sf_dir, "nation").select(F.concat(F.lit(" "), "n_name", F.lit("\n")).alias("behavior_id"), template.alias("guidance_template"), (F.col("n_nationkey") / 2).alias("weight"))
+    path = _shared(spark, "behaviors")
+    sinks.append_jsonl(rows, path)
+    return readers.behaviors(spark, path).select("behavior_id", "weight")
+
+
+@query("SELECT item_id, text FROM benchmark UNION ALL SELECT item_id, text FROM benchmark")
+def s9_training_rows(spark, sf_dir):
+    rows, path = table(spark, sf_dir, "benchmark").select("item_id", "text"), _shared(spark, "rows")
+    sinks.append_jsonl(rows, f"{path}/rows.jsonl")
+    rows.write.parquet(f"{path}/rows.parquet")
+    return readers.training_rows(spark, f"{path}/rows.jsonl", "item_id BIGINT, text STRING").unionByName(readers.training_rows(spark, f"{path}/rows.parquet"))
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) AS line_no, o_orderkey FROM orders")
+def s10_k4_ordered_lines(spark, sf_dir):
+    """Lines written in order over many files, and numbered when they are read."""
+    path = _shared(spark, "ordered")
+    sinks.write_ordered_jsonl(table(spark, sf_dir, "orders").select("o_orderkey", F.to_json(F.struct("o_orderkey")).alias("line")), path, "o_orderkey", "line")
+    return readers.strict_jsonl(spark, path).select("line_no", F.get_json_object("value", "$.o_orderkey").cast("bigint").alias("o_orderkey"))
+
+
+@query("SELECT row_number() OVER (ORDER BY item_id) - 1 AS idx, item_id::VARCHAR AS _c0, '; \"' || text || '\"' AS _c1 FROM benchmark")
+def s11_positional_csv(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit('; "'), "text", F.lit('"')).alias("text"))
+    path = _shared(spark, "csv")
+    rows.repartitionByRange("item_id").sortWithinPartitions("item_id").write.csv(path, sep=";", header=False, quote='"', escape='"', quoteAll=True)
+    return readers.positional_csv(spark, path).select("idx", "_c0", "_c1")
+
+
+@query("SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::INTEGER AS idx, n_name FROM nation")
+def s12_json_items(spark, sf_dir):
+    path = _shared(spark, "items")
+    items = F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))  # one JSON file of 25 nations
+    table(spark, sf_dir, "nation").agg(F.to_json(items).alias("value")).write.text(path)
+    return readers.json_items(spark, path).select("idx", F.variant_get("item", "$.n_name", "string").alias("n_name"))
+
+
+@query("SELECT conv_id, turn, text, CASE WHEN conv_id % 2 = 0 THEN 'full' ELSE 'no_state' END AS ablation, (conv_id % 10)::VARCHAR AS persona_id FROM conversations")
+def k2_sessions_by_folder(spark, sf_dir):
+    c, path = table(spark, sf_dir, "conversations"), _shared(spark, "sessions")
+    ablations = F.when(F.col("conv_id") % 2 == 0, "full").otherwise("no_state")
+    sinks.write_sessions(c.select("conv_id", "turn", "text", ablations.alias("ablation"), (F.col("conv_id") % 10).cast("string").alias("persona_id")), path)
+    return spark.read.schema("conv_id BIGINT, turn BIGINT, text STRING, ablation STRING, persona_id STRING").json(path)
+
+
+@query("SELECT 'style ' || (item_id % 3) AS qa_style, count(*) AS n, min(text) AS least FROM benchmark GROUP BY 1")
+def k3_records_by_style(spark, sf_dir):
+    path = _shared(spark, "styles")
+    style = F.concat(F.lit("style "), (F.col("item_id") % 3).cast("string"))
+    sinks.write_by_style(table(spark, sf_dir, "benchmark").select("item_id", "text", style.alias("qa_style")), path)
+    return spark.read.schema("item_id BIGINT, text STRING, qa_style STRING").json(path).groupBy("qa_style").agg(F.count("*").alias("n"), F.min("text").alias("least"))
+
+
+@query("SELECT o_orderkey, (o_orderkey % 4)::VARCHAR AS prefix, CASE WHEN o_orderkey % 4 = 1 THEN 2 ELSE 1 END AS version FROM orders")
+def k7_overwrite_by_key(spark, sf_dir):
+    """A second write replaces one key's partition and leaves the others."""
+    path = _shared(spark, "cache")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 4).cast("string").alias("prefix"))
+    sinks.overwrite_by_key(o.withColumn("version", F.lit(1)), path, "prefix")
+    sinks.overwrite_by_key(o.where("prefix = '1'").withColumn("version", F.lit(2)), path, "prefix")
+    return spark.read.schema("o_orderkey BIGINT, version INT, prefix STRING").parquet(path)
+
+
+@query("SELECT event_type AS call_type, 2 * count(*) AS calls, count(*) FILTER (value > 50) AS failed FROM events GROUP BY 1")
+def k9_call_log(spark, sf_dir):
+    calls, path = table(spark, sf_dir, "events").select(F.col("event_type").alias("call_type"), "value"), _shared(spark, "calls")
+    sinks.call_log(calls.select("call_type", F.when(F.col("value") > 50, "error").alias("error")), path)
+    sinks.call_log(calls.select("call_type"), path)
+    return spark.read.schema("call_type STRING, error STRING").json(path).groupBy("call_type").agg(F.count("*").alias("calls"), F.count("error").alias("failed"))
+
+
+# ---- predicates, defaults and blocks -----------------------------------------------------
+
+
+@query("""SELECT event_id, list_has_all(json_keys(CASE event_id % 3 WHEN 0 THEN '{"k":1,"b":null,"c":2}' WHEN 1 THEN '{"k":1}' ELSE '{"b":{"k":1}}' END), ['k', 'b']) AS held FROM events""")
+def p13_required_keys(spark, sf_dir):
+    k = F.col("event_id") % 3
+    body = F.when(k == 0, '{"k":1,"b":null,"c":2}').when(k == 1, '{"k":1}').otherwise('{"b":{"k":1}}')
+    return table(spark, sf_dir, "events").select("event_id", qa.has_keys(body, ("k", "b")).alias("held"))
+
+
+@query(f"WITH {FLAWS_SQL} SELECT conv_id, turn, trim(text) <> '' AS filled FROM m")
+def p14_not_blank(spark, sf_dir):
+    return with_flaws(table(spark, sf_dir, "conversations")).select("conv_id", "turn", (T.strip(F.col("text")) != "").alias("filled"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment || ',x' ELSE 'general' END AS domains, CASE WHEN c_custkey % 3 = 0 THEN 'formal' ELSE 'casual' END AS register,
+CASE WHEN c_custkey % 4 = 1 THEN 'mid' ELSE 'high' END AS expertise, CASE WHEN c_custkey % 5 = 0 THEN c_name ELSE c_mktsegment END AS profile FROM customer""")
+def f41_persona_defaults(spark, sf_dir):
+    k = F.col("c_custkey")
+    domains = F.when(k % 2 == 0, F.array(F.col("c_mktsegment"), F.lit("x"))).when(k % 5 == 1, F.array().cast("array<string>"))
+    attributes = F.to_json(F.struct(domains.alias("domains"), F.when(k % 3 == 0, "formal").alias("register"), F.when(k % 4 != 1, "high").otherwise("").alias("expertise")))
+    p = table(spark, sf_dir, "customer").select("c_custkey", attributes.alias("attributes"), F.when(k % 5 != 0, F.col("c_mktsegment")).otherwise("").alias("refined_summary"), F.col("c_name").alias("summary"))
+    return training.persona_defaults(p).select("c_custkey", F.array_join("domains", ",").alias("domains"), "register", "expertise", "profile")
+
+
+_LISTED_SQL = "'<{tag}>' || chr(10) || array_to_string(list_transform(range(1, least({n}, 6) + 1), lambda i: {item}), chr(10)) || chr(10) || '</{tag}>'"
+
+
+@query(f"""WITH s(stage, kinds, rules, shown) AS (VALUES ('minimal', 3, 2, 2), ('standard', 5, 4, 3), ('full', 99, 99, 5))
+SELECT n_name AS behavior_id, stage, concat_ws(chr(10), '<behavior_injection>', '<behavior_id>' || n_name || '</behavior_id>', '<behavior_name>' || n_name || '</behavior_name>', '<behavior_mode>Mixed</behavior_mode>', '<behavior_strategy>s</behavior_strategy>',
+ '<cognitive_delegation_level>' || CASE WHEN n_nationkey % 2 = 0 THEN 'high' ELSE '' END || '</cognitive_delegation_level>', '<disclosure_stage>' || stage || '</disclosure_stage>', '<public_intent>' || chr(10) || 'about ' || n_name || chr(10) || '</public_intent>',
+ {_LISTED_SQL.format(tag='public_request_types', n='kinds', item="'- kind ' || i")}, {_LISTED_SQL.format(tag='public_authenticity_rules', n='rules', item="'- rule ' || i || ' of ' || n_name")},
+ {_LISTED_SQL.format(tag='progressive_examples', n='shown', item="i || '. [kind ' || i || '] turn ' || i")},
+ CASE WHEN stage = 'full' THEN '<private_deliberation_focus>' || chr(10) || 'why ' || n_name || '?' || chr(10) || '</private_deliberation_focus>' END, '</behavior_injection>') AS block FROM nation, s""")
+def f24_behavior_blocks(spark, sf_dir):
+    """Blocks of behaviours with six rules and six examples, cut by stage."""
+    name = F.col("n_name")
+    rules = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.concat(F.lit("- rule "), i.cast("string"), F.lit(" of "), name)), "\n")
+    template = F.concat(F.lit("**Internal question:** why "), name, F.lit("?\n**Authenticity rules:**\n"), rules, F.lit("\n\n**Other:**\n- no"))
+    examples = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.struct(F.concat(F.lit("kind "), i.cast("string")).alias("request_type"), F.concat(F.lit(" turn "), i.cast("string")).alias("user_turn")))
+    b = table(spark, sf_dir, "nation").select(
+        name.alias("behavior_id"), F.lit(None).cast("string").alias("name"), F.lit("Mixed").alias("tuna_mode"), F.lit("s").alias("tuna_strategy"), F.when(F.col("n_nationkey") % 2 == 0, "high").alias("cognitive_delegation_level"),
+        F.concat(F.lit(" about "), name).alias("description"), template.alias("guidance_template"), examples.alias("few_shot_examples"), F.struct(F.lit(None).cast("boolean").alias("force_include_few_shot")).alias("simulator_control"),
+    )
+    return simulation.behavior_blocks(b).select("behavior_id", "stage", "block")
+
+
+@query("SELECT item_id FROM benchmark QUALIFY row_number() OVER (ORDER BY item_id) <= 25")
+def o7_first_items(spark, sf_dir):
+    """The feature is the head: the first 25 rows of a file of items, by their places."""
+    path = _shared(spark, "heads")
+    b = table(spark, sf_dir, "benchmark").select("item_id")
+    b.repartitionByRange("item_id").sortWithinPartitions("item_id").write.csv(path, sep=";")
+    return selection.first_items(readers.positional_csv(spark, path), "idx", 25).select(F.col("_c0").cast("bigint").alias("item_id"))

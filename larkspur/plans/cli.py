@@ -4,6 +4,7 @@
     python -m larkspur.plans.cli deduplicate --input FILE --out DIR
     python -m larkspur.plans.cli training-rows --input FILE --out DIR --first-n 8
     python -m larkspur.plans.cli adherence --judged FILE
+    python -m larkspur.plans.cli benchmark-report --benchmark prefeval --rows DIR --groups topic
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.messages import MESSAGES, flaw
 from ..operators import benchmarks, corpus, quality, selection, training
 from ..sources import readers, sinks
+from .config import comma_list, deduplicated_path, report_path
 
 SESSION = f"persona_id STRING, prompt_id STRING, conversation {MESSAGES}, user_state_trajectory ARRAY<STRUCT<turn: INT, user_state: STRING>>, num_turns INT, ablation STRING, profile_summary STRING"
 
@@ -42,13 +44,14 @@ def deduplicate(spark, a) -> None:
         raise ValueError("; ".join(f"line {r.line_no}: {r.flaw}" for r in bad))
     keyed = rows.withColumn("key", corpus.canonical_json("value", "$" if a.dedupe_key == "full-record" else "$.messages"))
     kept = corpus.keep_first(keyed, "key", "line_no")
-    fields = [x.strip() for x in (a.decluster_fields or "").split(",") if x.strip()]
+    out = a.out or deduplicated_path(a.input)
+    fields = comma_list(a.decluster_fields)
     group = F.concat_ws("|", *[F.coalesce(corpus.canonical_json("value", f"$.{x}"), F.lit("null")) for x in fields]) if fields else F.lit("")
     order = corpus.interleaved(kept.withColumn("group", group), "group", "line_no", a.seed)
-    sinks.write_ordered_jsonl(order.withColumn("position", F.concat(F.lpad(F.col("round").cast("string"), 19, "0"), F.col("place"))), a.out, "position", "value", a.overwrite)
+    sinks.write_ordered_jsonl(order.withColumn("position", F.concat(F.lpad(F.col("round").cast("string"), 19, "0"), F.col("place"))), out, "position", "value", a.overwrite)
     n, left = rows.count(), kept.count()
     pairs = [r.asDict() for r in corpus.duplicate_pairs(keyed, "key", "line_no", 20).collect()]
-    sinks.write_json_atomic({"rows": n, "kept": left, "duplicates": n - left, "first_pairs": pairs}, a.report, True)
+    sinks.write_json_atomic({"rows": n, "kept": left, "duplicates": n - left, "first_pairs": pairs}, a.report or report_path(out), True)
 
 
 def training_rows(spark, a) -> None:
@@ -65,11 +68,16 @@ def adherence(spark, a) -> None:
     benchmarks.error_taxonomy(verdicts).show(truncate=False)
 
 
+def benchmark_report(spark, a) -> None:
+    benchmarks.report(a.benchmark, spark.read.parquet(a.rows), *comma_list(a.groups)).show(truncate=False)
+
+
 COMMANDS = {
     "check-quality": (check_quality, {"--sessions": {}, "--personas": {}, "--out": {}, "--sample": {"type": int}, "--resume": {"action": "store_true"}}),
-    "deduplicate": (deduplicate, {"--input": {}, "--out": {}, "--report": {"default": "report.json"}, "--seed": {"type": int, "default": 42}, "--dedupe-key": {"choices": ["messages", "full-record"], "default": "messages"}, "--decluster-fields": {}, "--overwrite": {"action": "store_true"}}),
+    "deduplicate": (deduplicate, {"--input": {}, "--out": {}, "--report": {}, "--seed": {"type": int, "default": 42}, "--dedupe-key": {"choices": ["messages", "full-record"], "default": "messages"}, "--decluster-fields": {}, "--overwrite": {"action": "store_true"}}),
     "training-rows": (training_rows, {"--input": {}, "--out": {}, "--first-n": {"type": int}}),
     "adherence": (adherence, {"--judged": {}}),
+    "benchmark-report": (benchmark_report, {"--benchmark": {"choices": list(benchmarks.REPORTS)}, "--rows": {}, "--groups": {}}),
 }
 
 

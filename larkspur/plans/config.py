@@ -53,3 +53,18 @@ class ScenarioFamily:
 # Prefixes of scenario ids by family.
 FAMILIES = {"lifelong": ScenarioFamily("lifelong"), "high_frequency": ScenarioFamily("high_frequency"), "affective": ScenarioFamily("affective")}
 STYLES = ("personamem_mcq", "prefeval_gen", "lamp_cls")
+
+
+def comma_list(raw: str | None) -> list[str]:
+    """Names of a comma-separated list, blanks around them and empty ones left out."""
+    return [x for x in (part.strip() for part in (raw or "").split(",")) if x]
+
+
+def deduplicated_path(source: str) -> str:
+    """Where a deduplicated table goes by default: beside its source."""
+    stem, dot, suffix = source.rstrip("/").rpartition(".")
+    return f"{stem}.deduped_shuffled.{suffix}" if dot and "/" not in suffix and stem.rpartition("/")[2] else f"{source.rstrip('/')}.deduped_shuffled"
+
+
+def report_path(output: str) -> str:
+    return f"{output.rstrip('/')}.report.json"

@@ -16,10 +16,21 @@ PERSONA = "persona_id STRING, id STRING, summary STRING, metadata STRING, attrib
 SCENARIOS = "ARRAY<STRUCT<scenario_id: STRING, context_note: STRING, category: STRING, initial_prompt: STRING>>"
 
 
+def with_places(scan: DataFrame, name: str) -> DataFrame:
+    """The rows of a file scan with their places from 0, files by path. Rows of a split are
+    numbered where they are read, and the counts of the splits before it are added: no task
+    sees all rows."""
+    rows = scan.withColumns({"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"), "_id": F.monotonically_increasing_id()})
+    splits = rows.groupBy("_file", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    splits = splits.select("_file", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return rows.join(splits, ["_file", "_start"]).withColumn(name, F.col("_id") + F.col("_shift")).drop("_file", "_start", "_id", "_shift")
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_no from 1, value): lines of one text in order, blank ones counted and dropped."""
-    lines = spark.sparkContext.textFile(path).zipWithIndex().map(lambda x: (x[1] + 1, x[0]))
-    return spark.createDataFrame(lines, "line_no BIGINT, value STRING").where(strip(F.col("value")) != "")
+    lines = with_places(spark.read.text(path), "line_no")
+    return lines.select((F.col("line_no") + 1).alias("line_no"), "value").where(strip(F.col("value")) != "")
 
 
 def jsonl(spark: SparkSession, path: str, schema: str | StructType, limit: int | None = None) -> DataFrame:
@@ -125,11 +136,10 @@ def training_rows(spark: SparkSession, path: str, schema: str | None = None) ->
     raise ValueError(f"training rows come as parquet, jsonl or json: {path}")
 
 
-def positional_csv(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
-    """A CSV without a header, all strings, with the index of each row."""
-    rows = spark.read.csv(path, sep=sep, header=False, quote='"', escape='"')
-    indexed = rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))  # two passes, no single task
-    return spark.createDataFrame(indexed, StructType(rows.schema.fields + StructType.fromDDL("idx BIGINT").fields))
+def positional_csv(spark: SparkSession, path: str, sep: str = ";", line_breaks: bool = True) -> DataFrame:
+    """A CSV without a header, all strings, with the index of each row. Quoted fields may hold
+    line breaks; where none does, ``line_breaks=False`` lets large files be split."""
+    return with_places(spark.read.csv(path, sep=sep, header=False, quote='"', escape='"', multiLine=line_breaks), "idx")
 
 
 def json_items(spark: SparkSession, path: str) -> DataFrame:

@@ -389,3 +389,28 @@ def test_first_bad_message_names_the_flaw(spark):
     rows = [([("user", " "), ("other", "x")], "blank content"), ([("other", " "), ("user", "")], "unknown role"), ([("user", "a"), (None, "b")], "unknown role"), ([("user", "a")], None), ([], "no messages"), (None, "no messages")]
     df = spark.createDataFrame(rows, f"m {MESSAGES}, want STRING")
     assert [r.got for r in df.select(M.flaw(F.col("m")).alias("got")).collect()] == [w for _, w in rows]
+
+
+def test_interleaved_rounds_of_a_hot_group_and_nulls(spark):
+    df = spark.range(30000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.col("id").cast("string")).alias("g"))
+    out = corpus.interleaved(df, "g", "id", 5)
+    assert out.columns == ["id", "g", "place", "round"] and out.count() == 30000
+    hot = out.where("g = 'hot'").orderBy("place").collect()
+    assert [r["round"] for r in hot] == list(range(1, 10001))
+    nulls = out.where("g IS NULL").orderBy("place").collect()
+    assert [r["round"] for r in nulls] == list(range(1, 10001))
+    assert out.where("g <> 'hot' AND round <> 1").count() == 0
+
+
+def test_reports_by_benchmark(spark):
+    rows = spark.createDataFrame([(True, "a"), (False, "b")], "correct BOOLEAN, kind STRING")
+    assert benchmarks.report("bigtom", rows).first().accuracy == 0.5
+    assert benchmarks.report("personamem", rows, "kind").count() == 2
+    with pytest.raises(ValueError, match="bigtom, personamem, prefeval"):
+        benchmarks.report("other", rows)
+
+
+def test_first_items(spark):
+    items = spark.range(5).withColumnRenamed("id", "idx")
+    assert selection.first_items(items, "idx", 2).count() == 2
+    assert selection.first_items(items, "idx", 0).count() == 5

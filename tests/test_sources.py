@@ -190,3 +190,26 @@ def test_deduplicate_command_keeps_fields_and_refuses_flaws(spark, tmp_path):
     p.write_text(lines[0] + "\n" + json.dumps({"messages": [{"role": "tool", "content": "x"}]}) + "\n")
     with pytest.raises(ValueError, match="line 2: unknown role"):
         cli.main(["deduplicate", "--input", str(p), "--out", str(tmp_path / "out2"), "--report", str(tmp_path / "r2.json")])
+
+
+def test_places_run_over_files_and_splits(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    lines = [f"{i:04d}" if i % 7 else "" for i in range(3000)]
+    for k in range(3):
+        (folder / f"{k}.txt").write_text("".join(x + "\n" for x in lines[k * 1000 : k * 1000 + 1000]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        got = sorted((r.line_no, r.value) for r in readers.numbered_lines(spark, str(folder)).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [(i + 1, x) for i, x in enumerate(lines) if x]
+
+
+def test_default_names_and_lists():
+    from larkspur.plans.config import comma_list, deduplicated_path, report_path
+
+    assert comma_list(" a, b,, c ,") == ["a", "b", "c"] and comma_list(None) == []
+    assert deduplicated_path("/x.y/data.jsonl") == "/x.y/data.deduped_shuffled.jsonl"
+    assert deduplicated_path("/x.y/data") == "/x.y/data.deduped_shuffled"
+    assert report_path("/x/d.jsonl") == "/x/d.jsonl.report.json"
