@@ -626,7 +626,7 @@ def s2_personas(spark, sf_dir):
 
 
 @query("SELECT trim(n_name) AS behavior_id, n_nationkey / 2 AS weight FROM nation WHERE n_nationkey % 5 <> 0")
-def s6_behaviors(spark, sf_dir):
+def s7_behaviors(spark, sf_dir):
     template = F.when(F.col("n_nationkey") % 5 == 0, "  ").otherwise("t")
     rows = table(spark, sf_dir, "nation").select(F.concat(F.lit(" "), "n_name", F.lit("\n")).alias("behavior_id"), template.alias("guidance_template"), (F.col("n_nationkey") / 2).alias("weight"))
     path = _shared(spark, "behaviors")
