@@ -75,12 +75,13 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
 
 
 class Words:
-    """Words of a run of texts: byte spans, owning text, and a 64-bit hash of each."""
+    """Words of a run of texts: byte spans, owning text, and a 64-bit hash of each. ``inside``
+    and ``fold`` give another rule of words: the bytes of which they consist, and their case."""
 
-    def __init__(self, buf: np.ndarray, off: np.ndarray):
+    def __init__(self, buf: np.ndarray, off: np.ndarray, inside: np.ndarray = IS_WORD, fold: np.ndarray = LOWER):
         n = len(buf)
         self.buf, self.n_texts = buf, len(off) - 1
-        m = IS_WORD[buf]
+        m = inside[buf]
         before = np.zeros(n + 1, bool)
         before[1:] = m
         after = np.zeros(n + 1, bool)
@@ -93,7 +94,7 @@ class Words:
         self.count = np.diff(self.first)
         self.text = np.repeat(np.arange(self.n_texts), self.count)
         p, inv = powers(n)
-        low = LOWER[buf]
+        low = fold[buf]
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((low.astype(np.uint64) + np.uint64(1)) * p[:n], out=total[1:])
         self.low = low
@@ -264,25 +265,30 @@ def numbered(docs: DataFrame) -> DataFrame:
     return written(docs.withColumn(NUMBER, F.monotonically_increasing_id()), "numbered")
 
 
-def hash_share(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """A share of the rows by hash of their keys that holds n of them almost surely."""
-    scale = 1 << 40
-    rows = rows.where(F.col(key).isNotNull())
-    share = min(scale, int(scale * (n + 8 * n**0.5 + 50) / max(1, rows.count())) + 1)
-    return rows.where(F.pmod(F.xxhash64(key), F.lit(scale)) < share)
+PLACE = "_place"
 
 
-def first_by_hash(rows: DataFrame, key: str, n: int) -> DataFrame:
-    return rows.orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 40)), key).limit(n)
+def hash_share(rows: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """The rows, with their ``PLACE``, whose hash of ``columns`` (nulls are values too) is in a
+    share of all hashes that holds n different ones almost surely. Equal rows come once, so the
+    draw is the same in any partitioning and a row of very many copies is one row."""
+    placed = rows.withColumn(PLACE, F.xxhash64(*columns))
+    different = placed.agg(F.approx_count_distinct(PLACE, 0.02)).first()[0]
+    share = 1.1 * (n + 8 * n**0.5 + 50) / max(1, different)
+    if share < 1:
+        placed = placed.where(F.col(PLACE) < int(share * (1 << 64)) - (1 << 63))
+    return placed.dropDuplicates([PLACE])
 
 
-def hash_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """The n rows whose keys have the least hashes (null keys left out; fewer if there are).
+def first_places(rows: DataFrame, n: int) -> DataFrame:
+    return rows.orderBy(PLACE).limit(n)
 
-    A share of the hashes is filtered first, so that not every partition sends n rows of its
-    own to the one task that merges them.
-    """
-    return first_by_hash(hash_share(rows, key, n), key, n)
+
+def hash_sample(rows: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """The n different rows of the least hashes (fewer if there are). A share of the hashes is
+    filtered first, so that not every partition sends n rows of its own to the task that merges
+    them."""
+    return first_places(hash_share(rows, columns, n), n).drop(PLACE)
 
 
 def keep_rows(docs: DataFrame, text: str, make: Callable) -> DataFrame:

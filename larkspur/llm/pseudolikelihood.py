@@ -7,7 +7,8 @@ masked); the sum of the conditional log-probabilities is the document's score.
    reach are symbols of their own. All others share ``ENDINGS`` symbols by their last two
    bytes, and one symbol stands for what lies beyond a text's ends.
 2. The network (shared embeddings, one hidden layer, a two-level softmax over symbols) is
-   trained in numpy: a start on at most ``START`` texts on the driver, then one round over all
+   trained in numpy: a start on at most ``START`` texts of up to ``START_BYTES`` (by hash of id
+   and text, 38 MB in all) on the driver, then one round over all
    texts, in which every partition trains from that start on every word of its texts. The
    partitions' weights, weighted by words, are averaged in a tree (``FAN`` networks at a time,
    by block), so no task holds more than a few blocks, and the driver gets one network.
@@ -40,6 +41,7 @@ EDGE = VOCABULARY - 1
 NEAR = 1 << 19  # bound of the word counts that are broadcast
 EMBED, HIDDEN = 16, 24
 START = 600  # texts on which the driver trains the first network
+START_BYTES = 1 << 16  # of each of them at most; longer ones are trained on in the round over all texts
 MINIBATCH = 8192
 BLOCK = 4096
 FAN = 64
@@ -326,7 +328,7 @@ def averaged(weights: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text") -> dict[str, np.ndarray]:
     """Weights of the network, as described above."""
     sample = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") > 0)
-    texts = hash_sample(sample, "key", START).select("text").toArrow()
+    texts = hash_sample(sample.where(F.octet_length("text") <= START_BYTES), ["key", "text"], START).select("text").toArrow()
     network = Network()
     rng = np.random.default_rng(5)
     for epoch in range(2):

@@ -8,12 +8,14 @@ their shares above a score (best-bin estimate, cross-fitted by a first network);
 than 1 are never used.
 
 The network is fitted on style features of at most ``sample`` positives and twice as many
-unlabelled texts, taken by hash of the id; all whole texts are then read and scored in one
-pass, which writes no table.
+unlabelled texts, taken by hash of id and text, so the same ones in any partitioning (rows of
+equal id and text count once, rows without an id are unlabelled ones); all whole texts are then
+read and scored in one pass, which writes no table.
 
 Null and empty texts have all-zero features and get that score. Repeated rows each get their
-row. Without a positive label every score is the prior's default, 0.5. Labels of null ids or
-null values are ignored; of several labels of an id the largest counts.
+row. Without a positive label every score is 0.5 and ``keep_good`` keeps all documents: nothing
+is known by which to reject one. Labels of null ids or null values are ignored; of several
+labels of an id the largest counts.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import IS_WORD, Words, bucket, first_by_hash, hash_share, keep_rows, map_pieces, per_text
+from .kit import IS_WORD, PLACE, Words, bucket, first_places, hash_share, keep_rows, map_pieces, per_text
 
 SAMPLE = 6000  # bound of the positives fitted on; unlabelled rows are twice as many
 KEEP = 0.7
@@ -202,8 +204,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     good = labels.where(F.col(key).isNotNull() & ~held_out).groupBy(F.col(key).alias("key")).agg(F.max(label).alias("label")).where("label = 1").select("key")
 
     def matrix(rows: DataFrame, n: int) -> np.ndarray:
-        near = map_pieces(hash_share(rows, "key", n), "text", ["key"], "features ARRAY<FLOAT>", _featurize)
-        got = first_by_hash(near, "key", n).select("features").toArrow().column(0).combine_chunks()
+        near = map_pieces(hash_share(rows, ["key", "text"], n), "text", [PLACE], "features ARRAY<FLOAT>", _featurize)
+        got = first_places(near, n).select("features").toArrow().column(0).combine_chunks()
         return got.flatten().to_numpy().reshape(-1, N_FEATURES).astype(float)
 
     positive = matrix(open_.join(good, "key"), sample)
@@ -241,9 +243,13 @@ def predictions(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose score reaches 0.7, with all their columns. Rows are dropped in the
-    pass that scores them, so each goes by its own score, whatever its id."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, key, text, held_out=held(key)))
+    """The documents whose score reaches 0.7, with all their columns; all documents where no
+    positive label can be learned from. Rows are dropped in the pass that scores them, so each
+    goes by its own score, whatever its id."""
+    model = fit(docs, labels, key, text, held_out=held(key))
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         model = shared.value

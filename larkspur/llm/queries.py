@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html, jpeg, language, packing, pseudolikelihood, quality, secrets, similarity, warc
+from . import decontamination, html, jpeg, language, packing, pseudolikelihood, quality, rules, secrets, similarity, warc
 from .kit import small_batches
 from .kit import table as stored
 
@@ -51,7 +51,11 @@ def op10_pseudolikelihood(spark, sf_dir):
     return pseudolikelihood.scored(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_packing, op3_quality, op4_ngram_jaccard, op5_jpeg, op6_language, op7_html, op8_decontamination, op9_warc, op10_pseudolikelihood)}
+def op11_isolation(spark, sf_dir):
+    return rules.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_packing, op3_quality, op4_ngram_jaccard, op5_jpeg, op6_language, op7_html, op8_decontamination, op9_warc, op10_pseudolikelihood, op11_isolation)}
 
 # Words, as the operators take them: A-Z lowered; runs of digits, letters and all beyond ASCII.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

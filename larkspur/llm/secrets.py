@@ -297,7 +297,7 @@ def fit(docs: DataFrame, text: str = "text", max_labels: int = MAX_LABELS) -> Fo
     for r in seen.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # cells of a fixed table
         counts[r.cell] = r.n
     known = {r.kind: r.n for r in seen.where("kind IS NOT NULL").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    labelled = {kind: [r.value for r in hash_sample(seen.where(F.col("kind") == kind).select("value").distinct(), "value", max_labels).collect()] for kind in known}
+    labelled = {kind: [r.value for r in hash_sample(seen.where(F.col("kind") == kind).select("value").distinct(), ["value"], max_labels).collect()] for kind in known}
     return Formats(labelled, known, counts)
 
 
