@@ -1,18 +1,19 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives (label 1) and unlabelled web text train a small network by minimising the
+Trusted positives (label 1) and unlabelled web text train a few small networks by minimising the
 non-negative unbiased risk  pi * E_p[l(g)] + max(0, E_u[l(-g)] - pi * E_p[l(-g)])  with the
 logistic loss: where the second term turns negative its gradient is reversed instead. The
 class prior pi is estimated from positives and unlabelled text alone, as the least ratio of
-their shares above a score (best-bin estimate, cross-fitted by a first network); labels other
-than 1 are never used.
+their shares above a score (best-bin estimate, cross-fitted; the lower quartile of ``HALVINGS``
+random halvings); labels other than 1 are never used.
 
-The network is fitted on style features of at most ``sample`` positives and twice as many
+The networks, whose scores are averaged, are fitted on style features of at most ``sample`` positives and twice as many
 unlabelled texts, taken by hash of id and text, so the same ones in any partitioning (rows of
 equal id and text count once, rows without an id are unlabelled ones); all whole texts are then
 read and scored in one pass, which writes no table.
 
-Null and empty texts have all-zero features and get that score. Repeated rows each get their
+Scores are rounded to nine digits, as sums of floats depend on the batch. Null and empty texts
+have all-zero features and get that score. Repeated rows each get their
 row. Without a positive label every score is 0.5 and ``keep_good`` keeps all documents: nothing
 is known by which to reject one. Labels of null ids or null values are ignored; of several
 labels of an id the largest counts.
@@ -21,15 +22,19 @@ labels of an id the largest counts.
 from __future__ import annotations
 
 import math
+import pickle
+from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kit import IS_WORD, PLACE, Words, bucket, first_places, hash_share, keep_rows, map_pieces, per_text
 
 SAMPLE = 6000  # bound of the positives fitted on; unlabelled rows are twice as many
 KEEP = 0.7
+HALVINGS, MEMBERS = 15, 5  # halvings of the sample, for the class prior; networks
 FOLDS, HELD_OUT = 4, 2
 
 SIGNS = "!#$%&*|.,;:?-_/()<>=@\"'"
@@ -179,26 +184,60 @@ def best_bin_prior(positive: np.ndarray, unlabelled: np.ndarray, wide: float = 0
     return float(np.clip(u[best] / p[best], 0.02, 0.98))
 
 
-def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, parts: int = 2, rounds: int = 2) -> float:
-    """Best-bin estimate from scores of texts by networks that were not fitted on them; a second
-    round fits those networks with the first round's estimate."""
-    prior, parts = 0.5, max(1, min(parts, len(positive), len(unlabelled)))
+def halved_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 0, parts: int = 2, rounds: int = 2) -> float:
+    """Best-bin estimate from scores of texts by networks that were not fitted on them, as a
+    random halving deals them; a second round fits those networks with the first round's
+    estimate."""
+    parts = max(1, min(parts, len(positive), len(unlabelled)))
+    rng, prior = np.random.default_rng(seed), 0.5
+    of_p, of_u = rng.permutation(len(positive)) % parts, rng.permutation(len(unlabelled)) % parts
     for _ in range(rounds):
         p, u = np.zeros(len(positive)), np.zeros(len(unlabelled))
         for i in range(parts):
-            in_p, in_u = np.arange(len(p)) % parts == i, np.arange(len(u)) % parts == i
-            net = Network().fit(positive[~in_p] if parts > 1 else positive, unlabelled[~in_u] if parts > 1 else unlabelled, prior, 600, 10)
+            in_p, in_u = of_p == i, of_u == i
+            net = Network(seed=seed).fit(positive[~in_p] if parts > 1 else positive, unlabelled[~in_u] if parts > 1 else unlabelled, prior, 600, 10)
             p[in_p], u[in_u] = net.score(positive[in_p]), net.score(unlabelled[in_u])
         prior = best_bin_prior(p, u)
     return prior
 
 
+class Committee:
+    """Networks that differ in their random start; the score is the mean of theirs."""
+
+    def __init__(self, members: list[Network]):
+        self.members = members
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return np.mean([m.score(x) for m in self.members], axis=0)
+
+
+def in_tasks(spark: SparkSession, run: Callable, n: int) -> list:
+    """``run(seed)`` for n seeds, each in a task of its own."""
+
+    def each(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pickle.dumps(run(seed)) for seed in batch.column(0).to_pylist()], pa.binary())], names=["seed", "made"])
+
+    rows = spark.range(0, n, 1, n).mapInArrow(each, "seed BIGINT, made BINARY").collect()
+    return [pickle.loads(r.made) for r in sorted(rows)]
+
+
+def trained(spark: SparkSession, positive: np.ndarray, unlabelled: np.ndarray) -> Committee:
+    """Prior and networks. The prior is the lower quartile of the estimates of some random
+    halvings: one alone is unsteady where positives are few, and they err upwards rather than
+    downwards, as every cut's ratio is at least the prior."""
+    shared = spark.sparkContext.broadcast((positive.astype(np.float32), unlabelled.astype(np.float32)))
+    data = lambda: (x.astype(float) for x in shared.value)
+    prior = float(np.quantile(in_tasks(spark, lambda seed: halved_prior(*data(), seed), HALVINGS), 0.25))
+    return Committee(in_tasks(spark, lambda seed: Network(seed=7 + seed).fit(*data(), prior), MEMBERS))
+
+
 def _featurize():
     return lambda batch, buf, off: {"features": list(features(buf, off))}
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, held_out=None) -> Network | None:
-    """The network, or None where there is no positive label to learn from."""
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, held_out=None) -> Committee | None:
+    """The networks, or None where there is no positive label to learn from."""
     held_out = F.lit(False) if held_out is None else held_out
     open_ = docs.where(~held_out).select(F.col(key).alias("key"), F.col(text).alias("text"))
     good = labels.where(F.col(key).isNotNull() & ~held_out).groupBy(F.col(key).alias("key")).agg(F.max(label).alias("label")).where("label = 1").select("key")
@@ -212,11 +251,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     unlabelled = matrix(open_, 2 * sample)
     if not len(positive) or not len(unlabelled):
         return None
-    return Network().fit(positive, unlabelled, estimated_prior(positive, unlabelled))
+    return trained(docs.sparkSession, positive, unlabelled)
 
 
-def scored(model: Network | None, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    return model.score(features(buf, off)) if model else np.full(len(off) - 1, 0.5)
+def scored(model: Committee | None, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    return np.round(model.score(features(buf, off)), 9) if model else np.full(len(off) - 1, 0.5)
 
 
 def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, held_out=None) -> DataFrame:

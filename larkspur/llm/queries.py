@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html, jpeg, language, packing, pseudolikelihood, quality, rules, secrets, similarity, warc
+from . import decontamination, html, jpeg, language, packing, pseudolikelihood, quality, ranking, rules, secrets, similarity, warc
 from .kit import small_batches
 from .kit import table as stored
 
@@ -55,7 +55,11 @@ def op11_isolation(spark, sf_dir):
     return rules.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_packing, op3_quality, op4_ngram_jaccard, op5_jpeg, op6_language, op7_html, op8_decontamination, op9_warc, op10_pseudolikelihood, op11_isolation)}
+def op13_threshold(spark, sf_dir):
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_packing, op3_quality, op4_ngram_jaccard, op5_jpeg, op6_language, op7_html, op8_decontamination, op9_warc, op10_pseudolikelihood, op11_isolation, op13_threshold)}
 
 # Words, as the operators take them: A-Z lowered; runs of digits, letters and all beyond ASCII.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -89,4 +93,13 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce
 d AS (SELECT page_id, n AS payload_bytes, sha256(h) AS payload_digest, min(page_id) OVER (PARTITION BY sha256(h)) AS lead FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id > lead THEN 'revisit' ELSE 'response' END AS record_type,
 CASE WHEN payload_bytes >= 100 AND page_id > lead THEN lead END AS refers_to FROM d""",
+    "op13_threshold": r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+d AS (SELECT r, doc_id, len(w)::BIGINT AS n, w FROM t WHERE len(w) > 0),
+c AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS total FROM d),
+q AS (SELECT i, item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM (SELECT row_number() OVER () AS i, * FROM benchmark)),
+f AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY r, term),
+p AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM f, c GROUP BY term, n_docs),
+s AS (SELECT i, item_id, r, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // total))))::BIGINT AS score FROM q JOIN f USING (term) JOIN p USING (term) JOIN d USING (r), c GROUP BY i, item_id, r)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM s JOIN d USING (r) WHERE score > 0) WHERE rank <= 50""",
 }

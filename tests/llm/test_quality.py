@@ -85,10 +85,12 @@ def test_scores_against_a_plain_loop(spark, documents, data):
     got = {r.doc_id: r for r in quality.predictions(documents, labels).collect()}
     for d in documents.limit(80).collect():
         x = plain_features(d.text) if d.text else [0.0] * quality.N_FEATURES
-        z = [max(-6, min(6, (a - m) / s)) for a, m, s in zip(x, model.mean, model.scale)]
-        hidden = [math.tanh(sum(a * w for a, w in zip(z, column)) + b) for column, b in zip(model.p[0].T, model.p[1])]
-        score = 1 / (1 + math.exp(-(sum(h * w for h, w in zip(hidden, model.p[2])) + model.p[3][0])))
-        assert abs(got[d.doc_id].score - score) < 1e-3
+        scores = []
+        for m in model.members:
+            z = [max(-6, min(6, (a - b) / s)) for a, b, s in zip(x, m.mean, m.scale)]
+            hidden = [math.tanh(sum(a * w for a, w in zip(z, column)) + b) for column, b in zip(m.p[0].T, m.p[1])]
+            scores.append(1 / (1 + math.exp(-(sum(h * w for h, w in zip(hidden, m.p[2])) + m.p[3][0]))))
+        assert abs(got[d.doc_id].score - sum(scores) / len(scores)) < 1e-3
 
 
 def test_labels_other_than_one_are_not_used(spark, documents, data):
@@ -99,3 +101,16 @@ def test_labels_other_than_one_are_not_used(spark, documents, data):
 
 def test_rows_without_an_id_are_of_no_fold(odd, labels):
     assert [r.held_out for r in quality.predictions(odd, labels).collect() if r.doc_id is None] == [False]
+
+
+def test_same_scores_in_any_partitioning_with_repeated_and_null_ids(spark, documents, data):
+    labels = spark.read.parquet(f"{data}/labels.parquet").union(spark.createDataFrame([(7, 1, 0)], "doc_id BIGINT, quality INT, toxic INT"))
+    clash = documents.selectExpr("IF(doc_id % 3 = 0, NULL, IF(doc_id % 3 = 1, 7, doc_id)) AS doc_id", "text")
+    a = sorted(map(str, quality.scores(clash.repartition(2), labels).collect()))
+    b = sorted(map(str, quality.scores(clash.repartition(7), labels).collect()))
+    assert a == b and len(set(a)) > 5
+
+
+def test_all_documents_stay_where_nothing_is_labelled_good(spark, odd, labels):
+    for none_good in (spark.createDataFrame([], labels.schema), labels.where("quality = 0")):
+        assert sorted(map(str, quality.keep_good(odd, none_good).collect())) == sorted(map(str, odd.collect()))
