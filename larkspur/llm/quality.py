@@ -84,10 +84,11 @@ def features(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     length = (words.end - words.start).astype(float)
     again = np.zeros(len(words.hash), bool)
     again[1:] = (words.hash[1:] == words.hash[:-1]) & (words.text[1:] == words.text[:-1])
+    inside = (words.text[1:] == words.text[:-1]).astype(np.uint64)  # no word of the text before
     pairs = words.hash.copy()
-    pairs[1:] += words.hash[:-1] * np.uint64(0x9E3779B97F4A7C15)
+    pairs[1:] += words.hash[:-1] * np.uint64(0x9E3779B97F4A7C15) * inside
     triples = pairs.copy()
-    triples[1:] += pairs[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)
+    triples[1:] += pairs[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) * inside
     capital = _UPPER[buf[words.start]] if len(words.start) else np.zeros(0, bool)
     columns = [
         np.log1p(words.count),
