@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html, jpeg, language, packing, pseudolikelihood, quality, ranking, rules, secrets, similarity, warc
+from . import conversations, decontamination, html, jpeg, language, packing, pseudolikelihood, quality, ranking, rules, secrets, similarity, warc
 from .kit import small_batches
 from .kit import table as stored
 
@@ -55,11 +55,15 @@ def op11_isolation(spark, sf_dir):
     return rules.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_signatures(spark, sf_dir):
+    return conversations.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
 def op13_threshold(spark, sf_dir):
     return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_packing, op3_quality, op4_ngram_jaccard, op5_jpeg, op6_language, op7_html, op8_decontamination, op9_warc, op10_pseudolikelihood, op11_isolation, op13_threshold)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_packing, op3_quality, op4_ngram_jaccard, op5_jpeg, op6_language, op7_html, op8_decontamination, op9_warc, op10_pseudolikelihood, op11_isolation, op12_signatures, op13_threshold)}
 
 # Words, as the operators take them: A-Z lowered; runs of digits, letters and all beyond ASCII.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -102,4 +106,27 @@ f AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS term F
 p AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM f, c GROUP BY term, n_docs),
 s AS (SELECT i, item_id, r, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // total))))::BIGINT AS score FROM q JOIN f USING (term) JOIN p USING (term) JOIN d USING (r), c GROUP BY i, item_id, r)
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM s JOIN d USING (r) WHERE score > 0) WHERE rank <= 50""",
+    # CRC-32 by its table; costs to come from the last turn to the first, then a walk forward.
+    "op12_signatures": r"""
+WITH RECURSIVE k AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')), ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) % 20 AS kind FROM conversations, k),
+g AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE kind <> 0),
+r AS (SELECT conv_id, turn, role, text, row_number() OVER w - 1 AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen, lag(role[1]) OVER w || role[1] AS pair, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last FROM g WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)),
+f AS (SELECT *, last = '' AS blank, last <> '' AND seen > 1 AS duplicate, last <> '' AND seen = 1 AND last NOT IN ('.', '!', '?') AS truncated FROM r),
+s AS (SELECT conv_id, count(*) AS n, CASE WHEN count(turn) = 0 THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+v AS (SELECT conv_id, n AS i, 0 AS v0, 4 AS v1, 2 AS v2, 0 AS v3 FROM s UNION ALL
+ SELECT conv_id, i, least(r0, 2 + r2, 4 + r3), least(r1, 2 + r2, 4 + r3), least(r2, 2 + r3), least(r3, 2 + r2) FROM (SELECT v.conv_id, f.i,
+ least(3 + v0, CASE WHEN gone THEN 99999999 WHEN l = 's' THEN least(e + v1, 2 + e + v2) WHEN l = 'u' THEN e + v2 ELSE 2 + e + v2 END) AS r0,
+ least(3 + v1, CASE WHEN gone THEN 99999999 WHEN l = 'u' THEN e + v2 ELSE 2 + e + v2 END) AS r1,
+ least(3 + v2, CASE WHEN gone THEN 99999999 WHEN l = 'a' THEN e + v3 ELSE 2 + e + v3 END) AS r2,
+ least(3 + v3, CASE WHEN gone THEN 99999999 WHEN l = 'u' THEN e + v2 ELSE 2 + e + v2 END) AS r3
+ FROM v JOIN (SELECT conv_id, i, blank OR duplicate AS gone, truncated::INT AS e, role[1] AS l FROM f) f ON f.conv_id IS NOT DISTINCT FROM v.conv_id AND f.i = v.i - 1)),
+p AS (SELECT a.conv_id, a.i, [a.v0, a.v1, a.v2, a.v3] AS here, [b.v0, b.v1, b.v2, b.v3] AS rest, blank OR duplicate AS gone, truncated::INT AS e, role, text FROM v a LEFT JOIN v b ON b.conv_id IS NOT DISTINCT FROM a.conv_id AND b.i = a.i + 1 LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM a.conv_id AND f.i = a.i),
+x AS (SELECT conv_id, 0::BIGINT AS i, 1 AS q, '' AS audit, []::VARCHAR[] AS lines FROM s UNION ALL
+ SELECT conv_id, i + (op <> 'I')::BIGINT, CASE op WHEN 'D' THEN q WHEN 'K' THEN kept ELSE [3, 3, 4, 3][q] END, audit || op, CASE op WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, role || ':' || text) ELSE list_append(lines, ['user', 'user', 'assistant', 'user'][q] || ':' || CASE WHEN op = 'R' THEN text ELSE '' END) END
+ FROM (SELECT *, CASE WHEN rest IS NOT NULL AND role IS NOT NULL AND 3 + rest[q] = here[q] THEN 'D' WHEN 2 + here[[3, 3, 4, 3][q]] = here[q] THEN 'I' WHEN kept IS NOT NULL AND NOT gone AND e + rest[kept] = here[q] THEN 'K' ELSE 'R' END AS op
+ FROM (SELECT x.*, here, rest, gone, e, role, text, CASE WHEN q = 1 AND role[1] = 's' THEN 2 WHEN q <> 3 AND role[1] = 'u' THEN 3 WHEN q = 3 AND role[1] = 'a' THEN 4 END AS kept FROM x JOIN p ON p.conv_id IS NOT DISTINCT FROM x.conv_id AND p.i = x.i WHERE role IS NOT NULL OR here[q] > 0))),
+y AS (SELECT conv_id, arg_max(audit, length(audit)) AS audit, arg_max(lines, length(audit)) AS lines FROM x GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(v.v0, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN v ON v.conv_id IS NOT DISTINCT FROM c.conv_id AND v.i = 0 LEFT JOIN y ON y.conv_id IS NOT DISTINCT FROM c.conv_id""",
 }
