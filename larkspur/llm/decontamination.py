@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .kit import CHUNK_BYTES, Words, keep_rows, map_pieces, written
 
 WINDOW = 10
+PASS_BYTES = 32 << 20  # of benchmark text in a pass; its matcher holds up to 16 times as much
 BLOCK = np.uint64(0x9FB21C651E98DF25)
 SEGMENT = 64
 SLICE = 1 << 18  # patterns hashed at a time
@@ -124,7 +125,7 @@ class Matcher:
 
 def compile_patterns(items: list[tuple[str, str]], window: int = WINDOW) -> list[Matcher]:
     """Matchers, one for each pattern length, of (item id, text) rows."""
-    items = [(item, text) for item, text in dict.fromkeys(items) if item is not None and text]
+    items = [(item, text) for item, text in dict.fromkeys(items) if text]
     if not items:
         return []
     words = Bench([text.encode("utf-8", "replace") for _, text in items])
@@ -157,35 +158,42 @@ def kernel(matchers: list[Matcher]):
                 a, b = words.first[t], words.first[t + 1]
                 step = np.flatnonzero(np.diff(np.concatenate([[0], covered[a:b], [0]])))
                 spans[t] = [{"start": int(x), "end": int(y)} for x, y in step.reshape(-1, 2)]
-        return {"n_words": words.count, "n_hit": n_hit, "spans": spans, "items": [sorted(items[i]) if i in items else [] for i in range(words.n_texts)]}
+        return {"n_words": words.count, "n_hit": n_hit, "spans": spans, "items": [sorted(items[i] - {None}) if i in items else [] for i in range(words.n_texts)]}
 
     return run
 
 
-def passes(benchmark: DataFrame, text: str = "text", item: str = "item_id", window: int = WINDOW, pass_bytes: int = 32 << 20):
-    """Broadcast matchers of each pass over the benchmark."""
+def passes(benchmark: DataFrame, text: str = "text", item: str = "item_id", window: int = WINDOW, pass_bytes: int = PASS_BYTES):
+    """Broadcast matchers of each pass over the benchmark, and whether there are more than one.
+    One pass is compiled and held at a time, if its user writes what it made before going on."""
     spark = benchmark.sparkSession
-    bench = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where(F.col("item").isNotNull())
+    bench = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
     total = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // pass_bytes))
     for i in range(n):
         rows = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i).distinct().collect()  # about pass_bytes
-        yield spark.sparkContext.broadcast(compile_patterns([(r.item, r.text) for r in rows], window))
+        shared = spark.sparkContext.broadcast(compile_patterns([(r.item, r.text) for r in rows], window))
+        yield shared, n > 1
+        if n > 1:
+            shared.unpersist()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW, pass_bytes: int = 32 << 20) -> DataFrame:
-    """Per document: n_words, n_hit, hit word ``spans`` and the ids (as text) of ``items``."""
-    docs = docs.select(key, text)
+def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """Per document: n_words, n_hit, hit word ``spans`` and the ids (as text) of ``items``.
+    Items without an id hit like others; ``items`` does not name them."""
+    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     fields = "n_words BIGINT, n_hit BIGINT, spans ARRAY<STRUCT<start: BIGINT, end: BIGINT>>, items ARRAY<STRING>"
-    made = list(passes(benchmark, text, item, window, pass_bytes))
-    if len(made) == 1:
-        return map_pieces(docs, text, [key], fields, lambda: kernel(made[0].value))
-    # Repeated rows need a number of their own to merge the passes of each.
-    docs = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = [map_pieces(docs, text, ["_row", key], fields, lambda shared=shared: kernel(shared.value)) for shared in made]
+    found: list[DataFrame] = []
+    for shared, more in passes(benchmark, text, item, window, pass_bytes):
+        if not more:
+            return map_pieces(docs, "text", ["key"], fields, lambda shared=shared: kernel(shared.value)).withColumnRenamed("key", key)
+        if not found:  # repeated rows need a number of their own to merge the passes of each
+            docs = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        made = map_pieces(docs, "text", ["_row", "key"], fields, lambda shared=shared: kernel(shared.value))
+        found.append(written(made.where("n_hit > 0") if found else made, "pass"))
     first, rest = found[0], found[1].where("n_hit > 0")
-    for more in found[2:]:
-        rest = rest.unionByName(more.where("n_hit > 0"))
+    for part in found[2:]:
+        rest = rest.unionByName(part)
     rest = rest.groupBy("_row").agg(F.flatten(F.collect_list("spans")).alias("s"), F.flatten(F.collect_list("items")).alias("i"))
     both = first.join(written(rest, "passes"), "_row", "left")
     whole = F.array_sort(F.concat("spans", F.coalesce("s", F.array().cast(first.schema["spans"].dataType))))
@@ -195,7 +203,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     both = both.withColumn("spans", F.when(F.col("s").isNull(), F.col("spans")).otherwise(joined))
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"])
     items = F.array_sort(F.array_distinct(F.concat("items", F.coalesce("i", F.array().cast("array<string>")))))
-    return both.select(key, "n_words", hit.alias("n_hit"), "spans", items.alias("items"))
+    return both.select(F.col("key").alias(key), "n_words", hit.alias("n_hit"), "spans", items.alias("items"))
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -203,14 +211,17 @@ def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return found.select(key, "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort("items")).cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", pass_bytes: int = PASS_BYTES) -> DataFrame:
     """The documents in which no window of the benchmark occurs, with all their columns. Rows
-    are dropped in the passes that read them, so each goes by its own text, whatever its id."""
-    for shared in passes(benchmark, text):
+    are dropped in the passes that read them, so each goes by its own text, whatever its id.
+    Each of several passes writes what it keeps, so a task holds one pass's matchers."""
+    for shared, more in passes(benchmark, text, pass_bytes=pass_bytes):
 
         def make(shared=shared):
             run = kernel(shared.value)
             return lambda batch, buf, off: run(batch, buf, off)["n_hit"] == 0
 
         docs = keep_rows(docs, text, make)
+        if more:
+            docs = written(docs, "clean")
     return docs

@@ -58,9 +58,12 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+# Of those that are boilerplate, what stands in a line of text without ending it.
+IN_LINE = frozenset("button select textarea svg script style noscript template iframe object canvas audio video map".split())
+
+TAG = re.compile(r"""<!\[CDATA\[.*?(?:\]\]>|\Z)|<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 MARK, HINT = "!", "?"
 
 
@@ -69,16 +72,18 @@ def mark_of(tag: str, attributes: str) -> str:
     only a name of it does: one that is made of nothing but hints and fillers."""
     if tag in ("html", "body", "main"):
         return ""
-    if tag in BOILERPLATE or HIDDEN.search(attributes):
+    if tag in BOILERPLATE:
         return MARK
     out = ""
     for m in ATTRIBUTE.finditer(attributes):
-        value = (m[2] or m[3] or m[4] or "").lower()
-        if m[1].lower() == "role":
-            if value in ROLES:
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and UNSEEN.search(value):
+            return MARK
+        if name == "role":
+            if value.lower() in ROLES:
                 return MARK
-        elif tag not in HEADINGS:
-            for name in value.split():
+        elif name in ("class", "id") and tag not in HEADINGS:
+            for name in value.lower().split():
                 parts = set(re.split(r"[^a-z]+", name)) - {""}
                 if parts & HINTS and parts <= HINTS | FILLERS:
                     out = HINT
@@ -151,6 +156,12 @@ def tree(page: str) -> tuple[list[tuple[str, str]], Counter, dict[str, str]]:
             if depth:
                 del stack[depth:]
             continue
+        if tag in IN_LINE and (end := re.compile(rf"</{tag}\s*>", re.I).search(page, at)):
+            path = below(stack[-1][1], len(stack), tag, MARK)
+            opened[path] += 1
+            inside[path] = stack[-1][1]
+            at = end.end()
+            continue
         flush()
         if tag in VOID:
             continue

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..functions.names import free
+
 CHUNK_BYTES = 1 << 18
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -256,13 +258,12 @@ def without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
 
 
-NUMBER = "_number"
-
-
-def numbered(docs: DataFrame) -> DataFrame:
-    """The rows, each with a ``NUMBER`` of its own, in a written table: decisions can be joined
-    back whether ids are null, repeated or unique."""
-    return written(docs.withColumn(NUMBER, F.monotonically_increasing_id()), "numbered")
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows, each with a number of its own, in a written table, and the name of that column
+    (one that ``docs`` has not): decisions can be joined back whether ids are null, repeated or
+    unique."""
+    [number] = free(docs, "_number")
+    return written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered"), number
 
 
 PLACE = "_place"
@@ -272,7 +273,7 @@ def hash_share(rows: DataFrame, columns: list[str], n: int) -> DataFrame:
     """The rows, with their ``PLACE``, whose hash of ``columns`` (nulls are values too) is in a
     share of all hashes that holds n different ones almost surely. Equal rows come once, so the
     draw is the same in any partitioning and a row of very many copies is one row."""
-    placed = rows.withColumn(PLACE, F.xxhash64(*columns))
+    placed = rows.withColumn(PLACE, F.xxhash64(*columns))  # callers name their columns themselves
     different = placed.agg(F.approx_count_distinct(PLACE, 0.02)).first()[0]
     share = 1.1 * (n + 8 * n**0.5 + 50) / max(1, different)
     if share < 1:

@@ -83,7 +83,7 @@ t AS (SELECT x, count(*) AS n_links FROM e GROUP BY x)
 SELECT doc_id, coalesce(g.lead, rep) AS class_id, rep AS text_class, coalesce(n_links, 0) AS n_links
 FROM documents d JOIN c ON coalesce(d.text, '') = c.text LEFT JOIN g ON g.x = rep LEFT JOIN t ON t.x = rep""",
     "op8_decontamination": f"""
-WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
 p AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS g FROM (SELECT item_id, w, least(10, len(w)) AS m, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
 d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
 x AS (SELECT r, m, i, array_to_string(w[i:i + m - 1], ' ') AS g FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM p) WHERE len(w) >= m)),

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .kit import CHUNK_BYTES, NUMBER, Words, in_batches, map_pieces, mix, numbered, per_text, pieces, shingles, small_side, without, written
+from .kit import CHUNK_BYTES, Words, in_batches, map_pieces, mix, numbered, per_text, pieces, shingles, small_side, without, written
 
 THRESHOLD = 0.8
 K = 5
@@ -303,11 +303,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """One document of each near-duplicate group, the one with the least id, with all its
     columns. Rows without an id are compared too, and stay only where no other row of the group
     has one; rows with equal ids go by their texts."""
-    docs = numbered(docs)
-    found = near_duplicates(docs, NUMBER, text).select(NUMBER, "class_id")
-    found = written(found.join(docs.select(NUMBER, F.col(key).alias("id")), NUMBER), "classes")
-    first = F.struct(F.col("id").isNull().alias("no_id"), "id", NUMBER)
+    docs, number = numbered(docs)
+    found = near_duplicates(docs, number, text).select(F.col(number).alias("number"), "class_id")
+    found = written(found.join(docs.select(F.col(number).alias("number"), F.col(key).alias("id")), "number"), "classes")
+    first = F.struct(F.col("id").isNull().alias("no_id"), "id", "number")
     groups = found.groupBy("class_id").agg(F.min(first).alias("first"), F.count("*").alias("n")).where("n > 1")
-    groups = small_side(groups.select("class_id", F.col(f"first.{NUMBER}").alias("lead")))
-    extra = found.join(groups, "class_id").where(F.col(NUMBER) != F.col("lead"))
-    return without(docs, extra.select(NUMBER), NUMBER).drop(NUMBER)
+    groups = small_side(groups.select("class_id", F.col("first.number").alias("lead")))
+    extra = found.join(groups, "class_id").where(F.col("number") != F.col("lead"))
+    return without(docs, extra.select("number"), number).drop(number)

@@ -17,9 +17,9 @@ def brute(docs, bench):
     for item, text in bench:
         w = words(text)
         m = min(10, len(w))
-        if item is not None and m:
+        if m:
             for i in range(len(w) - m + 1):
-                patterns[tuple(w[i : i + m])].add(str(item))
+                patterns[tuple(w[i : i + m])].add(str(item) if item is not None else None)
     out = []
     for key, text in docs:
         w, hit, items = words(text), set(), set()
@@ -27,7 +27,7 @@ def brute(docs, bench):
             for i in range(len(w) - m + 1):
                 if found := patterns.get(tuple(w[i : i + m])):
                     hit |= set(range(i, i + m))
-                    items |= found
+                    items |= found - {None}  # an item without an id hits, but has no name
         out.append((key, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)))
     return sorted(out, key=str)
 
@@ -106,3 +106,13 @@ def test_memory_of_a_pass():
     held = tracemalloc.get_traced_memory()[0]
     tracemalloc.stop()
     assert matchers and held < 16 * size
+
+
+def test_items_without_an_id_hit_and_are_not_named(spark):
+    text = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, "before " + text + " after"), (2, "clean words")], "doc_id BIGINT, text STRING")
+    bench = spark.createDataFrame([(None, text), (5, "nothing of it"), (6, None)], "item_id BIGINT, text STRING")
+    for pass_bytes in (1 << 20, 20):
+        got = {r.doc_id: r for r in D.digest(D.contamination(docs, bench, pass_bytes=pass_bytes)).collect()}
+        assert (got[1].n_hit, got[1].n_items, got[1].contaminated) == (11, 0, True) and not got[2].contaminated
+        assert [r.doc_id for r in D.keep_clean(docs, bench, pass_bytes=pass_bytes).collect()] == [2]

@@ -41,6 +41,12 @@ def text_of(page):
         ("<div>story</div><article class='comment'><p>reader</p></article>", "story"),
         ("<div class='post-content header-ad'>x</div><div>y</div>", "y"),
         ("<div class='menu-of-the-day'><p>soup</p></div><div>more</div>", "soup\nmore"),
+        ('<article><p title="the hidden layer">Main body</p><p>b</p></article>', "Main body\nb"),
+        ('<article><p data-css="display: none">Main body</p><p style="color:red; DISPLAY : none">x</p><p hidden>y</p><p aria-hidden="true">z</p></article>', "Main body"),
+        ('<p data-role="navigation" xclass="ad">a</p>', "a"),
+        ("<p>a <button>Share</button> b</p>", "a b"),
+        ("<p>a <script>x()</script>b<noscript>c</noscript></p>", "a b"),
+        ("<p>x <![CDATA[ a > y ]]>z</p>", "x z"),
         ("<p>open <span class='ad'>an <span>advert</span> more</span> <span>close</span></p>", "open\nclose"),
     ],
 )

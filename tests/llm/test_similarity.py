@@ -174,3 +174,11 @@ def test_components(spark, edges):
         x, y = find(a), find(b)
         parent[max(x, y)] = min(x, y)
     assert {r.u: r.v for r in components.components(df).collect()} == {x: find(x) for x in parent if find(x) != x}
+
+
+def test_columns_named_like_helpers_stay(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text, "a", 1, 2), (2, text, "b", 3, 4), (3, "other", "c", 5, 6)], "doc_id BIGINT, text STRING, _number STRING, number INT, class_id INT")
+    got = similarity.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect())) == [(1, text, "a", 1, 2), (3, "other", "c", 5, 6)]
