@@ -41,7 +41,7 @@ from .kit import Words, in_batches, pieces, release, utf8, written
 
 TOP = 50
 GROUP_BYTES = 8 << 20
-BLOCK_TERMS = 1 << 21  # entries of the forward index that a task ranks at a time
+BLOCK_TERMS = 1 << 19  # entries of the forward index that a task ranks at a time
 SHARE = 32
 FIRST_DEPTH = 64
 LAST = np.iinfo(np.int64).max  # stands for a missing id, which comes last
