@@ -8,7 +8,6 @@ single bytes, so words are found on raw bytes without decoding.
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions.names import free
+from ..sources.shared import written
 
 CHUNK_BYTES = 1 << 18
 
@@ -144,40 +144,6 @@ def documents(docs: DataFrame, key: str = "doc_id", text: str = "text", *more: s
     return docs.select(key, text, *more)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, which every executor and the driver see.
-
-    Where the setting is absent a folder in /tmp is set and used on one machine; on a cluster
-    that is an error, as executors would write to disks of their own.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file:///tmp/larkspur-shared"
-        spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/larkspur-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, and a lost
-    executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    remove_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove_at_exit(spark: SparkSession, path: str) -> None:
-    """Shared tables go when the application ends, on whatever file system they are."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path).getParent()
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-
-
 def bucket(column: str, modulus: int):
     """crc32 of the id written as text, modulo ``modulus``: the fold rule of the queries."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
@@ -271,18 +237,19 @@ PLACE = "_place"
 
 def hash_share(rows: DataFrame, columns: list[str], n: int) -> DataFrame:
     """The rows, with their ``PLACE``, whose hash of ``columns`` (nulls are values too) is in a
-    share of all hashes that holds n different ones almost surely. Equal rows come once, so the
-    draw is the same in any partitioning and a row of very many copies is one row."""
+    share of all hashes that holds n different ones almost surely. Callers drop repeated places,
+    best when rows are narrow, so that the draw is the same in any partitioning and a row of very
+    many copies is one row."""
     placed = rows.withColumn(PLACE, F.xxhash64(*columns))  # callers name their columns themselves
     different = placed.agg(F.approx_count_distinct(PLACE, 0.02)).first()[0]
     share = 1.1 * (n + 8 * n**0.5 + 50) / max(1, different)
     if share < 1:
         placed = placed.where(F.col(PLACE) < int(share * (1 << 64)) - (1 << 63))
-    return placed.dropDuplicates([PLACE])
+    return placed
 
 
 def first_places(rows: DataFrame, n: int) -> DataFrame:
-    return rows.orderBy(PLACE).limit(n)
+    return rows.dropDuplicates([PLACE]).orderBy(PLACE).limit(n)
 
 
 def hash_sample(rows: DataFrame, columns: list[str], n: int) -> DataFrame:

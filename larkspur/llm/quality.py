@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kit import IS_WORD, PLACE, Words, bucket, first_places, hash_share, keep_rows, map_pieces, per_text
+from .kit import IS_WORD, PLACE, Words, bucket, first_places, hash_sample, hash_share, keep_rows, map_pieces, per_text
 
 SAMPLE = 6000  # bound of the positives fitted on; unlabelled rows are twice as many
 KEEP = 0.7
@@ -244,12 +244,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     good = labels.where(F.col(key).isNotNull() & ~held_out).groupBy(F.col(key).alias("key")).agg(F.max(label).alias("label")).where("label = 1").select("key")
 
     def matrix(rows: DataFrame, n: int) -> np.ndarray:
-        near = map_pieces(hash_share(rows, ["key", "text"], n), "text", [PLACE], "features ARRAY<FLOAT>", _featurize)
+        near = map_pieces(rows, "text", [PLACE], "features ARRAY<FLOAT>", _featurize)
         got = first_places(near, n).select("features").toArrow().column(0).combine_chunks()
         return got.flatten().to_numpy().reshape(-1, N_FEATURES).astype(float)
 
-    positive = matrix(open_.join(good, "key"), sample)
-    unlabelled = matrix(open_, 2 * sample)
+    # Ids are drawn first, some more than are needed, as some may have no text: no text moves.
+    ids = F.broadcast(hash_sample(good, ["key"], 2 * sample))
+    positive = matrix(open_.join(ids, "key").withColumn(PLACE, F.xxhash64("key", "text")), sample)
+    unlabelled = matrix(hash_share(open_, ["key", "text"], 2 * sample), 2 * sample)
     if not len(positive) or not len(unlabelled):
         return None
     return trained(docs.sparkSession, positive, unlabelled)

@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import in_batches, remove_at_exit, shared_dir, small_side, written
+from ..sources.shared import remove_at_exit, shared_dir
+from .kit import in_batches, small_side, written
 
 SEGMENT = 16 << 10
 CHUNK = 8 << 10
@@ -219,9 +220,10 @@ def round_trip(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """The columns of op9, from archives written and read back. Sizes and digests are those
     of the payloads read; a revisit has those of the response it refers to."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/archives"
+    folder = shared_dir(spark)
+    path = f"{folder}/archives"
     write_archives(pages, path, key)
-    remove_at_exit(spark, path)
+    remove_at_exit(spark, folder)
     kind = pages.schema[key].dataType
     read = read_archives(spark, path).select("page", "record_type", "refers_to", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.when(F.col("whole") & F.col("payload").isNotNull(), F.sha2("payload", 256)).alias("payload_digest"))
     read = written(read, "records")
