@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import random
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import messages as M
+from ..functions.names import free
 from ..functions.text import answer_score, choice, element, render, strip
 from ..plans.prompts import ADHERENCE
+from .seeded import item_orders
 
 METRICS = ("acknow", "violate", "hallucinate", "helpful")
 
@@ -23,22 +23,16 @@ def belief_items(rows: DataFrame) -> DataFrame:
     return x.select("idx", "condition", F.concat("_c0", F.lit(" "), F.when(true, F.col("_c1")).otherwise(F.col("_c2"))).alias("story"), F.col("_c5").alias("question"), F.when(true, F.col("_c8")).otherwise(F.col("_c11")).alias("true_answer"), F.when(true, F.col("_c11")).otherwise(F.col("_c8")).alias("false_answer"))
 
 
-def swap_bits(n: int, seed: int) -> list[bool]:
-    """For each of n items whether the standard generator swaps its two answers; one seed
-    gives both conditions the same bits."""
-    rng, out = random.Random(seed), []
-    for _ in range(n):
-        pair = [0, 1]
-        rng.shuffle(pair)
-        out.append(pair[0] == 1)
-    return out
+def swap_bits(spark: SparkSession, n: int, seed: int) -> DataFrame:
+    """(idx, swapped): for each of n items whether the standard generator swaps its two answers,
+    all in one stream; one seed gives both conditions the same bits."""
+    pairs = spark.range(n).select(F.col("id").alias("idx"), F.lit(2).alias("size"))
+    return item_orders(pairs, "idx", "size", seed, "shuffle").select("idx", (F.get("drawn", F.lit(0)) == 1).alias("swapped"))
 
 
 def belief_prompts(items: DataFrame, n: int, seed: int, instruction: str) -> DataFrame:
-    """Prompts with the two answers in seeded order, and the right key. The bits are one
-    boolean for each item of a benchmark file."""
-    bits = items.sparkSession.createDataFrame(list(enumerate(swap_bits(n, seed))), "idx BIGINT, swapped BOOLEAN")
-    x = items.join(bits, "idx")
+    """Prompts with the two answers in seeded order, and the right key."""
+    x = items.join(swap_bits(items.sparkSession, n, seed), "idx")
     first, second = F.when(F.col("swapped"), F.col("false_answer")).otherwise(F.col("true_answer")), F.when(F.col("swapped"), F.col("true_answer")).otherwise(F.col("false_answer"))
     prompt = F.concat(F.lit(instruction + "\n\nStory: "), F.col("story"), F.lit("\nQuestion: "), F.col("question"), F.lit("\nChoose one of the following:\na)"), first, F.lit("\nb)"), second, F.lit("\nAnswer:"))
     key = F.when(first == F.col("true_answer"), "a)").otherwise("b)")
@@ -156,13 +150,13 @@ def choice_of(reply: Column) -> Column:
     return F.coalesce(choice(reply), choice(F.concat(F.lit("<choice>"), reply, F.lit("</choice>"))))
 
 
-def shuffled_options(options: list[list[str]], seed: int) -> list[tuple[list[str], int]]:
-    """Options of all items in one seeded stream, with the place of the first (right) one."""
-    rng, out = random.Random(seed), []
-    for own in options:
-        order = rng.sample(own, len(own))
-        out.append((order, order.index(own[0])))
-    return out
+def shuffled_options(items: DataFrame, order: str, options: str, seed: int) -> DataFrame:
+    """The items with ``shuffled``, their options as samples of all of them in one seeded stream
+    over the items in ``order``, and ``right``, the place (from 0) of the first (right) one."""
+    [size] = free(items, "_size")
+    out = item_orders(items.withColumn(size, F.coalesce(F.size(options), F.lit(0))), order, size, seed).drop(size)
+    out = out.withColumn("shuffled", F.transform("drawn", lambda i: F.get(options, i))).drop("drawn")
+    return out.withColumn("right", F.array_position("shuffled", F.get(options, F.lit(0))).cast("int") - 1)
 
 
 def filler(turns: Column, n: int) -> Column:

@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.names import free
+from ..sources.shared import written
+from .selection import lookup
+from .seeded import numbered
+
+WINDOW = 256  # rows that a look ahead takes in
+STRETCH = 1 << 16  # rows of an order that one task goes over
+FAN = 256  # digests that are hashed together
+
 
 def keep_first(df: DataFrame, key: Column | str, order: str) -> DataFrame:
     """Of equal keys the row that comes first."""
+    [n] = free(df, "_n")
     at = Window.partitionBy(key).orderBy(order)
-    return df.withColumn("_n", F.row_number().over(at)).where("_n = 1").drop("_n")
+    return df.withColumn(n, F.row_number().over(at)).where(F.col(n) == 1).drop(n)
 
 
 def duplicate_pairs(df: DataFrame, key: str, order: str, limit: int | None = None) -> DataFrame:
@@ -63,22 +75,112 @@ def adjacent_matches(df: DataFrame, order: str | list, fields: list[str]) -> Dat
     return parts.agg(*[F.coalesce(F.sum(F.col(f"n_{f}") + hit(f"first_{f}", f"before_{f}").cast("bigint")), F.lit(0)).alias(f) for f in fields])
 
 
+def seeded_place(seed: int, key: Column) -> Column:
+    """The place of a key in the seeded hash order."""
+    return F.sha2(F.concat_ws("|", F.lit(str(seed)), key.cast("string")), 256)
+
+
+def numbered_in(df: DataFrame, groups: list[str], order: list[str], number: str, size: str) -> DataFrame:
+    """The rows with their number (from 0) in an order within their group, and the group's size.
+    All rows are numbered in one order of groups, and each group's first number is taken off, so
+    a group of any size, and any number of ties, is spread over tasks."""
+    rows, place = numbered(df, *groups, *order)
+    names = free(rows, *[f"_g{i}" for i in range(len(groups))], "_first")
+    firsts = written(rows.groupBy(*[F.col(g).alias(x) for g, x in zip(groups, names)]).agg(F.min(place).alias(names[-1]), F.count("*").alias(size)), "groups")
+    match = [rows[g].eqNullSafe(firsts[x]) for g, x in zip(groups, names)]
+    out = rows.join(lookup(firsts, firsts.count()), match) if groups else rows.crossJoin(F.broadcast(firsts))
+    return out.withColumn(number, F.col(place) - F.col(names[-1])).drop(place, *names)
+
+
 def interleaved(df: DataFrame, group: str, key: str, seed: int = 0) -> DataFrame:
-    """Position in an order that keeps a group's rows apart: every group's first row in
-    seeded hash order, then every second row, and so on.
+    """``round`` in an order that keeps a group's rows apart: every group's first row in seeded
+    hash order (``place``), then every second row, and so on."""
+    if {"place", "round"} & {c.lower() for c in df.columns}:
+        raise ValueError("rename the columns place and round: the result has its own")
+    [size] = free(df, "_size")
+    out = numbered_in(df.withColumn("place", seeded_place(seed, F.col(key))), [group], ["place", key], "round", size)
+    return out.withColumn("round", F.col("round") + 1).drop(size)
+
+
+def proportional(df: DataFrame, fields: list[str], key: str, seed: int = 0) -> tuple[DataFrame, list[str]]:
+    """The rows with two more columns, ``share`` and ``mark``, by which, and then by the key, an
+    order mixes all combinations of the fields evenly: row i of a combination of n (in seeded hash
+    order) comes at (i + 1/2) / n of the way. Every stretch of the order has about the same
+    mixture as the whole. Also the names of the columns of that order."""
+    number, size, share, mark = free(df, "_i", "_n", "share", "mark")
+    out = numbered_in(df.withColumn(mark, seeded_place(seed, F.col(key))), fields, [mark, key], number, size)
+    out = out.withColumn(share, (F.col(number).cast("double") + 0.5) / F.col(size))
+    return out.drop(number, size), [share, mark, key]
+
+
+def shared(a: tuple | None, b: tuple | None) -> int:
+    """How many fields (not null) have the same value."""
+    return sum(x is not None and x == y for x, y in zip(a, b)) if a and b else 0
+
+
+def look_ahead(rows: list[tuple], before: tuple | None, window: int, fixed: bool = True) -> list[int]:
+    """An order of the rows: always the first of the next ``window`` that shares the fewest
+    values with the one before it. A ``fixed`` last row stays the last. What is left over at the end
+    shares values with its neighbours; each such row moves back to where it shares fewer, if there
+    is such a place among the ``window`` before it."""
+    last, out, ahead, following = before, [], [], iter(range(len(rows) - fixed))
+    ahead = [i for _, i in zip(range(window), following)]
+    while ahead:
+        best, least = 0, None
+        for at, i in enumerate(ahead):
+            shares = shared(last, rows[i])
+            if least is None or shares < least:
+                best, least = at, shares
+                if not shares:
+                    break
+        out.append(ahead.pop(best))
+        last = rows[out[-1]]
+        ahead += [i for _, i in zip(range(1), following)]
+    if fixed:
+        out.append(len(rows) - 1)
+    value = lambda p: before if p < 0 else rows[out[p]] if p < len(out) else None
+    for p in range(1, len(out) - fixed):
+        row = value(p)
+        gain = shared(value(p - 1), row) + shared(row, value(p + 1)) - shared(value(p - 1), value(p + 1))
+        if gain <= 0:
+            continue
+        for q in range(p - 1, max(-1, p - 1 - window), -1):  # between q - 1 and q
+            if shared(value(q - 1), row) + shared(row, value(q)) - shared(value(q - 1), value(q)) < gain:
+                out.insert(q, out.pop(p))
+                break
+    return out
 
-    A group of any size is cut by the first digits of its places, which keep their order: rows
-    are numbered within a cut, and the counts of the group's cuts before it are added.
-    """
-    place = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")), 256)
-    rows = df.withColumn("place", place).withColumn("_cut", F.substring("place", 1, 3))  # 4,096 cuts
-    cuts = rows.groupBy(F.col(group).alias("_group"), F.col("_cut").alias("_c")).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_group").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = cuts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = Window.partitionBy(group, "_cut").orderBy("place", key)
-    rows = rows.withColumn("_i", F.row_number().over(within))
-    rows = rows.join(cuts, rows[group].eqNullSafe(cuts["_group"]) & (F.col("_cut") == F.col("_c")))
-    return rows.withColumn("round", F.col("_before") + F.col("_i")).drop("_cut", "_group", "_c", "_before", "_i")
+
+def declustered(df: DataFrame, fields: list[str], key: str, seed: int = 0, window: int = WINDOW, position: str = "position") -> DataFrame:
+    """``position`` (from 0) of each row in an order of the whole corpus in which neighbours share
+    few values of the fields, as far as a look ahead of ``window`` rows can find.
+
+    Combinations are mixed in proportion first; so every stretch of STRETCH rows can be gone
+    over by itself, with a look ahead, and no field runs out before the end. A stretch's last row
+    stays its last, and the next stretch starts from it, so the edges fit too. Tasks hold hashes
+    of one stretch's fields; where a row stands decides, and never a group's size."""
+    rows, order = proportional(df, fields, key, seed)
+    rows, place = numbered(rows, *order)
+    codes = [F.when(F.col(f).isNotNull(), F.xxhash64(f)).alias(f"f{i}") for i, f in enumerate(fields)]
+    narrow = written(rows.select(F.col(place).alias("place"), *codes), "narrow").withColumn("stretch", F.floor(F.col("place") / STRETCH))
+    ends = narrow.where(F.col("place") % STRETCH == STRETCH - 1).withColumn("stretch", F.col("stretch") + 1)
+    names, step, final = [f"f{i}" for i in range(len(fields))], STRETCH, (narrow.count() - 1) // STRETCH
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        at = table.column("place").to_pylist()
+        values = list(zip(*(table.column(c).to_pylist() for c in names))) or [()] * len(at)
+        stretch = table.column("stretch")[0].as_py()
+        first = stretch * step
+        held = at[0] < first  # the row before the stretch
+        if held and len(at) == 1:
+            return pa.table({"place": pa.array([], pa.int64()), "position": pa.array([], pa.int64())})
+        order = look_ahead(values[held:], values[0] if held else None, window, stretch < final)
+        return pa.table({"place": pa.array([at[held + i] for i in order], pa.int64()), "position": pa.array(range(first, first + len(order)), pa.int64())})
+
+    moved = narrow.unionByName(ends).groupBy("stretch").applyInArrow(run, "place BIGINT, position BIGINT")
+    moved = written(moved, "positions").withColumnsRenamed({"place": place, "position": position})
+    return rows.join(moved, place).select(*df.columns, position)
 
 
 def shuffled(keys: list, seed: int) -> list:
@@ -126,3 +228,19 @@ def shares(df: DataFrame, label: str, floor: float = 3.0) -> DataFrame:
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
     percent = (F.lit(100.0) * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))).alias("percent")
     return counts.select(label, "n", percent).withColumn("shown", F.when(F.col("percent") >= floor, F.concat(F.format_number("percent", 1), F.lit("%"))))
+
+
+def ordered_digest(df: DataFrame, place: str, line: str | Column, fan: int = FAN) -> str:
+    """SHA-256 over lines in order, as a tree: each line's digest, then the digests of ``fan``
+    digests in order, until one is left. Lines are hashed where they lie; only digests move, and
+    another partitioning gives the same. ``place`` counts from 0 without gaps. Of no lines, the
+    digest of nothing."""
+    line = F.col(line) if isinstance(line, str) else line
+    level = df.select(F.col(place).alias("place"), F.sha2(F.coalesce(line, F.lit("")).cast("binary"), 256).alias("digest"))
+    while True:
+        parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "digest"))), lambda x: x["digest"]), "")
+        level = level.withColumn("up", F.floor(F.col("place") / fan)).groupBy("up").agg(F.sha2(parts.cast("binary"), 256).alias("digest"))
+        level = written(level.select(F.col("up").alias("place"), "digest"), "digests")
+        few = level.limit(2).collect()
+        if len(few) < 2:
+            return few[0].digest if few else hashlib.sha256(b"").hexdigest()

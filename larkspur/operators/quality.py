@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.messages import message, transcript
+from ..functions.names import free
 from ..functions.text import json_object, n_tokens, or_default, render, strip
 from ..plans.prompts import JUDGE_CONFLICT, JUDGE_CONSISTENCY
 from .model import ask
@@ -37,16 +38,17 @@ def schema_notes(raw: Column) -> Column:
     return notes(*missing, conversation, turns)
 
 
-def structure_notes(messages: Column, num_turns: Column, least_turns: int = LEAST_TURNS, tokens: Callable[[Column], Column] = n_tokens, least: int = LEAST_TOKENS, most: int = MOST_TOKENS) -> Column:
+def structure_notes(messages: Column, num_turns: Column, least_turns: int = LEAST_TURNS, tokens: Callable[[Column], Column] = n_tokens, least: int = LEAST_TOKENS, most: int = MOST_TOKENS, total: Column | None = None) -> Column:
     """D2, in the order in which the notes are due; an empty conversation ends the check.
-    Null content is blank content."""
+    Null content is blank content. ``total`` is the conversation's number of tokens where a
+    tokenizer has counted them (``functions.tokens``); else a stand-in counts."""
     m = F.coalesce(messages, F.array().cast("array<struct<role:string,content:string>>"))
     turns = F.coalesce(num_turns, F.lit(0))
     few = F.when(turns < least_turns, F.format_string("num_turns=%s < %s", turns.cast("string"), F.lit(str(least_turns))))
     role = F.when(~F.exists(m, lambda x: F.coalesce(x["role"] == "user", F.lit(False))) | ~F.exists(m, lambda x: F.coalesce(x["role"] == "assistant", F.lit(False))), "missing user or assistant role")
     repeat = F.filter(F.transform(m, lambda x, i: F.when((i > 0) & x["role"].eqNullSafe(F.get(m, i - 1)["role"]), i)), lambda i: i.isNotNull())
     blank = F.filter(F.transform(m, lambda x, i: F.when(F.coalesce(strip(x["content"]), F.lit("")) == "", i)), lambda i: i.isNotNull())
-    total = F.aggregate(m, F.lit(0), lambda a, x: a + tokens(x["content"]))
+    total = F.aggregate(m, F.lit(0), lambda a, x: a + tokens(x["content"])) if total is None else total
     first = lambda label, at: F.when(F.size(at) > 0, F.concat(F.lit(label), F.get(at, F.lit(0)).cast("string")))
     empty = F.size(m) == 0
     rest = [
@@ -130,16 +132,21 @@ def model_judge(make_client: Callable, **how) -> Callable[[DataFrame], DataFrame
     return judge
 
 
-def score_sessions(sessions: DataFrame, personas: DataFrame, judge: Callable[[DataFrame], DataFrame] | None = None, key: tuple = ("persona_id", "prompt_id"), least_turns: int = LEAST_TURNS) -> DataFrame:
-    """D1 to D4, the judges on what passes, and the tier of each session.
+def score_sessions(sessions: DataFrame, personas: DataFrame, judge: Callable[[DataFrame], DataFrame] | None = None, key: tuple = ("persona_id", "prompt_id"), least_turns: int = LEAST_TURNS, tokens: Callable[[str], Column] | None = None) -> DataFrame:
+    """D1 to D4, the judges on what passes, and the tier of each session. ``tokens`` counts the
+    tokens of a column of conversations, as ``functions.tokens.message_tokens`` does.
 
     ``judge`` maps sessions to (key..., d5, d5_reason, d6, d6_offending_turn); it sees passing
     sessions only, because the others are split off before it and not by a condition.
     """
     s = bind(sessions, personas)
+    total = None
+    if tokens is not None:
+        [name] = free(s, "_tokens")
+        s, total = s.withColumn(name, tokens("conversation")), F.col(name)
     s = s.withColumns({
         "n1": schema_notes(F.col("raw")),
-        "n2": structure_notes(F.col("conversation"), F.col("num_turns"), least_turns),
+        "n2": structure_notes(F.col("conversation"), F.col("num_turns"), least_turns, total=total),
         "n3": trajectory_notes(F.coalesce("ablation", F.lit("")), F.size("user_state_trajectory"), F.col("num_turns")),
         "n4": binding_notes(F.col("persona_id"), F.col("found"), F.col("expected"), F.col("profile_summary")),
     })

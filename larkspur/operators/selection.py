@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import free
 from ..functions.text import or_default, safe_id
 
 SMALL_KEYS = 1000  # ids that are a filter; beyond, they are a join
@@ -44,8 +45,9 @@ def top_n_per_key(df: DataFrame, key: str, order: list, n: int | None) -> DataFr
     """
     if not n:
         return df
+    [number] = free(df, "_n")
     at = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(at)).where(F.col("_n") <= n).drop("_n")
+    return df.withColumn(number, F.row_number().over(at)).where(F.col(number) <= n).drop(number)
 
 
 def without_results(sessions: DataFrame, results: DataFrame, left: list[str], right: list[str]) -> DataFrame:

@@ -3,16 +3,16 @@ must give the same rows. Keys start with the ids of the operators they show."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import messages as M
 from ..functions import text as T
-from ..operators import benchmarks, corpus, qa, quality, selection, simulation, training
+from ..functions.tokens import message_tokens
+from ..operators import benchmarks, corpus, qa, quality, seeded, selection, simulation, training
 from ..operators.model import usage
 from ..sources import readers, sinks
+from ..sources.shared import remove_at_exit, shared_dir
 from .config import Limits, ablation
 from .sessions import FLAWS_SQL, nested, table, with_flaws
 
@@ -194,11 +194,11 @@ def w1_a1_o2_top_n_per_key(spark, sf_dir):
     return selection.top_n_per_key(table(spark, sf_dir, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], 3).select("o_custkey", "o_orderkey", "o_totalprice")
 
 
-@query("""WITH s AS (SELECT item_id, string_split(text, ' ')[1:5] AS w FROM benchmark), x AS (SELECT item_id, unnest(w) AS id, unnest(range(len(w)))::INTEGER AS pos FROM s)
-SELECT item_id, pos, CASE WHEN pos % 2 = 0 THEN 'lifelong_' || id || '_' || item_id ELSE 'lifelong_' || item_id || '_scenario_' || pos END AS scenario_id FROM x WHERE pos < 4""")
+@query("""WITH s AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), x AS (SELECT item_id, unnest(w) AS id, unnest(range(len(w)))::INTEGER AS pos FROM s)
+SELECT item_id, pos, CASE WHEN pos % 2 = 0 THEN 'lifelong_' || id || '_' || item_id ELSE 'lifelong_' || item_id || '_scenario_' || pos END AS scenario_id FROM x""")
 def j6_f26_scenario_ids(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.slice(F.split("text", " "), 1, 5).alias("words"))
-    x = selection.scenarios_of(b, "words", 4)
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.split("text", " ").alias("words"))
+    x = selection.scenarios_of(b, "words")
     given = F.when(F.col("pos") % 2 == 0, F.concat("scenario", F.lit("_{persona_id}"))).otherwise("")
     return x.select("item_id", "pos", selection.scenario_ids(F.col("item_id").cast("string"), F.col("pos"), given, "lifelong").alias("scenario_id"))
 
@@ -284,6 +284,40 @@ def a9_w6_j8_adjacent_matches(spark, sf_dir):
     return corpus.adjacent_matches(d, ["place", "doc_id"], ["lang", "source"])
 
 
+_MIXED = """c AS (SELECT doc_id, lang, source, sha256('7|' || doc_id) AS place, ((row_number() OVER (PARTITION BY lang, source ORDER BY sha256('7|' || doc_id), doc_id) - 1)::DOUBLE + 0.5) / count(*) OVER (PARTITION BY lang, source) AS share FROM documents),
+o AS (SELECT doc_id, lang, source, row_number() OVER (ORDER BY share, place, doc_id) - 1 AS position FROM c)"""
+
+
+@query(f"WITH {_MIXED} SELECT doc_id, position FROM o")
+def o6_proportional_merge(spark, sf_dir):
+    """All languages and sources mixed in proportion over the whole corpus."""
+    mixed, order = corpus.proportional(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), ["lang", "source"], "doc_id", 7)
+    rows, place = seeded.numbered(mixed, *order)
+    return rows.select("doc_id", F.col(place).alias("position"))
+
+
+@query()
+def o6_declustered(spark, sf_dir):
+    """The whole corpus in an order in which neighbours share few languages and sources."""
+    return corpus.declustered(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), ["lang", "source"], "doc_id", 42)
+
+
+@query()
+def o5_seeded_permutation(spark, sf_dir):
+    """All documents in the standard library's shuffle under a seed."""
+    return seeded.shuffled(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 42)
+
+
+@query("""WITH l AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, sha256(text) AS h FROM documents),
+a AS (SELECT i // 256 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM l GROUP BY 1),
+b AS (SELECT i // 256 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM a GROUP BY 1)
+SELECT CASE WHEN (SELECT count(*) FROM a) = 1 THEN (SELECT min(h) FROM a) ELSE min(h) END AS digest FROM b""")
+def k5_k10_a17_ordered_digest(spark, sf_dir):
+    """One digest of all texts in the order of their ids."""
+    rows, place = seeded.numbered(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return rows.limit(1).select(F.lit(corpus.ordered_digest(rows, place, "text")).alias("digest"))
+
+
 @query("""SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY sha256('7|' || doc_id), doc_id)::INTEGER AS round FROM documents""")
 def o5_o6_interleaved(spark, sf_dir):
     return corpus.interleaved(table(spark, sf_dir, "documents"), "source", "doc_id", 7).select("doc_id", F.col("round").cast("int").alias("round"))
@@ -431,12 +465,18 @@ def f22_a5_disclosure_stage(spark, sf_dir):
     return a.select("conv_id", simulation.disclosure_stage(forced, F.col("n"), F.when(F.col("conv_id") % 2 == 0, "Very High").otherwise("low")).alias("stage"))
 
 
-@query("SELECT item_id, string_split_regex(text, '\\s+')[1] AS first, string_split_regex(text, '\\s+')[2] AS second FROM benchmark")
+@query("SELECT item_id, list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: l <> '') AS rules FROM benchmark")
 def f23_bullets(spark, sf_dir):
-    w = F.split("text", r"\s+")
-    template = F.concat(F.lit("**Authenticity rules:**\n- "), F.get(w, F.lit(0)), F.lit(" \nskip\n  - "), F.get(w, F.lit(1)), F.lit("\n\n**Other:**\n- no"))
-    b = simulation.bullets(template, "Authenticity rules")
-    return table(spark, sf_dir, "benchmark").select("item_id", F.get(b, F.lit(0)).alias("first"), F.get(b, F.lit(1)).alias("second"))
+    """Every line of a text as a bullet, between other lines and before another heading."""
+    template = F.concat(F.lit("**Authenticity rules:**\nskip\n- "), F.regexp_replace("text", "\n", "\nskip\n  - "), F.lit("\n\n**Other:**\n- no"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.filter(simulation.bullets(template, "Authenticity rules"), lambda x: x != "").alias("rules"))
+
+
+@query()
+def p16_a7_f27_structure_by_tokens(spark, sf_dir):
+    """The structure check with its own bounds of 200 and 16,000 tokens of a public vocabulary."""
+    s = nested(with_flaws(table(spark, sf_dir, "conversations"))).withColumn("tokens", message_tokens("conversation"))
+    return s.select("conv_id", "tokens", F.array_join(quality.structure_notes(F.col("conversation"), F.col("num_turns"), LEAST_TURNS, total=F.col("tokens")), "; ").alias("notes"))
 
 
 @query("SELECT conv_id, sum(len(regexp_extract_all(text, '\\S+')))::BIGINT AS tokens FROM conversations GROUP BY 1")
@@ -533,10 +573,20 @@ def t5_weighted_pick(spark, sf_dir):
 
 @query()
 def f17_exact_shuffle(spark, sf_dir):
-    s = table(spark, sf_dir, "benchmark").select("item_id", F.slice(F.split("text", " "), 1, 4).alias("options"), T.seed(F.col("item_id").cast("string"), F.lit("s"), "personamem_mcq").alias("seed"))
+    s = table(spark, sf_dir, "benchmark").select("item_id", F.split("text", " ").alias("options"), T.seed(F.col("item_id").cast("string"), F.lit("s"), "personamem_mcq").alias("seed"))
     return qa.exact_order(s, "options", "seed").select("item_id", F.array_join("shuffled", "|").alias("shuffled"))
 
 
+@query()
+def f33_f34_seeded_options(spark, sf_dir):
+    """The words of each item as options, in one seeded stream over all items, and whether
+    another stream swaps the item's two answers."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.split("text", " ").alias("options"))
+    order, place = seeded.numbered(benchmarks.shuffled_options(items, "item_id", "options", 7), "item_id")
+    bits = benchmarks.swap_bits(spark, order.count(), 7)
+    return order.join(bits, order[place] == bits["idx"]).select("item_id", F.array_join("shuffled", "|").alias("shuffled"), "right", "swapped")
+
+
 @query()
 def o6_exact_reorder(spark, sf_dir):
     """Exact declustering inside shards of a thousand consecutive ids."""
@@ -549,12 +599,8 @@ def o6_exact_reorder(spark, sf_dir):
 
 def _shared(spark, name: str) -> str:
     """A fresh folder that executors and the driver share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    path = f"{(base or 'file:///tmp/larkspur-shared').rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    path = shared_dir(spark, name)
+    remove_at_exit(spark, path)
     return path
 
 

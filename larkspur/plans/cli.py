@@ -15,8 +15,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.messages import MESSAGES, flaw
-from ..operators import benchmarks, corpus, quality, selection, training
+from ..operators import benchmarks, corpus, quality, seeded, selection, training
 from ..sources import readers, sinks
+from ..sources.shared import written
 from .config import comma_list, deduplicated_path, report_path
 
 SESSION = f"persona_id STRING, prompt_id STRING, conversation {MESSAGES}, user_state_trajectory ARRAY<STRUCT<turn: INT, user_state: STRING>>, num_turns INT, ablation STRING, profile_summary STRING"
@@ -37,21 +38,37 @@ def check_quality(spark, a) -> None:
 
 def deduplicate(spark, a) -> None:
     """Drop records equal in all fields of their messages, or in all fields; a flawed record is
-    an error. The rest is reordered so that records of a group lie apart."""
-    rows = readers.strict_jsonl(spark, a.input).select("line_no", "value", F.from_json("value", f"messages {MESSAGES}").alias("r"))
-    bad = rows.select("line_no", flaw(F.col("r.messages")).alias("flaw")).where("flaw IS NOT NULL").orderBy("line_no").limit(5).collect()
+    an error. The rest is shuffled as the standard library does, or, where fields are named,
+    reordered so that neighbours share few of their values. The report has the neighbours that
+    shared them before and after, and a digest of the lines in their order."""
+    out, fields = a.out or deduplicated_path(a.input), comma_list(a.decluster_fields)
+    key = corpus.canonical_json("value", "$" if a.dedupe_key == "full-record" else "$.messages")
+    rows = readers.strict_jsonl(spark, a.input).select("line_no", "value", flaw(F.from_json("value", f"messages {MESSAGES}")["messages"]).alias("flaw"), F.sha2(key.cast("binary"), 256).alias("key"))
+    keyed = written(rows, "keyed")
+    bad = keyed.where("flaw IS NOT NULL").orderBy("line_no").limit(5).collect()
     if bad:
         raise ValueError("; ".join(f"line {r.line_no}: {r.flaw}" for r in bad))
-    keyed = rows.withColumn("key", corpus.canonical_json("value", "$" if a.dedupe_key == "full-record" else "$.messages"))
-    kept = corpus.keep_first(keyed, "key", "line_no")
-    out = a.out or deduplicated_path(a.input)
-    fields = comma_list(a.decluster_fields)
-    group = F.concat_ws("|", *[F.coalesce(corpus.canonical_json("value", f"$.{x}"), F.lit("null")) for x in fields]) if fields else F.lit("")
-    order = corpus.interleaved(kept.withColumn("group", group), "group", "line_no", a.seed)
-    sinks.write_ordered_jsonl(order.withColumn("position", F.concat(F.lpad(F.col("round").cast("string"), 19, "0"), F.col("place"))), out, "position", "value", a.overwrite)
-    n, left = rows.count(), kept.count()
+    names = [f"field_{i}" for i in range(len(fields))]
+    values = [F.nullif(corpus.canonical_json("value", f"$.{x}"), F.lit("null")).alias(n) for n, x in zip(names, fields)]
+    kept = written(corpus.keep_first(keyed.select("line_no", "key", "value"), "key", "line_no").select("*", *values), "kept")
+    if fields and a.window_size > 1:
+        moved = corpus.declustered(kept, names, "line_no", a.seed, a.window_size)
+    else:
+        moved = seeded.shuffled(kept, "line_no", a.seed)
+    moved = written(moved, "moved")
+    if not corpus.is_distinct(moved, "key").first().is_distinct:
+        raise RuntimeError("the reordered records are not distinct")
+    sinks.write_ordered_jsonl(moved, out, "position", "value", a.overwrite)
+    matches = lambda df, order: dict(zip(fields, corpus.adjacent_matches(df, order, names).first())) if fields else {}
+    n, left = keyed.count(), moved.count()
     pairs = [r.asDict() for r in corpus.duplicate_pairs(keyed, "key", "line_no", 20).collect()]
-    sinks.write_json_atomic({"rows": n, "kept": left, "duplicates": n - left, "first_pairs": pairs}, a.report or report_path(out), True)
+    report = {
+        "input_path": a.input, "output_path": out, "dedupe_key": a.dedupe_key, "seed": a.seed, "window_size": a.window_size, "decluster_fields": fields,
+        "rows": n, "kept": left, "duplicates": n - left, "first_pairs": pairs,
+        "adjacent_matches_before": matches(kept, "line_no"), "adjacent_matches_after": matches(moved, "position"),
+        "output_digest": corpus.ordered_digest(moved, "position", "value"),
+    }
+    sinks.write_json_atomic(report, a.report or report_path(out), True)
 
 
 def training_rows(spark, a) -> None:
@@ -74,7 +91,7 @@ def benchmark_report(spark, a) -> None:
 
 COMMANDS = {
     "check-quality": (check_quality, {"--sessions": {}, "--personas": {}, "--out": {}, "--sample": {"type": int}, "--resume": {"action": "store_true"}}),
-    "deduplicate": (deduplicate, {"--input": {}, "--out": {}, "--report": {}, "--seed": {"type": int, "default": 42}, "--dedupe-key": {"choices": ["messages", "full-record"], "default": "messages"}, "--decluster-fields": {}, "--overwrite": {"action": "store_true"}}),
+    "deduplicate": (deduplicate, {"--input": {}, "--out": {}, "--report": {}, "--seed": {"type": int, "default": 42}, "--dedupe-key": {"choices": ["messages", "full-record"], "default": "messages"}, "--decluster-fields": {}, "--window-size": {"type": int, "default": 256}, "--overwrite": {"action": "store_true"}}),
     "training-rows": (training_rows, {"--input": {}, "--out": {}, "--first-n": {"type": int}}),
     "adherence": (adherence, {"--judged": {}}),
     "benchmark-report": (benchmark_report, {"--benchmark": {"choices": list(benchmarks.REPORTS)}, "--rows": {}, "--groups": {}}),

@@ -1,3 +1,4 @@
+import hashlib
 """Operators on hand-made tables: the cases that the survey lists, with their results."""
 
 import json
@@ -200,6 +201,55 @@ def test_adjacent_matches_over_partition_edges(spark):
     assert corpus.adjacent_matches(df.where("false"), "i", ["v"]).first().v == 0
 
 
+def declustered_places(df, fields, **more):
+    out = corpus.declustered(df, fields, "id", 7, **more)
+    rows = out.orderBy("position").collect()
+    assert [r.position for r in rows] == list(range(len(rows))) and out.columns == [*df.columns, "position"]
+    return rows
+
+
+def neighbours(rows, fields):
+    return [sum(a[f] is not None and a[f] == b[f] for a, b in zip(rows, rows[1:])) for f in fields]
+
+
+@pytest.mark.parametrize("stretch", [1, 2, 50, 1 << 16])
+def test_declustered_is_no_worse_than_the_greedy_order(spark, monkeypatch, stretch):
+    """A hot value, nulls, repeated keys and clashing names, over stretches of any length."""
+    monkeypatch.setattr(corpus, "STRETCH", stretch)
+    rng = random.Random(2)
+    data = [(i if i % 5 else 3, rng.choice(["hot", "hot", "a", "b", "c", None]), rng.choice("xyz"), "p", i, 0.5) for i in range(600)]
+    df = spark.createDataFrame(data, "id INT, f STRING, g STRING, place STRING, stretch INT, share DOUBLE").repartition(5)
+    rows = declustered_places(df, ["f", "g"])
+    assert sorted(r.stretch for r in rows) == list(range(600))
+    greedy = corpus.decluster([r.asDict() for r in df.orderBy("stretch").collect()], ["f", "g"], 7)
+    if stretch >= 50:  # very short stretches have an edge every few rows
+        assert sum(neighbours(rows, ["f", "g"])) <= sum(neighbours(greedy, ["f", "g"])) + (6 if stretch == 50 else 0)
+    one = declustered_places(df.where("f = 'hot'"), ["f"])
+    assert neighbours(one, ["f"]) == [len(one) - 1]
+    assert declustered_places(df.where("false"), ["f"]) == []
+
+
+def test_supplied_documents_are_declustered(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select(F.col("doc_id").alias("id"), "lang", "source")
+    rows = declustered_places(docs, ["lang", "source"])
+    greedy = corpus.decluster([r.asDict() for r in docs.orderBy("id").collect()], ["lang", "source"], 7)
+    assert all(a <= b for a, b in zip(neighbours(rows, ["lang", "source"]), neighbours(greedy, ["lang", "source"])))
+
+
+def test_digest_of_lines_in_order(spark):
+    rows = [(i, f"line {i % 70}") for i in range(300)] + [(300, None)]
+    df = spark.createDataFrame(rows, "i BIGINT, line STRING")
+    level = [hashlib.sha256((x or "").encode()).hexdigest() for _, x in rows]
+    while len(level) > 1:
+        level = [hashlib.sha256("".join(level[k : k + 16]).encode()).hexdigest() for k in range(0, len(level), 16)]
+    assert corpus.ordered_digest(df.repartition(7), "i", "line", 16) == corpus.ordered_digest(df, "i", "line", 16) == level[0]
+    swapped = df.withColumn("i", F.when(F.col("i") == 5, 6).when(F.col("i") == 6, 5).otherwise(F.col("i")))
+    assert corpus.ordered_digest(swapped, "i", "line", 16) != level[0]
+    assert corpus.ordered_digest(df.where("false"), "i", "line") == hashlib.sha256(b"").hexdigest()
+    one = hashlib.sha256(hashlib.sha256(b"x").hexdigest().encode()).hexdigest()
+    assert corpus.ordered_digest(spark.createDataFrame([(0, "x")], "i INT, line STRING"), "i", "line") == one
+
+
 def slow_decluster(rows, fields, seed, window):
     rest = list(rows)
     random.Random(seed).shuffle(rest)
@@ -268,10 +318,12 @@ def test_filler_turns(spark):
         df.select(benchmarks.filler(F.col("m"), 2)).collect()
 
 
-def test_shuffled_options_follow_one_stream():
+def test_shuffled_options_follow_one_stream(spark):
     rng = random.Random(0)
     want = [rng.sample(["r", "x", "y"], 3) for _ in range(3)]
-    assert [o for o, _ in benchmarks.shuffled_options([["r", "x", "y"]] * 3, 0)] == want
+    items = spark.createDataFrame([(i, ["r", "x", "y"]) for i in range(3)], "i INT, o ARRAY<STRING>")
+    got = benchmarks.shuffled_options(items.repartition(3), "i", "o", 0).orderBy("i").collect()
+    assert [r.shuffled for r in got] == want and [r.right for r in got] == [w.index("r") for w in want]
 
 
 # ---- model calls and rollouts -----------------------------------------------------------
