@@ -188,9 +188,11 @@ def ask_once(rows: DataFrame, make_client: Callable[[], ModelClient], ledger: st
     made = written(todo.mapInPandas(run, held), "calls")
     made.where("error IS NULL").write.mode("append").parquet(table)
     files.delete(path(waiting), True)
-    # Failed requests are of this run only; a reply that two runs wrote counts once.
-    replies = known().dropDuplicates(["key"]).unionByName(made.where("error IS NOT NULL"))
-    return keyed.join(replies, keyed[name] == replies["key"], "left").drop(name, "key")
+    # Failed requests are of this run only. The replies are written to a place of their own: a plan
+    # that holds two reads of the growing table could take one for the other.
+    told = known().join(one.select("key"), "key", "left_semi").join(made.select("key"), "key", "left_anti").dropDuplicates(["key"])
+    replies = written(told.unionByName(made), "replies").withColumnRenamed("key", "_reply_to")
+    return keyed.join(replies, keyed[name] == replies["_reply_to"], "left").drop(name, "_reply_to")
 
 
 def usage(calls: DataFrame, tokens) -> DataFrame:

@@ -113,18 +113,18 @@ def verdict(reply: Column) -> Column:
     return F.struct(F.when(whole("score").between(1, 5), whole("score")).alias("score"), label.alias("label"), F.when(label.isNotNull(), whole("offending_turn")).alias("offending_turn"))
 
 
-def model_judge(make_client: Callable, **how) -> Callable[[DataFrame], DataFrame]:
-    """A judge for ``score_sessions``: two calls for each session at temperature 0. A call that
-    fails or says nothing of use gives nulls."""
+def judged_by(answer: Callable[[DataFrame, str], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """A judge for ``score_sessions``: two calls for each session. ``answer`` maps rows with
+    ``messages``, and the kind of call, to rows with ``reply``. A call that fails or says nothing
+    of use gives nulls."""
 
     def judge(sessions: DataFrame) -> DataFrame:
         values = {"summary": F.coalesce("profile_summary", F.lit("")), "history": transcript(F.col("conversation"))}
 
         def asked(prompt: str, kind: str) -> DataFrame:
             rows = sessions.select("persona_id", "prompt_id", F.array(message("user", render(prompt, values))).alias("messages"))
-            answers = ask(rows, make_client, call_type=kind, temperature=0.0, **how)
             reply = json_object(F.coalesce("reply", F.lit("")))
-            return answers.select("persona_id", "prompt_id", verdict(reply).alias(kind), F.try_variant_get(reply, "$.reason", "string").alias(f"{kind}_reason"))
+            return answer(rows, kind).select("persona_id", "prompt_id", verdict(reply).alias(kind), F.try_variant_get(reply, "$.reason", "string").alias(f"{kind}_reason"))
 
         both = asked(JUDGE_CONSISTENCY, "consistency").join(asked(JUDGE_CONFLICT, "conflict"), ["persona_id", "prompt_id"])
         return both.select("persona_id", "prompt_id", F.col("consistency.score").alias("d5"), F.col("consistency_reason").alias("d5_reason"), F.col("conflict.label").alias("d6"), F.col("conflict.offending_turn").alias("d6_offending_turn"))
@@ -132,6 +132,11 @@ def model_judge(make_client: Callable, **how) -> Callable[[DataFrame], DataFrame
     return judge
 
 
+def model_judge(make_client: Callable, **how) -> Callable[[DataFrame], DataFrame]:
+    """A judge whose calls are made at temperature 0, whenever its plan runs."""
+    return judged_by(lambda rows, kind: ask(rows, make_client, call_type=kind, temperature=0.0, **how))
+
+
 def score_sessions(sessions: DataFrame, personas: DataFrame, judge: Callable[[DataFrame], DataFrame] | None = None, key: tuple = ("persona_id", "prompt_id"), least_turns: int = LEAST_TURNS, tokens: Callable[[str], Column] | None = None) -> DataFrame:
     """D1 to D4, the judges on what passes, and the tier of each session. ``tokens`` counts the
     tokens of a column of conversations, as ``functions.tokens.message_tokens`` does.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import messages as M
 from ..functions import text as T
 from ..functions.tokens import message_tokens
-from ..operators import benchmarks, corpus, qa, quality, seeded, selection, simulation, training
+from ..operators import appended, benchmarks, corpus, qa, quality, seeded, selection, simulation, training
 from ..operators.model import usage
 from ..sources import readers, sinks
 from ..sources.shared import remove_at_exit, shared_dir
@@ -800,3 +800,50 @@ def o7_first_items(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select("item_id")
     b.repartitionByRange("item_id").sortWithinPartitions("item_id").write.csv(path, sep=";")
     return selection.first_items(readers.positional_csv(spark, path), "idx", 25).select(F.col("_c0").cast("bigint").alias("item_id"))
+
+
+@query("""WITH r AS (SELECT 1 AS run, doc_id AS place, text FROM documents UNION ALL SELECT 2, conv_id * 1000 + turn, text FROM conversations UNION ALL SELECT 3, item_id, text FROM benchmark UNION ALL SELECT 4, doc_id, text FROM documents)
+SELECT run, place, sha256(text) AS digest FROM r QUALIFY row_number() OVER (PARTITION BY text ORDER BY run, place) = 1""")
+def w2_u5_append_runs(spark, sf_dir):
+    """Four runs that append the texts that no run before them had; the last one has none."""
+    path, out = _shared(spark, "runs"), None
+    tables = [("documents", F.col("doc_id")), ("conversations", F.col("conv_id") * 1000 + F.col("turn")), ("benchmark", F.col("item_id")), ("documents", F.col("doc_id"))]
+    for run, (name, place) in enumerate(tables, 1):
+        rows = table(spark, sf_dir, name).select(F.lit(run).alias("run"), place.alias("place"), "text")
+        appended.append_new(rows, "text", "place", path, 1 << 22)
+    out = spark.read.parquet(f"{path}/rows")
+    return out.select("run", "place", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+
+
+@query("SELECT conv_id::VARCHAR AS persona_id, role AS ablation, count(*) AS n FROM conversations WHERE role <> 'system' GROUP BY ALL")
+def s5_sessions_by_folder(spark, sf_dir):
+    """Messages written in folders by ablation and persona, and read back from those of two."""
+    path = _shared(spark, "folders")
+    sinks.write_sessions(table(spark, sf_dir, "conversations").select(F.col("role").alias("ablation"), F.col("conv_id").cast("string").alias("persona_id"), "text").repartition("persona_id"), path)
+    read = readers.sessions_by_folder(spark, path, "text STRING").where(F.col("ablation").isin("user", "assistant"))
+    return read.groupBy("persona_id", "ablation").agg(F.count("*").alias("n"))
+
+
+@query("SELECT item_id::INTEGER % 5 AS file, (item_id // 5)::INTEGER AS idx, text FROM benchmark")
+def s12_items_of_many_files(spark, sf_dir):
+    """Arrays in files of their own, their items told apart by file and position."""
+    path = _shared(spark, "arrays")
+    b = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 5).cast("int").alias("part"), "item_id", "text")
+    arrays = b.groupBy("part").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: F.struct(x["text"].alias("t")))).alias("value"))
+    arrays.write.partitionBy("part").text(path)
+    items = readers.json_items(spark, f"{path}/*")
+    return items.select(F.regexp_extract("file", r"part=(\d+)", 1).cast("int").alias("file"), "idx", F.variant_get("item", "$.t", "string").alias("text"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def p1_only_ids(spark, sf_dir):
+    """Customers with an order, by a list of ids that is longer than a filter may be."""
+    ids = [str(r.o_custkey) for r in table(spark, sf_dir, "orders").select("o_custkey").distinct().collect()]
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("c_custkey"), "c_name")
+    return selection.only_ids(c, "c_custkey", ids).select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "c_name")
+
+
+@query("SELECT url FROM pages ORDER BY string_split(url, '/'), url LIMIT 50")
+def o3_by_path(spark, sf_dir):
+    """The first pages in order of path components; urls with equal components are equal."""
+    return selection.by_path(table(spark, sf_dir, "pages").select("url"), "url", 50)

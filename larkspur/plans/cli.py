@@ -1,41 +1,95 @@
 """Command line: each command is a plan over files.
 
     python -m larkspur.plans.cli check-quality --sessions DIR --personas FILE --out DIR
+    python -m larkspur.plans.cli check-quality ... --client package.module:factory --ledger DIR
+    python -m larkspur.plans.cli build-question-answering-data --sessions DIR --results DIR --out DIR --client ... --ledger DIR
+    python -m larkspur.plans.cli build-scenarios --personas FILE --constructor lifelong --out DIR --client ... --ledger DIR
     python -m larkspur.plans.cli deduplicate --input FILE --out DIR
     python -m larkspur.plans.cli training-rows --input FILE --out DIR --first-n 8
     python -m larkspur.plans.cli adherence --judged FILE
     python -m larkspur.plans.cli benchmark-report --benchmark prefeval --rows DIR --groups topic
+
+A client is a factory of your own (``operators.model.ModelClient``), called once in each task. Its
+replies are kept in the ledger, so a command that runs again asks only what has no reply yet.
 """
 
 from __future__ import annotations
 
 import argparse
+import importlib
+import os
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.messages import MESSAGES, flaw
-from ..operators import benchmarks, corpus, quality, seeded, selection, training
+from ..functions.tokens import message_tokens
+from ..operators import benchmarks, corpus, qa, quality, seeded, selection, simulation, training
+from ..operators.model import ask_once
 from ..sources import readers, sinks
 from ..sources.shared import written
-from .config import comma_list, deduplicated_path, report_path
+from .config import FAMILIES, comma_list, deduplicated_path, report_path
 
 SESSION = f"persona_id STRING, prompt_id STRING, conversation {MESSAGES}, user_state_trajectory ARRAY<STRUCT<turn: INT, user_state: STRING>>, num_turns INT, ablation STRING, profile_summary STRING"
 
 
-def check_quality(spark, a) -> None:
+def client_of(name: str) -> Callable:
+    """The factory that ``package.module:name`` names."""
+    module, _, factory = name.partition(":")
+    return getattr(importlib.import_module(module), factory)
+
+
+def session_rows(spark, a) -> DataFrame:
     files = readers.sessions(spark, a.sessions, a.sample)
-    rows = files.where("ok").select(F.from_json("raw", SESSION).alias("s"), "raw").select("s.*", "raw")
+    return files.where("ok").select(F.from_json("raw", SESSION).alias("s"), "raw").select("s.*", "raw")
+
+
+def calls(a, temperature: float = 0.7) -> Callable[[DataFrame, str], DataFrame]:
+    """Calls through the command's ledger, no more at once than its bound."""
+    make = client_of(a.client)
+    return lambda rows, kind: ask_once(rows, make, a.ledger, call_type=kind, temperature=temperature, model=a.model, concurrency=a.concurrency)
+
+
+def check_quality(spark, a) -> None:
+    rows = session_rows(spark, a)
     if a.resume:
         done = spark.read.parquet(a.out)
         rows = selection.without_results(rows, done, ["persona_id", "prompt_id"], ["persona_id", "scenario_id"])
-    scored = quality.score_sessions(rows, readers.personas(spark, a.personas)).withColumnRenamed("prompt_id", "scenario_id")
+    judge = quality.judged_by(calls(a, 0.0)) if a.client else None
+    count = message_tokens if a.tokenizer else None
+    scored = quality.score_sessions(rows, readers.personas(spark, a.personas), judge, tokens=count).withColumnRenamed("prompt_id", "scenario_id")
     scored.write.mode("append").parquet(a.out)
     everything = spark.read.parquet(a.out)
     quality.summary(everything).orderBy("measure", "value").show(100, False)
     quality.pass_rate(everything).show()
 
 
+def build_question_answering_data(spark, a) -> None:
+    """QA records by style from sessions, of the best tier where results are given."""
+    rows = session_rows(spark, a).withColumn("scenario_id", F.col("prompt_id"))
+    if a.results:
+        rows = selection.of_tier(rows, spark.read.parquet(a.results))
+    made = written(qa.examples(rows.drop("raw"), calls(a), tuple(a.styles or qa.REQUIRED)), "records")
+    sinks.write_by_style(made, a.out)
+    made.groupBy("qa_style").count().orderBy("qa_style").show()
+
+
+def build_scenarios(spark, a) -> None:
+    """Scenarios of a family for the personas that have none yet, in folders by family and
+    persona; ``--force`` builds those of all."""
+    family = FAMILIES[a.constructor]
+    people = readers.personas(spark, a.personas).select("persona_id", F.coalesce("refined_summary", "summary").alias("summary"))
+    people = selection.only_ids(people, "persona_id", a.persona_ids)
+    if not a.force and os.path.isdir(a.out):
+        done = spark.read.parquet(a.out).where(F.col("prefix") == family.prefix).select(F.col("persona_id").cast("string").alias("persona_id")).distinct()
+        people = people.join(done, "persona_id", "left_anti")
+    answered = calls(a)(simulation.scenario_calls(people, family.prefix), "scenarios")
+    built = written(simulation.built_scenarios(answered), "scenarios")
+    sinks.overwrite_by_key(built, a.out, "prefix", "persona_id")
+    built.groupBy("prefix").agg(F.count_distinct("persona_id").alias("personas"), F.count("*").alias("scenarios")).show()
+
+
 def deduplicate(spark, a) -> None:
     """Drop records equal in all fields of their messages, or in all fields; a flawed record is
     an error. The rest is shuffled as the standard library does, or, where fields are named,
@@ -89,8 +143,11 @@ def benchmark_report(spark, a) -> None:
     benchmarks.report(a.benchmark, spark.read.parquet(a.rows), *comma_list(a.groups)).show(truncate=False)
 
 
+CALLS = {"--client": {}, "--ledger": {}, "--model": {"default": ""}, "--concurrency": {"type": int, "default": 40}}
 COMMANDS = {
-    "check-quality": (check_quality, {"--sessions": {}, "--personas": {}, "--out": {}, "--sample": {"type": int}, "--resume": {"action": "store_true"}}),
+    "check-quality": (check_quality, {"--sessions": {}, "--personas": {}, "--out": {}, "--sample": {"type": int}, "--resume": {"action": "store_true"}, "--tokenizer": {"action": "store_true"}, **CALLS}),
+    "build-question-answering-data": (build_question_answering_data, {"--sessions": {}, "--results": {}, "--out": {}, "--sample": {"type": int}, "--styles": {"nargs": "+", "choices": list(qa.REQUIRED)}, **CALLS}),
+    "build-scenarios": (build_scenarios, {"--personas": {}, "--constructor": {"choices": list(FAMILIES), "default": "lifelong"}, "--persona-ids": {"nargs": "*"}, "--force": {"action": "store_true"}, "--out": {}, **CALLS}),
     "deduplicate": (deduplicate, {"--input": {}, "--out": {}, "--report": {}, "--seed": {"type": int, "default": 42}, "--dedupe-key": {"choices": ["messages", "full-record"], "default": "messages"}, "--decluster-fields": {}, "--window-size": {"type": int, "default": 256}, "--overwrite": {"action": "store_true"}}),
     "training-rows": (training_rows, {"--input": {}, "--out": {}, "--first-n": {"type": int}}),
     "adherence": (adherence, {"--judged": {}}),

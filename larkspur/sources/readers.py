@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.names import free
 from ..functions.text import or_default, strip
 
 PERSONA = "persona_id STRING, id STRING, summary STRING, metadata STRING, attributes STRING, fingerprint STRING, selected_prompts STRING"
@@ -51,8 +52,9 @@ def strict_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 def last_wins(rows: DataFrame, key: str, order: str = "line_no") -> DataFrame:
     """Of rows with equal keys the one that comes last."""
+    [n] = free(rows, "_n")
     at = Window.partitionBy(key).orderBy(F.desc(order))
-    return rows.withColumn("_n", F.row_number().over(at)).where("_n = 1").drop("_n")
+    return rows.withColumn(n, F.row_number().over(at)).where(F.col(n) == 1).drop(n)
 
 
 def personas(spark: SparkSession, path: str) -> DataFrame:
@@ -143,9 +145,17 @@ def positional_csv(spark: SparkSession, path: str, sep: str = ";", line_breaks:
 
 
 def json_items(spark: SparkSession, path: str) -> DataFrame:
-    """Items of a JSON array with their positions, as VARIANT."""
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "ARRAY<VARIANT>").alias("items"))
-    return whole.select(F.posexplode("items").alias("idx", "item"))
+    """Items of JSON arrays, as VARIANT, with the file they are from and their position in it."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "ARRAY<VARIANT>").alias("items"))
+    return whole.select("file", F.posexplode("items").alias("idx", "item"))
+
+
+def sessions_by_folder(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """Sessions from folders ``ablation=.../persona_id=...``, with their file. A condition on
+    ablation or persona prunes folders before any file is listed for reading."""
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    fields = StructType([f for f in fields.fields if f.name not in ("ablation", "persona_id")]).add("ablation", "string").add("persona_id", "string")
+    return spark.read.schema(fields).option("basePath", path).json(path).withColumn("file", F.col("_metadata.file_path"))
 
 
 def yaml_file(path: str) -> dict:
