@@ -9,7 +9,8 @@ Three patterns give the labelled credentials (the base spans). Two passes over a
    character classes, is merged level by level: states of one level become one where no
    frequency of what follows differs by more than Hoeffding's bound. Place and length survive,
    so an automaton knows where its values end; levels that fewer than ``LEAST`` values reach
-   share one looping state.
+   share one looping state. Where one character is nearly all of a class in a state, as in a
+   format's fixed prefix, it is a symbol of its own there, and others of its class are rare.
 3. Every run of ``LEAST_RUN`` characters or more outside the base spans is a candidate. It
    becomes a span of a kind when its mean log-likelihood is that of 99 of 100 labelled values at
    least, and the kind's posterior against the background, with prior odds of labelled values to
@@ -39,6 +40,7 @@ LEAST = 10  # values that a level of an automaton needs for states of its own
 LEAST_RUN = 6
 POSTERIOR = 0.9
 ALPHA = 0.05
+LITERAL = 0.95  # share of a class in a state from which on its character is a symbol of its own
 
 # The patterns of labelled credentials.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -54,6 +56,7 @@ CLASS = np.full(256, -1, np.int8)
 CLASS[48:58], CLASS[97:103], CLASS[103:123], CLASS[65:71], CLASS[71:91] = 0, 1, 2, 3, 4
 for _i, _c in enumerate(SIGNS):
     CLASS[ord(_c)] = 5 + _i
+SIZE = np.bincount(CLASS[CLASS >= 0], minlength=N_CLASSES)
 LEVELS = 12  # places of a run that the background tells apart
 SHAPE = (LEVELS, N_CLASSES + 1, N_CLASSES + 1)  # place, class before (the last: none), class or stop
 SMOOTH = 0.05
@@ -131,17 +134,26 @@ class Automaton:
     """A deterministic probabilistic automaton over character classes; state 0 is the start,
     the last state takes what no labelled value did and is never left."""
 
-    def __init__(self, go: np.ndarray, count: np.ndarray):
+    def __init__(self, go: np.ndarray, count: np.ndarray, literals: dict[tuple[int, int], tuple[int, int, int]] | None = None):
+        """``literals``: by state and class (character, its count, the class's count)."""
         n = len(count)
         self.go = np.full((n + 1, N_CLASSES), n, np.int32)
         self.go[:n] = np.where(go < 0, n, go)
         self.log_p = np.full((n + 1, N_CLASSES + 1), math.log(1e-3))
         self.log_p[:n] = np.log((count + SMOOTH) / (count.sum(1) + SMOOTH * (N_CLASSES + 1))[:, None])
         self.loops = (self.go == np.arange(n + 1)[:, None]).all(1)
-
-    def totals(self, cls: np.ndarray, start: np.ndarray, end: np.ndarray, need: np.ndarray | None = None) -> np.ndarray:
+        # Against a class whose characters are equally likely, as in the background.
+        self.of_character = np.zeros((n + 1, 256))
+        for (state, c), (character, k, all_) in (literals or {}).items():
+            share = (k + 0.5) / (all_ + 1)
+            self.of_character[state, CLASS == c] = math.log((1 - share) * SIZE[c] / (SIZE[c] - 1))
+            self.of_character[state, character] = math.log(share * SIZE[c])
+        # What the rest of a run can still gain: its literals, most of all where all are met.
+        self.rise = sum(max(0.0, self.of_character[state].max()) for state in range(n))
+
+    def totals(self, cls: np.ndarray, start: np.ndarray, end: np.ndarray, need: np.ndarray | None = None, raw: np.ndarray | None = None) -> np.ndarray:
         """Log-likelihood of each run, the stop included; runs that fall below ``need`` are
-        left where they do."""
+        left where they do. ``raw`` are the characters; without them classes alone count."""
         out, state = np.zeros(len(start)), np.zeros(len(start), np.int64)
         live, step = np.arange(len(start)), 0
         while len(live):
@@ -154,6 +166,8 @@ class Automaton:
             live = live[~done]
             c = cls[start[live] + step]
             out[live] += self.log_p[state[live], c]
+            if raw is not None:
+                out[live] += self.of_character[state[live], raw[start[live] + step]]
             state[live] = self.go[state[live], c]
             if need is not None:
                 live = live[out[live] >= need[live]]
@@ -165,15 +179,18 @@ class Automaton:
         return float(means(self, [value])[0])
 
 
+def _raw(values: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(values).encode("latin-1", "replace"), np.uint8)
+
+
 def _laid(values: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = np.frombuffer("".join(values).encode("latin-1", "replace"), np.uint8)
     end = np.cumsum([len(v) for v in values])
-    return CLASS[raw], end - [len(v) for v in values], end
+    return CLASS[_raw(values)], end - [len(v) for v in values], end
 
 
 def means(automaton: Automaton, values: list[str]) -> np.ndarray:
     cls, start, end = _laid(values)
-    return automaton.totals(cls, start, end) / (end - start + 1)
+    return automaton.totals(cls, start, end, raw=_raw(values)) / (end - start + 1)
 
 
 def infer(values: list[str], alpha: float = ALPHA) -> Automaton:
@@ -182,6 +199,7 @@ def infer(values: list[str], alpha: float = ALPHA) -> Automaton:
     A state is the set of values that pass it; it is never spelled out as a tree.
     """
     cls, start, end = _laid(values)
+    raw = _raw(values)
     bound = math.sqrt(0.5 * math.log(2 / alpha))
 
     def follow(members: np.ndarray, level: int) -> np.ndarray:
@@ -201,11 +219,16 @@ def infer(values: list[str], alpha: float = ALPHA) -> Automaton:
             todo += [(a[x == c], b[y == c], level + 1) for c in np.intersect1d(x, y) if c != STOP]
         return True
 
-    go, count = [], []
+    go, count, literals = [], [], {}
     level, states = 0, [np.arange(len(values))]
     while states:
         first = len(go)
         seen = [follow(m, level) for m in states]
+        for i, (members, x) in enumerate(zip(states, seen)):
+            for c in np.unique(x[x != STOP]):
+                characters = np.bincount(raw[start[members[x == c]] + level], minlength=256)
+                if SIZE[c] > 1 and characters.sum() >= LEAST and characters.max() >= LITERAL * characters.sum():
+                    literals[first + i, int(c)] = int(characters.argmax()), int(characters.max()), int(characters.sum())
         count += [np.bincount(x, minlength=STOP + 1) for x in seen]
         go += [np.full(N_CLASSES, -1) for _ in states]
         groups = [(m[x == c], first + i, c) for i, (m, x) in enumerate(zip(states, seen)) for c in np.unique(x) if c != STOP]
@@ -229,7 +252,7 @@ def infer(values: list[str], alpha: float = ALPHA) -> Automaton:
                 merged[k] = np.concatenate([merged[k], members])
             go[state][c] = len(go) + k
         states = merged
-    return Automaton(np.array(go), np.array(count, float))
+    return Automaton(np.array(go), np.array(count, float), literals)
 
 
 class Formats:
@@ -246,12 +269,13 @@ class Formats:
                 odds = math.log(max(1.0, runs / known[kind])) + math.log(POSTERIOR / (1 - POSTERIOR))
                 self.kinds[kind] = (automaton, own[len(own) // 100] - 1e-9, odds)
 
-    def classify(self, cls: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, str]]:
+    def classify(self, cls: np.ndarray, start: np.ndarray, end: np.ndarray, raw: np.ndarray) -> list[tuple[int, str]]:
         """(run, kind) of the runs that a kind's format explains, the likeliest kind of each."""
         background = self.background.totals(cls, start, end)
         best, out = np.full(len(start), -np.inf), {}
         for kind, (automaton, least, odds) in self.kinds.items():
-            total = automaton.totals(cls, start, end, np.maximum(background + odds, least * (end - start + 1)))
+            # A literal may raise a total by what one more symbol can: runs are left only below that.
+            total = automaton.totals(cls, start, end, np.maximum(background + odds, least * (end - start + 1)) - automaton.rise, raw)
             for i in np.flatnonzero((total - background >= odds) & (total >= least * (end - start + 1)) & (total > best)):
                 best[i], out[int(i)] = total[i], kind
         return sorted(out.items())
@@ -266,7 +290,7 @@ def scan(texts: list[str | None], buf: np.ndarray, off: np.ndarray, formats: For
     added: list[list] = [[] for _ in texts]
     if formats.kinds:
         cls, start, end = candidates(buf, off, base)
-        for i, kind in formats.classify(cls, start, end):
+        for i, kind in formats.classify(cls, start, end, buf):
             t = int(np.searchsorted(off, start[i], "right")) - 1
             before = int(((buf[off[t] : start[i]] & 0xC0) != 0x80).sum())
             value = buf[start[i] : end[i]].tobytes().decode("ascii")

@@ -55,6 +55,24 @@ def test_method_finds_formats_without_a_keyword(spark):
     assert caught >= 0.9 * len(planted) and false <= 2
 
 
+def test_ids_of_the_same_shape_are_not_credentials(spark):
+    """Labelled keys share a prefix; bare ids of the same classes, place by place, do not."""
+    rng = random.Random(4)
+    shape = lambda v: "".join(rng.choice("ABCDEF") if c in "ABCDEF" else rng.choice("GHIJKLMNOPQRSTUVWXYZ") if c.isupper() else rng.choice("0123456789") for c in v)
+    own = lambda: "AKIA" + key(rng, 16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    rows = [(i, f"{prose(rng, 20)} {own()} {prose(rng, 5)}") for i in range(200)]
+    rows += [(1000 + i, f"{prose(rng, 20)} {shape(own())} {prose(rng, 5)}") for i in range(50)]
+    prefix = lambda: "tk_" + key(rng, 20, "abcdefghij0123456789")
+    rows += [(2000 + i, f"{prose(rng, 20)} token={prefix()} {prose(rng, 5)}") for i in range(100)]
+    planted = {3000 + i: prefix() for i in range(50)}
+    rows += [(i, f"{prose(rng, 20)} {v} {prose(rng, 5)}") for i, v in planted.items()]
+    rows += [(4000 + i, f"{prose(rng, 20)} {rng.choice('abcdefgh')}{rng.choice('mnopqrs')}_{key(rng, 20, 'abcdefghij0123456789')} {prose(rng, 5)}") for i in range(50)]
+    got = {r.doc_id: [(s.kind, s.value) for s in r.added] for r in secrets.spans(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()}
+    assert sum(bool(got[1000 + i]) for i in range(50)) <= 2
+    assert sum(bool(got[4000 + i]) for i in range(50)) <= 2
+    assert sum(("assign", v) in got[i] for i, v in planted.items()) >= 45
+
+
 def test_offsets_of_added_spans_are_code_points(spark):
     rng = random.Random(3)
     rows = [(i, f'{prose(rng, 30)} token: {key(rng)}') for i in range(100)]
@@ -93,6 +111,17 @@ def test_totals_are_those_of_a_plain_walk():
     cls, start, end = secrets._laid(values + ["q", "=+=" * 300])
     background = secrets.Background(__import__("numpy").arange(12 * 12 * 12, dtype=float) % 7)
     table = background.log_p.reshape(secrets.SHAPE)
+    values = ["qz" + v for v in values]
+    raw = secrets._raw(values + ["q", "=+=" * 300])
+    b = secrets.infer(values)
+    at = secrets._laid(values + ["q", "=+=" * 300])
+    for s, e, total in zip(*at[1:], b.totals(*at, raw=raw)):
+        state, want = 0, 0.0
+        for c, x in zip(at[0][s:e], raw[s:e]):
+            want += b.log_p[state, c] + b.of_character[state, x]
+            state = b.go[state, c]
+        assert abs(total - want - b.log_p[state, secrets.STOP]) < 1e-6 * abs(want)
+    assert b.of_character[0, ord("q")] > 0 > b.of_character[0, ord("p")]
     for s, e, total, other in zip(start, end, a.totals(cls, start, end), background.totals(cls, start, end)):
         state, want, plain = 0, 0.0, 0.0
         before = secrets.N_CLASSES
