@@ -13,7 +13,7 @@ from ..functions.text import json_object, n_tokens, or_default, render, strip
 from ..plans.prompts import JUDGE_CONFLICT, JUDGE_CONSISTENCY
 from .model import ask
 
-# Bounds of a sound session.
+# Bounds of a sound session, and, below, the wording of the notes, which are compared.
 LEAST_TURNS, LEAST_TOKENS, MOST_TOKENS = 4, 200, 16000
 STATE_ABLATIONS = ("full", "no_behavior")
 REQUIRED_KEYS = ("persona_id", "prompt_id", "conversation", "num_turns", "ablation", "profile_summary")

@@ -6,6 +6,7 @@
     python -m larkspur.plans.cli build-scenarios --personas FILE --constructor lifelong --out DIR --client ... --ledger DIR
     python -m larkspur.plans.cli deduplicate --input FILE --out DIR
     python -m larkspur.plans.cli training-rows --input FILE --out DIR --first-n 8
+    python -m larkspur.plans.cli adherence-run --stage gen --items FILE --out DIR --client ... --ledger DIR
     python -m larkspur.plans.cli adherence --judged FILE
     python -m larkspur.plans.cli benchmark-report --benchmark prefeval --rows DIR --groups topic
 
@@ -25,11 +26,13 @@ from pyspark.sql import functions as F
 
 from ..functions.messages import MESSAGES, flaw
 from ..functions.tokens import message_tokens
+from ..operators import adherence as adherence_stages
 from ..operators import benchmarks, corpus, qa, quality, seeded, selection, simulation, training
 from ..operators.model import ask_once
 from ..sources import readers, sinks
 from ..sources.shared import written
 from .config import FAMILIES, comma_list, deduplicated_path, report_path
+from .prompts import ADHERENCE_HINTS
 
 SESSION = f"persona_id STRING, prompt_id STRING, conversation {MESSAGES}, user_state_trajectory ARRAY<STRUCT<turn: INT, user_state: STRING>>, num_turns INT, ablation STRING, profile_summary STRING"
 
@@ -139,6 +142,30 @@ def adherence(spark, a) -> None:
     benchmarks.error_taxonomy(verdicts).show(truncate=False)
 
 
+def adherence_run(spark, a) -> None:
+    """A stage of the preference benchmark over a JSON array of items: generation and
+    classification read the items, judging reads what generation wrote."""
+    if a.stage == "judge":
+        made = adherence_stages.judged(spark.read.parquet(f"{a.out}/gen"), calls(a, 0.0))
+    else:
+        get = lambda k: F.try_variant_get("item", f"$.{k}", "string").alias(k)
+        items = selection.first_items(readers.json_items(spark, a.items), "idx", a.max_items).select("idx", get("preference"), get("question"))
+        between = None
+        if a.turns:
+            turns = spark.read.option("multiLine", True).schema(f"conversation {MESSAGES}").json(a.filler).limit(1)
+            items = items.crossJoin(F.broadcast(turns))  # one row
+            between = benchmarks.filler(F.col("conversation"), a.turns)
+        if a.stage == "gen":
+            made = adherence_stages.generated(items, calls(a), between, a.task)
+        else:
+            options = F.try_variant_get("item", "$.classification_task_options", "ARRAY<STRING>").alias("options")
+            given = selection.first_items(readers.json_items(spark, a.options), "idx", a.max_items).select("idx", options)
+            made = adherence_stages.classified(benchmarks.aligned(items, given), calls(a), a.seed, between, a.task)
+    written(made, a.stage).write.mode("overwrite").parquet(f"{a.out}/{a.stage}")
+    if a.stage != "gen":
+        adherence_stages.report(a.stage, spark.read.parquet(f"{a.out}/{a.stage}")).show(truncate=False)
+
+
 def benchmark_report(spark, a) -> None:
     benchmarks.report(a.benchmark, spark.read.parquet(a.rows), *comma_list(a.groups)).show(truncate=False)
 
@@ -150,6 +177,7 @@ COMMANDS = {
     "build-scenarios": (build_scenarios, {"--personas": {}, "--constructor": {"choices": list(FAMILIES), "default": "lifelong"}, "--persona-ids": {"nargs": "*"}, "--force": {"action": "store_true"}, "--out": {}, **CALLS}),
     "deduplicate": (deduplicate, {"--input": {}, "--out": {}, "--report": {}, "--seed": {"type": int, "default": 42}, "--dedupe-key": {"choices": ["messages", "full-record"], "default": "messages"}, "--decluster-fields": {}, "--window-size": {"type": int, "default": 256}, "--overwrite": {"action": "store_true"}}),
     "training-rows": (training_rows, {"--input": {}, "--out": {}, "--first-n": {"type": int}}),
+    "adherence-run": (adherence_run, {"--stage": {"choices": ["gen", "cls", "judge"]}, "--items": {}, "--options": {}, "--filler": {}, "--turns": {"type": int, "default": 0}, "--task": {"choices": list(ADHERENCE_HINTS), "default": "zero-shot"}, "--max-items": {"type": int}, "--seed": {"type": int, "default": 0}, "--out": {}, **CALLS}),
     "adherence": (adherence, {"--judged": {}}),
     "benchmark-report": (benchmark_report, {"--benchmark": {"choices": list(benchmarks.REPORTS)}, "--rows": {}, "--groups": {}}),
 }

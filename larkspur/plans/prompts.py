@@ -77,3 +77,12 @@ ADHERENCE = {
 
 SCENARIOS = """Write {family} scenarios in which this person would turn to an assistant, as a JSON array of objects with scenario_id, category, initial_prompt and context_note.
 Profile: {summary}"""
+
+ADHERENCE_SYSTEM = "You answer helpfully."
+ADHERENCE_JUDGE = "You judge an assistant's answer. Be strict and fair, and reply in the form that is asked for."
+# What a task adds to the question.
+ADHERENCE_HINTS = {
+    "zero-shot": "",
+    "remind": "\n\nThink of what I told you I like before you answer.",
+    "cot": "\n\nFirst go through what you know of my preferences, step by step; then answer.",
+}

@@ -1,4 +1,5 @@
 import json
+import random
 import sys
 
 import pytest
@@ -23,6 +24,17 @@ class Client:
             return json.dumps({{"label": "no_contradiction"}})
         if call_type == "scenarios":
             return "Here: " + json.dumps([{{"scenario_id": "", "category": "c", "initial_prompt": "p", "context_note": "n"}}] * 2)
+        if call_type == "adherence_preference":
+            return "noted: " + messages[-1]["content"]
+        if call_type == "adherence_answer":
+            return "answer after " + str(len(messages))
+        if call_type == "adherence_choice":
+            lines = [x for x in messages[-1]["content"].splitlines() if x.endswith("right")]
+            return "<choice>" + lines[0].strip()[0] + "</choice>" if "q0" not in messages[-1]["content"] else "?"
+        if call_type == "adherence_judge":
+            return "<preference>told</preference><explanation>e</explanation><answer>" + ("Yes" if "told" not in text else "No") + "</answer>"
+        if call_type == "adherence_restated":
+            return "<answer>No</answer>"
         if call_type == "qa_reasoning":
             return "Because."
         return json.dumps({{"user_query": "What?", "correct": "right", "stereotypical": "s", "random": "r", "generic": "g", "preference": "prefers green tea", "question": "Tea?", "assistant_response": "Green tea it is, as you prefer.", "acknowledge_quote": "Green tea it is", "task_family": "f", "profile_items": [{{"input": "i", "output": "o"}}, {{"input": "j", "output": "q"}}], "query": "new", "target": "done"}})
@@ -83,6 +95,29 @@ def test_scenarios_are_built_for_personas_without(spark, place):
     assert sorted(map(tuple, got)) == [("affective", "o", 2), ("affective", "p", 2), ("lifelong", "o", 2), ("lifelong", "p", 2)]
 
 
+def test_adherence_stages_run_and_resume(spark, place, capsys):
+    (place / "items.json").write_text(json.dumps([{"preference": f"likes {i}", "question": f"q{i}"} for i in range(6)]))
+    (place / "options.json").write_text(json.dumps([{"classification_task_options": ["right", "b", "c", "d"]}] * 6))
+    (place / "filler.json").write_text(json.dumps({"conversation": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "ho"}] * 3}))
+    asked = ["--items", str(place / "items.json"), "--options", str(place / "options.json"), "--filler", str(place / "filler.json"), "--turns", "2", "--out", str(place / "out"), "--client", "stub_client:make", "--ledger", f"file://{place}/ledger"]
+    cli.main(["adherence-run", "--stage", "gen", "--max-items", "4", *asked])
+    cli.main(["adherence-run", "--stage", "gen", *asked])
+    got = spark.read.parquet(str(place / "out/gen")).orderBy("idx").collect()
+    assert [(r.response_to_pref, r.response_to_q) for r in got] == [(f"noted: likes {i}", "answer after 8") for i in range(6)]
+    assert told(place) == ["adherence_answer"] * 6 + ["adherence_preference"] * 6  # the first four were not asked again
+    cli.main(["adherence-run", "--stage", "cls", "--seed", "3", *asked])
+    got = spark.read.parquet(str(place / "out/cls")).orderBy("idx").collect()
+    rng = random.Random(3)
+    want = [rng.sample(["right", "b", "c", "d"], 4) for _ in range(6)]
+    assert [r.shuffled for r in got] == want and [r.correct_letter for r in got] == ["ABCD"[w.index("right")] for w in want]
+    assert [r.mcq_correct for r in got] == [False] + [True] * 5
+    assert told(place).count("adherence_preference") == 6
+    cli.main(["adherence-run", "--stage", "judge", *asked])
+    rows = spark.read.parquet(str(place / "out/judge")).collect()
+    assert {(r.acknow, r.violate, r.hallucinate, r.helpful) for r in rows} == {("Yes", "Yes", "No", "Yes")} and len(rows) == 6
+    assert told(place).count("adherence_judge") == 18 and told(place).count("adherence_restated") == 6
+
+
 def test_append_runs(spark, tmp_path):
     path = f"file://{tmp_path}/runs"
     rows = lambda keys: spark.createDataFrame([(i, k, "x") for i, k in enumerate(keys)], "i INT, k STRING, folder STRING").repartition(3)
