@@ -12,10 +12,13 @@ words, but not none, has one shingle of all its words). Steps:
    a bucket of near copies costs one comparison each. Texts that merely share a template
    (below a similarity of about 0.6) part here: the components of what is left hold every
    candidate pair, and do not grow by chance.
-3. Each component's texts are dealt out in blocks (pairs of blocks where it is large), so no
-   task holds more than two blocks of a group and no row is made for a pair.
-4. Within a block the pairs' full MinHash values are compared in the same way, and what is
-   left is verified exactly on shingle sets.
+3. Each component's texts are dealt out in blocks. Of a component of one block the pairs' full
+   MinHash values are compared in the same way, and what is left is verified exactly on shingle
+   sets. In a larger one a text meets no text but the component's first, once: what is left of
+   it is in what its shingles differ from that one's, some bytes for a near copy.
+4. These differences, and sketches, are dealt to pairs of blocks: pairs are pruned by sketches and
+   verified exactly, as two sets share what neither lacks of the first one's, and the differences
+   that they have in common. No task holds more than two blocks, and no row is made for a pair.
 5. Links are counted for each class and their components give the near-duplicate groups.
 
 Null texts are empty texts; texts without words have no links, equal ones share a class.
@@ -31,6 +34,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .components import components
 from .kit import CHUNK_BYTES, Words, in_batches, map_pieces, mix, numbered, per_text, pieces, shingles, small_side, without, written
@@ -111,42 +116,55 @@ def joined_by_sketch(sketch: np.ndarray, sides: tuple[np.ndarray, np.ndarray] |
     return edges
 
 
-def verify(sig, sets, left, right, need, threshold):
-    """Pairs (left[i], right[i]) that reach the threshold."""
+def pruned(sig, left, right, need) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose values agree as often as ``need`` asks after each STEP of them."""
     left, right = np.asarray(left), np.asarray(right)
     same = np.zeros(len(left), np.int64)
     for n in sorted(need):
         same += (sig[left, n - STEP : n] == sig[right, n - STEP : n]).sum(1)
         alive = same >= need[n]
         left, right, same = left[alive], right[alive], same[alive]
-    if not len(left):
-        return left, right
-    size = np.array([len(s) for s in sets])
+    return left, right
+
+
+def in_common(sets, left, right) -> np.ndarray:
+    """How many elements the sets of each pair share."""
     ids = np.unique(np.concatenate([left, right]))
-    if len(left) > 2 * len(ids):
-        # Many pairs of few texts: one product of their 0/1 shingle rows, some columns at a time.
-        flat = np.concatenate([sets[i] for i in ids])
-        _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(ids)), size[ids])
-        shared = times[column] > 1
-        renumber = np.cumsum(times > 1) - 1
-        row, column = row[shared], renumber[column[shared]]
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        both = np.zeros((len(ids), len(ids)), np.float64)
-        width = 4096
-        for a in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-            x, y = np.searchsorted(column, [a, a + width])
-            m = np.zeros((len(ids), width), np.float32)
-            m[row[x:y], column[x:y] - a] = 1
-            both += m @ m.T
-        shared_n = both[np.searchsorted(ids, left), np.searchsorted(ids, right)]
-    else:
-        shared_n = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(left, right)], float)
-    ok = shared_n >= threshold * (size[left] + size[right] - shared_n) - 1e-9
+    if len(left) <= 2 * len(ids):
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(left, right)], float)
+    # Many pairs of few texts: one product of their 0/1 shingle rows, some columns at a time.
+    flat = np.concatenate([sets[i] for i in ids])
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(ids)), [len(sets[i]) for i in ids])
+    shared = times[column] > 1
+    renumber = np.cumsum(times > 1) - 1
+    row, column = row[shared], renumber[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(ids), len(ids)), np.float64)
+    width = 4096
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        x, y = np.searchsorted(column, [a, a + width])
+        m = np.zeros((len(ids), width), np.float32)
+        m[row[x:y], column[x:y] - a] = 1
+        both += m @ m.T
+    return both[np.searchsorted(ids, left), np.searchsorted(ids, right)]
+
+
+def reached(size, shared, left, right, threshold) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of sets of some sizes that share enough."""
+    ok = shared >= threshold * (size[left] + size[right] - shared) - 1e-9
     return left[ok], right[ok]
 
 
+def verify(sig, sets, left, right, need, threshold):
+    """Pairs (left[i], right[i]) that reach the threshold."""
+    left, right = pruned(sig, left, right, need)
+    if not len(left):
+        return left, right
+    return reached(np.array([len(s) for s in sets]), in_common(sets, left, right), left, right, threshold)
+
+
 def whole_groups(batches, names: tuple[str, ...], least: int = 512):
     """Lists of slices of sorted batches that hold whole groups, a few hundred rows at a time."""
     held, size = [], 0
@@ -201,65 +219,122 @@ def dealt(rows: DataFrame, group: str, sizes: DataFrame, block: int) -> DataFram
     return rows
 
 
-def _joined(threshold: float, tolerance: float):
-    """Kernel over rows sorted by (root, low, high): link counts and star edges of links."""
-    need = least_matches(threshold, tolerance)
+def pairs_of(blocks: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs in a block, or between two."""
+    if low == high:
+        return np.triu_indices(len(blocks), 1)
+    a, b = np.flatnonzero(blocks == low), np.flatnonzero(blocks == high)
+    return np.repeat(a, len(b)), np.tile(b, len(a))
 
-    def group(ids, blocks, low, high, sig, sets):
-        n = len(ids)
-        if low == high:
-            left, right = np.triu_indices(n, 1)
-        else:
-            a, b = np.flatnonzero(blocks == low), np.flatnonzero(blocks == high)
-            left, right = np.repeat(a, len(b)), np.tile(b, len(a))
-        left, right = verify(sig, sets, left, right, need, threshold)
-        if not len(left):
-            return []
-        links = np.bincount(left, minlength=n) + np.bincount(right, minlength=n)
-        order = np.argsort(ids)  # the least id leads
-        rank = np.empty(n, np.int64)
-        rank[order] = np.arange(n)
-        lead = rank.copy()
-        while True:  # least label over links until nothing changes
-            new = lead.copy()
-            np.minimum.at(new, left, lead[right])
-            np.minimum.at(new, right, lead[left])
-            new = np.minimum(new, new[order[new]])
-            if (new == lead).all():
-                break
-            lead = new
-        root = ids[order[lead]]
-        return [(int(ids[i]), int(links[i]), int(root[i])) for i in np.flatnonzero(links)]
+
+def linked(ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int, int]]:
+    """(id, links, least id that links lead to) of the rows with a link."""
+    n = len(ids)
+    if not len(left):
+        return []
+    links = np.bincount(left, minlength=n) + np.bincount(right, minlength=n)
+    order = np.argsort(ids)  # the least id leads
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    lead = rank.copy()
+    while True:  # least label over links until nothing changes
+        new = lead.copy()
+        np.minimum.at(new, left, lead[right])
+        np.minimum.at(new, right, lead[left])
+        new = np.minimum(new, new[order[new]])
+        if (new == lead).all():
+            break
+        lead = new
+    root = ids[order[lead]]
+    return [(int(ids[i]), int(links[i]), int(root[i])) for i in np.flatnonzero(links)]
+
+
+def groups_of(batch: pa.RecordBatch, names: tuple[str, ...]):
+    """Bounds of the groups of rows sorted by some columns."""
+    col = [batch.column(c).to_numpy() for c in names]
+    cut = np.flatnonzero(np.any([np.diff(c) != 0 for c in col], axis=0)) + 1
+    edges = [0, *cut.tolist(), batch.num_rows]
+    return zip(edges, edges[1:])
+
+
+COMPARED = "doc BIGINT, links BIGINT, lead BIGINT, root BIGINT, block INT, sketch BINARY, size INT, base INT, lacks INT, differs BINARY"
+
+
+def _compared(threshold: float, tolerance: float):
+    """Kernel over rows sorted by (root, block), of which the first of a component of several
+    blocks is the component's first text: links of components of one block, and of others a row
+    for each text with the differences of its shingles from that text's."""
+    need = least_matches(threshold, tolerance)
+    schema = to_arrow_schema(StructType.fromDDL(COMPARED))
+
+    def flush(held):
+        out = []
+        for batch in pa.Table.from_batches(held).combine_chunks().to_batches():
+            sigs, sets = [], []
+            for part, buf, off in pieces(batch, "text", CHUNK_BYTES):
+                sh, first = shingles(Words(buf, off), K)
+                sigs.append(signatures(sh, first))
+                sets += [np.unique(sh[a:b]) for a, b in zip(first, first[1:])]
+            sig = np.concatenate(sigs)
+            col = {c: batch.column(c).to_numpy() for c in ("root", "block", "blocks", "doc", "copy")}
+            for a, b in groups_of(batch, ("root", "block")):
+                if col["blocks"][a] == 1:
+                    left, right = verify(sig[a:b], sets[a:b], *pairs_of(col["block"][a:b], 0, 0), need, threshold)
+                    out += [(*x, None, None, None, None, None, None, None) for x in linked(col["doc"][a:b], left, right)]
+                    continue
+                base = sets[a]
+                for i in range(a + 1, b):  # the first row is the copy of the component's first text
+                    differs = np.setxor1d(base, sets[i], assume_unique=True)
+                    lacks = len(base) - (len(base) + len(sets[i]) - len(differs)) // 2
+                    out.append((int(col["doc"][i]), None, None, int(col["root"][i]), int(col["block"][i]), sig[i].astype(np.uint8).tobytes(), len(sets[i]), len(base), lacks, differs.tobytes()))
+        columns = list(zip(*out)) or [()] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     def run(batches):
-        names = ["doc", "links", "lead"]
-        held = []
+        for held in whole_groups(batches, ("root", "block"), BLOCK):
+            yield flush(held)
+
+    return run
 
-        def flush(held):
-            data = pa.Table.from_batches(held).combine_chunks().to_batches()
-            out = []
-            for batch in data:
-                sigs, sets = [], []
-                for part, buf, off in pieces(batch, "text", CHUNK_BYTES):
-                    sh, first = shingles(Words(buf, off), K)
-                    sigs.append(signatures(sh, first))
-                    sets += [np.unique(sh[a:b]) for a, b in zip(first, first[1:])]
-                sig = np.concatenate(sigs)
-                col = {c: batch.column(c).to_numpy() for c in ("root", "low", "high", "doc", "block")}
-                cut = np.flatnonzero(np.any([np.diff(col[c]) != 0 for c in ("root", "low", "high")], axis=0)) + 1
-                edges = [0, *cut, len(sig)]
-                for a, b in zip(edges, edges[1:]):
-                    at = a + np.unique(col["doc"][a:b], return_index=True)[1]  # repeated rows once
-                    out += group(col["doc"][at], col["block"][at], col["low"][a], col["high"][a], sig[at], [sets[i] for i in at])
-            docs, links, lead = zip(*out) if out else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(links, pa.int64()), pa.array(lead, pa.int64())], names=names)
 
+def _joined(threshold: float, tolerance: float):
+    """Kernel over differences sorted by (root, low, high): link counts and star edges of links."""
+    need = least_matches(threshold + (1 - threshold) / 256, tolerance)  # low bytes agree by chance too
+
+    def flush(held):
+        out = []
+        for batch in pa.Table.from_batches(held).combine_chunks().to_batches():
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column("differs").to_pylist()]
+            col = {c: batch.column(c).to_numpy() for c in ("low", "high", "doc", "block", "size", "base", "lacks")}
+            for a, b in groups_of(batch, ("root", "low", "high")):
+                left, right = pruned(sketch[a:b], *pairs_of(col["block"][a:b], col["low"][a], col["high"][a]), need)
+                if len(left):
+                    lacks = col["lacks"][a:b]
+                    shared = col["base"][a] - lacks[left] - lacks[right] + in_common(sets[a:b], left, right)
+                    left, right = reached(col["size"][a:b], shared, left, right, threshold)
+                out += linked(col["doc"][a:b], left, right)
+        docs, links, lead = zip(*out) if out else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(links, pa.int64()), pa.array(lead, pa.int64())], names=["doc", "links", "lead"])
+
+    def run(batches):
         for held in whole_groups(batches, ("root", "low", "high")):
             yield flush(held)
 
     return run
 
 
+def in_blocks(labelled: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(root, block, blocks, copy, doc): each class in its block of its component; of a component
+    of several blocks the first class is in every block once more, as a ``copy``, so a text is
+    dealt once, but for one a block."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = labelled.join(sizes.select("root", blocks.alias("blocks")), "root").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    rows = rows.select("root", "block", "blocks", F.lit(0).alias("copy"), "doc")
+    firsts = sizes.select("root", blocks.alias("blocks")).where("blocks > 1")
+    return rows.unionByName(firsts.select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks", F.lit(1).alias("copy"), F.col("root").alias("doc")))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """Per document: ``class_id`` (least id of its near-duplicate group), ``text_class``
     (least id with an equal text) and ``n_links`` (other text classes at the threshold)."""
@@ -278,14 +353,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     candidates = components(edges)
     labelled = candidates.select(F.col("u").alias("doc"), F.col("v").alias("root"))
     labelled = written(labelled.union(labelled.select(F.col("root").alias("doc"), "root").distinct()), "candidates")
-    placed = dealt(labelled, "root", labelled.groupBy("root").agg(F.count("*").alias("n")), BLOCK)
+    sizes = written(labelled.groupBy("root").agg(F.count("*").alias("n")), "sizes")
+    placed = in_blocks(labelled, sizes)
     # One text of each class: repeats are dropped before texts are copied to blocks.
     wanted = small_side(leads.join(labelled.select("doc").distinct(), "doc").select("same", "rep", "doc"))
     texts = hashed.join(wanted, (hashed["same"] == wanted["same"]) & hashed["id"].eqNullSafe(wanted["rep"])).groupBy("doc").agg(F.first("text").alias("text"))
     texts = written(texts, "texts")
-    rows = texts.join(small_side(placed), "doc").select("root", "low", "high", "doc", "block", "text")
-    rows = rows.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "doc")
-    links = written(in_batches(rows, _joined(threshold, tolerance), "doc BIGINT, links BIGINT, lead BIGINT"), "links")
+    rows = texts.join(small_side(placed), "doc").select("root", "block", "blocks", "copy", "doc", "text")
+    rows = rows.repartition("root", "block").sortWithinPartitions("root", "block", F.desc("copy"), "doc")
+    compared = written(in_batches(rows, _compared(threshold, tolerance), COMPARED), "compared")
+    far = compared.where("root IS NOT NULL").select("root", "doc", "sketch", "size", "base", "lacks", "differs")
+    far = dealt(far, "root", sizes.where(F.col("n") > BLOCK), BLOCK).select("root", "low", "high", "doc", "block", "sketch", "size", "base", "lacks", "differs")
+    far = far.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "doc")
+    more = in_batches(far, _joined(threshold, tolerance), "doc BIGINT, links BIGINT, lead BIGINT")
+    links = written(compared.where("links IS NOT NULL").select("doc", "links", "lead").unionByName(more), "links")
 
     counts = written(links.groupBy("doc").agg(F.sum("links").alias("n_links")), "counts")
     groups = components(links.where("doc <> lead").select(F.col("doc").alias("u"), F.col("lead").alias("v")))

@@ -182,3 +182,28 @@ def test_columns_named_like_helpers_stay(spark):
     got = similarity.keep_one(docs)
     assert got.columns == docs.columns
     assert sorted(map(tuple, got.collect())) == [(1, text, "a", 1, 2), (3, "other", "c", 5, 6)]
+
+
+def test_texts_of_a_large_component_are_dealt_once(spark):
+    """A component of 20,000 classes: each text goes to one block, and the first one to all."""
+    labelled = spark.range(20_000).selectExpr("id + 5 AS doc", "5L AS root").union(spark.range(3).selectExpr("id + 50000 AS doc", "50000L AS root"))
+    sizes = labelled.groupBy("root").count().withColumnRenamed("count", "n")
+    rows = similarity.in_blocks(labelled, sizes).toPandas()
+    blocks = -(-20_000 // similarity.BLOCK)
+    assert len(rows) == 20_003 + blocks
+    copies = rows[rows["copy"] == 1]
+    assert sorted(copies.block) == list(range(blocks)) and set(copies.doc) == {5}
+    assert rows[rows["copy"] == 0].groupby("block").size().max() < 2 * similarity.BLOCK
+
+
+def test_differences_count_as_whole_sets_do():
+    """Shared shingles of two sets from what they lack of a third, and differ from it by."""
+    rng = np.random.default_rng(9)
+    base = np.unique(rng.integers(0, 400, 90).astype(np.uint64))
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(0, 80)), rng.integers(0, 800, rng.integers(0, 60)).astype(np.uint64)])) for _ in range(40)]
+    differs = [np.setxor1d(base, s, assume_unique=True) for s in sets]
+    lacks = np.array([len(np.setdiff1d(base, s)) for s in sets])
+    left, right = np.triu_indices(len(sets), 1)
+    got = len(base) - lacks[left] - lacks[right] + similarity.in_common(differs, left, right)
+    assert got.tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(left, right)]
+    assert lacks.tolist() == [len(base) - (len(base) + len(s) - len(d)) // 2 for s, d in zip(sets, differs)]
