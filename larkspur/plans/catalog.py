@@ -210,6 +210,19 @@ def o3_path_order(spark, sf_dir):
 
 # ---- messages ---------------------------------------------------------------------------
 
+WS = "' ' || chr(9) || chr(10) || chr(13)"
+
+
+def strip_sql(x: str) -> str:
+    return f"trim({x}, {WS})"
+
+
+def element_sql(x: str, tag: str) -> str:
+    """Text of an element, inner tags left out, as SQL."""
+    body = f"regexp_extract({x}, '(?is)<{tag}[^>]*>(.*?)(</{tag}>|$)', 1)"
+    return strip_sql(f"regexp_replace({body}, '<[^>]*>', '', 'g')")
+
+
 
 @query("SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || text, chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id")
 def f10_transcript(spark, sf_dir):
@@ -388,7 +401,10 @@ def f7_intent(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.intent(worded).alias("intent"))
 
 
-@query("""SELECT conv_id, turn, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS message, conv_id % 4 IN (0, 2) AS wants_to_end FROM conversations""")
+@query(f"""WITH r AS (SELECT conv_id, turn, {strip_sql("CASE conv_id % 4 WHEN 0 THEN ' <|End Conversation|> ' || text WHEN 1 THEN '<|Continue Conversation|>' || text WHEN 2 THEN chr(10) || '<|End Conversation|> ' || chr(10) || text ELSE ' ' || text || chr(9) END")} AS x FROM conversations),
+l AS (SELECT *, {strip_sql("split_part(x, chr(10), 1)")} AS line FROM r)
+SELECT conv_id, turn, CASE WHEN starts_with(x, '<|End Conversation|>') OR starts_with(x, '<|Continue Conversation|>') THEN {strip_sql("regexp_replace(x, '^<.(End|Continue) Conversation.>', '')")} WHEN line IN ('<|End Conversation|>', '<|Continue Conversation|>') THEN {strip_sql("substr(x, strpos(x, chr(10)) + 1)")} ELSE x END AS message,
+starts_with(x, '<|End Conversation|>') OR line = '<|End Conversation|>' AS wants_to_end FROM l""")
 def f1_f5_end_signal(spark, sf_dir):
     t, k = F.col("text"), F.col("conv_id") % 4
     raw = F.when(k == 0, F.concat(F.lit(" <|End Conversation|> "), t)).when(k == 1, F.concat(F.lit("<|Continue Conversation|>"), t)).when(k == 2, F.concat(F.lit("\n<|End Conversation|> \n"), t)).otherwise(F.concat(F.lit(" "), t, F.lit("\t")))
@@ -401,7 +417,11 @@ def f2_strip_tags(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.strip_tags(x).alias("stripped"))
 
 
-@query("""SELECT item_id, text AS think, CASE item_id % 3 WHEN 2 THEN '' ELSE text END AS user_state, CASE item_id % 3 WHEN 2 THEN '' ELSE text END AS message, item_id % 3 = 1 AS wants_to_end FROM benchmark""")
+@query(f"""WITH r AS (SELECT item_id, '<think>' || text || '</think>' || CASE item_id % 3 WHEN 0 THEN '<user_state>' || chr(10) || text || '</user_state><message>' || text || '</message>' WHEN 1 THEN '<user_state>' || text || ' <message><|End Conversation|>' || text ELSE '# User State Report short' END AS x FROM benchmark),
+m AS (SELECT item_id, {strip_sql("regexp_extract(x, '(?s)<think>(.*?)</think>', 1)")} AS think,
+CASE WHEN regexp_matches(x, '(?s)<user_state>.*?</user_state>') THEN {strip_sql("regexp_extract(x, '(?s)<user_state>(.*?)</user_state>', 1)")} ELSE {strip_sql("regexp_extract(x, '(?s)<user_state>(.*?)(</?message>|$)', 1)")} END AS user_state,
+CASE WHEN regexp_matches(x, '(?s)<message>.*?</message>') THEN regexp_extract(x, '(?s)<message>(.*?)</message>', 1) ELSE regexp_extract(x, '(?s)<message>(.*)$', 1) END AS said FROM r)
+SELECT item_id, think, user_state, {strip_sql("regexp_replace(said, '^<.End Conversation.>', '')")} AS message, starts_with(said, '<|End Conversation|>') AS wants_to_end FROM m""")
 def f6_user_turn(spark, sf_dir):
     t, k = F.col("text"), F.col("item_id") % 3
     think = F.concat(F.lit("<think>"), t, F.lit("</think>"))
@@ -411,13 +431,17 @@ def f6_user_turn(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", T.user_turn(raw).alias("u")).select("item_id", "u.*")
 
 
-@query("SELECT conv_id, turn, text || ' tail' AS clean FROM conversations")
+@query(f"""WITH r AS (SELECT conv_id, turn, '<think>a' || chr(10) || 'b</think>' || chr(10) || text || '</think> tail ' AS x FROM conversations)
+SELECT conv_id, turn, {strip_sql("replace(regexp_replace(x, '(?s)<think>.*?</think>', '', 'g'), '</think>', '')")} AS clean FROM r""")
 def f28_think_strip(spark, sf_dir):
     x = F.concat(F.lit("<think>a\nb</think>\n"), F.col("text"), F.lit("</think> tail "))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.strip_think(x).alias("clean"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 4 < 3 THEN (props::JSON->>'k')::BIGINT END AS k FROM events")
+@query("""WITH r AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN 'Here:' || chr(10) || '```json' || chr(10) || props || chr(10) || '```' || chr(10) || 'Done {x}.' WHEN 2 THEN 'so ' || props || ' it is' ELSE 'no object' END AS x FROM events),
+f AS (SELECT event_id, x, regexp_extract(x, '(?s)```(?:json)?\\s*(\\{.*?\\})\\s*```', 1) AS fence, regexp_extract(x, '(?s)\\{.*\\}', 0) AS braces FROM r),
+j AS (SELECT event_id, CASE WHEN json_valid(x) THEN x WHEN fence <> '' THEN CASE WHEN json_valid(fence) THEN fence END WHEN json_valid(braces) THEN braces END AS j FROM f)
+SELECT event_id, (j->>'$.k')::BIGINT AS k FROM j""")
 def f3_f4_json_ladder(spark, sf_dir):
     p, k = F.col("props"), F.col("event_id") % 4
     raw = F.when(k == 0, p).when(k == 1, F.concat(F.lit("Here:\n```json\n"), p, F.lit("\n```\nDone {x}."))).when(k == 2, F.concat(F.lit("so "), p, F.lit(" it is"))).otherwise("no object")
@@ -488,14 +512,17 @@ def a7_f27_token_sum(spark, sf_dir):
 # ---- benchmarks -------------------------------------------------------------------------
 
 
-@query("SELECT item_id, CASE item_id % 4 WHEN 3 THEN NULL ELSE substr('ABC', (item_id % 4)::INTEGER + 1, 1) END AS choice FROM benchmark")
+@query("""WITH r AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN text || '<CHOICE x=''1''> A or B</choice>' WHEN 1 THEN '<choice>B</choice><choice>C</choice>' WHEN 2 THEN 'C' ELSE '<choice><b>D</b></choice>' END AS x FROM benchmark),
+c AS (SELECT item_id, [nullif(regexp_extract(regexp_extract(y, '(?is)<choice[^>]*>([^<]*)', 1), '[ABCD]', 0), '') FOR y IN [x, '<choice>' || x || '</choice>']] AS found FROM r)
+SELECT item_id, coalesce(found[1], found[2]) AS choice FROM c""")
 def f29_choice_parse(spark, sf_dir):
     k = F.col("item_id") % 4
     raw = F.when(k == 0, F.concat("text", F.lit("<CHOICE x='1'> A or B</choice>"))).when(k == 1, "<choice>B</choice><choice>C</choice>").when(k == 2, "C").otherwise("<choice><b>D</b></choice>")
     return table(spark, sf_dir, "benchmark").select("item_id", benchmarks.choice_of(raw).alias("choice"))
 
 
-@query("SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'Yes' ELSE text END AS answer, text AS preference FROM benchmark")
+@query(f"""WITH r AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN '<preference> ' || text || '</preference><answer> <b>Yes</b>' || chr(10) || '</answer>' ELSE '<preference>' || text || '</preference><Answer>' || text END AS x FROM benchmark)
+SELECT item_id, {element_sql("x", "answer")} AS answer, {element_sql("x", "preference")} AS preference FROM r""")
 def f30_f37_answer_parse(spark, sf_dir):
     t = F.col("text")
     raw = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("<preference> "), t, F.lit("</preference><answer> <b>Yes</b>\n</answer>"))).otherwise(F.concat(F.lit("<preference>"), t, F.lit("</preference><Answer>"), t))
@@ -749,11 +776,17 @@ def k9_call_log(spark, sf_dir):
 # ---- predicates, defaults and blocks -----------------------------------------------------
 
 
-@query("""SELECT event_id, list_has_all(json_keys(CASE event_id % 3 WHEN 0 THEN '{"k":1,"b":null,"c":2}' WHEN 1 THEN '{"k":1}' ELSE '{"b":{"k":1}}' END), ['k', 'b']) AS held FROM events""")
+@query("""WITH k AS (SELECT * FROM (VALUES ('personamem_mcq', ['user_query', 'correct', 'stereotypical', 'random', 'generic']), ('prefeval_gen', ['preference', 'question', 'assistant_response']), ('lamp_cls', ['task_family', 'profile_items', 'query', 'target'])) v(style, keys)),
+b AS (SELECT conv_id, json_group_object(key, text) AS body FROM (SELECT conv_id, text, unnest(CASE (conv_id + turn) % 3 WHEN 0 THEN ['user_query', 'correct', 'random', 'query', 'target'] WHEN 1 THEN ['preference', 'question', 'stereotypical', 'generic'] ELSE ['assistant_response', 'task_family', 'profile_items'] END) AS key FROM conversations) GROUP BY conv_id)
+SELECT conv_id, style, list_has_all(json_keys(body), keys) AS held FROM b, k""")
 def p13_required_keys(spark, sf_dir):
-    k = F.col("event_id") % 3
-    body = F.when(k == 0, '{"k":1,"b":null,"c":2}').when(k == 1, '{"k":1}').otherwise('{"b":{"k":1}}')
-    return table(spark, sf_dir, "events").select("event_id", qa.has_keys(body, ("k", "b")).alias("held"))
+    """Objects put together from a conversation's turns, against the keys of each style."""
+    k = (F.col("conv_id") + F.col("turn")) % 3
+    some = [("user_query", "correct", "random", "query", "target"), ("preference", "question", "stereotypical", "generic"), ("assistant_response", "task_family", "profile_items")]
+    names = F.when(k == 0, F.array(*map(F.lit, some[0]))).when(k == 1, F.array(*map(F.lit, some[1]))).otherwise(F.array(*map(F.lit, some[2])))
+    keys = table(spark, sf_dir, "conversations").select("conv_id", "text", F.explode(names).alias("key")).groupBy("conv_id", "key").agg(F.max("text").alias("text"))
+    body = keys.groupBy("conv_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "text")))).alias("body"))
+    return body.select("conv_id", F.explode(F.array(*[F.struct(F.lit(s).alias("style"), qa.has_keys(F.col("body"), keys).alias("held")) for s, keys in qa.REQUIRED.items()])).alias("x")).select("conv_id", "x.*")
 
 
 @query(f"WITH {FLAWS_SQL} SELECT conv_id, turn, trim(text) <> '' AS filled FROM m")
