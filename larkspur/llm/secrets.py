@@ -14,8 +14,8 @@ Three patterns give the labelled credentials (the base spans). Two passes over a
 3. Every run of ``LEAST_RUN`` characters or more outside the base spans is a candidate. It
    becomes a span of a kind when its mean log-likelihood is that of 99 of 100 labelled values at
    least, and the kind's posterior against the background, with prior odds of labelled values to
-   candidates in this corpus, reaches ``POSTERIOR``. Likelihoods only fall along a run, so runs
-   are left as soon as they cannot reach it.
+   candidates in this corpus, reaches ``POSTERIOR``. Likelihoods only fall along a run, but
+   for what its fixed characters can add, so runs are left as soon as they cannot reach it.
 
 Null or empty texts have no spans. Repeated rows each get their row. Of a kind with fewer than
 ``LEAST_LABELS`` labelled values no span is added. Offsets are code points, ends exclusive.
@@ -148,12 +148,16 @@ class Automaton:
             share = (k + 0.5) / (all_ + 1)
             self.of_character[state, CLASS == c] = math.log((1 - share) * SIZE[c] / (SIZE[c] - 1))
             self.of_character[state, character] = math.log(share * SIZE[c])
-        # What the rest of a run can still gain: its literals, most of all where all are met.
-        self.rise = sum(max(0.0, self.of_character[state].max()) for state in range(n))
+        # What the rest of a run can still gain from a state on: its literals, all met. States
+        # lead to later ones or to themselves.
+        self.ahead = np.zeros(n + 1)
+        for state in range(n - 1, -1, -1):
+            after = self.go[state][self.go[state] != state]
+            self.ahead[state] = max(0.0, self.of_character[state].max()) + (self.ahead[after].max() if len(after) else 0.0)
 
     def totals(self, cls: np.ndarray, start: np.ndarray, end: np.ndarray, need: np.ndarray | None = None, raw: np.ndarray | None = None) -> np.ndarray:
-        """Log-likelihood of each run, the stop included; runs that fall below ``need`` are
-        left where they do. ``raw`` are the characters; without them classes alone count."""
+        """Log-likelihood of each run, the stop included; runs that can no longer reach ``need``
+        are left where they fall below it. ``raw`` are the characters; without them classes alone count."""
         out, state = np.zeros(len(start)), np.zeros(len(start), np.int64)
         live, step = np.arange(len(start)), 0
         while len(live):
@@ -170,7 +174,7 @@ class Automaton:
                 out[live] += self.of_character[state[live], raw[start[live] + step]]
             state[live] = self.go[state[live], c]
             if need is not None:
-                live = live[out[live] >= need[live]]
+                live = live[out[live] + self.ahead[state[live]] >= need[live]]
             step += 1
         return out
 
@@ -274,8 +278,7 @@ class Formats:
         background = self.background.totals(cls, start, end)
         best, out = np.full(len(start), -np.inf), {}
         for kind, (automaton, least, odds) in self.kinds.items():
-            # A literal may raise a total by what one more symbol can: runs are left only below that.
-            total = automaton.totals(cls, start, end, np.maximum(background + odds, least * (end - start + 1)) - automaton.rise, raw)
+            total = automaton.totals(cls, start, end, np.maximum(background + odds, least * (end - start + 1)), raw)
             for i in np.flatnonzero((total - background >= odds) & (total >= least * (end - start + 1)) & (total > best)):
                 best[i], out[int(i)] = total[i], kind
         return sorted(out.items())
