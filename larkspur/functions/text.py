@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -166,3 +169,16 @@ def answer_score(predicted: Column, true_answer: Column, answer_key: Column) ->
 def n_tokens(x: Column) -> Column:
     """Stand-in token count: runs of characters that are not white space."""
     return F.size(F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(r"(\S+)"), F.lit(1)))
+
+
+def indented_json(x: Column) -> Column:
+    """A JSON text with a field on each line, as people read it; null where it does not parse or
+    holds nothing. For the few rows of a table of personas."""
+
+    @F.pandas_udf("string")
+    def indented(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: json.dumps(json.loads(t), indent=2, ensure_ascii=False) if t else None)
+
+    value = F.try_parse_json(x)
+    kept = F.when(~F.to_json(value).isin("{}", "[]", "null", '""'), x)
+    return indented(F.when(value.isNotNull(), kept))

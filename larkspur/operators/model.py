@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 from collections import defaultdict, deque
@@ -35,6 +36,7 @@ class Retry:
     linear: float = 2.0  # seconds times the attempt
     exponential: float | None = None  # start of a doubling pause instead
     ceiling: float = 30.0
+    strip_think: bool = False  # replies lose their thinking blocks, and blanks around what is left
 
     def pause(self, attempt: int) -> float:
         if self.exponential is None:
@@ -43,7 +45,12 @@ class Retry:
 
 
 GENERATION = Retry()
-EVALUATION = Retry(tries=6, exponential=1.0)
+EVALUATION = Retry(tries=6, exponential=1.0, strip_think=True)
+
+
+def without_thoughts(reply: str) -> str:
+    """``functions.text.strip_think`` for a reply that a task holds."""
+    return re.sub(r"(?s)<think>.*?</think>", "", reply).replace("</think>", "").strip()
 
 
 def call(client: ModelClient, retry: Retry, sleep: Callable = time.sleep, **request) -> tuple[str | None, str | None, int, float]:
@@ -51,7 +58,9 @@ def call(client: ModelClient, retry: Retry, sleep: Callable = time.sleep, **requ
     began, error = time.monotonic(), None
     for attempt in range(1, retry.tries + 1):
         try:
-            return client.chat(**request), None, attempt, round(time.monotonic() - began, 2)
+            reply = client.chat(**request)
+            reply = without_thoughts(reply) if retry.strip_think and reply is not None else reply
+            return reply, None, attempt, round(time.monotonic() - began, 2)
         except Exception as e:
             error = f"{type(e).__name__}: {e}"
             if attempt < retry.tries:

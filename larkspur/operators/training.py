@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import messages as M
-from ..functions.text import or_default
+from ..functions.text import indented_json, or_default
 
 INSTRUCTION = "You are an assistant who adapts to the person you talk with."
 
@@ -19,6 +19,18 @@ def system_prompt(instruction: Column | str, summary: Column | None, metadata: C
     return F.concat_ws("\n", *parts)
 
 
+def persona_block(summary: Column, metadata: Column) -> Column:
+    """A persona for a prompt: its summary and, where it has some, its metadata (a JSON text)."""
+    # The names of the tags.
+    told = F.concat(F.lit("<summary>\n"), F.coalesce(summary, F.lit("")), F.lit("\n</summary>"))
+    return F.concat_ws("\n", told, F.concat(F.lit("<behavioral_metadata>\n"), indented_json(metadata), F.lit("\n</behavioral_metadata>")))
+
+
+def metadata_text(metadata: Column) -> Column:
+    """Metadata as a judge or simulator is shown it; N/A where there is none."""
+    return F.coalesce(indented_json(metadata), F.lit("N/A"))
+
+
 def student_view(sessions: DataFrame, instruction: str = INSTRUCTION, summary: str = "profile_summary", metadata: str = "behavioral_metadata") -> DataFrame:
     """Chat records with visible messages and the profile; no latent state survives. A null
     category is one that the session does not have and is left out of JSON; so is an empty

@@ -880,3 +880,27 @@ def p1_only_ids(spark, sf_dir):
 def o3_by_path(spark, sf_dir):
     """The first pages in order of path components; urls with equal components are equal."""
     return selection.by_path(table(spark, sf_dir, "pages").select("url"), "url", 50)
+
+
+@query("""WITH b AS (SELECT event_type AS id, count(*) AS n FROM events GROUP BY 1), r AS (SELECT id, n, CASE WHEN id IN ('click', 'view') THEN 'Information Seeking' ELSE 'Own' END AS mode FROM b),
+c AS (SELECT *, row_number() OVER w - 1 AS idx, lag(mode) OVER w AS before FROM r WINDOW w AS (ORDER BY CASE WHEN mode = 'Own' THEN 99 ELSE 2 END, mode, id))
+SELECT string_agg(CASE WHEN mode IS DISTINCT FROM before THEN '## ' || mode || chr(10) ELSE '' END || '[' || idx || '] ' || id || ': ' || n || ' events', chr(10) ORDER BY idx) AS catalog FROM c""")
+def f25_catalog_text(spark, sf_dir):
+    b = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("behavior_id")).agg(F.count("*").alias("n"))
+    mode = F.when(F.col("behavior_id").isin("click", "view"), "Information Seeking").otherwise("Own")
+    return simulation.catalog_text(b.withColumns({"name": F.lit(""), "description": F.concat(F.lit(" "), F.col("n").cast("string"), F.lit(" events\n")), "tuna_mode": mode, "tuna_strategy": F.lit("s")}))
+
+
+@query("""WITH c AS (SELECT conv_id::VARCHAR AS persona_id, list(text ORDER BY turn) AS s FROM conversations GROUP BY 1), t AS (SELECT persona_id, prefix, s FROM c, (VALUES ('lifelong'), ('affective')) v(prefix))
+SELECT persona_id, prefix, CASE WHEN persona_id::BIGINT % 3 = 0 THEN len(s) WHEN persona_id::BIGINT % 3 = 1 AND prefix = 'lifelong' THEN 1 END AS n FROM t""")
+def s8_cached_or_legacy(spark, sf_dir):
+    """Scenarios of a written cache, of the legacy place for one family only, or none."""
+    path = _shared(spark, "cache")
+    items = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.struct(x["text"].alias("initial_prompt")))
+    c = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("persona_id")).agg(F.to_json(items).alias("scenarios"))
+    prefixes = F.explode(F.array(F.lit("lifelong"), F.lit("affective"))).alias("prefix")
+    c.where("persona_id % 3 = 0").select("*", prefixes).write.partitionBy("prefix", "persona_id").text(path)
+    read = spark.read.option("basePath", path).schema("value STRING, prefix STRING, persona_id STRING").text(path)
+    legacy = c.where("persona_id % 3 = 1").select("persona_id", F.lit('[{"initial_prompt":"x"}]').alias("scenarios"))
+    out = readers.cached_or_legacy(c.select("persona_id", prefixes), read.withColumnRenamed("value", "scenarios"), legacy)
+    return out.select("persona_id", "prefix", F.json_array_length("scenarios").cast("bigint").alias("n"))

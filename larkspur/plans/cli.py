@@ -28,7 +28,7 @@ from ..functions.messages import MESSAGES, flaw
 from ..functions.tokens import message_tokens
 from ..operators import adherence as adherence_stages
 from ..operators import benchmarks, corpus, qa, quality, seeded, selection, simulation, training
-from ..operators.model import ask_once
+from ..operators.model import EVALUATION, GENERATION, Retry, ask_once
 from ..sources import readers, sinks
 from ..sources.shared import written
 from .config import FAMILIES, comma_list, deduplicated_path, report_path
@@ -48,10 +48,10 @@ def session_rows(spark, a) -> DataFrame:
     return files.where("ok").select(F.from_json("raw", SESSION).alias("s"), "raw").select("s.*", "raw")
 
 
-def calls(a, temperature: float = 0.7) -> Callable[[DataFrame, str], DataFrame]:
+def calls(a, temperature: float = 0.7, retry: Retry = GENERATION) -> Callable[[DataFrame, str], DataFrame]:
     """Calls through the command's ledger, no more at once than its bound."""
     make = client_of(a.client)
-    return lambda rows, kind: ask_once(rows, make, a.ledger, call_type=kind, temperature=temperature, model=a.model, concurrency=a.concurrency)
+    return lambda rows, kind: ask_once(rows, make, a.ledger, call_type=kind, temperature=temperature, model=a.model, retry=retry, concurrency=a.concurrency)
 
 
 def check_quality(spark, a) -> None:
@@ -146,7 +146,7 @@ def adherence_run(spark, a) -> None:
     """A stage of the preference benchmark over a JSON array of items: generation and
     classification read the items, judging reads what generation wrote."""
     if a.stage == "judge":
-        made = adherence_stages.judged(spark.read.parquet(f"{a.out}/gen"), calls(a, 0.0))
+        made = adherence_stages.judged(spark.read.parquet(f"{a.out}/gen"), calls(a, 0.0, EVALUATION))
     else:
         get = lambda k: F.try_variant_get("item", f"$.{k}", "string").alias(k)
         items = selection.first_items(readers.json_items(spark, a.items), "idx", a.max_items).select("idx", get("preference"), get("question"))
@@ -156,11 +156,11 @@ def adherence_run(spark, a) -> None:
             items = items.crossJoin(F.broadcast(turns))  # one row
             between = benchmarks.filler(F.col("conversation"), a.turns)
         if a.stage == "gen":
-            made = adherence_stages.generated(items, calls(a), between, a.task)
+            made = adherence_stages.generated(items, calls(a, 0.0, EVALUATION), between, a.task)
         else:
             options = F.try_variant_get("item", "$.classification_task_options", "ARRAY<STRING>").alias("options")
             given = selection.first_items(readers.json_items(spark, a.options), "idx", a.max_items).select("idx", options)
-            made = adherence_stages.classified(benchmarks.aligned(items, given), calls(a), a.seed, between, a.task)
+            made = adherence_stages.classified(benchmarks.aligned(items, given), calls(a, 0.0, EVALUATION), a.seed, between, a.task)
     written(made, a.stage).write.mode("overwrite").parquet(f"{a.out}/{a.stage}")
     if a.stage != "gen":
         adherence_stages.report(a.stage, spark.read.parquet(f"{a.out}/{a.stage}")).show(truncate=False)
