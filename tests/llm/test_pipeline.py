@@ -26,7 +26,7 @@ def test_run_packs_what_the_stages_keep(spark, data):
 def test_queries_are_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
 
 
 def test_sql_of_the_operators(spark, data):
@@ -35,7 +35,7 @@ def test_sql_of_the_operators(spark, data):
     from larkspur.llm import queries
 
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     for name, sql in queries.ORACLES.items():
         df = queries.QUERIES[name](spark, data)
@@ -136,3 +136,16 @@ def test_stages_on_an_empty_table(spark, none, data):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, data)
         assert docs.count() == 0
+
+
+def test_the_pipeline_without_labels_keeps_what_the_other_stages_keep(spark, data, tmp_path):
+    """An empty labels table: nothing is known by which to reject a document."""
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{data}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    labels.where("false").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.quality_stage(spark, docs, str(tmp_path)).count() == docs.count()
+    with_labels = {r.doc_id for r in corpus_pipeline.run(spark, data).select("doc_id").distinct().collect()}
+    without = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()}
+    assert len(without) > len(with_labels)
