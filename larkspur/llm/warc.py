@@ -194,7 +194,8 @@ def _parse(batches):
 def read_archives(spark, path: str) -> DataFrame:
     """Records of all archives below a path, segments joined: record_id, page, url,
     record_type, refers_to, digest (as stored), payload (null for revisits), and ``whole``:
-    false where segments are missing or do not reach the stated total length."""
+    false where segments are missing or do not reach the stated total length, or where the payload
+    has not the stored digest."""
     read = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse, SCHEMA)
     columns = ["record_id", "page", "url", "record_type", "refers_to", "digest", "payload"]
     alone = read.where("segment IS NULL").select(*columns, "whole")
@@ -213,7 +214,10 @@ def read_archives(spark, path: str) -> DataFrame:
 
     again = joined.mapInArrow(decode, "record_id STRING, page STRING, url STRING, digest STRING, payload BINARY, whole BOOLEAN")
     again = again.select("record_id", "page", "url", F.lit("response").alias("record_type"), F.lit(None).cast("string").alias("refers_to"), "digest", "payload", "whole")
-    return alone.unionByName(again)
+    out = alone.unionByName(again)
+    # A stored SHA-256 is held against what was read.
+    kept = F.col("payload").isNull() | F.coalesce(~F.rlike("digest", F.lit("^[0-9a-fA-F]{64}$")), F.lit(True)) | (F.lower("digest") == F.sha2("payload", 256))
+    return out.withColumn("whole", F.col("whole") & kept)
 
 
 def round_trip(pages: DataFrame, key: str = "page_id") -> DataFrame:

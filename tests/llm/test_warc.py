@@ -1,3 +1,4 @@
+import re
 import gzip
 import hashlib
 import io
@@ -92,3 +93,18 @@ def test_a_broken_record_is_marked_and_the_others_are_read(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(bad + b"\n" + good + b"\n")
     read = {r.page: (r.whole, r.payload and bytes(r.payload)) for r in warc.read_archives(spark, f"file://{tmp_path}").collect()}
     assert read == {"7": (True, b"fine"), "8": (False, None)}
+
+
+def test_a_payload_is_held_against_its_stored_digest(spark, tmp_path):
+    """A byte changed in an archive, and a digest of another kind, which says nothing here."""
+    pages = spark.createDataFrame([(1, "http://a/", "x" * 300), (2, "http://b/", "y" * 300)], "page_id BIGINT, url STRING, html STRING").coalesce(1)
+    warc.write_archives(pages, f"{tmp_path}/w")
+    [archive] = (tmp_path / "w").glob("part-*.gz")
+    raw = gzip.decompress(archive.read_bytes())
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad/a.warc").write_bytes(raw.replace(b"x" * 100, b"x" * 99 + b"z", 1))
+    got = {r.page: (r.whole, r.payload is not None) for r in warc.read_archives(spark, f"{tmp_path}/bad").collect()}
+    assert got == {"1": (False, True), "2": (True, True)}
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other/a.warc").write_bytes(re.sub(rb"sha256:[0-9a-f]{64}", b"sha1:ABCDEF", raw))
+    assert all(r.whole for r in warc.read_archives(spark, f"{tmp_path}/other").collect())
