@@ -905,3 +905,38 @@ def s8_cached_or_legacy(spark, sf_dir):
     legacy = c.where("persona_id % 3 = 1").select("persona_id", F.lit('[{"initial_prompt":"x"}]').alias("scenarios"))
     out = readers.cached_or_legacy(c.select("persona_id", prefixes), read.withColumnRenamed("value", "scenarios"), legacy)
     return out.select("persona_id", "prefix", F.json_array_length("scenarios").cast("bigint").alias("n"))
+
+
+@query("""SELECT 'all' AS cap, o_custkey, o_orderkey FROM orders UNION ALL
+SELECT 'two', o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 2""")
+def o1_cap_or_all(spark, sf_dir):
+    """Rows of each customer, capped or not: without a cap nothing is sorted or shuffled."""
+    o = table(spark, sf_dir, "orders")
+    of = lambda n, name: selection.top_n_per_key(o, "o_custkey", ["o_orderkey"], n).select(F.lit(name).alias("cap"), "o_custkey", "o_orderkey")
+    return of(None, "all").unionByName(of(2, "two"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations WHERE conv_id % 4 <> 3)
+SELECT conv_id::VARCHAR AS persona_id, 'affective' AS prefix, pos::INTEGER AS pos, 'affective_' || CASE WHEN turn % 2 = 0 THEN 's' || turn ELSE conv_id || '_scenario_' || pos END AS scenario_id, text AS initial_prompt FROM c""")
+def t7_built_scenarios(spark, sf_dir):
+    """Scenarios out of replies that hold an array of a conversation's turns between other words;
+    every fourth reply holds none."""
+    given = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("s"), F.col("turn").cast("string"))).otherwise("")
+    items = F.transform(F.array_sort(F.collect_list(F.struct("turn", given.alias("scenario_id"), F.col("text").alias("initial_prompt")))), lambda x: F.struct(x["scenario_id"].alias("scenario_id"), x["initial_prompt"].alias("initial_prompt")))
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(items).alias("items"))
+    people = c.select(F.col("conv_id").cast("string").alias("persona_id"), F.lit("S").alias("summary"))
+    calls = simulation.scenario_calls(people, "affective").join(c.select(F.col("conv_id").cast("string").alias("persona_id"), "conv_id", "items"), "persona_id")
+    reply = F.when(F.col("conv_id") % 4 == 3, "none today").otherwise(F.concat(F.lit("Here they are:\n"), F.col("items"), F.lit("\nDone.")))
+    return simulation.built_scenarios(calls.withColumn("reply", reply)).select("persona_id", "prefix", "pos", "scenario_id", "initial_prompt")
+
+
+@query("SELECT 'N' || n_nationkey AS persona_id, n_name || ': \"' || n_nationkey || '\" #' AS summary FROM nation ORDER BY 1")
+def s3_yaml_personas(spark, sf_dir):
+    """Personas from a YAML file each."""
+    path = _shared(spark, "yaml")
+    n = table(spark, sf_dir, "nation")
+    told = F.concat(F.col("n_name"), F.lit(': "'), F.col("n_nationkey").cast("string"), F.lit('" #'))
+    text = F.concat(F.lit("# a persona\nid: N"), F.col("n_nationkey").cast("string"), F.lit("\nsummary: "), F.to_json(F.array(told)), F.lit("\n"))
+    text = F.replace(F.replace(text, F.lit("summary: ["), F.lit("summary: ")), F.lit("]\n"), F.lit("\n"))
+    n.select(F.col("n_nationkey").alias("k"), text.alias("value")).write.partitionBy("k").option("lineSep", "\n").text(path)
+    return readers.yaml_personas(spark, f"{path}/*").select("persona_id", "summary")
