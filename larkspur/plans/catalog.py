@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import messages as M
 from ..functions import text as T
 from ..functions.tokens import message_tokens
-from ..operators import appended, benchmarks, corpus, qa, quality, seeded, selection, simulation, training
+from ..operators import appended, benchmarks, corpus, qa, quality, seeded, selection, simulation, trails, training
 from ..operators.model import usage
 from ..sources import readers, sinks
 from ..sources.shared import remove_at_exit, shared_dir
@@ -357,15 +357,16 @@ def f39_canonical_json(spark, sf_dir):
 
 @query("""SELECT event_id, coalesce(string_agg(event_type, ', ') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), 'N/A') AS previous FROM events""")
 def w4_previous_behaviors(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-8, -1)
-    return table(spark, sf_dir, "events").select("event_id", T.or_default(F.array_join(F.collect_list("event_type").over(w), ", "), "N/A").alias("previous"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    out = trails.previous_values(e, "user_id", ["ts", "event_id"], F.col("event_type"), 8, "before")
+    return out.select("event_id", T.or_default(F.array_join("before", ", "), "N/A").alias("previous"))
 
 
 @query("""SELECT event_id, last_value(CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS state FROM events""")
 def w5_carry_state(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     said = F.when(F.col("event_id") % 3 == 0, "").otherwise(F.col("event_type"))
-    return table(spark, sf_dir, "events").select("event_id", F.last(F.nullif(said, F.lit("")), True).over(w).alias("state"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    return trails.carried(e, "user_id", ["ts", "event_id"], F.nullif(said, F.lit("")), "state").select("event_id", "state")
 
 
 @query("""WITH b AS (SELECT event_type, min(event_id) AS k FROM events GROUP BY 1), r AS (SELECT event_type AS id, CASE WHEN event_type IN ('click', 'view') THEN 'Information Seeking' ELSE 'Own ' || (k % 2) END AS mode FROM b),
