@@ -1,7 +1,6 @@
 """Runs that append only what no run before them had, by key.
 
-A table of keys lies beside the rows, in folders by a hash of the key, with a Bloom filter of all
-of them. A new run asks the filter first: what it has not is new, without a look at any old key
+Rows lie with their keys in folders by a hash of the key, beside a Bloom filter of all of them. A new run asks the filter first: what it has not is new, without a look at any old key
 (no false "new"); the few that it may have are compared exactly, with the folders of their hashes
 only. With 2**27 bits (16 MB) and four hashes a filter of 13 million keys takes one new key in a
 hundred for a possible repeat; ``bits`` is a parameter, and more keys cost reading, not results.
@@ -18,6 +17,7 @@ from ..sources.shared import written
 BITS = 1 << 27
 HASHES = 4
 FOLDERS = 256
+KEY, FOLDER = "_key", "_folder"
 
 
 def bit_places(key: Column, bits: int) -> list[Column]:
@@ -56,32 +56,48 @@ def folder_of(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(FOLDERS)).cast("int")
 
 
+def rows_of(spark: SparkSession, path: str) -> DataFrame:
+    """All rows that runs have appended below a path."""
+    return spark.read.parquet(f"{path}/rows").drop(KEY, FOLDER)
+
+
+def latest(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
+    """The last filter that was written whole, and the number of the next one."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/filter")
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    runs = [int(x.getPath().getName().split("=")[1]) for x in files.listStatus(place)] if files.exists(place) else []
+    whole = [n for n in runs if _exists(spark, f"{path}/filter/run={n}/_SUCCESS")]
+    return (spark.read.parquet(f"{path}/filter/run={max(whole)}") if whole else None), max(runs, default=0) + 1
+
+
 def append_new(rows: DataFrame, key: str, order: str, path: str, bits: int = BITS) -> DataFrame:
     """Append to ``path`` the rows whose key no earlier run has appended, of equal keys the first
-    in ``order``, and return them. Null keys are a key. Keys are compared as texts."""
+    in ``order``, and return them. Null keys are a key. Keys are compared as texts. One run at a
+    time may append.
+
+    Rows carry their keys, and a filter is written before the rows that it tells of, under a
+    number of its own: a run that is killed leaves a filter with bits too many, which cost reading
+    only, or rows whose bits are set."""
+    if {KEY, FOLDER} & {c.lower() for c in rows.columns}:
+        raise ValueError(f"{KEY} and {FOLDER} are columns of the appended table")
     spark = rows.sparkSession
-    text, folder = free(rows, "_key", "_folder")
-    keyed = rows.withColumn(text, F.sha2(F.coalesce(F.concat(F.lit("v"), F.col(key).cast("string")), F.lit("n")).cast("binary"), 256))
+    keyed = rows.withColumn(KEY, F.sha2(F.coalesce(F.concat(F.lit("v"), F.col(key).cast("string")), F.lit("n")).cast("binary"), 256))
     # Aggregated before the shuffle, so a key of very many rows is no group of its own.
     first = F.min_by(F.struct(*rows.columns), F.struct(order)).alias("r")
-    fresh = written(keyed.groupBy(text).agg(first).select(text, "r.*"), "fresh")
-    keys, filter_ = f"{path}/keys", f"{path}/filter"
-    old = None
-    if _exists(spark, filter_):
-        old = spark.read.parquet(filter_)
-        told, flag = possible(fresh, text, old, bits)
-        told = written(told.withColumn(folder, folder_of(F.col(text))), "told")
+    fresh = written(keyed.groupBy(KEY).agg(first).select("r.*", KEY).withColumn(FOLDER, folder_of(F.col(KEY))), "fresh")
+    old, number = latest(spark, path)
+    if old is not None and _exists(spark, f"{path}/rows"):
+        told, flag = possible(fresh, KEY, old, bits)
+        told = written(told, "told")
         maybe = told.where(flag)
         # Folders of possible repeats only: at most FOLDERS numbers.
-        folders = [r[0] for r in maybe.select(folder).distinct().collect()]
-        known = spark.read.parquet(keys).where(F.col("folder").isin(folders)) if folders else None
-        repeats = maybe.join(known.select(F.col("key").alias(text), F.col("folder").alias(folder)), [text, folder], "left_anti") if folders else maybe
-        fresh = written(told.where(~F.col(flag)).unionByName(repeats.select(told.columns)).drop(flag, folder), "fresh")
-    made = bloom(fresh, text, bits)
+        folders = [r[0] for r in maybe.select(FOLDER).distinct().collect()]
+        known = spark.read.parquet(f"{path}/rows").where(F.col(FOLDER).isin(folders)).select(KEY, FOLDER) if folders else None
+        repeats = maybe.join(known, [KEY, FOLDER], "left_anti").select(told.columns) if folders else maybe
+        fresh = written(told.where(~F.col(flag)).unionByName(repeats).drop(flag), "fresh")
+    made = bloom(fresh, KEY, bits)
     if old is not None:
         made = made.crossJoin(F.broadcast(old.withColumnRenamed("words", "before"))).select(F.zip_with("words", "before", lambda a, b: a.bitwiseOR(b)).alias("words"))
-    made = written(made, "filter")
-    fresh.drop(text).write.mode("append").parquet(f"{path}/rows")
-    fresh.select(F.col(text).alias("key"), folder_of(F.col(text)).alias("folder")).write.mode("append").partitionBy("folder").parquet(keys)
-    made.write.mode("overwrite").parquet(filter_)
-    return fresh.drop(text)
+    made.write.parquet(f"{path}/filter/run={number}")
+    fresh.write.mode("append").partitionBy(FOLDER).parquet(f"{path}/rows")
+    return fresh.drop(KEY, FOLDER)

@@ -841,13 +841,12 @@ def o7_first_items(spark, sf_dir):
 SELECT run, place, sha256(text) AS digest FROM r QUALIFY row_number() OVER (PARTITION BY text ORDER BY run, place) = 1""")
 def w2_u5_append_runs(spark, sf_dir):
     """Four runs that append the texts that no run before them had; the last one has none."""
-    path, out = _shared(spark, "runs"), None
+    path = _shared(spark, "runs")
     tables = [("documents", F.col("doc_id")), ("conversations", F.col("conv_id") * 1000 + F.col("turn")), ("benchmark", F.col("item_id")), ("documents", F.col("doc_id"))]
     for run, (name, place) in enumerate(tables, 1):
         rows = table(spark, sf_dir, name).select(F.lit(run).alias("run"), place.alias("place"), "text")
         appended.append_new(rows, "text", "place", path, 1 << 22)
-    out = spark.read.parquet(f"{path}/rows")
-    return out.select("run", "place", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    return appended.rows_of(spark, path).select("run", "place", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
 
 
 @query("SELECT conv_id::VARCHAR AS persona_id, role AS ablation, count(*) AS n FROM conversations WHERE role <> 'system' GROUP BY ALL")

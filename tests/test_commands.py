@@ -127,8 +127,21 @@ def test_append_runs(spark, tmp_path):
     assert run([]) == []
     many = [f"k{i % 700}" for i in range(900)] + ["a"]
     assert len(run(many)) == 700 and run(many) == []  # the filter is full, results stay exact
-    got = spark.read.parquet(f"{path}/rows")
-    assert got.count() == got.select("k").distinct().count() == 706 and "folder" in got.columns
+    got = appended.rows_of(spark, path)
+    assert got.count() == got.select("k").distinct().count() == 706 and got.columns == ["i", "k", "folder"]
+
+
+def test_a_killed_append_run_is_made_good(spark, tmp_path, monkeypatch):
+    """Killed after its filter and before its rows, or with a filter that is not whole."""
+    path = f"file://{tmp_path}/runs"
+    rows = lambda keys: spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i INT, k STRING")
+    run = lambda keys: sorted(r.k for r in appended.append_new(rows(keys), "k", "i", path, 1 << 12).collect())
+    assert run(["a", "b"]) == ["a", "b"]
+    filter_ = appended.bloom(rows(["c"]).selectExpr("sha2('vc', 256) AS k"), "k", 1 << 12)
+    filter_.crossJoin(spark.read.parquet(f"{path}/filter/run=1").withColumnRenamed("words", "w")).selectExpr("zip_with(words, w, (x, y) -> x | y) AS words").write.parquet(f"{path}/filter/run=2")
+    (tmp_path / "runs/filter/run=3").mkdir()
+    assert run(["c", "b", "d"]) == ["c", "d"] and run(["a", "b", "c", "d"]) == []
+    assert sorted(r.k for r in appended.rows_of(spark, path).collect()) == ["a", "b", "c", "d"]
 
 
 def test_filter_has_no_false_new_and_few_false_repeats(spark):
