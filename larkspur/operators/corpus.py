@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 from ..functions.names import free
 from ..sources.shared import written
 from .selection import lookup
-from .seeded import numbered
+from .seeded import numbered, told_apart
 
 WINDOW = 256  # rows that a look ahead takes in
 STRETCH = 1 << 16  # rows of an order that one task goes over
@@ -158,11 +158,13 @@ def declustered(df: DataFrame, fields: list[str], key: str, seed: int = 0, windo
     Combinations are mixed in proportion first; so every stretch of STRETCH rows can be gone
     over by itself, with a look ahead, and no field runs out before the end. A stretch's last row
     stays its last, and the next stretch starts from it, so the edges fit too. Tasks hold hashes
-    of one stretch's fields; where a row stands decides, and never a group's size."""
-    rows, order = proportional(df, fields, key, seed)
-    rows, place = numbered(rows, *order)
+    of one stretch's fields; where a row stands decides, and never a group's size. The order is
+    found on these narrow rows; the rows themselves are written and joined once."""
+    rows, row = told_apart(df)
     codes = [F.when(F.col(f).isNotNull(), F.xxhash64(f)).alias(f"f{i}") for i, f in enumerate(fields)]
-    narrow = written(rows.select(F.col(place).alias("place"), *codes), "narrow").withColumn("stretch", F.floor(F.col("place") / STRETCH))
+    mixed, order = proportional(rows.select(F.col(row).alias("row"), F.col(key).alias("key"), *codes), [f"f{i}" for i in range(len(fields))], "key", seed)
+    mixed, place = numbered(mixed, *order)
+    narrow = mixed.select("row", F.col(place).alias("place"), *[f"f{i}" for i in range(len(fields))]).withColumn("stretch", F.floor(F.col("place") / STRETCH))
     ends = narrow.where(F.col("place") % STRETCH == STRETCH - 1).withColumn("stretch", F.col("stretch") + 1)
     names, step, final = [f"f{i}" for i in range(len(fields))], STRETCH, (narrow.count() - 1) // STRETCH
 
@@ -174,13 +176,13 @@ def declustered(df: DataFrame, fields: list[str], key: str, seed: int = 0, windo
         first = stretch * step
         held = at[0] < first  # the row before the stretch
         if held and len(at) == 1:
-            return pa.table({"place": pa.array([], pa.int64()), "position": pa.array([], pa.int64())})
+            return pa.table({"row": pa.array([], pa.int64()), "position": pa.array([], pa.int64())})
         order = look_ahead(values[held:], values[0] if held else None, window, stretch < final)
-        return pa.table({"place": pa.array([at[held + i] for i in order], pa.int64()), "position": pa.array(range(first, first + len(order)), pa.int64())})
+        number = table.column("row").to_pylist()
+        return pa.table({"row": pa.array([number[held + i] for i in order], pa.int64()), "position": pa.array(range(first, first + len(order)), pa.int64())})
 
-    moved = narrow.unionByName(ends).groupBy("stretch").applyInArrow(run, "place BIGINT, position BIGINT")
-    moved = written(moved, "positions").withColumnsRenamed({"place": place, "position": position})
-    return rows.join(moved, place).select(*df.columns, position)
+    moved = written(narrow.unionByName(ends).groupBy("stretch").applyInArrow(run, "row BIGINT, position BIGINT"), "positions")
+    return rows.join(moved.select(F.col("row").alias(row), F.col("position").alias(position)), row).drop(row)
 
 
 def shuffled(keys: list, seed: int) -> list:

@@ -146,6 +146,13 @@ def numbered(df: DataFrame, *order: str) -> tuple[DataFrame, str]:
     return out.withColumn(place, F.col(b) + F.col(at).bitwiseAND((1 << 33) - 1)).drop(at, p, b), place
 
 
+def told_apart(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows in a written table with a number of their own, and its name: an order can be
+    found on narrow rows, and brought back in one join."""
+    [row] = free(df, "_row")
+    return written(df.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+
+
 def places(spark: SparkSession, n: int, seed: int) -> DataFrame:
     """(place, position) of a shuffle of n rows, written by one task."""
 
@@ -162,9 +169,10 @@ def places(spark: SparkSession, n: int, seed: int) -> DataFrame:
 
 def shuffled(df: DataFrame, order: str, seed: int, position: str = "position") -> DataFrame:
     """The rows with their position after the standard library's shuffle of them in ``order``."""
-    rows, place = numbered(df, order)
-    made = places(df.sparkSession, rows.count(), seed).withColumnsRenamed({"place": place, "position": position})
-    return rows.join(made, place).drop(place)
+    rows, row = told_apart(df)
+    narrow, place = numbered(rows.select(F.col(row).alias("row"), F.col(order).alias("order")), "order")
+    made = narrow.join(places(df.sparkSession, narrow.count(), seed), place)
+    return rows.join(made.select(F.col("row").alias(row), F.col("position").alias(position)), row).drop(row)
 
 
 def bounds(size: int, kind: str) -> range:
