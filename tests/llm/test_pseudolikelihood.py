@@ -141,13 +141,16 @@ def test_training_raises_the_score_of_every_word():
 
 
 def test_repeated_texts_score_above_single_ones(spark):
-    """Words of its own that a text shares with its copy are twice as likely as those it has alone."""
+    """Words of its own that a text shares with its copy are twice as likely as those it has alone,
+    so its mean is higher by about log 2; what the network makes of endings varies by text."""
     rng = random.Random(6)
     text = lambda: " ".join(f"{''.join(rng.choice('bcdfgh') for _ in range(9))}" for _ in range(80))
     rows = [(i, text()) for i in range(200)]
     rows += [(1000 + i, rows[i][1]) for i in range(100)]
     got = {r.doc_id: r.mean_log_likelihood for r in P.scored(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()}
-    assert min(got[i] for i in range(100)) > max(got[i] for i in range(100, 200))
+    twice, once = (sorted(got[i] for i in part) for part in (range(100), range(100, 200)))
+    assert 0.55 < sum(twice) / 100 - sum(once) / 100 < 0.85
+    assert sum(a > b for a in twice for b in once) > 0.99 * 100 * 100 and twice[5] > once[-6]
 
 
 def test_weights_pack_and_unpack():
