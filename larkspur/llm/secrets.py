@@ -148,6 +148,7 @@ class Automaton:
             share = (k + 0.5) / (all_ + 1)
             self.of_character[state, CLASS == c] = math.log((1 - share) * SIZE[c] / (SIZE[c] - 1))
             self.of_character[state, character] = math.log(share * SIZE[c])
+        self.literal = bool(literals)
         # What the rest of a run can still gain from a state on: its literals, all met. States
         # lead to later ones or to themselves.
         self.ahead = np.zeros(n + 1)
@@ -170,11 +171,12 @@ class Automaton:
             live = live[~done]
             c = cls[start[live] + step]
             out[live] += self.log_p[state[live], c]
-            if raw is not None:
+            if raw is not None and self.literal:
                 out[live] += self.of_character[state[live], raw[start[live] + step]]
             state[live] = self.go[state[live], c]
             if need is not None:
-                live = live[out[live] + self.ahead[state[live]] >= need[live]]
+                reach = out[live] + self.ahead[state[live]] if self.literal else out[live]
+                live = live[reach >= need[live]]
             step += 1
         return out
 
