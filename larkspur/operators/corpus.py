@@ -93,13 +93,24 @@ def numbered_in(df: DataFrame, groups: list[str], order: list[str], number: str,
 
 
 def interleaved(df: DataFrame, group: str, key: str, seed: int = 0) -> DataFrame:
-    """``round`` in an order that keeps a group's rows apart: every group's first row in seeded
-    hash order (``place``), then every second row, and so on."""
-    if {"place", "round"} & {c.lower() for c in df.columns}:
-        raise ValueError("rename the columns place and round: the result has its own")
-    [size] = free(df, "_size")
-    out = numbered_in(df.withColumn("place", seeded_place(seed, F.col(key))), [group], ["place", key], "round", size)
-    return out.withColumn("round", F.col("round") + 1).drop(size)
+    """Position in an order that keeps a group's rows apart: every group's first row in
+    seeded hash order, then every second row, and so on.
+
+    A group of any size is cut by the first digits of its places, which keep their order: rows
+    are numbered within a cut, and the counts of the group's cuts before it are added. Keys are
+    ids: rows of one repeated key share a cut (``declustered`` has no such bound).
+    """
+    if {"place", "round", "_cut", "_group", "_c", "_before", "_i"} & {c.lower() for c in df.columns}:
+        raise ValueError("rename columns that are called place, round, _cut, _group, _c, _before or _i")
+    place = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")), 256)
+    rows = df.withColumn("place", place).withColumn("_cut", F.substring("place", 1, 3))  # 4,096 cuts
+    cuts = rows.groupBy(F.col(group).alias("_group"), F.col("_cut").alias("_c")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_group").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = cuts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    within = Window.partitionBy(group, "_cut").orderBy("place", key)
+    rows = rows.withColumn("_i", F.row_number().over(within))
+    rows = rows.join(cuts, rows[group].eqNullSafe(cuts["_group"]) & (F.col("_cut") == F.col("_c")))
+    return rows.withColumn("round", F.col("_before") + F.col("_i")).drop("_cut", "_group", "_c", "_before", "_i")
 
 
 def proportional(df: DataFrame, fields: list[str], key: str, seed: int = 0) -> tuple[DataFrame, list[str]]:

@@ -11,9 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import free
-from ..sources.shared import written
 from .seeded import numbered
-from .selection import lookup
 
 BLOCK = 1 << 16
 
@@ -47,12 +45,12 @@ def carried(df: DataFrame, key: str, order: list[str], value: Column, name: str)
     within = Window.partitionBy(block, key).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
     # Only the trail that a block begins with can have begun before it.
     going_on = rows.where(F.col(place) % BLOCK == 0).select(F.col(key).alias("k")).distinct()
-    ends = rows.join(lookup(going_on, going_on.count()), rows[key].eqNullSafe(going_on["k"]), "left_semi")
+    ends = rows.join(going_on, rows[key].eqNullSafe(going_on["k"]), "left_semi")
     ends = ends.groupBy(F.col(block).alias("b"), F.col(key).alias("k")).agg(F.max_by(own, F.when(F.col(own).isNotNull(), F.col(place))).alias("v"))
     earlier = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    ends = written(ends.select("b", "k", F.last("v", True).over(earlier).alias("v")).where("v IS NOT NULL"), "carried")
+    ends = ends.select("b", "k", F.last("v", True).over(earlier).alias("v")).where("v IS NOT NULL")
     out = rows.withColumn(name, F.last(own, True).over(within))
     [b, k, v] = free(out, "_b", "_k", "_v")
-    ends = lookup(ends, ends.count()).withColumnsRenamed({"b": b, "k": k, "v": v})
+    ends = ends.withColumnsRenamed({"b": b, "k": k, "v": v})  # at most a row for each block
     out = out.join(ends, (out[block] == ends[b]) & out[key].eqNullSafe(ends[k]), "left")
     return out.withColumn(name, F.coalesce(name, v)).drop(place, block, own, b, k, v)
