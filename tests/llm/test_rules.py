@@ -93,3 +93,41 @@ def test_threshold():
     good, poor = np.array([0.1, 0.2, 0.3]), np.array([0.25, 0.6, 0.7])
     assert rules.calibrated(good, poor, 4.0) == pytest.approx(0.45)
     assert 0.2 <= rules.calibrated(good, poor, 0.5) < 0.25
+
+
+def test_all_labelled_rows_are_learned_from(spark):
+    """More rows of a label than a bound of 4,000 would keep; every one counts."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join("x" * int(k) + str(i) for k in rng.integers(1, 30, 25)) for i in range(9000)]
+    texts += [" ".join(f"##{i}x{j}$$" for j in range(25)) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING").repartition(3)
+    labels = spark.range(len(texts)).selectExpr("id AS doc_id", "CAST(id < 9000 AS INT) AS quality")
+    buf = np.frombuffer("".join(texts).encode(), np.uint8)
+    c = rules.counts(buf, np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    open_ = ~rules.fails(c["n_words"], c["n_repeat_words"])
+    good = c["statistics"][:9000][open_[:9000]].astype(float)
+    assert len(good) == 9000
+    middle = np.median(good, axis=0)
+    model = rules.fit(docs, labels)
+    assert model.tolerance == pytest.approx(middle + rules.SLACK * (np.quantile(good, rules.TOLERATED, axis=0) - middle))
+    assert rules.fit(docs.repartition(5), labels).threshold == model.threshold
+
+
+def test_ranks_and_trees_of_all_rows(spark):
+    rng = np.random.default_rng(6)
+    values = np.abs(rng.normal(0, 1, (6000, len(rules.STATISTICS)))).astype(np.float32)
+    values[:, 1] = 0
+    values[:, 2] = np.round(values[:, 2])
+    rows = [(int(i % 20 != 0), i, v.view(np.int32).tolist()) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "label INT, _place BIGINT, statistics ARRAY<INT>").repartition(3)
+    ranks = [0, 1, 2999, 5994, 5999]
+    assert (rules.of_rank(df, ranks) == np.sort(values, axis=0)[ranks].T).all()
+    trees = rules.drawn(df, 5700, 300)
+    poor = {v.tobytes() for v in values[::20]}
+    seen = [{r.tobytes() for r in t} for t in trees]
+    assert len(trees) == rules.TREES and all(len(t) == rules.IN_TREE == len(s) for t, s in zip(trees, seen))
+    assert all(0 < len(s & poor) <= rules.IN_TREE / rules.POOR_SHARE + 1 for s in seen)
+    assert len(set.union(*seen)) > 5900  # of 6,000
+    few = rules.drawn(df.where("_place < 100"), 95, 5)
+    assert all(len(t) == 100 for t in few)
+    assert not (few[0] == few[1]).all()
