@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.names import free
 from ..functions.text import or_default, strip
+from .sinks import persona_group
 
 PERSONA = "persona_id STRING, id STRING, summary STRING, metadata STRING, attributes STRING, fingerprint STRING, selected_prompts STRING"
 SCENARIOS = "ARRAY<STRUCT<scenario_id: STRING, context_note: STRING, category: STRING, initial_prompt: STRING>>"
@@ -158,6 +159,17 @@ def sessions_by_folder(spark: SparkSession, path: str, schema: str | StructType)
     return spark.read.schema(fields).option("basePath", path).json(path).withColumn("file", F.col("_metadata.file_path"))
 
 
+def by_group(spark: SparkSession, path: str, schema: str | StructType, by: str, form: str = "json", persona: str | None = None) -> DataFrame:
+    """Rows of ``sinks.write_grouped``, with their file. A condition on ``by`` prunes folders, and
+    so does a persona."""
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    fields = StructType([f for f in fields.fields if f.name not in (by, "persona_group", "persona_id")]).add("persona_id", "string").add(by, "string").add("persona_group", "integer")
+    rows = spark.read.schema(fields).option("basePath", path).format(form).load(path).withColumn("file", F.col("_metadata.file_path"))
+    if persona is not None:
+        rows = rows.where((F.col("persona_group") == persona_group(F.lit(persona))) & (F.col("persona_id") == persona))
+    return rows.drop("persona_group")
+
+
 def yaml_file(path: str) -> dict:
     """A driver-side configuration file."""
     import yaml
